@@ -73,6 +73,18 @@ def window_features(
     )
 
 
+def value_items() -> Column:
+    """What one alert contributes: itself (kind 'row') and each value counted distinctly."""
+    values = {
+        "row": F.lit(""),
+        "ip": blank_to_null(F.col("dest_ip")),
+        "port": zero_to_null(F.col("dest_port")).cast("string"),
+        "rule": blank_to_null(F.col("rule_id")),
+        "src": F.when(F.col("is_inbound"), blank_to_null(F.col("flow_src_ip"))),
+    }
+    return F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])
+
+
 def window_features_multi(
     alerts: DataFrame, minutes: tuple[int, ...] = (1, 5), monitored_ip: str | None = None
 ) -> DataFrame:
@@ -94,14 +106,8 @@ def window_features_multi(
         F.when(F.col("source_type") == "suricata", 1).otherwise(0).alias("sensor"),
         F.col("is_inbound").cast("int").alias("inbound"),
         F.col("is_outbound").cast("int").alias("outbound"),
-        F.explode(F.array(
-            F.struct(F.lit("row").alias("kind"), F.lit(None).cast("string").alias("value")),
-            F.struct(F.lit("ip"), blank_to_null(F.col("dest_ip"))),
-            F.struct(F.lit("port"), zero_to_null(F.col("dest_port")).cast("string")),
-            F.struct(F.lit("rule"), blank_to_null(F.col("rule_id"))),
-            F.struct(F.lit("src"), F.when(F.col("is_inbound"), blank_to_null(F.col("flow_src_ip")))),
-        )).alias("item"),
-    ).filter((F.col("item.kind") == "row") | F.col("item.value").isNotNull())
+        F.explode(value_items()).alias("item"),
+    ).filter(F.col("item.value").isNotNull())
     reduced = value_rows.groupBy(
         "agent_name", "fine_start", F.col("item.kind").alias("kind"), F.col("item.value").alias("value")
     ).agg(

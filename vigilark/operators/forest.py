@@ -78,8 +78,8 @@ def _tree_samples(df: DataFrame, key: str, trees: int, sample: int, seed: int) -
     stride = max(1, trees // uses)
     placed = df.filter(spread < keep).select(
         key, "vector", F.explode(F.transform(
-            F.sequence(F.lit(0), F.lit(uses - 1)), lambda j: F.pmod(start + j * stride, F.lit(trees))
-        )).cast("int").alias("tree"),
+            F.sequence(F.lit(0), F.lit(uses - 1)), lambda j: F.pmod(start + j * stride, F.lit(trees)).cast("int")
+        )).alias("tree"),
     )
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "tree", key), key)
     return placed.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= sample).drop("_place")

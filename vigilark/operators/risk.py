@@ -109,9 +109,8 @@ def fit_tactic(
         for i, tactic in enumerate(classes):
             trees = _trees(
                 rounds, depth, rate, seed, labelCol="_is_class", featuresCol="features",
-                rawPredictionCol=f"rawPrediction_{i}", probabilityCol=f"probability_{i}",
                 predictionCol=f"prediction_{i}",
-            )
+            ).setRawPredictionCol(f"rawPrediction_{i}").setProbabilityCol(f"probability_{i}")
             stages.append(trees.fit(vectors.withColumn("_is_class", (F.col("tactic") == tactic).cast("int"))))
     finally:
         vectors.unpersist()

@@ -40,16 +40,19 @@ def nearest_in_class(
     placed = points.select("label", "id", "features", F.pmod(F.xxhash64("id"), per_class).alias("mine"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), per_class - 1))
     asking = placed.select("label", F.col("mine").alias("row_block"), every.alias("other_block"), "id", "features")
-    known = placed.select("label", F.col("mine").alias("other_block"), every.alias("row_block"), "id", "features")
+    known = placed.select(
+        F.col("label").alias("other_label"), F.col("mine").alias("known_block"), every.alias("asking_block"),
+        F.col("id").alias("other_id"), F.col("features").alias("other_features"),
+    )
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"label": [], "id": [], "distance": [], "near_id": [], "near": []}
         if not len(left) or not len(right):
             return pd.DataFrame(out)
-        right = right.sort_values("id", ignore_index=True)
+        right = right.sort_values("other_id", ignore_index=True)
         a = np.stack(left["features"].to_numpy()).astype(float)
-        b = np.stack(right["features"].to_numpy()).astype(float)
-        b_ids = right["id"].to_numpy()
+        b = np.stack(right["other_features"].to_numpy()).astype(float)
+        b_ids = right["other_id"].to_numpy()
         for at, (row, own) in enumerate(zip(a, left["id"])):
             distance = ((b - row) ** 2).sum(axis=1)
             distance[b_ids == own] = np.inf
@@ -62,8 +65,8 @@ def nearest_in_class(
                     out["near"].append(b[j])
         return pd.DataFrame(out)
 
-    keys = ["label", "row_block", "other_block"]
-    found = asking.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(
+    asked = asking.groupBy("label", "row_block", "other_block")
+    found = asked.cogroup(known.groupBy("other_label", "asking_block", "known_block")).applyInPandas(
         best, "label string, id bigint, distance double, near_id bigint, near array<double>"
     )
     # a row has at most neighbours × blocks candidates here

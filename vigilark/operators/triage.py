@@ -174,8 +174,8 @@ def timeline(alerts: DataFrame, minutes: int = 1) -> DataFrame:
     )
     # the grid is as long as the period in minutes; its rows come from the counted minutes
     grid = counted.agg(F.min("minute").alias("lo"), F.max("minute").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", step)).cast(ts_type).alias("minute")
-    )
+        F.explode(F.sequence("lo", "hi", step)).alias("minute")
+    ).select(F.col("minute").cast(ts_type).alias("minute"))
     return grid.join(counted, "minute", "left").select("minute", F.coalesce("alerts", F.lit(0)).alias("alerts"))
 
 

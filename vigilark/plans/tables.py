@@ -110,6 +110,14 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ALERTS_SQL, events=read(spark, sf_dir, "events"))
 
 
+def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts as a file stream, timestamps as instants."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = spark.sql(ALERTS_SQL, events=stream)
+    return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SESSIONS_SQL, orders=read(spark, sf_dir, "orders"))
 
@@ -127,6 +135,10 @@ def triage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_lines(alerts(spark, sf_dir))
+
+
+def raw_lines(rows: DataFrame) -> DataFrame:
     """One alert document per alert as a JSON line, some of them malformed.
 
     Exercises both timestamp keys, the address fallbacks, ports as text, a flow
@@ -193,4 +205,4 @@ def raw_alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).when(
         eid % 40 == 7, obj(member("_id", text(F.col("alert_id"))), member("_source", F.lit('"text"')))
     ).otherwise(obj(member("_id", text(F.col("alert_id"))), member("_source", source)))
-    return alerts(spark, sf_dir).select(line.alias("value"))
+    return rows.select(line.alias("value"))

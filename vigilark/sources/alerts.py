@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.schema import ALERT
+from vigilark.sources.sinks import TEXT_TIMES
 
 PAGE_SIZE = 500
 
@@ -32,7 +33,7 @@ def stream_alert_log(spark: SparkSession, path: str, files_per_trigger: int = 10
 
 def append_alert_log(alerts: DataFrame, path: str) -> None:
     """Append normalised alerts as UTF-8 JSON lines; each task writes its own file."""
-    alerts.write.mode("append").option("encoding", "UTF-8").json(path)
+    alerts.write.mode("append").options(**TEXT_TIMES).option("encoding", "UTF-8").json(path)
 
 
 def write_alert_table(alerts: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark import dims
+from vigilark.sources.sinks import TEXT_TIMES
 
 VALIDATION_REPORT = (
     "generated_at timestamp, detection_rate double, false_positive_rate double, "
@@ -59,7 +60,7 @@ def tactic_row(report: DataFrame, training_method: str) -> DataFrame:
 
 def write_report(report: DataFrame, path: str) -> None:
     """Add a report to the folder of its kind; undefined values are written as null."""
-    report.write.mode("append").option("ignoreNullFields", False).json(path)
+    report.write.mode("append").options(**TEXT_TIMES).option("ignoreNullFields", False).json(path)
 
 
 def latest_report(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.dims import TRIAGE_STATUSES
+from vigilark.sources.sinks import TEXT_TIMES
 
 TRIAGE_EVENT = "alert_id string, status string, updated_at timestamp, event_id bigint"
 
@@ -28,4 +29,4 @@ def set_status(spark: SparkSession, path: str, alert_ids: Sequence[str], status:
 
 
 def append_statuses(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+    events.write.mode("append").options(**TEXT_TIMES).json(path)

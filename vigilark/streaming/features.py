@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigilark.functions.columns import MICROS, blank_to_null, count_where, level_to_band, micros, zero_to_null
-from vigilark.operators.features import flow_direction, valid_events
+from vigilark.functions.columns import MICROS, count_where, level_to_band, micros
+from vigilark.operators.features import flow_direction, valid_events, value_items
 from vigilark.schema import WINDOW_FEATURES
 
 
@@ -24,13 +24,7 @@ def stream_features(
     rows = flow_direction(valid_events(alerts), monitored_ip).withWatermark("timestamp", watermark)
     values = rows.select(
         "agent_name", "timestamp", "rule_level", "source_type", "is_inbound", "is_outbound",
-        F.explode(F.array(
-            F.struct(F.lit("row").alias("kind"), F.lit("").alias("value")),
-            F.struct(F.lit("ip"), blank_to_null(F.col("dest_ip"))),
-            F.struct(F.lit("port"), zero_to_null(F.col("dest_port")).cast("string")),
-            F.struct(F.lit("rule"), blank_to_null(F.col("rule_id"))),
-            F.struct(F.lit("src"), F.when(F.col("is_inbound"), blank_to_null(F.col("flow_src_ip")))),
-        )).alias("item"),
+        F.explode(value_items()).alias("item"),
     ).filter(F.col("item.value").isNotNull())
     us = micros(F.col("timestamp"))
     per_value = values.groupBy(
