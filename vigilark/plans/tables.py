@@ -112,8 +112,8 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alerts as a file stream, timestamps as instants."""
-    path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = spark.sql(ALERTS_SQL, events=stream)
     return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
