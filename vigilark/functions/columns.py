@@ -112,6 +112,12 @@ def from_micros(us: Column, ts_type: str) -> Column:
     return F.timestamp_micros(us).cast(ts_type)
 
 
+def whole_steps(value: Column, step: int | Column) -> Column:
+    """How many whole steps fit below a whole number, exactly (floor of the quotient)."""
+    step = F.lit(step) if isinstance(step, int) else step
+    return ((value - F.pmod(value, step)) / step).cast("long")
+
+
 def ratio(num: Column, den: Column) -> Column:
     """Division giving null on a zero denominator."""
     return F.try_divide(num.cast("double"), den.cast("double"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vigilark import dims
 from vigilark.dims import RateRule
-from vigilark.functions.columns import MICROS, count_where, from_micros, in_cidr, is_filled, micros
+from vigilark.functions.columns import MICROS, count_where, from_micros, in_cidr, is_filled, micros, whole_steps
 
 BUCKET_SPANS = 10
 
@@ -28,8 +28,8 @@ def with_leading_context(df: DataFrame, us: str, span_seconds: int, bucket_secon
     span_us = span_seconds * MICROS
     if span_us > bucket_us:
         raise ValueError("a bucket must be at least as long as the trailing span")
-    own = F.floor(F.col(us) / F.lit(bucket_us)).cast("long")
-    reached = F.floor((F.col(us) + F.lit(span_us)) / F.lit(bucket_us)).cast("long")
+    own = whole_steps(F.col(us), bucket_us)
+    reached = whole_steps(F.col(us) + F.lit(span_us), bucket_us)
     return df.select("*", own.alias("_own"), F.explode(F.sequence(own, reached)).alias("bucket")).withColumn(
         "is_context", F.col("bucket") != F.col("_own")
     ).drop("_own")
@@ -78,7 +78,7 @@ def rate_threshold(
             ((F.col(f"n_{r.sid}") > 0) & (F.col(f"t_{r.sid}") >= r.count)).alias("raised"),
         ) for r in rules
     ]))).filter("raised")
-    period = F.floor(F.col("us") / (F.col("seconds") * MICROS)).cast("long")
+    period = whole_steps(F.col("us"), F.col("seconds") * MICROS)
     return (
         reached.groupBy("sid", "source", period.alias("period"))
         .agg(F.min("us").alias("first_us"), F.max("hits").alias("peak_count"))
@@ -148,13 +148,17 @@ def scan_then_login(
         )
         .groupBy("source", "us")
         .agg(count_where(F.col("scan")).alias("scans"), count_where(F.col("login")).alias("logins"))
-        .withColumn("bucket", F.floor(us / F.lit(bucket_us)).cast("long"))
+        .withColumn("bucket", whole_steps(us, bucket_us))
         .withColumn("scan_us", F.when(F.col("scans") > 0, us))
+        .filter("source is not null and bucket is not null")
     )
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # reads the same columns as the rows below, so both share one shuffle of the events
     carried = (
-        relevant.groupBy("source", "bucket").agg(F.max("scan_us").alias("last_us"))
-        .select("source", "bucket", F.max("last_us").over(earlier).alias("carried_us"))
+        relevant.groupBy("source", "bucket")
+        .agg(F.max("scan_us").alias("last_us"), F.sum("logins").alias("bucket_logins"))
+        .select("source", "bucket", "bucket_logins", F.max("last_us").over(earlier).alias("carried_us"))
+        .filter("bucket_logins > 0").drop("bucket_logins")
     )
     so_far = Window.partitionBy("source", "bucket").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
     latest = F.coalesce(F.col("inside_us"), F.col("carried_us"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.functions.columns import (
-    MICROS, blank_to_null, count_where, inbound, is_filled, micros, outbound, window_start, zero_to_null,
+    MICROS, blank_to_null, count_where, inbound, is_filled, micros, outbound, whole_steps,
+    window_start, zero_to_null,
 )
 from vigilark.schema import WINDOW_FEATURES
 
@@ -25,146 +26,155 @@ def flow_direction(alerts: DataFrame, monitored_ip: str | None) -> DataFrame:
     )
 
 
-def _distinct_values() -> dict[str, Column]:
-    """What each distinct count counts; empty text and port 0 are missing."""
-    port = zero_to_null(F.col("dest_port"))
-    return {
-        "unique_dest_ips": blank_to_null(F.col("dest_ip")),
-        "unique_dest_ports": port,
-        "distinct_rule_ids": blank_to_null(F.col("rule_id")),
-        "inbound_unique_src_ips": F.when(F.col("is_inbound"), blank_to_null(F.col("flow_src_ip"))),
-        "inbound_unique_ports": F.when(F.col("is_inbound"), port),
-        "outbound_unique_ports": F.when(F.col("is_outbound"), port),
+# kinds of item an alert contributes to its window
+ROW, DEST_IP, DEST_PORT, RULE, INBOUND_SRC = range(5)
+
+
+def window_items(alerts: DataFrame, monitored_ip: str | None) -> DataFrame:
+    """Each alert as the items its window counts: itself, and every value counted distinctly.
+
+    The alert itself carries its level and whether a sensor raised it; values that
+    count as missing (empty text, port 0) yield no item.
+    """
+    no_level, no_sensor, no_us = F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.lit(None).cast("long")
+    values = {
+        DEST_IP: blank_to_null(F.col("dest_ip")),
+        DEST_PORT: zero_to_null(F.col("dest_port")).cast("string"),
+        RULE: blank_to_null(F.col("rule_id")),
+        INBOUND_SRC: F.when(F.col("is_inbound"), blank_to_null(F.col("flow_src_ip"))),
     }
 
+    def item(kind: int, value: Column, level: Column, sensor: Column, us: Column) -> Column:
+        return F.struct(
+            F.lit(kind).cast("byte").alias("kind"), value.alias("value"), level.cast("int").alias("level"),
+            sensor.alias("sensor"), us.alias("us"),
+        )
+
+    items = [item(
+        ROW, F.lit(""), F.col("rule_level"), F.coalesce(F.col("source_type") == "suricata", F.lit(False)),
+        micros(F.col("timestamp")),
+    )] + [item(kind, value, no_level, no_sensor, no_us) for kind, value in values.items()]
+    exploded = flow_direction(valid_events(alerts), monitored_ip).select(
+        "agent_name", "timestamp", "is_inbound", "is_outbound", F.explode(F.array(*items)).alias("item")
+    )
+    return exploded.filter(F.col("item.value").isNotNull()).select(
+        "agent_name", "timestamp", "is_inbound", "is_outbound", "item.*"
+    )
+
+
+ITEM_KEYS = ["kind", "value", "level", "sensor"]
+
+
+def item_counts() -> list[Column]:
+    """What is kept per distinct item of a window."""
+    return [
+        F.count("*").alias("n"),
+        count_where(F.col("is_inbound")).alias("inbound_n"),
+        count_where(F.col("is_outbound")).alias("outbound_n"),
+        F.min("us").alias("first_us"),
+        F.max("us").alias("last_us"),
+    ]
+
+
+def window_measures() -> list[Column]:
+    """The 13 measures (plus their parts) of a window from its distinct items."""
+    kind, n = F.col("kind"), F.col("n")
+    row = kind == ROW
+
+    def rows(value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(row, value)), F.lit(0))
+
+    level_sum, level_n = F.sum(F.col("level") * n), F.sum(F.when(F.col("level").isNotNull(), n))
+    return [
+        rows(n).alias("event_count"),
+        count_where(kind == DEST_IP).alias("unique_dest_ips"),
+        count_where(kind == DEST_PORT).alias("unique_dest_ports"),
+        count_where(kind == RULE).alias("distinct_rule_ids"),
+        F.coalesce(F.try_divide(level_sum, level_n), F.lit(0.0)).alias("avg_rule_level"),
+        F.coalesce(F.max("level"), F.lit(0)).alias("max_rule_level"),
+        (rows(F.when(F.col("sensor"), n)) / rows(n)).alias("suricata_ratio"),
+        ((F.max("last_us") - F.min("first_us")) / F.lit(float(MICROS))).alias("time_span_seconds"),
+        rows(F.col("inbound_n")).alias("inbound_event_count"),
+        count_where(kind == INBOUND_SRC).alias("inbound_unique_src_ips"),
+        count_where((kind == DEST_PORT) & (F.col("inbound_n") > 0)).alias("inbound_unique_ports"),
+        rows(F.col("outbound_n")).alias("outbound_event_count"),
+        count_where((kind == DEST_PORT) & (F.col("outbound_n") > 0)).alias("outbound_unique_ports"),
+    ]
+
 
 def window_features(
     alerts: DataFrame, window_minutes: float = 5, monitored_ip: str | None = None
 ) -> DataFrame:
     """One row per (agent, tumbling window) with the 13 measures.
 
-    The distinct counts are exact and aggregate map-side first: a busy agent is
-    spread over the distinct values it shows before the per-window totals meet.
+    Alerts are reduced map-side to the distinct items of each window, which spread
+    a busy agent over all tasks; a second, small aggregation counts the items.
     """
     ts_type = alerts.schema["timestamp"].dataType.simpleString()
-    us = F.col("event_us")
-    rows = flow_direction(valid_events(alerts), monitored_ip).select(
-        "agent_name",
-        window_start(F.col("timestamp"), ts_type, window_minutes).alias("window_start"),
-        micros(F.col("timestamp")).alias("event_us"),
-        "dest_ip", "dest_port", "rule_id", "rule_level", "source_type",
-        "flow_src_ip", "is_inbound", "is_outbound",
-    )
-    distinct = {name: F.count_distinct(value).alias(name) for name, value in _distinct_values().items()}
+    start = window_start(F.col("timestamp"), ts_type, window_minutes).alias("window_start")
+    items = window_items(alerts, monitored_ip).groupBy("agent_name", start, *ITEM_KEYS).agg(*item_counts())
     return (
-        rows.groupBy("agent_name", "window_start")
-        .agg(
-            F.count("*").alias("event_count"),
-            F.coalesce(F.avg("rule_level"), F.lit(0.0)).alias("avg_rule_level"),
-            F.coalesce(F.max("rule_level"), F.lit(0)).alias("max_rule_level"),
-            F.avg(F.when(F.col("source_type") == "suricata", 1.0).otherwise(0.0)).alias("suricata_ratio"),
-            ((F.max(us) - F.min(us)) / F.lit(float(MICROS))).alias("time_span_seconds"),
-            count_where(F.col("is_inbound")).alias("inbound_event_count"),
-            count_where(F.col("is_outbound")).alias("outbound_event_count"),
-            *distinct.values(),
-        )
+        items.groupBy("agent_name", "window_start").agg(*window_measures())
         .withColumn("window_minutes", F.lit(window_minutes))
         .select(*WINDOW_FEATURES)
     )
 
 
-def value_items() -> Column:
-    """What one alert contributes: itself (kind 'row') and each value counted distinctly."""
-    values = {
-        "row": F.lit(""),
-        "ip": blank_to_null(F.col("dest_ip")),
-        "port": zero_to_null(F.col("dest_port")).cast("string"),
-        "rule": blank_to_null(F.col("rule_id")),
-        "src": F.when(F.col("is_inbound"), blank_to_null(F.col("flow_src_ip"))),
-    }
-    return F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])
-
-
 def window_features_multi(
     alerts: DataFrame, minutes: tuple[int, ...] = (1, 5), monitored_ip: str | None = None
 ) -> DataFrame:
-    """The same measures at several resolutions from one reading of the alerts.
+    """The same measures at two resolutions from one reading and one shuffle of the alerts.
 
-    Every resolution must be a multiple of the first. Rows are first reduced to
-    one row per (agent, fine window, kind of value, value); the coarser windows
-    are built from that reduced table, never from the alerts again.
+    Items are reduced per coarse window; a bit mask notes in which of its fine
+    windows an item occurs (inbound and outbound likewise). Both resolutions are
+    then counted from the reduced items.
     """
-    fine = minutes[0]
-    if any(m % fine or 60 % m for m in minutes):
-        raise ValueError("resolutions must divide the hour and be multiples of the finest one")
+    fine, coarse = minutes
+    if coarse % fine or 60 % coarse:
+        raise ValueError("the coarse width must divide the hour and be a multiple of the fine one")
+    slots = coarse // fine
     ts_type = alerts.schema["timestamp"].dataType.simpleString()
-    value_rows = flow_direction(valid_events(alerts), monitored_ip).select(
-        "agent_name",
-        window_start(F.col("timestamp"), ts_type, fine).alias("fine_start"),
-        micros(F.col("timestamp")).alias("event_us"),
-        "rule_level",
-        F.when(F.col("source_type") == "suricata", 1).otherwise(0).alias("sensor"),
-        F.col("is_inbound").cast("int").alias("inbound"),
-        F.col("is_outbound").cast("int").alias("outbound"),
-        F.explode(value_items()).alias("item"),
-    ).filter(F.col("item.value").isNotNull())
-    reduced = value_rows.groupBy(
-        "agent_name", "fine_start", F.col("item.kind").alias("kind"), F.col("item.value").alias("value")
-    ).agg(
-        F.count("*").alias("n"),
-        F.sum("rule_level").alias("level_sum"),
-        F.count("rule_level").alias("level_n"),
-        F.max("rule_level").alias("level_max"),
-        F.sum("sensor").alias("sensor_n"),
-        F.sum("inbound").alias("inbound_n"),
-        F.sum("outbound").alias("outbound_n"),
-        F.min("event_us").alias("first_us"),
-        F.max("event_us").alias("last_us"),
+    start = F.window("timestamp", f"{coarse} minutes").start
+    slot = whole_steps(F.pmod(micros(F.col("timestamp")), F.lit(coarse * 60 * MICROS)), fine * 60 * MICROS).cast("int")
+    placed = window_items(alerts, monitored_ip).select(
+        "*", start.alias("coarse_start"), slot.alias("slot"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), slot).alias("bit"),
     )
-    return reduced.select(
-        "*", F.explode(F.array(*[F.lit(m) for m in minutes])).alias("window_minutes")
-    ).groupBy(
-        "agent_name", "window_minutes", _coarse_start("fine_start", "window_minutes", ts_type).alias("window_start"),
-        "kind", "value",
-    ).agg(
-        F.sum("n").alias("n"), F.sum("level_sum").alias("level_sum"), F.sum("level_n").alias("level_n"),
-        F.max("level_max").alias("level_max"), F.sum("sensor_n").alias("sensor_n"),
-        F.sum("inbound_n").alias("inbound_n"), F.sum("outbound_n").alias("outbound_n"),
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-    ).groupBy("agent_name", "window_minutes", "window_start").agg(
-        *_measures_from_values()
-    ).select(*WINDOW_FEATURES)
-
 
-def _coarse_start(fine: str, minutes: str, ts_type: str) -> Column:
-    width = F.col(minutes).cast("long") * 60 * MICROS
-    us = micros(F.col(fine))
-    return F.timestamp_micros(us - F.pmod(us, width)).cast(ts_type)
+    def mask(condition: Column) -> Column:
+        return F.coalesce(F.bit_or(F.when(condition, F.col("bit"))), F.lit(0).cast("long"))
 
+    # an alert's own item stays apart per fine window, as its counts are needed there
+    items = placed.groupBy(
+        "agent_name", "coarse_start", *ITEM_KEYS, F.when(F.col("kind") == ROW, F.col("slot")).alias("own_slot")
+    ).agg(
+        *item_counts(), F.bit_or("bit").alias("seen"),
+        mask(F.col("is_inbound")).alias("seen_inbound"), mask(F.col("is_outbound")).alias("seen_outbound"),
+    )
+    value = F.col("kind") != ROW
 
-def _measures_from_values() -> list[Column]:
-    kind, row = F.col("kind"), F.col("kind") == "row"
+    def part(width: int, at: int, bits: int) -> Column:
+        """The item as it counts in one window; `bits` are that window's slots."""
+        def here(name: str) -> Column:
+            return F.col(name).bitwiseAND(F.lit(bits).cast("long")) != 0
 
-    def of_rows(name: str) -> Column:
-        return F.when(row, F.col(name))
+        return F.struct(
+            F.lit(width).alias("window_minutes"), F.lit(at).alias("slot"), here("seen").alias("present"),
+            F.when(value, here("seen_inbound").cast("long")).otherwise(F.col("inbound_n")).alias("inbound_n"),
+            F.when(value, here("seen_outbound").cast("long")).otherwise(F.col("outbound_n")).alias("outbound_n"),
+        )
 
-    return [
-        F.sum(of_rows("n")).alias("event_count"),
-        count_where(kind == "ip").alias("unique_dest_ips"),
-        count_where(kind == "port").alias("unique_dest_ports"),
-        count_where(kind == "rule").alias("distinct_rule_ids"),
-        F.coalesce(F.try_divide(F.sum(of_rows("level_sum")), F.sum(of_rows("level_n"))), F.lit(0.0))
-        .alias("avg_rule_level"),
-        F.coalesce(F.max(of_rows("level_max")), F.lit(0)).alias("max_rule_level"),
-        (F.sum(of_rows("sensor_n")) / F.sum(of_rows("n"))).alias("suricata_ratio"),
-        ((F.max(of_rows("last_us")) - F.min(of_rows("first_us"))) / F.lit(float(MICROS)))
-        .alias("time_span_seconds"),
-        F.sum(of_rows("inbound_n")).alias("inbound_event_count"),
-        count_where(kind == "src").alias("inbound_unique_src_ips"),
-        count_where((kind == "port") & (F.col("inbound_n") > 0)).alias("inbound_unique_ports"),
-        F.sum(of_rows("outbound_n")).alias("outbound_event_count"),
-        count_where((kind == "port") & (F.col("outbound_n") > 0)).alias("outbound_unique_ports"),
-    ]
+    parts = [part(fine, i, 1 << i) for i in range(slots)] + [part(coarse, 0, (1 << slots) - 1)]
+    counted = items.select(
+        "agent_name", "coarse_start", *ITEM_KEYS, "n", "first_us", "last_us", F.inline(F.array(*parts))
+    ).filter("present")
+    return (
+        counted.groupBy("agent_name", "coarse_start", "window_minutes", "slot").agg(*window_measures())
+        .withColumn("window_start", (
+            F.col("coarse_start").cast("timestamp") + F.make_dt_interval(mins=F.col("slot") * F.lit(fine))
+        ).cast(ts_type))
+        .select(*WINDOW_FEATURES)
+    )
 
 
 def sort_features(features: DataFrame) -> DataFrame:

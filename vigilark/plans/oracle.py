@@ -397,7 +397,7 @@ FROM auth WHERE auth_outcome = 'success' AND failures >= 3 GROUP BY 1, 2"""
     # streams emit what the last watermark has closed
     o["stream_collect"] = n + "SELECT source_type, count(*) AS alerts, count(DISTINCT timestamp) AS instants FROM normalized GROUP BY 1"
     o["stream_features"] = ctes(A, f"w AS ({window_sql(bucket(5), '5')})") + """SELECT * FROM w WHERE window_start + INTERVAL '15 minutes' <=
- (SELECT max(timestamp) FROM alerts WHERE agent_name <> '')"""
+ (SELECT max(timestamp) FROM alerts)"""
     o["live_band_counts"] = ab + "SELECT risk_band, count(*) AS alerts FROM banded GROUP BY 1"
     tries = "tries AS (SELECT * FROM alerts WHERE src_ip <> '')"
     final = ("raised_at, (SELECT date_trunc('second', max(timestamp) - INTERVAL '10 minutes') FROM tries) AS closed")

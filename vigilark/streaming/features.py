@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigilark.functions.columns import MICROS, count_where, level_to_band, micros
-from vigilark.operators.features import flow_direction, valid_events, value_items
+from vigilark.functions.columns import level_to_band
+from vigilark.operators.features import ITEM_KEYS, item_counts, window_items, window_measures
 from vigilark.schema import WINDOW_FEATURES
 
 
@@ -21,50 +21,12 @@ def stream_features(
     row holds a set, so a busy agent's values spread over all state partitions.
     """
     width = f"{window_minutes} minutes"
-    rows = flow_direction(valid_events(alerts), monitored_ip).withWatermark("timestamp", watermark)
-    values = rows.select(
-        "agent_name", "timestamp", "rule_level", "source_type", "is_inbound", "is_outbound",
-        F.explode(value_items()).alias("item"),
-    ).filter(F.col("item.value").isNotNull())
-    us = micros(F.col("timestamp"))
-    per_value = values.groupBy(
-        F.window("timestamp", width).alias("w"), "agent_name",
-        F.col("item.kind").alias("kind"), F.col("item.value").alias("value"),
-    ).agg(
-        F.count("*").alias("n"),
-        F.sum("rule_level").alias("level_sum"), F.count("rule_level").alias("level_n"),
-        F.max("rule_level").alias("level_max"),
-        count_where(F.col("source_type") == "suricata").alias("sensor_n"),
-        count_where(F.col("is_inbound")).alias("inbound_n"),
-        count_where(F.col("is_outbound")).alias("outbound_n"),
-        F.min(us).alias("first_us"), F.max(us).alias("last_us"),
-    )
-    kind, row = F.col("kind"), F.col("kind") == "row"
-    per_window = per_value.groupBy(F.window(F.window_time("w"), width).alias("w"), "agent_name").agg(
-        F.sum(F.when(row, F.col("n"))).alias("event_count"),
-        count_where(kind == "ip").alias("unique_dest_ips"),
-        count_where(kind == "port").alias("unique_dest_ports"),
-        count_where(kind == "rule").alias("distinct_rule_ids"),
-        F.sum(F.when(row, F.col("level_sum"))).alias("level_sum"),
-        F.sum(F.when(row, F.col("level_n"))).alias("level_n"),
-        F.coalesce(F.max(F.when(row, F.col("level_max"))), F.lit(0)).alias("max_rule_level"),
-        F.sum(F.when(row, F.col("sensor_n"))).alias("sensor_n"),
-        F.min(F.when(row, F.col("first_us"))).alias("first_us"),
-        F.max(F.when(row, F.col("last_us"))).alias("last_us"),
-        F.sum(F.when(row, F.col("inbound_n"))).alias("inbound_event_count"),
-        count_where(kind == "src").alias("inbound_unique_src_ips"),
-        count_where((kind == "port") & (F.col("inbound_n") > 0)).alias("inbound_unique_ports"),
-        F.sum(F.when(row, F.col("outbound_n"))).alias("outbound_event_count"),
-        count_where((kind == "port") & (F.col("outbound_n") > 0)).alias("outbound_unique_ports"),
-    )
+    items = window_items(alerts.withWatermark("timestamp", watermark), monitored_ip)
+    per_item = items.groupBy(F.window("timestamp", width).alias("w"), "agent_name", *ITEM_KEYS).agg(*item_counts())
+    per_window = per_item.groupBy(F.window(F.window_time("w"), width).alias("w"), "agent_name").agg(*window_measures())
     return per_window.select(
-        "agent_name", F.col("w.start").alias("window_start"), F.lit(window_minutes).alias("window_minutes"),
-        "*",
-    ).withColumns({
-        "avg_rule_level": F.coalesce(F.try_divide("level_sum", "level_n"), F.lit(0.0)),
-        "suricata_ratio": F.col("sensor_n") / F.col("event_count"),
-        "time_span_seconds": (F.col("last_us") - F.col("first_us")) / F.lit(float(MICROS)),
-    }).select(*WINDOW_FEATURES)
+        "*", F.col("w.start").alias("window_start"), F.lit(window_minutes).alias("window_minutes")
+    ).select(*WINDOW_FEATURES)
 
 
 def start_features(features: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
