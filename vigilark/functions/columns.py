@@ -66,19 +66,25 @@ def outbound(flow_src_ip: Column, monitored_ip: str | None) -> Column:
     return F.coalesce(flow_src_ip == monitored_ip, F.lit(False))
 
 
-def ipv4_number(ip: Column) -> Column:
-    """Dotted quad as a number; null when it is not one."""
-    quad = F.split(F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), ip), r"\.")
-    parts = [quad.getItem(i).cast("long") for i in range(4)]
-    return parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-
-
 def in_cidr(ip: Column, cidr: str) -> Column:
+    """Membership of a dotted address in an IPv4 network.
+
+    Whole octets of the prefix compare as text; only a prefix ending inside an
+    octet looks at that octet's number.
+    """
     import ipaddress
 
-    net = ipaddress.ip_network(cidr)
-    first, last = int(net.network_address), int(net.broadcast_address)
-    return F.coalesce(ipv4_number(ip).between(first, last), F.lit(False))
+    net = ipaddress.IPv4Network(cidr)
+    first, last = str(net.network_address).split("."), str(net.broadcast_address).split(".")
+    whole, rest = divmod(net.prefixlen, 8)
+    if whole == 4:
+        hit = ip == str(net.network_address)
+    else:
+        hit = ip.startswith("".join(f"{o}." for o in first[:whole])) if whole else ip.contains(".")
+    if rest:
+        octet = F.substring_index(F.substring_index(ip, ".", whole + 1), ".", -1).try_cast("int")
+        hit = hit & octet.between(int(first[whole]), int(last[whole]))
+    return F.coalesce(hit, F.lit(False))
 
 
 def percent_text(ratio: Column) -> Column:

@@ -3,8 +3,12 @@
 A source may hold a third of all rows, so no job here gathers a source in one
 task: equal (source, time) rows are combined map-side first, and each source is
 then cut into time buckets. A bucket also receives the rows of the `span` before
-it (each row is copied at most once more, as span <= bucket), which makes every
+it (a row is copied at most once more, as span <= bucket), which makes every
 trailing window complete inside its own bucket.
+
+Trailing counts are running sums: each attempt adds itself at its time and takes
+itself away just after the span. That is linear in the attempts, where a sliding
+frame would add up its whole window again for every row.
 """
 
 from __future__ import annotations
@@ -18,25 +22,36 @@ from vigilark import dims
 from vigilark.dims import RateRule
 from vigilark.functions.columns import MICROS, count_where, from_micros, in_cidr, is_filled, micros, whole_steps
 
-BUCKET_SPANS = 10
-
+def bucket_length(span_seconds: int) -> int:
+    """Ten spans, so few rows are copied, but no more than an hour unless the span is longer."""
+    return max(span_seconds, min(10 * span_seconds, 3600))
 
-def with_leading_context(df: DataFrame, us: str, span_seconds: int, bucket_seconds: int | None = None) -> DataFrame:
-    """Add `bucket` and `is_context`: each row in its own bucket, and again as context
-    of the next bucket when that bucket's trailing windows can still reach it."""
-    bucket_us = (bucket_seconds or BUCKET_SPANS * span_seconds) * MICROS
-    span_us = span_seconds * MICROS
-    if span_us > bucket_us:
-        raise ValueError("a bucket must be at least as long as the trailing span")
-    own = whole_steps(F.col(us), bucket_us)
-    reached = whole_steps(F.col(us) + F.lit(span_us), bucket_us)
-    return df.select("*", own.alias("_own"), F.explode(F.sequence(own, reached)).alias("bucket")).withColumn(
-        "is_context", F.col("bucket") != F.col("_own")
-    ).drop("_own")
 
+def trailing_counts(df: DataFrame, keys: Sequence[str], span: Column, bucket: Column) -> DataFrame:
+    """Add `trailing`: the sum of `n` over the rows of the same keys in [us - span, us].
 
-def _trailing(seconds: int, keys: Sequence[str], us: str) -> Window:
-    return Window.partitionBy(*keys, "bucket").orderBy(us).rangeBetween(-seconds * MICROS, 0)
+    `df` holds the keys, `us` (unique per key) and `n`; span and bucket are
+    microseconds, constant per key, span <= bucket.
+    """
+    us = F.col("us")
+    copies = df.select(
+        "*", whole_steps(us, bucket).alias("_own"),
+        F.explode(F.sequence(whole_steps(us, bucket), whole_steps(us + span, bucket))).alias("_bucket"),
+    )
+    steps = copies.select(
+        "*", F.inline(F.array(
+            F.struct(us.alias("_at"), F.col("n").alias("_step"), F.lit(True).alias("_arrives")),
+            F.struct((us + span + 1).alias("_at"), (-F.col("n")).alias("_step"), F.lit(False).alias("_arrives")),
+        ))
+    ).filter(F.col("_arrives") | (whole_steps(F.col("_at"), bucket) == F.col("_bucket")))
+    so_far = Window.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    return (
+        steps.withColumn("trailing", F.sum("_step").over(so_far))
+        .filter(F.col("_arrives") & (F.col("_own") == F.col("_bucket")))
+        .select(*df.columns, "trailing")
+    )
 
 
 def rate_threshold(
@@ -55,6 +70,8 @@ def rate_threshold(
     """
     ts_type = events.schema["timestamp"].dataType.simpleString()
     attempts = events.filter(F.col("timestamp").isNotNull() & is_filled(F.col(src)))
+    if bucket_seconds and any(r.seconds > bucket_seconds for r in rules):
+        raise ValueError("a bucket must be at least as long as every rule's span")
     if home_network:
         attempts = attempts.filter(in_cidr(F.col("dest_ip"), home_network))
 
@@ -64,24 +81,20 @@ def rate_threshold(
     counted = attempts.groupBy(F.col(src).alias("source"), micros(F.col("timestamp")).alias("us")).agg(
         *[count_where(applies(r)).alias(f"n_{r.sid}") for r in rules]
     )
-    span = max(r.seconds for r in rules)
-    placed = with_leading_context(counted, "us", span, bucket_seconds)
-    trailing = placed.select(
-        "source", "us", "is_context", *[f"n_{r.sid}" for r in rules],
-        *[F.sum(f"n_{r.sid}").over(_trailing(r.seconds, ["source"], "us")).alias(f"t_{r.sid}") for r in rules],
-    ).filter(~F.col("is_context"))
-    reached = trailing.select("source", "us", F.inline(F.array(*[
+    tried = counted.select("source", "us", F.inline(F.array(*[
         F.struct(
-            F.lit(r.sid).cast("long").alias("sid"),
-            F.lit(r.seconds).cast("long").alias("seconds"),
-            F.col(f"t_{r.sid}").alias("hits"),
-            ((F.col(f"n_{r.sid}") > 0) & (F.col(f"t_{r.sid}") >= r.count)).alias("raised"),
+            F.lit(r.sid).cast("long").alias("sid"), F.lit(r.count).alias("wanted"),
+            F.lit(r.seconds * MICROS).alias("span"),
+            F.lit((bucket_seconds or bucket_length(r.seconds)) * MICROS).alias("bucket"),
+            F.col(f"n_{r.sid}").alias("n"),
         ) for r in rules
-    ]))).filter("raised")
-    period = whole_steps(F.col("us"), F.col("seconds") * MICROS)
+    ]))).filter("n > 0")
+    reached = trailing_counts(tried, ["sid", "source"], F.col("span"), F.col("bucket")).filter(
+        F.col("trailing") >= F.col("wanted"))
+    period = whole_steps(F.col("us"), F.col("span"))
     return (
         reached.groupBy("sid", "source", period.alias("period"))
-        .agg(F.min("us").alias("first_us"), F.max("hits").alias("peak_count"))
+        .agg(F.min("us").alias("first_us"), F.max("trailing").alias("peak_count"))
         .select(
             "sid", "source", "period", from_micros(F.col("first_us"), ts_type).alias("raised_at"), "peak_count",
             _rule_text(rules, "classtype").alias("classtype"), _rule_text(rules, "message").alias("message"),
@@ -116,12 +129,13 @@ def success_after_failures(
             count_where(F.col("auth_outcome") == "success").alias("succeeded"),
         )
     )
-    placed = with_leading_context(counted, "us", seconds, bucket_seconds)
+    span, bucket = F.lit(seconds * MICROS), F.lit((bucket_seconds or bucket_length(seconds)) * MICROS)
     return (
-        placed.withColumn("failures_before", F.sum("failed").over(_trailing(seconds, ["source"], "us")))
-        .filter(~F.col("is_context") & (F.col("succeeded") > 0) & (F.col("failures_before") >= failures))
+        trailing_counts(counted.withColumnRenamed("failed", "n"), ["source"], span, bucket)
+        .filter((F.col("succeeded") > 0) & (F.col("trailing") >= failures))
         .select(
-            "source", from_micros(F.col("us"), ts_type).alias("succeeded_at"), "succeeded", "failures_before",
+            "source", from_micros(F.col("us"), ts_type).alias("succeeded_at"), "succeeded",
+            F.col("trailing").alias("failures_before"),
             F.lit(dims.SUCCESS_AFTER_FAILURES_RULE).alias("rule_id"),
             F.lit(dims.LEVEL_OVERRIDES[str(dims.SUCCESS_AFTER_FAILURES_RULE)]).alias("rule_level"),
         )

@@ -29,9 +29,9 @@ QUERIES: dict[str, Query] = {}
 # sized for the density of the driver's events (a few hundred a day)
 FAST, SLOW, FLOOD = RateRule(9000001, 6, 3600, None, "attempted-recon", "fast scan"), \
     RateRule(9000002, 8, 7200, None, "attempted-recon", "slow scan"), \
-    RateRule(9000003, 2, 86400, dims.SSH_PORT, "attempted-dos", "flood")
+    RateRule(9000003, 2, 21600, dims.SSH_PORT, "attempted-dos", "flood")
 TRIAL_RULES = (FAST, SLOW, FLOOD)
-TRIAL_BRUTE_FORCE = RateRule(100010, 3, 86400, None, "brute-force", "failed logins")
+TRIAL_BRUTE_FORCE = RateRule(100010, 3, 14400, None, "brute-force", "failed logins")
 PAGE_CURSOR = alert_source.Cursor("2024-01-15 00:00:00", "")
 SEARCH_TEXT = "Port SCAN"
 SHIFT, STRETCH = 0.05, 1.2  # moves some scores below 0 and above 1.01
@@ -616,7 +616,7 @@ def _(spark, d):
 
 @query("success_after_failures")
 def _(spark, d):
-    return detect.success_after_failures(tables.alerts(spark, d), failures=3, seconds=86400)
+    return detect.success_after_failures(tables.alerts(spark, d), failures=3, seconds=14400)
 
 
 # ----------------------------------------------------------------- streams
@@ -664,7 +664,7 @@ def _(spark, d):
 
 @query("stream_success_after_failures")
 def _(spark, d):
-    raised = stream_success_after_failures(tables.alert_stream(spark, d), failures=3, seconds=86400)
+    raised = stream_success_after_failures(tables.alert_stream(spark, d), failures=3, seconds=14400)
     return naive(_run_stream(spark, raised, "stream-logins"), "succeeded_at")
 
 

@@ -389,7 +389,7 @@ LEFT JOIN shown s ON date_trunc('minute', s.timestamp) = g.minute GROUP BY 1"""
     failed = "failed AS (SELECT * FROM alerts WHERE src_ip <> '' AND auth_outcome = 'failure')"
     o["bruteforce"] = ctes(A, failed, f"raised AS ({rate_rows(catalog.TRIAL_BRUTE_FORCE, 'failed')})") + RATE_OUT
     o["success_after_failures"] = a + """, auth AS (SELECT src_ip, timestamp, auth_outcome, count(*) FILTER (auth_outcome = 'failure') OVER
- (PARTITION BY src_ip ORDER BY timestamp RANGE BETWEEN INTERVAL '86400 seconds' PRECEDING AND CURRENT ROW) AS failures
+ (PARTITION BY src_ip ORDER BY timestamp RANGE BETWEEN INTERVAL '14400 seconds' PRECEDING AND CURRENT ROW) AS failures
  FROM alerts WHERE src_ip <> '' AND auth_outcome IS NOT NULL)
 SELECT src_ip AS source, timestamp AS succeeded_at, count(*) AS succeeded, max(failures) AS failures_before, 100011 AS rule_id, 14 AS rule_level
 FROM auth WHERE auth_outcome = 'success' AND failures >= 3 GROUP BY 1, 2"""
@@ -404,7 +404,7 @@ FROM auth WHERE auth_outcome = 'success' AND failures >= 3 GROUP BY 1, 2"""
     o["stream_rate_threshold"] = ctes(A, tries, f"raised AS ({rate_rows(catalog.FAST, 'tries')})") + f"""SELECT source, period, raised_at FROM (
  SELECT source, period, min(timestamp) AS {final} FROM raised GROUP BY 1, 2) x WHERE raised_at < closed"""
     o["stream_success_after_failures"] = a + f""", {tries}, auth AS (SELECT src_ip, timestamp, auth_outcome, count(*) FILTER (auth_outcome = 'failure') OVER
- (PARTITION BY src_ip ORDER BY timestamp RANGE BETWEEN INTERVAL '86400 seconds' PRECEDING AND CURRENT ROW) AS failures FROM tries WHERE auth_outcome IS NOT NULL)
+ (PARTITION BY src_ip ORDER BY timestamp RANGE BETWEEN INTERVAL '14400 seconds' PRECEDING AND CURRENT ROW) AS failures FROM tries WHERE auth_outcome IS NOT NULL)
 SELECT DISTINCT src_ip AS source, timestamp AS succeeded_at FROM auth WHERE auth_outcome = 'success' AND failures >= 3
  AND timestamp < (SELECT date_trunc('second', max(timestamp) - INTERVAL '10 minutes') FROM tries)"""
 
