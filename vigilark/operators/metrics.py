@@ -206,7 +206,7 @@ def fn_by_label(df: DataFrame, label: str = "label", y: str = "y", predicted: st
     )
 
 
-def _by_label(df: DataFrame, threshold: float, label: str) -> DataFrame:
+def by_label(df: DataFrame, threshold: float, label: str) -> DataFrame:
     """Per label: rows, rows each detector flags, rows only the anomaly detector flags."""
     by_score, by_anomaly = F.col("score") >= threshold, F.col("iso_flag") == 1
     return df.groupBy(label).agg(
@@ -222,7 +222,7 @@ def novel_recall(
     test: DataFrame, train: DataFrame, threshold: float = dims.OPERATIONAL_THRESHOLD, label: str = "label"
 ) -> DataFrame:
     """Recall of each detector on attack labels that train never shows."""
-    per_label = _by_label(test.filter(is_attack_label(F.col(label))), threshold, label)
+    per_label = by_label(test.filter(is_attack_label(F.col(label))), threshold, label)
     novel = per_label.join(train.select(label).distinct(), label, "left_anti")
     return novel.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("novel_rows"),
@@ -236,7 +236,7 @@ def recovered_by_anomaly(
     df: DataFrame, threshold: float = dims.OPERATIONAL_THRESHOLD, label: str = "label"
 ) -> DataFrame:
     """Attacks the score misses, and those of them the anomaly detector catches, per label and in all."""
-    per_label = _by_label(df.filter(is_attack_label(F.col(label))), threshold, label).select(
+    per_label = by_label(df.filter(is_attack_label(F.col(label))), threshold, label).select(
         label, (F.col("n") - F.col("score_hits")).alias("missed"), "recovered"
     )
     total = per_label.agg(F.sum("missed").alias("missed"), F.sum("recovered").alias("recovered")).select(
@@ -340,4 +340,5 @@ def round_display(assessment: DataFrame) -> DataFrame:
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = dims.SEED) -> DataFrame:
     """n rows in the order of a seeded hash of the key: the same rows on any cluster."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return df.orderBy(drawn, key).limit(n)

@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilark.session import stored
+
 DEFAULT_RANGES = 256
 
 
@@ -31,8 +33,10 @@ def running_totals(
 ) -> DataFrame:
     """Add `<count>_before` (total over smaller values) for each count column.
 
-    `values` holds one row per distinct finite value of `column`.
+    `values` holds one row per distinct finite value of `column`. It is stored
+    first: the cut points, the range totals and the totals inside ranges all read it.
     """
+    values = stored(values, "distinct-values")
     splits = _range_bounds(values, column, ranges)
     cut = Bucketizer(splits=splits, inputCol="_value", outputCol="_range")
     placed = cut.transform(values.withColumn("_value", F.col(column).cast("double"))).drop("_value")

@@ -16,7 +16,7 @@ from vigilark.plans import analysis, evaluation, tables
 from vigilark.schema import (
     CATEGORICAL_FEATURES, SESSION_FEATURES, WINDOW_FEATURES, require_session_features, schema_drift,
 )
-from vigilark.session import shared_dir
+from vigilark.session import shared_dir, stored
 from vigilark.sources import alerts as alert_source
 from vigilark.sources import reports, sessions as session_source, sinks
 from vigilark.streaming.collect import start_collection
@@ -699,9 +699,7 @@ def _(spark, d):
 
 def _fit_part(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(train, test) with encoded features, stored once for the fits that read them repeatedly."""
-    path = shared_dir(spark, "encoded")
-    encoded(spark, d).drop("score", "iso_flag", "difficulty_level").write.parquet(path)
-    train, test = parts(spark.read.parquet(path))
+    train, test = parts(stored(encoded(spark, d).drop("score", "iso_flag", "difficulty_level"), "encoded"))
     return train.drop("is_test"), test.drop("is_test")
 
 

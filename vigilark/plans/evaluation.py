@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
+from vigilark.functions.columns import count_where, ratio
 from vigilark.operators import metrics
-from vigilark.operators.joins import novel_attack_types
 from vigilark.operators.triage import band_counts
 from vigilark.sources.reports import validation_row
 
@@ -40,29 +40,27 @@ def hypothesis_report(
 ) -> DataFrame:
     """Does the anomaly detector catch what the score misses? One row of figures.
 
-    Both detectors are judged alone; `test` carries label, y, score and iso_flag.
+    Both detectors are judged alone; `test` carries label, score and iso_flag. The
+    rows are counted per label in one pass and everything follows from those counts.
     """
-    novel = novel_attack_types(test, train).agg(F.count("*")).scalar()
-    recall = metrics.novel_recall(test, train, threshold).select(F.struct("*")).scalar()
-    recovered = (
-        metrics.recovered_by_anomaly(test, threshold).filter(F.col("label") == "(all)").select(F.struct("*")).scalar()
-    )
-    fp = metrics.fp_comparison(test, threshold).groupBy().pivot("detector", ["score", "anomaly", "either"]).agg(
-        F.first("false_positives")
-    )
-    return (
-        fp.withColumns({"_novel": novel, "_recall": recall, "_recovered": recovered})
-        .select(
-            F.col("_novel").alias("novel_types"),
-            F.col("_recall.novel_rows").alias("novel_rows"),
-            F.col("_recall.score_recall").alias("score_recall"),
-            F.col("_recall.anomaly_recall").alias("anomaly_recall"),
-            F.col("_recovered.missed").alias("missed_by_score"),
-            F.col("_recovered.recovered").alias("recovered_by_anomaly"),
-            F.col("score").alias("score_false_positives"),
-            F.col("anomaly").alias("anomaly_false_positives"),
-            F.col("either").alias("either_false_positives"),
-        )
+    known = train.select("label").distinct().withColumn("known", F.lit(True))
+    labels = metrics.by_label(test, threshold, "label").join(known, "label", "left")
+    normal = F.col("label") == dims.NORMAL_LABEL
+    attack, novel = ~normal, ~normal & F.col("known").isNull()
+
+    def total(where: Column, value: str | Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(value) if isinstance(value, str) else value)), F.lit(0))
+
+    return labels.agg(
+        count_where(novel).alias("novel_types"),
+        total(novel, "n").alias("novel_rows"),
+        ratio(total(novel, "score_hits"), total(novel, "n")).alias("score_recall"),
+        ratio(total(novel, "anomaly_hits"), total(novel, "n")).alias("anomaly_recall"),
+        total(attack, F.col("n") - F.col("score_hits")).alias("missed_by_score"),
+        total(attack, "recovered").alias("recovered_by_anomaly"),
+        total(normal, "score_hits").alias("score_false_positives"),
+        total(normal, "anomaly_hits").alias("anomaly_false_positives"),
+        total(normal, "either_hits").alias("either_false_positives"),
     )
 
 

@@ -371,6 +371,7 @@ WHERE event_count > 3 * b"""
  CASE WHEN count(DISTINCT dest_port) >= 4 THEN 'scan' WHEN count(DISTINCT dest_port) = 1 THEN 'flood' ELSE 'mixed' END AS kind
 FROM alerts WHERE src_ip <> '' GROUP BY 1, 2 HAVING count(*) >= 3"""
     o["sort_features"] = ctes(A, f"w AS ({window_sql(bucket(15), '15')})") + "SELECT window_start, agent_name, event_count FROM w ORDER BY 1, 2"
+    o["seeded_sample"] = d + "SELECT session_id, true_label, risk_band FROM decided ORDER BY md5('42:' || session_id), session_id LIMIT 50"
     o["latest_alerts"] = ab + """SELECT timestamp, risk_band, agent_name, source_type, rule_description, rule_level, src_ip, dest_ip, dest_port, alert_id
 FROM banded ORDER BY timestamp DESC, alert_id"""
 
@@ -418,4 +419,20 @@ SELECT DISTINCT src_ip AS source, timestamp AS succeeded_at FROM auth WHERE auth
  count(*) FILTER (y = 1 AND score < 0.3) AS missed_by_score, count(*) FILTER (y = 1 AND score < 0.3 AND iso_flag = 1) AS recovered_by_anomaly,
  count(*) FILTER (y = 0 AND score >= 0.3) AS score_false_positives, count(*) FILTER (y = 0 AND iso_flag = 1) AS anomaly_false_positives,
  count(*) FILTER (y = 0 AND (score >= 0.3 OR iso_flag = 1)) AS either_false_positives FROM sessions WHERE is_test"""
+
+    # fitted models differ between engines; what must hold for every row does not
+    test = s + "SELECT y, count(*) AS n, count(*) AS {} FROM sessions WHERE is_test GROUP BY y"
+    o["fit_risk"] = test.format("scores_in_range")
+    o["anomaly_flag"] = test.format("decided")
+    o["fit_tactic"] = test.format("sums_to_one")
+    o["assess"] = s + "SELECT y, count(*) AS n, count(*) AS banded, count(*) AS decided FROM sessions WHERE is_test GROUP BY y"
+    o["risk_score"] = s + """SELECT count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives, TRUE AS ranks_attacks_higher
+FROM sessions WHERE is_test"""
+    o["predict_tactic"] = st + """SELECT tactic, count(*) AS n, count(*) AS named, TRUE AS confidence_is_max FROM named
+WHERE is_test AND tactic <> 'Unknown' GROUP BY tactic"""
+    o["model_store"] = s + "SELECT count(*) AS n, CAST(0 AS BIGINT) AS flags_without_forest, count(*) AS same_after_reload FROM sessions WHERE is_test"
+    o["analyze"] = s + """SELECT count(*) AS n, count(*) AS advised, count(*) AS labelled, CAST(0 AS BIGINT) AS quiet_with_tactic,
+ CAST(0 AS BIGINT) AS attack_without_tactic FROM sessions WHERE is_test"""
+    o["evaluate_pipeline"] = s + """SELECT 'banded' AS part, count(*) AS n FROM sessions WHERE is_test
+UNION ALL SELECT 'reported', count(*) FROM sessions WHERE is_test"""
     return o
