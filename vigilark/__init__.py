@@ -1 +1,9 @@
 """Security-alert and session analytics expressed as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# the few functions that run in Python workers travel with the job, so executors
+# need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

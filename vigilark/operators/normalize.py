@@ -26,22 +26,28 @@ def _kind(path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get("doc", path, "variant"))
 
 
-def _is_object(path: str) -> Column:
-    return F.coalesce(_kind(path).startswith("OBJECT"), F.lit(False))
+def _object(path: str, usual_keys: tuple[str, ...]) -> Column:
+    """True for an object, false for anything else, null when the key is absent.
 
-
-def _object_or_absent(path: str) -> Column:
-    return F.coalesce(_kind(path).startswith("OBJECT"), F.lit(True))
+    A value under one of its usual keys proves an object; only documents without
+    any of them have their kind worked out, which is far dearer.
+    """
+    proof = F.coalesce(*[_text(f"{path}.{key}") for key in usual_keys]).isNotNull()
+    return F.when(proof, True).otherwise(_kind(path).startswith("OBJECT"))
 
 
 def _has_key(path: str) -> Column:
     return F.try_variant_get("doc", path, "variant").isNotNull()
 
 
+def _groups() -> Column:
+    return F.try_variant_get("doc", "$._source.rule.groups", "array<string>")
+
+
 def _member(value: str) -> Column:
     """Membership in rule.groups: array element, substring of a text, or object key."""
     groups = "$._source.rule.groups"
-    as_array = F.array_contains(F.try_variant_get("doc", groups, "array<string>"), value)
+    as_array = F.array_contains(_groups(), value)
     as_text = F.when(_kind(groups) == "STRING", _text(groups).contains(value))
     return F.coalesce(as_array, as_text, _has_key(f"{groups}.{value}"))
 
@@ -69,16 +75,24 @@ def _bad_port(name: str) -> Column:
 def failure_reason() -> Column:
     """Why a document cannot be normalised; null when it can."""
     groups = _kind("$._source.rule.groups")
-    groups_ok = groups.startswith("ARRAY") | groups.startswith("OBJECT") | (groups == "STRING")
+    groups_fit = F.when(_groups().isNotNull(), True).otherwise(
+        groups.startswith("ARRAY") | groups.startswith("OBJECT") | (groups == "STRING")
+    )
+    parts = {
+        "rule": ("id", "level", "description"), "data": ("event_type", "src_ip", "srcip", "proto"),
+        "agent": ("name", "id"), "decoder": ("name",),
+    }
+    objects = {name: F.coalesce(_object(f"$._source.{name}", keys), F.lit(True)) for name, keys in parts.items()}
+    source = F.coalesce(_object("$._source", ("id", "timestamp", "agent.name", "rule.id")), F.lit(False))
     return (
         F.when(F.col("doc").isNull(), "invalid_json")
         .when(~_has_key("$._source"), "no_source")
-        .when(~_is_object("$._source"), "source_not_object")
-        .when(~_object_or_absent("$._source.rule"), "rule_not_object")
-        .when(~_object_or_absent("$._source.data"), "data_not_object")
-        .when(~_object_or_absent("$._source.agent"), "agent_not_object")
-        .when(~_object_or_absent("$._source.decoder"), "decoder_not_object")
-        .when(~F.coalesce(groups_ok, F.lit(True)), "groups_not_list")
+        .when(~source, "source_not_object")
+        .when(~objects["rule"], "rule_not_object")
+        .when(~objects["data"], "data_not_object")
+        .when(~objects["agent"], "agent_not_object")
+        .when(~objects["decoder"], "decoder_not_object")
+        .when(~F.coalesce(groups_fit, F.lit(True)), "groups_not_list")
         .when(_bad_port("src_port") | _bad_port("dest_port"), "bad_port")
     )
 
