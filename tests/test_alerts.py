@@ -176,4 +176,9 @@ def test_triage_log_last_write_wins(spark, tmp_path):
 def test_alert_table_by_day(spark, tmp_path):
     good, _ = normalize.normalize_batch(lines(spark, {"_source": {"@timestamp": "2024-03-01T10:00:00Z", "id": "1"}}))
     source.write_alert_table(good, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).first()["day"].isoformat() == "2024-03-01"
+    table = spark.read.parquet(str(tmp_path / "t")).withColumn("alert_id", normalize.alert_id())
+    assert table.first()["day"].isoformat() == "2024-03-01"
+    for start, rows in (("2024-03-01 09:00:00", 1), ("2024-03-01 10:00:00", 1), ("2024-03-02 00:00:00", 0)):
+        page = source.incremental_page(table, source.Cursor(start, ""))
+        assert page.count() == rows
+        assert "PartitionFilters: [isnotnull(day" in page._jdf.queryExecution().toString()

@@ -826,9 +826,9 @@ def _(spark, d):
         F.count(F.when((F.col("is_attack") == 1) & F.col("predicted_tactic").isNull(), 1)).alias("attack_without_tactic"))
 
 
-@query("evaluate_pipeline")
+@query("evaluate_analysis")
 def _(spark, d):
-    found = evaluation.evaluate_pipeline(analysed(spark, d))
+    found = evaluation.evaluate_analysis(analysed(spark, d))
     bands = found["bands"].agg(F.sum("alerts").alias("n"))
     support = found["detection"].filter("class = 'accuracy'").select(F.col("support").alias("n"))
     return bands.select(F.lit("banded").alias("part"), "n").unionByName(support.select(F.lit("reported").alias("part"), "n"))

@@ -17,7 +17,7 @@ def with_target(analysis: DataFrame) -> DataFrame:
     return analysis.withColumn("y", (F.col("true_label") != dims.NORMAL_LABEL).cast("int"))
 
 
-def evaluate_pipeline(analysis: DataFrame) -> dict[str, DataFrame]:
+def evaluate_analysis(analysis: DataFrame) -> dict[str, DataFrame]:
     """Detection report, band counts, tactic report on true positives, misses per label.
 
     The four frames read `analysis` separately, so pass a stored table.

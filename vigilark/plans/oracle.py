@@ -433,6 +433,6 @@ WHERE is_test AND tactic <> 'Unknown' GROUP BY tactic"""
     o["model_store"] = s + "SELECT count(*) AS n, CAST(0 AS BIGINT) AS flags_without_forest, count(*) AS same_after_reload FROM sessions WHERE is_test"
     o["analyze"] = s + """SELECT count(*) AS n, count(*) AS advised, count(*) AS labelled, CAST(0 AS BIGINT) AS quiet_with_tactic,
  CAST(0 AS BIGINT) AS attack_without_tactic FROM sessions WHERE is_test"""
-    o["evaluate_pipeline"] = s + """SELECT 'banded' AS part, count(*) AS n FROM sessions WHERE is_test
+    o["evaluate_analysis"] = s + """SELECT 'banded' AS part, count(*) AS n FROM sessions WHERE is_test
 UNION ALL SELECT 'reported', count(*) FROM sessions WHERE is_test"""
     return o

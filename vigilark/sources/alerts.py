@@ -67,6 +67,8 @@ def incremental_page(alerts: DataFrame, cursor: Cursor | None = None, size: int
     if cursor is not None:
         # the plain range test reaches the scan; the exact one settles equal instants
         page = page.filter(F.col("timestamp") >= F.lit(cursor.timestamp)).filter(_after(cursor))
+        if "day" in alerts.columns:  # tables of write_alert_table: skip the folders of earlier days
+            page = page.filter(F.col("day") >= F.to_date(F.lit(cursor.timestamp)))
     return page.orderBy("timestamp", "alert_id").limit(size)
 
 
