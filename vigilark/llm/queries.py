@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import chat, decontaminate, mixing, shard
+from vigilark.llm import chat, decontaminate, language, lattice, mixing, shard
 from vigilark.llm.common import table, text_of
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.balanced_shards(table(spark, sf_dir, "documents")).drop("key")
 
@@ -48,11 +52,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LANGUAGE_FOLDS = 5  # documents of fold 0 are held out
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language.LanguageModel:
+    return language.fit_languages(table(spark, sf_dir, "documents").filter(language.in_fold(LANGUAGE_FOLDS) != 0))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (language.in_fold(LANGUAGE_FOLDS) == 0).alias("held_out"), "text")
+    return language.identify(docs, language_model(spark, sf_dir)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_near_vectors": op2_near_vectors,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
     "op9_chat_format": op9_chat_format,
+    "op10_language": op10_language,
 }
 
 _CLEAN = r"trim(lower(coalesce(text, '')), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
