@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import chat, decontaminate, language, lattice, mixing, shard
+from vigilark.llm import chat, decontaminate, jaccard, language, lattice, mixing, shard
 from vigilark.llm.common import table, text_of
 
 
@@ -28,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "source", "n_copies")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 PROBE = (-7, r"\### Assistant: </turn> ok")  # a conversation whose texts look like a template's marks
 
 
@@ -55,14 +59,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANGUAGE_FOLDS = 5  # documents of fold 0 are held out
 
 
-def language_model(spark: SparkSession, sf_dir: str) -> language.LanguageModel:
-    return language.fit_languages(table(spark, sf_dir, "documents").filter(language.in_fold(LANGUAGE_FOLDS) != 0))
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    return language.fit_languages(docs.filter(language.in_fold(LANGUAGE_FOLDS) != 0))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (language.in_fold(LANGUAGE_FOLDS) == 0).alias("held_out"), "text")
-    return language.identify(docs, language_model(spark, sf_dir)).drop("text")
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", (language.in_fold(LANGUAGE_FOLDS) == 0).alias("held_out"), "text")
+    return language.identify(rows, language_model(docs)).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_vectors": op2_near_vectors,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op6_jaccard": op6_jaccard,
     "op9_chat_format": op9_chat_format,
     "op10_language": op10_language,
 }
