@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import chat, decontaminate, jaccard, language, lattice, mixing, shard
+from vigilark.llm import chat, decontaminate, jaccard, language, lattice, mixing, shard, suffix
 from vigilark.llm.common import table, text_of
 
 
@@ -32,6 +32,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 PROBE = (-7, r"\### Assistant: </turn> ok")  # a conversation whose texts look like a template's marks
 
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
     "op6_jaccard": op6_jaccard,
+    "op8_suffix": op8_suffix,
     "op9_chat_format": op9_chat_format,
     "op10_language": op10_language,
 }
