@@ -207,13 +207,16 @@ def near_documents(docs: DataFrame) -> DataFrame:
     best = stored(best, "jaccard-best")
     reps = stored(best.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "jaccard-reps")
 
+    # rows on the move are as narrow as can be: keys alone are counted, holders follow for those that occur twice
     held = whole.select(F.explode("keys").alias("key"), "f1")
+    twice = stored(held.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "jaccard-twice")
+    shared = stored(held.join(twice, "key").groupBy("key", "f1").agg(F.count("*").alias("c")), "jaccard-shared")
     keys = (
-        held.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("f1")).alias("x"),
-                                F.sum(F.shiftright(F.xxhash64("f1"), 24)).alias("s"))
-        .filter("lo <> hi").groupBy("lo", "hi", "c", "x", "s").agg(F.min("key").alias("key")).select("key")
+        shared.groupBy("key").agg(
+            F.count("*").alias("c"), F.min("f1").alias("lo"), F.bit_xor(F.xxhash64("f1")).alias("x"), F.sum(F.shiftright(F.xxhash64("f1"), 24)).alias("s"))
+        .filter("c > 1").groupBy("lo", "c", "x", "s").agg(F.min("key").alias("key")).select("key")
     )
-    holders = stored(held.join(keys, "key").distinct().join(reps, "f1").select("key", "rep", "n", "bits"), "jaccard-holders")
+    holders = stored(shared.join(keys, "key").join(reps, "f1").select("key", "rep", "n", "bits"), "jaccard-holders")
 
     # star: each holder against the least holder of its key
     centre = holders.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
