@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import chat, decontaminate, jaccard, language, lattice, mixing, shard, suffix
+from vigilark.llm import attention, chat, decontaminate, jaccard, language, lattice, mixing, shard, suffix
 from vigilark.llm.common import table, text_of
 
 
@@ -23,6 +23,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.balanced_shards(table(spark, sf_dir, "documents")).drop("key")
 
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+SCORING_FOLDS, HELD_OUT_FOLD = 7, 2
+
+
+def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.in_fold(SCORING_FOLDS) == HELD_OUT_FOLD)
+    return attention.score_documents(docs.select("doc_id", "held_out", "text"), docs.filter("not held_out"), TOKENIZER)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "source", "n_copies")
@@ -77,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_vectors": op2_near_vectors,
     "op3_sharding": op3_sharding,
+    "op4_scoring": op4_scoring,
     "op5_mixing": op5_mixing,
     "op6_jaccard": op6_jaccard,
     "op8_suffix": op8_suffix,
