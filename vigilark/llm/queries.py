@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import attention, chat, decontaminate, jaccard, language, lattice, mixing, shard, suffix
+from vigilark.llm import attention, chat, decontaminate, jaccard, language, lattice, mixing, pseudonyms, shard, suffix
 from vigilark.llm.common import table, text_of
 
 
@@ -41,6 +41,13 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+PSEUDONYM_KEY = "corpus"  # a real run passes a secret of its own
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_scoring": op4_scoring,
     "op5_mixing": op5_mixing,
     "op6_jaccard": op6_jaccard,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_suffix": op8_suffix,
     "op9_chat_format": op9_chat_format,
     "op10_language": op10_language,
