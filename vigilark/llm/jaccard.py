@@ -43,7 +43,8 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     step = np.uint64(0x9E3779B97F4A7C15)
     code = hashed.copy()
     for k in range(1, WIDTH):
-        code[: len(code) - k] = code[: len(code) - k] * step + hashed[k:]
+        whole = max(0, len(code) - k)
+        code[:whole] = code[:whole] * step + hashed[k:]
     code = mixed(code)
     for start, stop in zip(offsets[:-1], offsets[1:]):
         n = stop - start
