@@ -9,8 +9,8 @@ over the node table, whose size is bounded by trees × (2 × sample - 1).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from vigilark.schema import SESSION_FEATURES
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, path double"
 META_SCHEMA = "cutoff double, sample int, features array<string>"
-MAX_NODES = 2_000_000
+TREES_AT_ONCE = 1_000  # of a larger forest, scored group by group; bounds the node table that a task holds
 
 
 def mean_path(n: int) -> float:
@@ -63,22 +63,20 @@ def grow_tree(x: np.ndarray, depth_limit: int, rng: np.random.Generator) -> list
 def _tree_samples(df: DataFrame, key: str, trees: int, sample: int, seed: int) -> DataFrame:
     """(tree, key, vector): up to `sample` distinct rows for every tree.
 
-    On large tables a hash keeps about twice the rows needed and gives each to
-    one tree; on small ones a row serves several trees. Either way about
-    2 × trees × sample rows are shuffled, whatever the table holds.
+    On average a row is used `wanted / total` times: the whole part of that for every row, once more for rows
+    whose hash lies below the fraction. About 2 × trees × sample rows are shuffled, whatever the table holds.
     """
     total = df.count()
     if not total:
         raise ValueError("the forest needs training rows")
-    wanted = 2 * trees * sample
-    uses = min(trees, max(1, math.ceil(wanted / total)))
-    keep = min(1.0, wanted / (total * uses))
+    uses = min(float(trees), 2 * trees * sample / total)
+    stride = max(1, int(trees // max(1.0, math.ceil(uses))))
     spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     start = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(trees))
-    stride = max(1, trees // uses)
-    placed = df.filter(spread < keep).select(
+    times = F.lit(int(uses)) + (spread < uses - int(uses)).cast("int")
+    placed = df.select(key, "vector", times.alias("_times")).filter("_times > 0").select(
         key, "vector", F.explode(F.transform(
-            F.sequence(F.lit(0), F.lit(uses - 1)), lambda j: F.pmod(start + j * stride, F.lit(trees)).cast("int")
+            F.sequence(F.lit(0), F.col("_times") - 1), lambda j: F.pmod(start + j * stride, F.lit(trees)).cast("int")
         )).alias("tree"),
     )
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "tree", key), key)
@@ -97,10 +95,15 @@ class Forest:
     cutoff: float | None
     sample: int
     features: list[str]
+    _scorers: list | None = field(default=None, repr=False)
 
     def scores(self, vector: Column) -> Column:
         """Anomaly score 2^(-mean path / expected path) of a vector column, in (0, 1)."""
-        return _scorer(self.nodes, self.sample)(vector)
+        if self._scorers is None:  # fetched once, however often the forest scores
+            self._scorers = _scorers(self.nodes, self.sample)
+        groups = [run(vector) for _, run in self._scorers]
+        trees = sum(n for n, _ in self._scorers)
+        return F.pow(F.lit(2.0), -sum(groups[1:], groups[0]) / F.lit(float(trees)) / F.lit(mean_path(self.sample) or 1.0))
 
     def flags(self, vector: Column) -> Column:
         return (self.scores(vector) > F.lit(self.cutoff)).cast("int")
@@ -124,37 +127,48 @@ def load_forest(path: str) -> Forest | None:
     return Forest(nodes, meta["cutoff"], meta["sample"], list(meta["features"]))
 
 
-def _scorer(nodes: DataFrame, sample: int):
-    """Pandas function scoring vectors against the node table."""
-    if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
-        raise ValueError(f"the forest has more than {MAX_NODES} nodes; use fewer trees or smaller samples")
-    table = nodes.orderBy("tree", "node").toPandas()
+def _scorers(nodes: DataFrame, sample: int) -> list[tuple[int, Callable[[Column], Column]]]:
+    """(trees, function giving the sum of path lengths) for groups of at most TREES_AT_ONCE trees."""
+    last = nodes.agg(F.max("tree")).first()[0]
+    made = []
+    for first in range(0, last + 1, TREES_AT_ONCE):
+        table = nodes.filter(F.col("tree").between(first, first + TREES_AT_ONCE - 1)).orderBy("tree", "node").toPandas()
+        if len(table):
+            made.append((table["tree"].nunique(), _path_sum(table, sample)))
+    return made
+
+
+def _path_sum(table: pd.DataFrame, sample: int) -> Callable[[Column], Column]:
+    """Pandas function: sum over the trees of a vector's path length."""
     offsets = table.groupby("tree").size().cumsum().shift(fill_value=0)
     base = table["tree"].map(offsets).to_numpy()
     feature = table["feature"].to_numpy(np.int32)
     split = table["split"].to_numpy()
     left = (table["left"].to_numpy() + base).astype(np.int64)
     path = table["path"].to_numpy()
+    inner = left != np.arange(len(left))
     roots = offsets.to_numpy()
     depth = max(1, math.ceil(math.log2(max(2, sample))))
-    expected = mean_path(sample) or 1.0
 
     @F.pandas_udf("double")
-    def score(vectors: pd.Series) -> pd.Series:
+    def total(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=float)
         x = np.stack(vectors.to_numpy()).astype(float)
-        flat, width = np.ascontiguousarray(x).ravel(), x.shape[1]
-        row = np.arange(len(x)) * width
-        total = np.zeros(len(x))
+        flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        found = np.zeros(len(x))
         for root in roots:
-            at = np.full(len(x), root, dtype=np.int64)
-            for _ in range(depth):
-                at = left[at] + (flat[row + feature[at]] > split[at])
-            total += path[at]
-        return pd.Series(np.exp2(-total / len(roots) / expected))
-
-    return score
+            at, going = np.full(len(x), root, dtype=np.int64), np.arange(len(x))
+            for _ in range(depth):  # rows that have reached a leaf stop
+                here = at[going]
+                at[going] = here = left[here] + (flat[row[going] + feature[here]] > split[here])
+                going = going[inner[here]]
+                if not len(going):
+                    break
+            found += path[at]
+        return pd.Series(found)
+
+    return total
 
 
 def fit_anomaly(

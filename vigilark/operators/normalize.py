@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilark.functions.columns import blank_to_null, first_present
+from vigilark.functions.columns import first_present
 
 
 def parse_documents(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -65,13 +65,10 @@ def source_type() -> Column:
 
 
 def _port(name: str) -> Column:
+    """Port as a number; null for other text, which stays readable in `raw`."""
     return F.trim(_text(f"$._source.data.{name}")).try_cast("int")
 
 
-def _bad_port(name: str) -> Column:
-    return blank_to_null(F.trim(_text(f"$._source.data.{name}"))).isNotNull() & _port(name).isNull()
-
-
 def failure_reason() -> Column:
     """Why a document cannot be normalised; null when it can."""
     groups = _kind("$._source.rule.groups")
@@ -93,7 +90,6 @@ def failure_reason() -> Column:
         .when(~objects["agent"], "agent_not_object")
         .when(~objects["decoder"], "decoder_not_object")
         .when(~F.coalesce(groups_fit, F.lit(True)), "groups_not_list")
-        .when(_bad_port("src_port") | _bad_port("dest_port"), "bad_port")
     )
 
 

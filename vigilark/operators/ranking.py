@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vigilark.session import stored
 
-DEFAULT_RANGES = 256
+ROWS_PER_RANGE = 100_000
 
 
 def _range_bounds(values: DataFrame, column: str, ranges: int) -> list[float]:
@@ -29,19 +29,20 @@ def _range_bounds(values: DataFrame, column: str, ranges: int) -> list[float]:
 
 
 def running_totals(
-    values: DataFrame, column: str, counts: list[str], ranges: int = DEFAULT_RANGES
+    values: DataFrame, column: str, counts: list[str], rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add `<count>_before` (total over smaller values) for each count column.
 
     `values` holds one row per distinct finite value of `column`. It is stored
     first: the cut points, the range totals and the totals inside ranges all read it.
+    The number of ranges follows its row count, so a task's window stays as it is when the table grows.
     """
     values = stored(values, "distinct-values")
-    splits = _range_bounds(values, column, ranges)
+    splits = _range_bounds(values, column, max(8, -(-values.count() // rows_per_range)))
     cut = Bucketizer(splits=splits, inputCol="_value", outputCol="_range")
     placed = cut.transform(values.withColumn("_value", F.col(column).cast("double"))).drop("_value")
 
-    # at most `ranges` rows, so the ordered window over them is small by construction
+    # one row per range, so the ordered window over them is small by construction
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     per_range = placed.groupBy("_range").agg(*[F.sum(c).alias(c) for c in counts])
     offsets = per_range.select(
@@ -76,37 +77,39 @@ def roc_auc(df: DataFrame, target: str = "y", score: str = "score") -> DataFrame
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated exact quantiles as one row, one column per name in probs."""
+def counted_values(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values with their counts `n` and `n_before`, ready for quantiles; stored by `running_totals`."""
     counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, column, ["n"])
-    total = counted.agg(F.sum("n")).scalar()
-    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    return running_totals(counted, column, ["n"])
 
-    def holds(position: Column) -> Column:
-        return (position >= first) & (position <= last)
+
+def _quantiles(column: str, total: Column, probs: dict[str, float]) -> list[Column]:
+    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
 
     def quantile(p: float) -> Column:
-        at = F.lit(p) * (F.col("_total") - 1)
-        low = F.max(F.when(holds(F.floor(at)), F.col(column)))
-        high = F.max(F.when(holds(F.ceil(at)), F.col(column)))
-        part = F.max(at - F.floor(at))
-        return low + (high - low) * part
+        at = F.lit(p) * (total - 1)
+        low = F.max(F.when(F.floor(at).between(first, last), F.col(column)))
+        high = F.max(F.when(F.ceil(at).between(first, last), F.col(column)))
+        return low + (high - low) * F.max(at - F.floor(at))
 
-    return ranked.withColumn("_total", total).agg(*[quantile(p).alias(name) for name, p in probs.items()])
+    return [quantile(p).alias(name) for name, p in probs.items()]
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolated exact quantiles as one row, one column per name in probs."""
+    ranked = counted_values(df, column)
+    return ranked.withColumn("_total", ranked.agg(F.sum("n")).scalar()).agg(*_quantiles(column, F.col("_total"), probs))
 
 
 def score_describe(df: DataFrame, column: str = "score") -> DataFrame:
-    """count, mean, std, min, quartiles and max of a score column as one row."""
-    quartiles = exact_quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    q = quartiles.select(F.struct("q25", "q50", "q75")).scalar()
-    return df.agg(
-        F.count(column).alias("n"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"),
-        F.min(column).alias("min"),
+    """count, mean, std, min, quartiles and max of a score column as one row, all from the counted values."""
+    ranked = counted_values(df, column)
+    value, n = F.col(column).cast("double"), F.col("n")
+    facts = ranked.agg(F.sum("n").alias("total"), (F.sum(value * n) / F.sum("n")).alias("mean")).select(F.struct("total", "mean")).scalar()
+    at = ranked.withColumn("_facts", facts)
+    spread = F.sum(n * (value - F.col("_facts.mean")) ** 2) / F.nullif(F.sum("n") - 1, F.lit(0))
+    return at.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(value * n) / F.sum("n")).alias("mean"), F.sqrt(spread).alias("std"),
+        F.min(column).alias("min"), *_quantiles(column, F.col("_facts.total"), {"q25": 0.25, "q50": 0.5, "q75": 0.75}),
         F.max(column).alias("max"),
-    ).withColumn("_q", q).select(
-        "n", "mean", "std", "min", F.col("_q.q25").alias("q25"), F.col("_q.q50").alias("q50"),
-        F.col("_q.q75").alias("q75"), "max",
     )

@@ -13,6 +13,7 @@ from vigilark.operators.forest import Forest, as_vector
 from vigilark.operators.joins import playbook_enrich, tactic_enrich
 from vigilark.operators.metrics import ensemble_decision
 from vigilark.operators.risk import TacticModel, predict_tactic, risk_score
+from vigilark.session import stored
 
 ASSESSMENT_COLUMNS = ["risk_score", "risk_band", "is_attack", "flagged_by_anomaly_detector"]
 TACTIC_COLUMNS = ["predicted_tactic", "tactic_confidence", "mitre_id", "context", "recommendation"]
@@ -70,11 +71,14 @@ def analyze(
 ) -> DataFrame:
     """Full analysis, one row per session.
 
-    The tactic trees run in the same pass as the score and their result is
-    dropped for rows that are not suspicious: no join back and no second scoring
-    of the input. predict_tactic on a filtered frame serves the case where only
-    suspicious rows are wanted.
+    The assessed rows are stored once; the tactic trees see suspicious rows only, the others get null tactics.
     """
-    scored = predict_tactic(tactics, assess(model, forest, sessions, key))
+    assessed = stored(assess(model, forest, sessions, key), "assessed")
+    suspicious = F.col("is_attack") == 1
+    named = predict_tactic(tactics, assessed.filter(suspicious))
+    quiet = assessed.filter(~suspicious)
+    added = [field for field in named.schema if field.name not in assessed.columns]
+    quiet = quiet.withColumns({field.name: F.lit(None).cast(field.dataType) for field in added})
     kept = [key] + ([F.col(true_label).alias("true_label")] if true_label else [])
-    return explain(scored).select(*kept, *ASSESSMENT_COLUMNS, *TACTIC_COLUMNS)
+    every = named.unionByName(quiet.select(*named.columns))
+    return explain(every).select(*kept, *ASSESSMENT_COLUMNS, *TACTIC_COLUMNS)

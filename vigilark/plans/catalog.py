@@ -352,8 +352,8 @@ def _(spark, d):
 def _(spark, d):
     rows = joins.playbook_enrich(joins.label_to_tactic(tables.sessions(spark, d)))
     return rows.select(
-        "session_id", "tactic", "mitre_id", "escalation_criteria", "validation_status",
-        F.array_join("techniques", "; ").alias("techniques"), F.array_join("l1_actions", "; ").alias("l1_actions"))
+        "session_id", "tactic", "mitre_id", "escalation_criteria", "validation_status", "key_indicators",
+        *[F.array_join(c, "; ").alias(c) for c in ("techniques", "log_sources", "l1_actions")])
 
 
 @query("assessment_align")
@@ -659,7 +659,7 @@ def _run_stream(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
 @query("stream_rate_threshold")
 def _(spark, d):
     raised = stream_rate(tables.alert_stream(spark, d), FAST)
-    return naive(_run_stream(spark, raised, "stream-rate"), "raised_at").drop("sid")
+    return naive(_run_stream(spark, raised, "stream-rate"), "raised_at")
 
 
 @query("stream_success_after_failures")

@@ -24,10 +24,11 @@ LABELS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in dims.TACTIC_OF_LAB
 TACTICS = "(VALUES " + ", ".join(f"('{k}', '{i}', {lit(c)})" for k, (i, c) in dims.TACTICS.items()) + ") t(tactic, mitre_id, context)"
 PLAYBOOKS = "(VALUES " + ", ".join(
     "(" + ", ".join([
-        lit(p["tactic"]), lit(dims.TACTICS[p["tactic"]][0]), lit("; ".join(p["techniques"])), lit(p["escalation_criteria"]),
+        lit(p["tactic"]), lit(dims.TACTICS[p["tactic"]][0]), lit("; ".join(p["techniques"])), lit("; ".join(p["log_sources"])),
+        lit(p["key_indicators"]), lit(p["escalation_criteria"]),
         lit("; ".join(p["l1_actions"])), lit("; ".join(p["l2_actions"])), lit(p["validation_status"]), lit(p["limitations"]),
     ]) + ")" for p in dims.PLAYBOOKS
-) + ") p(tactic, mitre_id, techniques, escalation_criteria, l1_actions, l2_actions, validation_status, limitations)"
+) + ") p(tactic, mitre_id, techniques, log_sources, key_indicators, escalation_criteria, l1_actions, l2_actions, validation_status, limitations)"
 
 LEVEL_BAND = ("CASE WHEN rule_level IS NULL THEN 'low' WHEN rule_level >= 12 THEN 'critical' WHEN rule_level >= 8 THEN 'high' "
               "WHEN rule_level >= 5 THEN 'medium' ELSE 'low' END")
@@ -97,13 +98,13 @@ NORMALIZED = """normalized AS (
   event_type, rule_id, rule_description, CAST(rule_level AS INT) AS rule_level,
   CASE WHEN event_id % 3 = 0 THEN concat('172.16.0.', CAST(event_id % 8 AS VARCHAR)) ELSE nullif(src_ip, '') END AS src_ip,
   CASE WHEN event_id % 2 = 0 THEN dest_ip ELSE '10.9.9.9' END AS dest_ip,
-  CAST(1024 + event_id % 50000 AS INT) AS src_port, CAST(dest_port AS INT) AS dest_port, 'TCP' AS protocol,
+  CAST(1024 + event_id % 50000 AS INT) AS src_port, CASE WHEN event_id % 41 <> 0 THEN CAST(dest_port AS INT) END AS dest_port, 'TCP' AS protocol,
   CAST(NULL AS VARCHAR) AS direction,
   CASE WHEN event_id % 9 <> 0 THEN flow_src_ip END AS flow_src_ip,
   CASE WHEN event_id % 9 <> 0 THEN flow_dest_ip END AS flow_dest_ip,
   CASE WHEN rule_id = '5715' THEN 'Initial Access' WHEN rule_id = '9000001' THEN 'Reconnaissance' END AS mitre_tactics,
   CASE WHEN rule_id = '9000001' THEN 'T1595' END AS mitre_techniques
- FROM alerts WHERE event_id % 40 > 7 AND event_id % 41 <> 0)"""
+ FROM alerts WHERE event_id % 40 > 7)"""
 
 
 def window_sql(start: str, minutes: str, where: str = "") -> str:
@@ -211,7 +212,7 @@ FROM report WHERE class IN ({', '.join(lit(t) for t in dims.TACTICS)})"""
     o["normalize_batch"] = a + """SELECT CASE WHEN r = 'invalid_json' THEN 'inconnu' ELSE alert_id END AS document_id, r AS reason FROM (
  SELECT alert_id, CASE event_id % 40 WHEN 0 THEN 'no_source' WHEN 1 THEN 'rule_not_object' WHEN 2 THEN 'agent_not_object'
   WHEN 3 THEN 'groups_not_list' WHEN 4 THEN 'invalid_json' WHEN 5 THEN 'data_not_object' WHEN 6 THEN 'decoder_not_object'
-  WHEN 7 THEN 'source_not_object' ELSE CASE WHEN event_id % 41 = 0 THEN 'bad_port' END END AS r FROM alerts) x WHERE r IS NOT NULL"""
+  WHEN 7 THEN 'source_not_object' END AS r FROM alerts) x WHERE r IS NOT NULL"""
     o["flow_direction"] = a + f"""SELECT alert_id, coalesce(flow_dest_ip = '{IP}', FALSE) AS is_inbound,
  coalesce(flow_src_ip = '{IP}', FALSE) AS is_outbound FROM alerts"""
     o["valid_event_filter"] = a + "SELECT alert_id, agent_name, timestamp FROM alerts WHERE timestamp IS NOT NULL AND agent_name <> ''"
@@ -264,8 +265,8 @@ WHERE mitre_tactics IS NOT NULL OR mitre_techniques IS NOT NULL"""
     o["label_to_tactic"] = st + "SELECT session_id, label, tactic FROM named"
     o["tactic_enrich"] = st + f"""SELECT session_id, named.tactic, coalesce(t.mitre_id, 'N/A') AS mitre_id,
  coalesce(t.context, 'Contexte non disponible.') AS context FROM named LEFT JOIN {TACTICS} ON named.tactic = t.tactic"""
-    o["playbook_enrich"] = st + f"""SELECT session_id, named.tactic, p.mitre_id, p.escalation_criteria, p.validation_status, p.techniques,
- p.l1_actions FROM named LEFT JOIN {PLAYBOOKS} ON named.tactic = p.tactic"""
+    o["playbook_enrich"] = st + f"""SELECT session_id, named.tactic, p.mitre_id, p.escalation_criteria, p.validation_status, p.key_indicators, p.techniques,
+ p.log_sources, p.l1_actions FROM named LEFT JOIN {PLAYBOOKS} ON named.tactic = p.tactic"""
     o["assessment_align"] = ctes(S, GUESSED, DECIDED, EXPLAINED) + """SELECT session_id, risk_score, risk_band, is_attack, true_label,
  predicted_tactic, mitre_id, recommendation FROM explained"""
     o["known_class_filter"] = st + """SELECT session_id, tactic FROM named WHERE is_test AND tactic IN
@@ -401,9 +402,10 @@ FROM auth WHERE auth_outcome = 'success' AND failures >= 3 GROUP BY 1, 2"""
  (SELECT max(timestamp) FROM alerts)"""
     o["live_band_counts"] = ab + "SELECT risk_band, count(*) AS alerts FROM banded GROUP BY 1"
     tries = "tries AS (SELECT * FROM alerts WHERE src_ip <> '')"
+    near = "tries AS (SELECT * FROM alerts WHERE src_ip <> '' AND dest_ip LIKE '192.168.1.%')"
     final = ("raised_at, (SELECT date_trunc('second', max(timestamp) - INTERVAL '10 minutes') FROM tries) AS closed")
-    o["stream_rate_threshold"] = ctes(A, tries, f"raised AS ({rate_rows(catalog.FAST, 'tries')})") + f"""SELECT source, period, raised_at FROM (
- SELECT source, period, min(timestamp) AS {final} FROM raised GROUP BY 1, 2) x WHERE raised_at < closed"""
+    o["stream_rate_threshold"] = ctes(A, near, f"raised AS ({rate_rows(catalog.FAST, 'tries')})") + f"""SELECT CAST(sid AS BIGINT) AS sid, source, period,
+ raised_at, classtype, message FROM (SELECT sid, source, period, classtype, message, min(timestamp) AS {final} FROM raised GROUP BY 1, 2, 3, 4, 5) x WHERE raised_at < closed"""
     o["stream_success_after_failures"] = a + f""", {tries}, auth AS (SELECT src_ip, timestamp, auth_outcome, count(*) FILTER (auth_outcome = 'failure') OVER
  (PARTITION BY src_ip ORDER BY timestamp RANGE BETWEEN INTERVAL '14400 seconds' PRECEDING AND CURRENT ROW) AS failures FROM tries WHERE auth_outcome IS NOT NULL)
 SELECT DISTINCT src_ip AS source, timestamp AS succeeded_at FROM auth WHERE auth_outcome = 'success' AND failures >= 3

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigilark.functions.columns import first_present
-from vigilark.operators.normalize import alert_id, normalize_good, parse_documents, quarantine
+from vigilark.operators.normalize import alert_id, failure_reason, normalize_good, parse_documents, quarantine
+
+
+def _once(documents: DataFrame, dedup_horizon: str) -> DataFrame:
+    """Documents, each key once within the horizon. It runs on arrival time, so nothing is refused for being late.
+
+    Keys carry their kind: an id of the source never meets an id of the index or the hash of a text.
+    """
+    def named(kind: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{kind}:"), F.nullif(value, F.lit("")))
+
+    keyed = documents.withColumns({
+        "document_key": F.coalesce(
+            named("source", F.try_variant_get("doc", "$._source.id", "string")),
+            named("index", F.try_variant_get("doc", "$._id", "string")),
+            named("text", F.sha2("value", 256)),
+        ),
+        "received_at": F.current_timestamp(),
+    })
+    return keyed.withWatermark("received_at", dedup_horizon).dropDuplicatesWithinWatermark(["document_key"])
 
 
 def collected_alerts(documents: DataFrame, dedup_horizon: str = "1 hour") -> DataFrame:
     """Normalised alerts, each document once.
 
-    A redelivery is dropped when it arrives within the horizon of the first copy.
-    The horizon runs on arrival time, so an alert is never refused for being late.
-    Documents without an id are told apart by their text.
+    Only documents that can be normalised take part in deduplication, so a broken copy never hides a good one that
+    follows it. A redelivery is dropped when it arrives within the horizon of the first good copy.
     """
-    identified = parse_documents(documents).withColumn(
-        "document_key",
-        first_present(
-            F.try_variant_get("doc", "$._source.id", "string"),
-            F.try_variant_get("doc", "$._id", "string"),
-            F.sha2("value", 256),
-        ),
-    ).withColumn("received_at", F.current_timestamp())
-    once = identified.withWatermark("received_at", dedup_horizon).dropDuplicatesWithinWatermark(["document_key"])
-    return normalize_good(once).withColumn("alert_id", alert_id())
+    good = parse_documents(documents).filter(failure_reason().isNull())
+    return normalize_good(_once(good, dedup_horizon)).withColumn("alert_id", alert_id())
+
+
+def refused_documents(documents: DataFrame, dedup_horizon: str = "1 hour") -> DataFrame:
+    """Documents that cannot be normalised; equal texts once."""
+    bad = parse_documents(documents).filter(failure_reason().isNotNull()).withColumn("received_at", F.current_timestamp())
+    return quarantine(bad.withWatermark("received_at", dedup_horizon).dropDuplicatesWithinWatermark(["value"]))
 
 
 def start_collection(
@@ -37,7 +52,7 @@ def start_collection(
     Restarting with the same checkpoint goes on after the last finished batch.
     """
     good = collected_alerts(documents, dedup_horizon)
-    bad = quarantine(parse_documents(documents))
+    bad = refused_documents(documents, dedup_horizon)
 
     def run(df: DataFrame, path: str, name: str) -> StreamingQuery:
         return (

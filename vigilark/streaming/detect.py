@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vigilark import dims
 from vigilark.dims import RateRule
-from vigilark.functions.columns import MICROS, count_where, is_filled, micros
+from vigilark.functions.columns import MICROS, count_where, in_cidr, is_filled, micros
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -82,12 +82,21 @@ def _raised(events: DataFrame, count: int, seconds: int, per_period: bool, src:
     ).withColumn("raised_at", F.timestamp_micros("us"))
 
 
-def stream_rate(events: DataFrame, rule: RateRule, src: str = "src_ip", watermark: str = "10 minutes") -> DataFrame:
-    """rate_threshold for one rule over a stream of attempts."""
+def stream_rate(
+    events: DataFrame, rule: RateRule, src: str = "src_ip", watermark: str = "10 minutes",
+    home_network: str | None = dims.HOME_NETWORK,
+) -> DataFrame:
+    """rate_threshold for one rule over a stream of attempts; a row leaves when the count is first reached.
+
+    The highest count of the period is not known then, so there is no peak_count.
+    """
     attempts = events if rule.port is None else events.filter(F.col("dest_port") == rule.port)
+    if home_network:
+        attempts = attempts.filter(in_cidr(F.col("dest_ip"), home_network))
     flagged = attempts.withColumns({"is_attempt": F.lit(True), "is_success": F.lit(False)})
     return _raised(flagged, rule.count, rule.seconds, True, src, watermark).select(
-        F.lit(rule.sid).cast("long").alias("sid"), "source", "period", "raised_at"
+        F.lit(rule.sid).cast("long").alias("sid"), "source", "period", "raised_at",
+        F.lit(rule.classtype).alias("classtype"), F.lit(rule.message).alias("message"),
     )
 
 
