@@ -69,6 +69,28 @@ def test_scan_then_login(events, rows, bucket_hours):
     assert want and got == want
 
 
-def test_bucket_shorter_than_span_is_refused(events):
-    with pytest.raises(ValueError):
-        detect.rate_threshold(events, [RateRule(1, 2, 60, None, "c", "m")], bucket_seconds=10)
+def test_slices_of_any_width_agree_and_spread_a_hot_source(events):
+    rule = RateRule(1, 2, 60, None, "c", "m")
+    narrow, wide = (detect.rate_threshold(events, [rule], bucket_seconds=n) for n in (7, 3600))
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+    one = events.filter("src_ip = 'hot'").select(F.col("src_ip").alias("source"), F.col("us").cast("long").alias("us"), F.lit(1).alias("n")).dropDuplicates(["us"])
+    found = detect.trailing_counts(one, ["source"], F.lit(60_000_000), F.lit(7_000_000))
+    slices = found.select(F.floor(F.col("us") / 7_000_000).alias("s")).distinct().count()
+    assert slices > 20 and found.count() == one.count()
+
+
+def test_stream_rate_equals_batch(spark, events, tmp_path):
+    from vigilark.streaming.detect import stream_rate
+
+    rule = RateRule(1, 4, 10, None, "c", "m")
+    outside = events.withColumn("dest_ip", F.lit("8.8.8.8"))  # not in the home network: never counted
+    late = events.limit(1).withColumn("timestamp", F.timestamp_seconds(F.lit(10_000))).withColumn("src_ip", F.lit("end"))
+    every = events.unionByName(outside).unionByName(late).select("src_ip", "timestamp", "dest_ip", "dest_port")
+    every.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(every.schema).parquet(str(tmp_path / "in"))
+    running = stream_rate(stream, rule, watermark="20 minutes").writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    running.awaitTermination()
+    columns = ["sid", "source", "period", "raised_at", "classtype", "message"]
+    want = detect.rate_threshold(every, [rule]).select(*columns).collect()
+    assert want and sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect())) == sorted(map(str, want))

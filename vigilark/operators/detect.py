@@ -2,13 +2,13 @@
 
 A source may hold a third of all rows, so no job here gathers a source in one
 task: equal (source, time) rows are combined map-side first, and each source is
-then cut into time buckets. A bucket also receives the rows of the `span` before
-it (a row is copied at most once more, as span <= bucket), which makes every
-trailing window complete inside its own bucket.
+then cut into time slices. What a slice needs of the time before it is one
+number, carried over a table of one row per slice.
 
 Trailing counts are running sums: each attempt adds itself at its time and takes
 itself away just after the span. That is linear in the attempts, where a sliding
-frame would add up its whole window again for every row.
+frame would add up its whole window again for every row, and it holds for slices
+of any width, shorter than the span or longer.
 """
 
 from __future__ import annotations
@@ -23,33 +23,31 @@ from vigilark.dims import RateRule
 from vigilark.functions.columns import MICROS, count_where, from_micros, in_cidr, is_filled, micros, whole_steps
 
 def bucket_length(span_seconds: int) -> int:
-    """Ten spans, so few rows are copied, but no more than an hour unless the span is longer."""
-    return max(span_seconds, min(10 * span_seconds, 3600))
+    """Slices of ten spans, but no more than ten minutes: a slice of one source is one task's work."""
+    return min(10 * span_seconds, 600)
 
 
 def trailing_counts(df: DataFrame, keys: Sequence[str], span: Column, bucket: Column) -> DataFrame:
     """Add `trailing`: the sum of `n` over the rows of the same keys in [us - span, us].
 
-    `df` holds the keys, `us` (unique per key) and `n`; span and bucket are
-    microseconds, constant per key, span <= bucket.
+    `df` holds the keys, `us` (unique per key) and `n`; span and bucket (the width of a slice) are
+    microseconds, constant per key.
     """
     us = F.col("us")
-    copies = df.select(
-        "*", whole_steps(us, bucket).alias("_own"),
-        F.explode(F.sequence(whole_steps(us, bucket), whole_steps(us + span, bucket))).alias("_bucket"),
-    )
-    steps = copies.select(
-        "*", F.inline(F.array(
-            F.struct(us.alias("_at"), F.col("n").alias("_step"), F.lit(True).alias("_arrives")),
-            F.struct((us + span + 1).alias("_at"), (-F.col("n")).alias("_step"), F.lit(False).alias("_arrives")),
-        ))
-    ).filter(F.col("_arrives") | (whole_steps(F.col("_at"), bucket) == F.col("_bucket")))
-    so_far = Window.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
+    steps = df.select("*", F.inline(F.array(
+        F.struct(us.alias("_at"), F.col("n").alias("_step"), F.lit(True).alias("_arrives")),
+        F.struct((us + span + 1).alias("_at"), (-F.col("n")).alias("_step"), F.lit(False).alias("_arrives")),
+    ))).withColumn("_slice", whole_steps(F.col("_at"), bucket))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        steps.groupBy(*keys, "_slice").agg(F.sum("_step").alias("_sum"))
+        .select(*keys, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
     )
+    so_far = Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        steps.withColumn("trailing", F.sum("_step").over(so_far))
-        .filter(F.col("_arrives") & (F.col("_own") == F.col("_bucket")))
+        steps.withColumn("_inside", F.sum("_step").over(so_far)).filter("_arrives")
+        .join(carried, [*keys, "_slice"])
+        .withColumn("trailing", F.col("_carried") + F.col("_inside"))
         .select(*df.columns, "trailing")
     )
 
@@ -70,8 +68,6 @@ def rate_threshold(
     """
     ts_type = events.schema["timestamp"].dataType.simpleString()
     attempts = events.filter(F.col("timestamp").isNotNull() & is_filled(F.col(src)))
-    if bucket_seconds and any(r.seconds > bucket_seconds for r in rules):
-        raise ValueError("a bucket must be at least as long as every rule's span")
     if home_network:
         attempts = attempts.filter(in_cidr(F.col("dest_ip"), home_network))
 
@@ -144,7 +140,7 @@ def success_after_failures(
 
 def scan_then_login(
     events: DataFrame, is_scan: Column, is_login: Column, hours: float = 24, src: str = "src_ip",
-    bucket_hours: float = 1,
+    bucket_hours: float = 0.25,
 ) -> DataFrame:
     """Logins whose source scanned within the hours before, with the latest such scan.
 

@@ -7,18 +7,6 @@ from pyspark.sql import functions as F
 
 from vigilark import dims
 
-BROADCAST_ROW_LIMIT = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint after counting that df holds at most `rows` rows.
-
-    A larger side keeps no hint: the join then shuffles and adaptive execution
-    splits its hot keys.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def label_to_tactic(sessions: DataFrame, label: str = "label", out: str = "tactic") -> DataFrame:
     """Add the tactic of the label, 'Unknown' for labels outside the map."""
     dim = F.broadcast(dims.label_dim(sessions.sparkSession).withColumnsRenamed({"label": "_label", "tactic": "_tactic"}))
@@ -60,10 +48,9 @@ def assessment_align(assessed: DataFrame, tactics: DataFrame, key: str = "sessio
 def known_class_filter(test: DataFrame, train: DataFrame, tactic: str = "tactic") -> DataFrame:
     """Test rows whose tactic occurs in train.
 
-    Tactics come from the fixed label map, so the class list has at most five rows.
+    The class column is the caller's, so its size is left to adaptive execution.
     """
-    classes = train.select(tactic).distinct()
-    return test.join(F.broadcast(classes), tactic, "left_semi")
+    return test.join(train.select(tactic).distinct(), tactic, "left_semi")
 
 
 def is_attack_label(label: Column) -> Column:

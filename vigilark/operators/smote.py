@@ -53,17 +53,27 @@ def nearest_in_class(
         a = np.stack(left["features"].to_numpy()).astype(float)
         b = np.stack(right["other_features"].to_numpy()).astype(float)
         b_ids = right["other_id"].to_numpy()
-        for at, (row, own) in enumerate(zip(a, left["id"])):
-            distance = ((b - row) ** 2).sum(axis=1)
-            distance[b_ids == own] = np.inf
-            for j in np.argsort(distance, kind="stable")[:neighbours]:
-                if math.isfinite(distance[j]):
-                    out["label"].append(left["label"].iat[at])
-                    out["id"].append(own)
-                    out["distance"].append(distance[j])
-                    out["near_id"].append(b_ids[j])
-                    out["near"].append(b[j])
-        return pd.DataFrame(out)
+        distance = np.maximum((a ** 2).sum(1)[:, None] + (b ** 2).sum(1) - 2 * a @ b.T, 0.0)
+        distance[left["id"].to_numpy()[:, None] == b_ids] = np.inf
+        few = min(len(b), 2 * neighbours + 2)  # the product loses digits: a wider choice is measured again
+        near = np.sort(np.argpartition(distance, few - 1, axis=1)[:, :few], axis=1)
+        exact = ((b[near] - a[:, None]) ** 2).sum(2)
+        exact[np.isinf(np.take_along_axis(distance, near, 1))] = np.inf
+        order = np.argsort(exact, axis=1, kind="stable")[:, :neighbours]
+        exact, near = np.take_along_axis(exact, order, 1), np.take_along_axis(near, order, 1)
+        # rows with more equally close rows than the choice holds are measured in full, so that ties go by id
+        kth = np.partition(distance, min(neighbours, len(b)) - 1, axis=1)[:, min(neighbours, len(b)) - 1]
+        tied = (distance <= kth[:, None] * (1 + 1e-9) + 1e-9).sum(1) > few
+        for at in np.flatnonzero(tied & np.isfinite(kth)):
+            full = ((b - a[at]) ** 2).sum(1)
+            full[b_ids == left["id"].iat[at]] = np.inf
+            near[at] = np.argsort(full, kind="stable")[: near.shape[1]]
+            exact[at] = full[near[at]]
+        row, place = np.nonzero(np.isfinite(exact))
+        chosen = near[row, place]
+        return pd.DataFrame({
+            "label": left["label"].to_numpy()[row], "id": left["id"].to_numpy()[row], "distance": exact[row, place],
+            "near_id": b_ids[chosen], "near": list(b[chosen])})
 
     asked = asking.groupBy("label", "row_block", "other_block")
     found = asked.cogroup(known.groupBy("other_label", "asking_block", "known_block")).applyInPandas(

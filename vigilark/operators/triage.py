@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilark import dims
 from vigilark.functions.columns import count_where, is_filled, level_to_band
 from vigilark.functions.text import threat_texts
-from vigilark.operators.joins import broadcast_if_small
+from vigilark.session import stored
 
 DISPLAY_COLUMNS = [
     "timestamp", "risk_band", "agent_name", "source_type", "rule_description",
@@ -54,7 +54,7 @@ def noise_suppression(alerts: DataFrame, rules: Sequence[str] = tuple(dims.NOISY
 
 def suppress_signatures(alerts: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Drop alerts whose (gen_id, sig_id) is suppressed."""
-    return alerts.join(broadcast_if_small(suppressions), ["gen_id", "sig_id"], "left_anti")
+    return alerts.join(suppressions, ["gen_id", "sig_id"], "left_anti")
 
 
 def severity_escalation(alerts: DataFrame, overrides: dict[str, int] | None = None, key: str = "rule_id") -> DataFrame:
@@ -164,19 +164,23 @@ def triage_join(alerts: DataFrame, triage_events: DataFrame) -> DataFrame:
 
 
 def timeline(alerts: DataFrame, minutes: int = 1) -> DataFrame:
-    """Alerts per minute from the first to the last, empty minutes included."""
+    """Alerts per minute from the first to the last, empty minutes included.
+
+    The counted minutes are stored, so the alerts are read once; the grid is built day by day.
+    """
     ts_type = alerts.schema["timestamp"].dataType.simpleString()
-    step = F.expr(f"INTERVAL {minutes} MINUTE")
-    counted = (
+    length = minutes * 60
+    counted = stored(
         alerts.filter(F.col("timestamp").isNotNull())
-        .groupBy(F.window("timestamp", f"{minutes} minutes").start.alias("minute"))
-        .agg(F.count("*").alias("alerts"))
-    )
-    # the grid is as long as the period in minutes; its rows come from the counted minutes
-    grid = counted.agg(F.min("minute").alias("lo"), F.max("minute").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", step)).alias("minute")
-    ).select(F.col("minute").cast(ts_type).alias("minute"))
-    return grid.join(counted, "minute", "left").select("minute", F.coalesce("alerts", F.lit(0)).alias("alerts"))
+        .groupBy((F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / length) * length).alias("second"))
+        .agg(F.count("*").alias("alerts")), "minutes")
+    per_day = 86_400 // length * length or length
+    ends = counted.agg(F.min("second").alias("lo"), F.max("second").alias("hi")).filter("lo is not null")
+    days = ends.select("hi", F.explode(F.sequence("lo", "hi", F.lit(per_day).cast("long"))).alias("day")).repartition("day")
+    last = F.least("hi", F.col("day") + F.lit(per_day - length))
+    grid = days.select(F.explode(F.sequence("day", last, F.lit(length).cast("long"))).alias("second"))
+    return grid.join(counted, "second", "left").select(
+        F.timestamp_seconds("second").cast(ts_type).alias("minute"), F.coalesce("alerts", F.lit(0)).alias("alerts"))
 
 
 def threat_summary(alerts: DataFrame, runbook: str = "le playbook de réponse aux incidents") -> DataFrame:

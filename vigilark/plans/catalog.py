@@ -707,8 +707,8 @@ def _risk(train: DataFrame):
     return risk.fit_risk(train.select(*SESSION_FEATURES, "y"), TRIAL_ROUNDS, TRIAL_DEPTH, 0.3)
 
 
-def _anomaly(train: DataFrame, trees: int = 25):
-    return forest.fit_anomaly(train.filter("y = 0").drop("y", "label"), "session_id", trees, 128)
+def _anomaly(train: DataFrame):
+    return forest.fit_anomaly(train.filter("y = 0").drop("y", "label"), "session_id")
 
 
 def _tactics(train: DataFrame):
