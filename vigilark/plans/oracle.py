@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vigilark import dims
+from vigilark.operators.forest import mean_path
 from vigilark.plans import catalog, tables
 from vigilark.schema import CATEGORICAL_FEATURES, SESSION, SESSION_FEATURES
 
@@ -201,6 +202,7 @@ WHERE rule_description <> {lit(dims.NOISY_RULES[0])} AND agent_name IS NOT NULL
  count(*) FILTER (risk_band = 'critical') AS critical_alerts_count,
  round(count(*) FILTER (risk_band = 'critical' AND predicted_tactic IS NOT NULL) / count(*) FILTER (risk_band = 'critical')::DOUBLE, 4) AS critical_with_tactic_pct,
  round(avg(tactic_confidence) FILTER (risk_band = 'critical'), 4) AS avg_tactic_confidence_critical FROM decided"""
+    o["validation_report"] = o["sink_metrics"]
     o["scan_metrics"] = ctes(S, GUESSED, DECIDED, TP) + report_sql("tp", "true_tactic", "predicted_tactic") + f"""
 SELECT class AS tactic, (SELECT round(f1, 4) FROM report WHERE class = 'accuracy') AS overall_accuracy, TRUE AS dated,
  round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1_score, support
@@ -425,7 +427,14 @@ SELECT DISTINCT src_ip AS source, timestamp AS succeeded_at FROM auth WHERE auth
     # fitted models differ between engines; what must hold for every row does not
     test = s + "SELECT y, count(*) AS n, count(*) AS {} FROM sessions WHERE is_test GROUP BY y"
     o["fit_risk"] = test.format("scores_in_range")
-    o["anomaly_flag"] = test.format("decided")
+    def path(tree: list[tuple], node: int = 0) -> str:
+        _, feature, split, left, length = tree[node]
+        return str(length) if feature is None else f"CASE WHEN {feature} > {split} THEN {path(tree, left + 1)} ELSE {path(tree, left)} END"
+
+    trees = catalog.SMALL_FOREST
+    score = f"power(2.0, -({' + '.join(path(t) for t in trees.values())}) / {float(len(trees))} / {mean_path(catalog.SMALL_SAMPLE)!r})"
+    o["anomaly_flag"] = e + f"""SELECT session_id, round({score}, 6) AS anomaly_score,
+ CAST({score} > {catalog.SMALL_CUTOFF} AS INT) AS iso_flag FROM encoded"""
     o["fit_tactic"] = test.format("sums_to_one")
     o["assess"] = s + "SELECT y, count(*) AS n, count(*) AS banded, count(*) AS decided FROM sessions WHERE is_test GROUP BY y"
     o["risk_score"] = s + """SELECT count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives, TRUE AS ranks_attacks_higher
