@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vigilark.operators.joins import label_to_tactic
 from vigilark.dims import UNKNOWN_TACTIC
-from vigilark.schema import CATEGORICAL_FEATURES
+from vigilark.operators.metrics import binary_target
+from vigilark.schema import CATEGORICAL_FEATURES, SESSION_FEATURES
 
 
 def fit_encoder(train: DataFrame) -> StringIndexerModel:
@@ -40,3 +41,18 @@ def encode_categoricals(sessions: DataFrame, encoder: StringIndexerModel) -> Dat
 def tactic_dataset(sessions: DataFrame, label: str = "label") -> DataFrame:
     """Attack rows whose label has a tactic ('normal' has none)."""
     return label_to_tactic(sessions, label).filter(F.col("tactic") != UNKNOWN_TACTIC)
+
+
+def prepare(
+    train: DataFrame, test: DataFrame, carried: tuple[str, ...] = ("session_id",),
+) -> tuple[DataFrame, DataFrame, StringIndexerModel]:
+    """(train, test, encoder): carried columns, the encoded features in fitted order, label and target y.
+
+    The encoder learns from train only.
+    """
+    encoder = fit_encoder(train)
+
+    def ready(rows: DataFrame) -> DataFrame:
+        return binary_target(encode_categoricals(rows, encoder)).select(*carried, *SESSION_FEATURES, "label", "y")
+
+    return ready(train), ready(test), encoder

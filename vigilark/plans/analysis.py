@@ -12,7 +12,9 @@ from vigilark.functions.text import default_recommendation, recommendation_text
 from vigilark.operators.forest import Forest, as_vector
 from vigilark.operators.joins import playbook_enrich, tactic_enrich
 from vigilark.operators.metrics import ensemble_decision
-from vigilark.operators.risk import TacticModel, predict_tactic, risk_score
+from vigilark.operators.risk import TacticModel, fit_tactic, predict_tactic, risk_score
+from vigilark.operators.smote import smote_oversample
+from vigilark.schema import SESSION_FEATURES
 from vigilark.session import stored
 
 ASSESSMENT_COLUMNS = ["risk_score", "risk_band", "is_attack", "flagged_by_anomaly_detector"]
@@ -82,3 +84,19 @@ def analyze(
     kept = [key] + ([F.col(true_label).alias("true_label")] if true_label else [])
     every = named.unionByName(quiet.select(*named.columns))
     return explain(every).select(*kept, *ASSESSMENT_COLUMNS, *TACTIC_COLUMNS)
+
+
+def fit_oversampled_tactic(
+    known: DataFrame, targets: dict[str, int] | None = None, rounds: int = dims.TREE_ROUNDS, depth: int = dims.TREE_DEPTH,
+    key: str = "session_id",
+) -> tuple[TacticModel, DataFrame]:
+    """Tactic model fitted on oversampled rows, and those rows: key, tactic, features, synthetic.
+
+    `known` holds encoded features and `tactic`. Classes without a target keep their rows.
+    """
+    vectors = known.select(F.col("tactic").alias("label"), F.col(key).cast("long").alias("id"), as_vector(SESSION_FEATURES).alias("features"))
+    grown = stored(smote_oversample(vectors, targets), "oversampled")
+    rows = grown.select(
+        F.col("id").alias(key), F.col("label").alias("tactic"), "synthetic",
+        *[F.col("features")[i].alias(name) for i, name in enumerate(SESSION_FEATURES)])
+    return fit_tactic(rows, rounds, depth), rows

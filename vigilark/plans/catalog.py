@@ -95,6 +95,15 @@ def _(spark, d):
     return page.select("timestamp", "alert_id", "agent_name", "rule_id", "rule_level")
 
 
+@query("collection_cycle")
+def _(spark, d):
+    base = shared_dir(spark, "cycle")
+    rows = tables.alerts(spark, d).select("timestamp", "alert_id", "agent_name", "rule_id")
+    for _batch in range(4):  # four calls of a scheduled job, each going on where the last one stopped
+        alert_source.collect_page(rows, f"{base}/alerts", f"{base}/cursors")
+    return spark.read.parquet(f"{base}/alerts").drop("page")
+
+
 def _flat(good: DataFrame) -> DataFrame:
     """Normalised alerts in columns any engine has."""
     return naive(good, "timestamp").select(
@@ -679,6 +688,12 @@ def _(spark, d):
     return encoded(spark, d).select("session_id", *CATEGORICAL_FEATURES)
 
 
+@query("preprocess")
+def _(spark, d):
+    train, test, _encoder = encode.prepare(*parts(tables.session_features(spark, d)), carried=("session_id", "is_test"))
+    return train.unionByName(test)
+
+
 @query("tactic_dataset")
 def _(spark, d):
     return encode.tactic_dataset(tables.sessions(spark, d)).select("session_id", "tactic")
@@ -762,6 +777,19 @@ def _(spark, d):
     return flagged.select("session_id", F.round("anomaly_score", 6).alias("anomaly_score"), "iso_flag")
 
 
+@query("tactic_oversampled")
+def _(spark, d):
+    train, test = _fit_part(spark, d)
+    known = stored(encode.tactic_dataset(train), "tactic-train")
+    sizes = {r["tactic"]: r["count"] for r in known.groupBy("tactic").count().collect()}  # four tactics
+    targets = {tactic: n + n // 2 + 7 for tactic, n in sizes.items() if n > dims.SMOTE_NEIGHBOURS}
+    model, grown = analysis.fit_oversampled_tactic(known, targets, TRIAL_ROUNDS, TRIAL_DEPTH)
+    named = risk.predict_tactic(model, encode.tactic_dataset(test)).groupBy("tactic").agg(
+        F.count("*").alias("tested"), F.count("predicted_tactic").alias("named"))
+    made = grown.groupBy("tactic").agg(F.count("*").alias("n"), F.count_if("synthetic").alias("synthetic"))
+    return made.join(named, "tactic", "left")
+
+
 @query("fit_tactic")
 def _(spark, d):
     train, test = _fit_part(spark, d)

@@ -186,6 +186,7 @@ FROM alerts ORDER BY timestamp DESC, alert_id LIMIT 100"""
     o["incremental_collect"] = a + """SELECT timestamp, alert_id, agent_name, rule_id, rule_level FROM alerts
 WHERE timestamp > TIMESTAMP '2024-01-15 00:00:00' OR (timestamp = TIMESTAMP '2024-01-15 00:00:00' AND alert_id > '')
 ORDER BY timestamp, alert_id LIMIT 500"""
+    o["collection_cycle"] = a + "SELECT timestamp, alert_id, agent_name, rule_id FROM alerts ORDER BY timestamp, alert_id LIMIT 2000"
     n = ctes(A, NORMALIZED)
     o["scan_alert_log"] = o["normalize_alert"] = n + "SELECT * FROM normalized"
     o["append_alert_log"] = n + "SELECT source_type, count(*) AS alerts FROM normalized GROUP BY 1"
@@ -414,6 +415,12 @@ SELECT DISTINCT src_ip AS source, timestamp AS succeeded_at FROM auth WHERE auth
  AND timestamp < (SELECT date_trunc('second', max(timestamp) - INTERVAL '10 minutes') FROM tries)"""
 
     o["encode_categoricals"] = e + "SELECT session_id, " + ", ".join(CATEGORICAL_FEATURES) + " FROM encoded"
+    o["preprocess"] = e + "SELECT session_id, is_test, " + ", ".join(SESSION_FEATURES) + """, label,
+ CASE WHEN label = 'normal' THEN 0 ELSE 1 END AS y FROM encoded"""
+    o["tactic_oversampled"] = st + """, c AS (SELECT tactic, count(*) FILTER (NOT is_test) AS k, count(*) FILTER (is_test) AS t FROM named
+ WHERE tactic <> 'Unknown' GROUP BY 1)
+SELECT tactic, CASE WHEN k > 4 THEN k + k // 2 + 7 ELSE k END AS n, CASE WHEN k > 4 THEN k // 2 + 7 ELSE 0 END AS synthetic,
+ nullif(t, 0) AS tested, nullif(t, 0) AS named FROM c WHERE k > 0"""
     o["tactic_dataset"] = st + "SELECT session_id, tactic FROM named WHERE tactic <> 'Unknown'"
     o["smote_oversample"] = """SELECT CAST(label AS VARCHAR) AS label, CASE WHEN label IN (1, 3) THEN count(*) * 2 + 7 ELSE count(*) END AS n,
  CASE WHEN label IN (1, 3) THEN count(*) + 7 ELSE 0 END AS synthetic FROM embeddings GROUP BY label"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,40 @@ def next_cursor(page: DataFrame, cursor: Cursor | None = None) -> Cursor | None:
     """Cursor after the page; the old one when the page is empty."""
     last = page.agg(F.max(F.struct(F.col("timestamp").cast("string").alias("t"), "alert_id")).alias("m")).first()["m"]
     return Cursor(last["t"], last["alert_id"]) if last else cursor
+
+
+def load_cursor(spark: SparkSession, path: str) -> Cursor | None:
+    """The newest cursor saved under `path`; None before the first."""
+    try:
+        last = spark.read.schema("timestamp string, alert_id string").json(path).agg(
+            F.max(F.struct("timestamp", "alert_id")).alias("m")).first()["m"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return Cursor(last["timestamp"], last["alert_id"]) if last else None
+
+
+def save_cursor(spark: SparkSession, cursor: Cursor, path: str) -> None:
+    """Add a cursor; earlier ones stay, so a failed write loses nothing."""
+    spark.range(1).select(F.lit(cursor.timestamp).alias("timestamp"), F.lit(cursor.alert_id).alias("alert_id")).write.mode(
+        "append").json(path)
+
+
+def collect_page(alerts: DataFrame, table: str, cursors: str, size: int = PAGE_SIZE) -> Cursor | None:
+    """One batch of collection: the page after the saved cursor into a folder of `table`, then its cursor.
+
+    The folder is named by the cursor before the page. A run that fails between the two writes is repeated with the
+    same page into the same folder, so nothing is lost or taken twice. None when there is no newer alert.
+    """
+    spark = alerts.sparkSession
+    before = load_cursor(spark, cursors)
+    name = "start" if before is None else hashlib.sha256("|".join(before).encode()).hexdigest()[:16]
+    folder = f"{table}/page={name}"
+    page = incremental_page(alerts, before, size)
+    page.write.mode("overwrite").parquet(folder)
+    after = next_cursor(spark.read.parquet(folder), before)
+    if after == before:
+        return None
+    save_cursor(spark, after, cursors)
+    return after
