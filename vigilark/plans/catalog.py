@@ -22,7 +22,7 @@ from vigilark.sources import alerts as alert_source
 from vigilark.sources import reports, sessions as session_source, sinks
 from vigilark.streaming.collect import start_collection
 from vigilark.streaming.detect import stream_rate, stream_success_after_failures
-from vigilark.streaming.features import live_band_counts, start_band_counts, start_features, stream_features
+from vigilark.streaming.features import close_features, late_rows, live_band_counts, start_band_counts, start_features, stream_features
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -649,7 +649,24 @@ def _(spark, d):
     base = shared_dir(spark, "stream-features")
     stream = stream_features(tables.alert_stream(spark, d), 5, tables.MONITORED_IP, "10 minutes")
     start_features(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return rounded(naive(spark.read.parquet(f"{base}/out"), "window_start"), *FEATURE_DOUBLES)
+    every = close_features(_as_streamed(spark, d), f"{base}/out", f"{base}/closed", 5, tables.MONITORED_IP)
+    return rounded(naive(every, "window_start"), *FEATURE_DOUBLES)
+
+
+def _as_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The alerts as a table, with instants of the type that streams use."""
+    rows = tables.alerts(spark, d)
+    return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+@query("stream_late_rows")
+def _(spark, d):
+    base = shared_dir(spark, "stream-late")
+    stream = stream_features(tables.alert_stream(spark, d), 5, tables.MONITORED_IP, "10 minutes")
+    start_features(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = _as_streamed(spark, d)
+    late = late_rows(rows, close_features(rows, f"{base}/out", f"{base}/closed", 5, tables.MONITORED_IP))
+    return late.agg(F.count("*").alias("windows"), F.sum("given").alias("given"), F.sum("counted").alias("counted"), F.sum("late").alias("late"))
 
 
 @query("live_band_counts")

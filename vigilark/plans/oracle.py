@@ -399,10 +399,12 @@ LEFT JOIN shown s ON date_trunc('minute', s.timestamp) = g.minute GROUP BY 1"""
 SELECT src_ip AS source, timestamp AS succeeded_at, count(*) AS succeeded, max(failures) AS failures_before, 100011 AS rule_id, 14 AS rule_level
 FROM auth WHERE auth_outcome = 'success' AND failures >= 3 GROUP BY 1, 2"""
 
-    # streams emit what the last watermark has closed
+    # streams emit what the last watermark has closed; a closing step adds the windows still open
     o["stream_collect"] = n + "SELECT source_type, count(*) AS alerts, count(DISTINCT timestamp) AS instants FROM normalized GROUP BY 1"
-    o["stream_features"] = ctes(A, f"w AS ({window_sql(bucket(5), '5')})") + """SELECT * FROM w WHERE window_start + INTERVAL '15 minutes' <=
- (SELECT max(timestamp) FROM alerts)"""
+    windows = ctes(A, f"w AS ({window_sql(bucket(5), '5')})")
+    o["stream_features"] = windows + "SELECT * FROM w"
+    o["stream_late_rows"] = windows + """SELECT count(*) AS windows, CAST(sum(event_count) AS BIGINT) AS given,
+ CAST(sum(event_count) AS BIGINT) AS counted, CAST(0 AS BIGINT) AS late FROM w"""
     o["live_band_counts"] = ab + "SELECT risk_band, count(*) AS alerts FROM banded GROUP BY 1"
     tries = "tries AS (SELECT * FROM alerts WHERE src_ip <> '')"
     near = "tries AS (SELECT * FROM alerts WHERE src_ip <> '' AND dest_ip LIKE '192.168.1.%')"
