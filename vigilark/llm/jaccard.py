@@ -82,7 +82,7 @@ def _signatures(frequent: np.ndarray):
                     often[inside] = frequent[at[inside]] == own[inside]
                     prefix = len(own) - -(-3 * len(own) // 4) + 1 if len(own) else 0
                     n.append(len(own))
-                    first.append(int(np.sum(mixed(own + np.uint64(1)), dtype=np.uint64).view(np.int64)))
+                    first.append(_first_print(own))
                     second.append(int(np.sum(mixed(own ^ np.uint64(0x5555555555555555)), dtype=np.uint64).view(np.int64)))
                     bits.append(bitmap(own) if len(own) else b"")
                     keys.append(_signed(np.append(own[~often], own[often])[:prefix]))
@@ -104,10 +104,17 @@ def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_pydict({"h": pa.array(_signed(np.concatenate(found)))})
 
 
+def _first_print(own: np.ndarray) -> int:
+    return int(np.sum(mixed(own + np.uint64(1)), dtype=np.uint64).view(np.int64))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of rows whose fingerprint is the wanted one: of several rows of an id, those that stand for it."""
     for batch in batches:
         for part in pieces(batch):
             found = list(shingle_sets(part.column("text")))
+            wanted = [i for i, (own, f1) in enumerate(zip(found, part.column("f1").to_pylist())) if _first_print(own) == f1]
+            part, found = part.take(pa.array(wanted, pa.int64())), [found[i] for i in wanted]
             ends = np.append(0, np.cumsum([len(k) for k in found]))
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_pydict({
@@ -183,12 +190,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield kept.select(["a", "b"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids that link; `pairs` is a stored table."""
-    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-ids")
-    texts = docs.select("doc_id", "text").join(if_small(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, "id long, set array<long>").groupBy("id").agg(
-        F.max_by("set", F.struct(F.size("set"), F.xxhash64("set"))).alias("set")), "jaccard-sets")
+def _bitmaps_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, na, bits_a, b, nb, bits_b) whose bitmaps leave room for a link."""
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b")]):
+            one, two = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+            while len(two) > len(one):
+                two = two[: len(two) // 2] ^ two[len(two) // 2:]
+            keep.append(7 * int(np.bitwise_count(one ^ two).sum()) <= n + m)
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
+def verified(docs: DataFrame, best: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of document ids that link; `pairs` is a stored table, `best` has the fingerprint of each id."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = stored(ids.join(best.select("doc_id", "f1"), "doc_id"), "jaccard-ids")
+    texts = docs.select("doc_id", "text").join(if_small(ids), "doc_id")
+    sets = stored(texts.mapInArrow(_sets, "id long, set array<long>"), "jaccard-sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
@@ -220,9 +239,13 @@ def near_documents(docs: DataFrame) -> DataFrame:
     holders = stored(shared.join(keys, "key").join(reps, "f1").select("key", "rep", "n", "bits"), "jaccard-holders")
 
     # star: each holder against the least holder of its key
-    centre = holders.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
-    star = holders.join(centre, "key").filter("a <> rep and 4 * least(n, na) >= 3 * greatest(n, na)").select("a", F.col("rep").alias("b"))
-    links = stored(verified(docs, stored(star.distinct(), "jaccard-star")), "jaccard-links")
+    centre = holders.groupBy("key").agg(F.min(F.struct("rep", "n", "bits")).alias("c")).select(
+        "key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.bits").alias("bits_a"))
+    star = (
+        holders.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")).join(centre, "key")
+        .filter("a <> b and 4 * least(na, nb) >= 3 * greatest(na, nb)").drop("key").mapInArrow(_bitmaps_allow, "a long, b long")
+    )
+    links = stored(verified(docs, best, stored(star.distinct(), "jaccard-star")), "jaccard-links")
     label = components(spark, links, "jaccard-first").select(F.col("id").alias("rep"), F.col("component").alias("label"))
 
     # tiles: holders of a key in different components
@@ -238,7 +261,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     by = ["key", "i", "j"]
     close = tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_close_in_tile, "a long, b long")
     close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    more = stored(verified(docs, stored(close, "jaccard-close")), "jaccard-more")
+    more = stored(verified(docs, best, stored(close, "jaccard-close")), "jaccard-more")
 
     joined = components(spark, links.unionByName(more), "jaccard-components").withColumnRenamed("id", "rep")
     found = (
