@@ -231,7 +231,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")]):
             data = text.encode()
             merged: list[list[int]] = []
-            for span in sorted((s["start"], s["stop"]) for s in spans or []):
+            for span in sorted((s["start"], min(s["stop"], len(data))) for s in spans or [] if s["start"] < len(data)):
                 if merged and span[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], span[1])
                 else:
