@@ -13,7 +13,7 @@ from vigilark.llm.common import stored, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language that holds at least half of their letters."""
+    """Drops documents without a language that holds at least three tenths of their letters."""
     return language.keep_identified(docs, queries.language_model(docs))
 
 

@@ -30,6 +30,7 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3)  # bytes
 SWITCH_PENALTY = 12.0
 SAMPLE_ROWS = 20_000
+PIECE_BYTES = 8 << 20  # text that a task works on at once
 RARE_SCRIPT = 0.001  # a language uses a script when this share of its words is written in it
 # fixed values: first code points of script ranges and the script that starts there ("" for none)
 SCRIPTS = (
@@ -107,7 +108,7 @@ def fit_languages(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Langua
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in pieces(batch, most_bytes=16 << 20):
+            for part in pieces(batch, most_bytes=PIECE_BYTES):
                 langs = part.column("lang").to_pylist()
                 ids, names, offsets = words_of(part.column("text"))
                 if not len(names):
@@ -230,7 +231,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH_PENA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, most_bytes=16 << 20):
+            for part in pieces(batch, most_bytes=PIECE_BYTES):
                 made = _label(model, part.column("text"), penalty, spans)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *made.values()], names=[*part.schema.names, *made.keys()])
@@ -246,7 +247,7 @@ def in_fold(folds: int) -> "F.Column":
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
     """docs whose main language holds at least `least` of their letters; same columns. Rejects `und`."""
     flagged = identify(docs.withColumns({"lang_pred": F.lit(None), "score": F.lit(None)}), model)
     return flagged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
