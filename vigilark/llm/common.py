@@ -65,32 +65,34 @@ def components(spark: SparkSession, edges: DataFrame, purpose: str) -> DataFrame
     """(id, component): the smallest id that each linked id reaches.
 
     Alternates star contractions: every id points the larger of its neighbours, then the smaller ones,
-    at the least of them, until nothing changes. Each round is a written table; the number of rounds grows with
+    at the least of them, until only stars are left. Each round is a written table; the number of rounds grows with
     the logarithm of the longest chain. `edges` has columns a, b; ids without an edge are not returned.
     """
     both = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     now = stored(edges.filter("a <> b").select(*both).distinct(), purpose)
-    state = None
-    while True:
+    while not _are_stars(now):
         turned = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = turned.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         larger = turned.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         large = stored(larger.filter("lo <> hi").distinct(), purpose)
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.col("m").alias("lo"), "lo", "hi").toDF("m", "lo", "hi")
+        small = large.join(down, "hi")
         now = stored(
-            small.select(F.col("m").alias("lo"), F.col("hi")).unionByName(
-                small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
+            small.select(F.col("m").alias("lo"), "hi").unionByName(small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
             .filter("lo <> hi").distinct(), purpose)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
     tree = now.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("id"), "component")
     return tree.unionByName(tree.select(F.col("component").alias("id"), "component").distinct())
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every larger id has one smaller id, which is no larger id itself."""
+    ends = pairs.select(F.col("lo").alias("id"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(
+        pairs.select(F.col("hi").alias("id"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    per_id = ends.groupBy("id").agg(F.max("low").alias("low"), F.sum("high").alias("high"))
+    return not per_id.agg(F.coalesce(F.bool_or(F.expr("low + high > 1")), F.lit(False))).first()[0]
+
+
 # ---- text in tasks -------------------------------------------------------------------------------
 
 
