@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from vigilark.llm.common import pieces, ranges, stored, text_of, unit_hash, words_of
 
 SAMPLE_ROWS = 2_000
-COMMON_WORDS = 1 << 19
-MODEL_PAIRS = 1 << 21  # counted runs, and contexts, kept in the model, the most frequent; shorter contexts stand in for others
+COMMON_WORDS = 1 << 18
+MODEL_PAIRS = 1 << 20  # counted runs, and contexts, kept in the model, the most frequent; shorter contexts stand in for others
 NONE = (1 << 20) - 1  # in place of a second subword before
 WINDOW, STRIDE, DIM, CLASSES = 32, 24, 8, 32
-STEPS, BATCH, RATE, DISCOUNT = 300, 192, 0.02, 0.7
+STEPS, BATCH, RATE, DISCOUNT = 500, 192, 0.02, 0.7
 BEGIN, END = 1, 2
-PIECE_BYTES = 12 << 20
+PIECE_BYTES = 5 << 20  # text that a task works on at once
 
 
 class Subwords:
@@ -131,7 +131,7 @@ def _forward(w: dict[str, np.ndarray], before: np.ndarray) -> tuple:
     flat = x.reshape(-1, DIM)
     q, k, v = ((flat @ m).reshape(n, width, DIM) for m in (w["query"] * np.float32(DIM ** -0.5), w["key"], w["value"]))
     scores = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(scores, 30, out=scores)
+    np.clip(scores, -30, 30, out=scores)
     np.exp(scores, out=scores)
     scores *= np.tri(width, dtype=np.float32)
     total = np.matmul(scores, np.ones((width, 1), np.float32))
@@ -206,7 +206,7 @@ def class_scores(model: Attention, tokens: np.ndarray, bounds: np.ndarray) -> np
             at = at[:, from_place:].reshape(-1)
             logits = state @ w["out"]
             logits += w["bias"]
-            np.minimum(logits, 60, out=logits)
+            np.clip(logits, -60, 60, out=logits)
             own = np.take_along_axis(logits, target[at][:, None], 1)[:, 0]
             np.exp(logits, out=logits)
             # what a text's last window writes behind its end lies in first windows of later texts, which come later
@@ -253,6 +253,14 @@ def _place(t: dict[str, np.ndarray]) -> np.ndarray:
     return np.arange(len(t["flat"])) - np.repeat(t["first"][:-1], np.diff(t["first"]))
 
 
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, counts) of a bounded table."""
+    rows = table.toArrow()
+    keys, n = (rows.column(i).to_numpy().astype(kind) for i, kind in ((0, np.int64), (1, np.float64)))
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), missing)
@@ -308,7 +316,26 @@ def fit_sample(rows: DataFrame, tokenizer: bytes, sample_rows: int = SAMPLE_ROWS
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.to_bytes()], pa.binary())})
 
     sample = rows.filter(unit_hash("attention", "doc_id") < share).select("text")
-    return Attention.from_bytes(bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()[0]))
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    if row is None:  # nothing to learn from
+        return fit_attention(np.zeros(0, np.int32), Subwords(tokenizer).size)
+    return Attention.from_bytes(bytes(row[0]))
+
+
+def most_frequent(counted: DataFrame, room: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Rows above a count that leaves at most `room` of them, and (level, rows, sum) of all levels of `n`.
+
+    Levels are sixteenths of powers of two: some hundred rows reach the driver, and no sort is needed.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    levels = sorted((tuple(r) for r in counted.groupBy(level).agg(F.count("*"), F.sum("n")).collect()), reverse=True)
+    least = None
+    for at, rows, _ in levels:
+        room -= rows
+        if room < 0:
+            break
+        least = at
+    return counted.filter(level >= least) if least is not None else counted.limit(0), levels
 
 
 def run_model(runs: DataFrame, model: Attention) -> Counts:
@@ -316,15 +343,13 @@ def run_model(runs: DataFrame, model: Attention) -> Counts:
     spark = runs.sparkSession
     split = runs.select((F.col("run").bitwiseAND((1 << 20) - 1)).cast("int").alias("token"), F.shiftright("run", 20).alias("context"), "run", "n")
     single = np.full(len(model.classes), 0.5)
-    per = split.filter(F.shiftright("context", 20) == NONE).groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    single[per["token"]] += per["n"]
+    token, n = _sorted(split.filter(F.shiftright("context", 20) == NONE).groupBy("token").agg(F.sum("n").alias("n")))
+    single[token] += n
     single /= np.bincount(model.classes, weights=single, minlength=CLASSES)[model.classes]
     named = spark.createDataFrame(list(enumerate(model.classes.tolist())), "token int, class int")  # one row per subword
     totals = split.join(F.broadcast(named), "token").groupBy((F.col("context") * CLASSES + F.col("class")).alias("key")).agg(F.sum("n").alias("n"))
-    totals = totals.orderBy(F.desc("n"), "key").limit(MODEL_PAIRS).toPandas().sort_values("key")
-    kept = runs.select("run", "n").orderBy(F.desc("n"), "run").limit(MODEL_PAIRS).toPandas().sort_values("run")
-    rest_keys, total = totals["key"].to_numpy(np.int64), totals["n"].to_numpy(np.float64)
-    own, n = kept["run"].to_numpy(np.int64), kept["n"].to_numpy(np.float64)
+    rest_keys, total = _sorted(most_frequent(stored(totals, "attention-contexts"), MODEL_PAIRS)[0].select("key", "n"))
+    own, n = _sorted(most_frequent(runs.select("run", "n"), MODEL_PAIRS)[0])
     key = (own >> 20) * CLASSES + model.classes[own & ((1 << 20) - 1)]
     inside = _lookup(rest_keys, np.ones(len(rest_keys)), key, 0.0) > 0
     own, n, group = own[inside], n[inside], np.searchsorted(rest_keys, key[inside])
@@ -343,26 +368,19 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
     runs = run_model(counts.filter("run is not null").select("run", "n"), model)
     words = counts.filter("word is not null").select("word", "n")
     n_docs = training.count()
-    step = F.floor(F.log2("n") * 16).cast("int")
-    levels = sorted(words.groupBy(step.alias("step")).agg(F.count("*"), F.sum("n")).collect(), reverse=True)  # some hundred rows
+    common, levels = most_frequent(words, common_words)
     n_train = n_docs + sum(r[2] for r in levels)
     n_words = (1 if n_docs else 0) + sum(r[1] for r in levels)
-    room, least = common_words, None
-    for level, n, _ in levels:
-        room -= n
-        if room < 0:
-            break
-        least = level
-    common = words.filter(step >= least).toPandas() if least is not None else words.limit(0).toPandas()
+    common = common.toArrow()
+    listed = pa.chunked_array(common.column("word").chunks, pa.string()).combine_chunks().cast(pa.large_string())
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((common["word"].tolist(), common["n"].to_numpy(np.int64), model, runs))
+    shipped = spark.sparkContext.broadcast((listed, common.column("n").to_numpy(), model, runs))
     others = [f for f in docs.schema if f.name != "text"]
     scale = float(n_train + n_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(tokenizer)
         listed, n_common, attention, runs = shipped.value
-        listed = pa.array(listed, pa.large_string())
         logs = np.append(np.log10((n_common + 1) / scale), 0.0)
         for batch in batches:
             for part in pieces(batch, most_bytes=PIECE_BYTES):
