@@ -126,6 +126,16 @@ def test_windows_score_each_token_once():
     assert np.allclose(together, np.concatenate(alone), atol=1e-5) and (together < 0).all()
 
 
+def test_scores_do_not_depend_on_what_tasks_look_up(spark, monkeypatch):
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text")
+    scores = []
+    for room in (attention.MODEL_PAIRS, 2000, 0):
+        monkeypatch.setattr(attention, "MODEL_PAIRS", room)
+        rows = attention.score_documents(docs, docs.filter(language.in_fold(7) != 2), TOKENIZER).collect()
+        scores.append([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
+    assert np.allclose(scores[0], scores[1], rtol=1e-6) and np.allclose(scores[0], scores[2], rtol=1e-6)
+
+
 def test_scoring_edges(spark):
     docs = empty(spark).select("doc_id", "text")
     assert attention.score_documents(docs, docs, TOKENIZER).collect() == []

@@ -10,6 +10,8 @@ window that has it behind the overlap.
 The subword tokenizer is a public sentencepiece model whose path is a parameter; it is shipped with the job. A word is
 encoded by itself; each text ends with one end token.
 
+Runs and contexts beyond the MODEL_PAIRS most frequent are joined with the whole tables of counts.
+
 Base score: sum of log10((c + 1) / (N + V + 1)) over words and the end. Words above a count that leaves at most
 `COMMON_WORDS` are looked up in tasks; all others are joined with the whole word table.
 
@@ -33,7 +35,7 @@ from vigilark.llm.common import pieces, ranges, stored, text_of, unit_hash, word
 
 SAMPLE_ROWS = 2_000
 COMMON_WORDS = 1 << 18
-MODEL_PAIRS = 1 << 20  # counted runs, and contexts, kept in the model, the most frequent; shorter contexts stand in for others
+MODEL_PAIRS = 1 << 20  # counted runs, and contexts, that tasks look up, the most frequent; the others are joined
 NONE = (1 << 20) - 1  # in place of a second subword before
 WINDOW, STRIDE, DIM, CLASSES = 32, 24, 8, 32
 STEPS, BATCH, RATE, DISCOUNT = 500, 192, 0.02, 0.7
@@ -221,13 +223,26 @@ def run_key(second: np.ndarray | int, before: np.ndarray, token: np.ndarray) ->
 
 @dataclass
 class Counts:
-    """Chances of subwords in their class (`single`) and of kept runs; mass left for shorter contexts by (context, class)."""
+    """Chances of subwords in their class (`single`) and of kept runs; mass left for shorter contexts by (context, class).
+
+    A (context, class) is `whole` when all runs counted in it are kept, so that any other run is an unseen one;
+    `complete`: all runs of all contexts are kept.
+    """
 
     single: np.ndarray
     runs: np.ndarray
     chances: np.ndarray
     rest_keys: np.ndarray
     rest: np.ndarray
+    whole: np.ndarray
+    complete: bool
+
+    def settled(self, runs: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Whether what is kept gives the whole table's count of the run and of its context and class."""
+        if self.complete:
+            return np.ones(len(runs), bool)
+        whole = _lookup(self.rest_keys, self.whole, (runs >> 20) * CLASSES + classes, False)
+        return whole | _lookup(self.runs, np.ones(len(self.runs), bool), runs, False)
 
     def chance(self, runs: np.ndarray, classes: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         """Discounted share of the run in its context and class, and the left mass times the shorter context's chance."""
@@ -237,16 +252,21 @@ class Counts:
     def after_one(self, before: np.ndarray, token: np.ndarray, classes: np.ndarray) -> np.ndarray:
         return self.chance(run_key(NONE, before, token), classes[token], self.single[token])
 
-    def in_words(self, t: dict[str, np.ndarray], classes: np.ndarray) -> np.ndarray:
-        """log chance of each subword of distinct words but the first, given one or two before it in the word."""
+    def in_words(self, t: dict[str, np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log chance, run, settled) of each subword of distinct words but the first, given one or two before it in the word."""
         out, flat = np.zeros(len(t["flat"])), t["flat"]
+        run, sure = np.zeros(len(flat), np.int64), np.ones(len(flat), bool)
         place = _place(t)
         k = np.flatnonzero(place > 0)
         out[k] = self.after_one(flat[k - 1], flat[k], classes)
+        run[k] = run_key(NONE, flat[k - 1], flat[k])
+        sure[k] = self.settled(run[k], classes[flat[k]])
         k = np.flatnonzero(place > 1)
-        out[k] = self.chance(run_key(flat[k - 2], flat[k - 1], flat[k]), classes[flat[k]], out[k])
+        run[k] = run_key(flat[k - 2], flat[k - 1], flat[k])
+        out[k] = self.chance(run[k], classes[flat[k]], out[k])
+        sure[k] &= self.settled(run[k], classes[flat[k]])
         out[place > 0] = np.log(out[place > 0])
-        return out
+        return out, run, sure
 
 
 def _place(t: dict[str, np.ndarray]) -> np.ndarray:
@@ -338,24 +358,55 @@ def most_frequent(counted: DataFrame, room: int) -> tuple[DataFrame, list[tuple[
     return counted.filter(level >= least) if least is not None else counted.limit(0), levels
 
 
-def run_model(runs: DataFrame, model: Attention) -> Counts:
-    """`runs` is a stored table (run, n). Subwords, MODEL_PAIRS runs and as many contexts reach the driver at most."""
-    spark = runs.sparkSession
+def run_model(runs: DataFrame, model: Attention) -> tuple[Counts, DataFrame]:
+    """(what tasks look up, the whole table (key, total, n_runs) by context and class) of a stored table (run, n).
+
+    Subwords, MODEL_PAIRS runs and as many contexts reach the driver at most.
+    """
     split = runs.select((F.col("run").bitwiseAND((1 << 20) - 1)).cast("int").alias("token"), F.shiftright("run", 20).alias("context"), "run", "n")
     single = np.full(len(model.classes), 0.5)
     token, n = _sorted(split.filter(F.shiftright("context", 20) == NONE).groupBy("token").agg(F.sum("n").alias("n")))
     single[token] += n
     single /= np.bincount(model.classes, weights=single, minlength=CLASSES)[model.classes]
-    named = spark.createDataFrame(list(enumerate(model.classes.tolist())), "token int, class int")  # one row per subword
-    totals = split.join(F.broadcast(named), "token").groupBy((F.col("context") * CLASSES + F.col("class")).alias("key")).agg(F.sum("n").alias("n"))
-    rest_keys, total = _sorted(most_frequent(stored(totals, "attention-contexts"), MODEL_PAIRS)[0].select("key", "n"))
-    own, n = _sorted(most_frequent(runs.select("run", "n"), MODEL_PAIRS)[0])
+    groups = stored(
+        split.join(F.broadcast(_named(runs, model, single)), "token").groupBy((F.col("context") * CLASSES + F.col("class")).alias("key"))
+        .agg(F.sum("n").alias("total"), F.count("*").alias("n_runs")), "attention-contexts")
+    often, levels = most_frequent(groups.withColumnRenamed("total", "n"), MODEL_PAIRS)
+    kept = often.select("key", "n", "n_runs").toArrow()
+    rest_keys, total, n_runs = (kept.column(i).to_numpy().astype(kind) for i, kind in enumerate((np.int64, np.float64, np.float64)))
+    order = np.argsort(rest_keys)
+    rest_keys, total, n_runs = rest_keys[order], total[order], n_runs[order]
+    common, run_levels = most_frequent(runs.select("run", "n"), MODEL_PAIRS)
+    own, n = _sorted(common)
     key = (own >> 20) * CLASSES + model.classes[own & ((1 << 20) - 1)]
     inside = _lookup(rest_keys, np.ones(len(rest_keys)), key, 0.0) > 0
     own, n, group = own[inside], n[inside], np.searchsorted(rest_keys, key[inside])
-    less = np.maximum(n - DISCOUNT, 0)
-    used = np.bincount(group, weights=less, minlength=len(rest_keys))
-    return Counts(single, own, less / total[group], rest_keys, (total - used) / total)
+    complete = max(sum(r[1] for r in levels), sum(r[1] for r in run_levels)) <= MODEL_PAIRS
+    whole = np.bincount(group, minlength=len(rest_keys)) == n_runs
+    # every run leaves DISCOUNT to shorter contexts
+    return Counts(single, own, (n - DISCOUNT) / total[group], rest_keys, DISCOUNT * n_runs / total, whole, complete), groups
+
+
+def _named(rows: DataFrame, model: Attention, single: np.ndarray) -> DataFrame:
+    """(token, class, single), one row per subword."""
+    listed = list(zip(range(len(single)), model.classes.tolist(), single.tolist()))
+    return rows.sparkSession.createDataFrame(listed, "token int, class int, single double")
+
+
+def joined_chances(wanted: DataFrame, runs: DataFrame, groups: DataFrame, model: Attention, single: np.ndarray) -> DataFrame:
+    """(run, chance) of distinct runs, from the whole tables `runs` and `groups`; the same rule as `Counts.chance`."""
+    low = F.lit(NONE << 40).bitwiseOR(F.col("run").bitwiseAND((1 << 40) - 1))
+    rows = wanted.withColumn("token", F.col("run").bitwiseAND((1 << 20) - 1).cast("int")).join(F.broadcast(_named(wanted, model, single)), "token")
+    chance = F.col("single")
+    for name, key in (("two", low), ("three", F.col("run"))):
+        counted = runs.select(F.col("run").alias(name), F.col("n").alias(f"n_{name}"))
+        group = groups.select(F.col("key").alias(f"key_{name}"), F.col("total").alias(f"total_{name}"), F.col("n_runs").alias(f"runs_{name}"))
+        rows = rows.withColumn(name, key).withColumn(f"key_{name}", F.shiftright(name, 20) * CLASSES + F.col("class"))
+        rows = rows.join(counted, name, "left").join(group, f"key_{name}", "left")
+        own = F.coalesce((F.col(f"n_{name}") - DISCOUNT) / F.col(f"total_{name}"), F.lit(0.0))
+        longer = own + F.coalesce(DISCOUNT * F.col(f"runs_{name}") / F.col(f"total_{name}"), F.lit(1.0)) * chance
+        chance = longer if name == "two" else F.when(F.shiftright("run", 40) == NONE, chance).otherwise(longer)
+    return rows.select("run", chance.alias("chance"))
 
 
 def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, common_words: int = COMMON_WORDS) -> DataFrame:
@@ -365,7 +416,8 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
     training = training.select("doc_id", text_of().alias("text"))
     counts = stored(corpus_counts(training, tokenizer), "attention-counts")
     model = fit_sample(training, tokenizer)
-    runs = run_model(counts.filter("run is not null").select("run", "n"), model)
+    counted = counts.filter("run is not null").select("run", "n")
+    runs, groups = run_model(counted, model)
     words = counts.filter("word is not null").select("word", "n")
     n_docs = training.count()
     common, levels = most_frequent(words, common_words)
@@ -395,19 +447,25 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
                 rare_words = t["names"].take(pa.array(t["ids"][rare])).cast(pa.string())
                 rare_of = np.append(0, np.cumsum(np.bincount(row[rare], minlength=n))).astype(np.int32)
                 tokens = t["flat"][t["at"]]
-                log = runs.in_words(t, attention.classes)[t["at"]]  # each distinct word is looked up once
+                log, run, sure = (x[t["at"]] for x in runs.in_words(t, attention.classes))  # each distinct word is looked up once
                 token, before, start = _pairs(t)
                 log[start] = np.log(runs.after_one(before, token, attention.classes))
+                run[start] = run_key(NONE, before, token)
+                sure[start] = runs.settled(run[start], attention.classes[token])
+                log[~sure] = 0
+                unsure = run[~sure]
+                unsure_of = np.append(0, np.cumsum(~sure))[t["bounds"]].astype(np.int32)
                 log += class_scores(attention, tokens, t["bounds"])
                 score = np.add.reduceat(log, t["bounds"][:-1]) / np.log(10.0) if n else np.zeros(0)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(f.name) for f in others], pa.array(np.diff(t["offsets"]) + 1), pa.array(n_known), pa.array(base),
-                     pa.array(score), pa.ListArray.from_arrays(pa.array(rare_of), rare_words)],
-                    names=[*[f.name for f in others], "n_tokens", "n_known", "base_score", "score", "rare"])
+                     pa.array(score), pa.ListArray.from_arrays(pa.array(rare_of), rare_words),
+                     pa.ListArray.from_arrays(pa.array(unsure_of), pa.array(unsure))],
+                    names=[*[f.name for f in others], "n_tokens", "n_known", "base_score", "score", "rare", "runs"])
 
     made = docs.select(*[f.name for f in others], text_of().alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    scored = stored(made.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double, rare array<string>")
+    scored = stored(made.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double, rare array<string>, runs array<long>")
                     .withColumn("_row", F.monotonically_increasing_id()), "attention-scores")
     rare = scored.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("times"))
     n = F.coalesce("n", F.lit(0))
@@ -415,6 +473,14 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
         rare.join(words, "word", "left").groupBy("_row")
         .agg(F.sum(F.col("times") * F.log10((n + 1) / F.lit(scale))).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"))
     )
-    return scored.drop("rare").join(extra, "_row", "left").select(
+    score = F.col("score")
+    found = scored.drop("rare", "runs").join(extra, "_row", "left")
+    if not runs.complete:
+        unsure = scored.select("_row", F.explode("runs").alias("run")).groupBy("_row", "run").agg(F.count("*").alias("times"))
+        chances = joined_chances(unsure.select("run").distinct(), counted, groups, model, runs.single)
+        added = unsure.join(chances, "run").groupBy("_row").agg(F.sum(F.col("times") * F.log10("chance")).alias("joined"))
+        found, score = found.join(added, "_row", "left"), score + F.coalesce("joined", F.lit(0.0))
+    return found.select(
         *[f.name for f in others], "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        score.alias("score"))
