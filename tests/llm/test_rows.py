@@ -136,6 +136,23 @@ def test_scores_do_not_depend_on_what_tasks_look_up(spark, monkeypatch):
     assert np.allclose(scores[0], scores[1], rtol=1e-6) and np.allclose(scores[0], scores[2], rtol=1e-6)
 
 
+def test_training_passes_over_every_row(spark):
+    with open(TOKENIZER, "rb") as file:
+        tokenizer = file.read()
+    subwords = attention.Subwords(tokenizer)
+    docs = spark.createDataFrame([(i, f"the red fox {i} sees the blue bird " * 30) for i in range(40)] + [(99, "zebra quilt")], "doc_id long, text string")
+    counted = attention.corpus_counts(docs, tokenizer).filter("run is not null").select("run", "n")
+    classes = attention.corpus_classes(counted, subwords.size)
+    start = attention.fit_attention(np.zeros(0, np.int32), subwords.size, classes)
+    one, n_one = attention.train(docs, tokenizer, start)
+    _, n_two = attention.train(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100)), tokenizer, start)
+    rows = [attention._with_begin(attention.token_rows(r.column("text"), subwords)) for r in docs.toArrow().to_batches()]
+    assert n_one * attention.WINDOW >= sum(map(len, rows)) - 41 and n_two > 1.5 * n_one
+    rare = attention.token_rows(docs.filter("doc_id = 99").select("text").toArrow().column("text").combine_chunks(), subwords)["flat"]
+    assert all((one.weights["embed"][t] != start.weights["embed"][t]).any() for t in rare[:-1])
+    assert len(classes) == subwords.size
+
+
 def test_scoring_edges(spark):
     docs = empty(spark).select("doc_id", "text")
     assert attention.score_documents(docs, docs, TOKENIZER).collect() == []

@@ -1,10 +1,10 @@
 """Language-model scoring with a causal self-attention model on subword ids.
 
 The chance of a subword is the chance of its class, given by attention over the subwords before it, times the chance
-of the subword in its class after the one or two subwords before it, from counts over the whole training corpus. The attention
-model (one head, residual, trained by Adam in numpy) and the classes (k-means over neighbours) are learned
-in one task from at most about `SAMPLE_ROWS` training rows; unigram and bigram counts and the word counts of the base score
-come from all of them. Texts are scored in context windows that overlap; each token is scored once, in the
+of the subword in its class after the one or two subwords before it, from counts over the whole training corpus. The
+classes are k-means over each subword's neighbours, from the counted bigrams of all training rows. The attention model
+(one head, residual, trained by Adam in numpy) starts from at most about `SAMPLE_ROWS` training rows in one task and then
+passes over every training row once, in `ROUNDS` rounds of tasks whose parameters are averaged. Texts are scored in context windows that overlap; each token is scored once, in the
 window that has it behind the overlap.
 
 The subword tokenizer is a public sentencepiece model whose path is a parameter; it is shipped with the job. A word is
@@ -39,6 +39,8 @@ MODEL_PAIRS = 1 << 20  # counted runs, and contexts, that tasks look up, the mos
 NONE = (1 << 20) - 1  # in place of a second subword before
 WINDOW, STRIDE, DIM, CLASSES = 32, 24, 8, 32
 STEPS, BATCH, RATE, DISCOUNT = 500, 192, 0.02, 0.7
+ROUNDS, ROUND_BATCH = 4, 512  # rounds of the pass over all rows; windows of a step in them
+OTHERS = ("place", "query", "key", "value", "out", "bias")  # parameters that all subwords share
 BEGIN, END = 1, 2
 PIECE_BYTES = 5 << 20  # text that a task works on at once
 
@@ -95,24 +97,26 @@ class Attention:
             return cls(found["classes"], {k: found[k] for k in found.files if k != "classes"})
 
 
-def _classes(tokens: np.ndarray, size: int) -> np.ndarray:
-    """Class of each subword: k-means over a projection of the subwords before and after it."""
-    rng = np.random.default_rng(5)
-    table = rng.standard_normal((size, 48)).astype(np.float32)
-    count = np.bincount(tokens, minlength=size)
-    seen = np.flatnonzero(count > 2)
-    near = np.zeros((size, 96), np.float32)
-    for a in range(0, len(tokens) - 1, 1 << 18):
-        now, after = tokens[a:a + (1 << 18)], tokens[a + 1:a + 1 + (1 << 18)]
-        now = now[: len(after)]
-        order, back = np.argsort(now, kind="stable"), np.argsort(after, kind="stable")
-        for own, other, columns in ((now[order], after[order], slice(0, 48)), (after[back], now[back], slice(48, 96))):
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            near[own[first], columns] += np.add.reduceat(table[other], first, axis=0)
-    found = rng.integers(0, CLASSES, size)
+def _neighbour_table(size: int) -> np.ndarray:
+    return np.random.default_rng(5).standard_normal((size, 48)).astype(np.float32)
+
+
+def _add_neighbours(near: np.ndarray, table: np.ndarray, own: np.ndarray, other: np.ndarray, n: np.ndarray, after: np.ndarray) -> None:
+    """Adds the projections of n neighbours to their subwords' rows, those after a subword in front of those before it."""
+    for side, columns in ((after, slice(0, 48)), (~after, slice(48, 96))):
+        at = np.flatnonzero(side)[np.argsort(own[side], kind="stable")]
+        if len(at):
+            first = np.flatnonzero(np.append(True, own[at][1:] != own[at][:-1]))
+            near[own[at][first], columns] += np.add.reduceat(table[other[at]] * n[at, None], first, axis=0)
+
+
+def _clustered(near: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Class of each subword: k-means over the projections of its neighbours; those never seen get a drawn class."""
+    found = np.random.default_rng(6).integers(0, CLASSES, len(count))
+    seen = np.flatnonzero(count > 0)
     if len(seen) < CLASSES:
         return found
-    x = near[seen] / np.sqrt(count[seen])[:, None]
+    x = (near[seen] / np.sqrt(count[seen])[:, None]).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-6
     centres = x[np.argsort(-count[seen])[:CLASSES]]
     for _ in range(15):
@@ -126,6 +130,42 @@ def _classes(tokens: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
+def _classes(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Classes from one row of subwords."""
+    near, table = np.zeros((size, 96)), _neighbour_table(size)
+    for a in range(0, len(tokens) - 1, 1 << 18):
+        now, after = tokens[a:a + (1 << 18)], tokens[a + 1:a + 1 + (1 << 18)]
+        now, n = now[: len(after)], np.ones(len(after), np.float32)
+        _add_neighbours(near, table, now, after, n, np.ones(len(n), bool))
+        _add_neighbours(near, table, after, now, n, np.zeros(len(n), bool))
+    return _clustered(near, np.bincount(tokens, minlength=size).astype(np.float64))
+
+
+def corpus_classes(runs: DataFrame, size: int) -> np.ndarray:
+    """Classes from the counted bigrams (run, n) of all rows; one row per subword reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, table, count = np.zeros((size, 96)), _neighbour_table(size), np.zeros(size)
+        for batch in batches:
+            own, other, n, after = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("own", "other", "n", "after"))
+            _add_neighbours(near, table, own, other, n, after)
+            count += np.bincount(own, weights=np.where(after, 0, n), minlength=size)  # each occurrence has one subword before it
+        seen = np.flatnonzero(count > 0)
+        yield pa.RecordBatch.from_pydict({
+            "token": pa.array(seen), "n": pa.array(count[seen]), "near": pa.array([x.tobytes() for x in near[seen]], pa.binary())})
+
+    token, before = (F.shiftright("run", k).bitwiseAND((1 << 20) - 1) for k in (0, 20))
+    bigrams = runs.filter(F.shiftright("run", 40) == NONE)
+    sides = bigrams.select(before.alias("own"), token.alias("other"), "n", F.lit(True).alias("after")).unionByName(
+        bigrams.select(token.alias("own"), before.alias("other"), "n", F.lit(False).alias("after")))
+    rows = sides.repartition("own").mapInArrow(run, "token long, n double, near binary").toArrow()
+    near, count = np.zeros((size, 96)), np.zeros(size)
+    token = rows.column("token").to_numpy()
+    count[token] = rows.column("n").to_numpy()
+    near[token] = np.frombuffer(b"".join(rows.column("near").to_pylist())).reshape(-1, 96)
+    return _clustered(near, count)
+
+
 def _forward(w: dict[str, np.ndarray], before: np.ndarray) -> tuple:
     """States after attention for windows of subwords (batch, window)."""
     n, width = before.shape
@@ -142,46 +182,136 @@ def _forward(w: dict[str, np.ndarray], before: np.ndarray) -> tuple:
     return x, q, k, v, scores, total, x + mixed_in
 
 
-def fit_attention(tokens: np.ndarray, size: int) -> Attention:
-    """Classes and class model from one row of subwords (each text: BEGIN, its subwords, END)."""
-    classes = _classes(tokens, size)
+def _gradients(model: Attention, w: dict[str, np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(gradients of all but `embed`, gradients of the state that enters at each subword of `before`)."""
+    target = model.classes[after]
+    x, q, k, v, scores, total, state = _forward(w, before)
+    share = scores / total
+    logits = state @ w["out"] + w["bias"]
+    logits -= logits.max(2, keepdims=True)
+    p = np.exp(logits)
+    p /= p.sum(2, keepdims=True)
+    np.put_along_axis(p, target[..., None], np.take_along_axis(p, target[..., None], 2) - 1, 2)
+    p /= target.size
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    d_state = p @ w["out"].T
+    d_share = np.matmul(d_state, v.transpose(0, 2, 1))
+    d_scores = share * (d_share - (d_share * share).sum(2, keepdims=True))
+    d_v = np.matmul(share.transpose(0, 2, 1), d_state)
+    d_q, d_k = np.matmul(d_scores, k) * np.float32(DIM ** -0.5), np.matmul(d_scores.transpose(0, 2, 1), q)
+    d_x = d_state + d_q @ w["query"].T + d_k @ w["key"].T + d_v @ w["value"].T
+    return {
+        "out": flat(state).T @ flat(p), "bias": flat(p).sum(0), "query": flat(x).T @ flat(d_q),
+        "key": flat(x).T @ flat(d_k), "value": flat(x).T @ flat(d_v), "place": d_x.sum(0)}, flat(d_x)
+
+
+class Adam:
+    """Steps on a model's parameters; rows of `embed` that a batch does not hold rest."""
+
+    def __init__(self, model: Attention):
+        self.model, self.w, self.turn = model, {k: v.copy() for k, v in model.weights.items()}, 0
+        self.slow = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
+
+    def step(self, before: np.ndarray, after: np.ndarray, rate: float) -> None:
+        self.turn += 1
+        grads, d_x = _gradients(self.model, self.w, before, after)
+        token, place = np.unique(before.reshape(-1), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        first = np.append(0, np.cumsum(np.bincount(place)))[:-1]
+        grads["embed"] = np.add.reduceat(d_x[order], first, axis=0)
+        for name, g in grads.items():
+            at = token if name == "embed" else slice(None)
+            m, s = (x[at] for x in self.slow[name])
+            m, s = m + np.float32(0.1) * (g - m), s + np.float32(0.01) * (g * g - s)
+            self.slow[name][0][at], self.slow[name][1][at] = m, s
+            self.w[name][at] -= (rate * (m / (1 - 0.9 ** self.turn)) / (np.sqrt(s / (1 - 0.99 ** self.turn)) + 1e-8)).astype(np.float32)
+
+
+def fit_attention(tokens: np.ndarray, size: int, classes: np.ndarray | None = None) -> Attention:
+    """Classes, where none are given, and class model from one row of subwords (each text: BEGIN, its subwords, END)."""
     rng = np.random.default_rng(11)
     shapes = {"embed": (size, DIM), "place": (WINDOW, DIM), "query": (DIM, DIM), "key": (DIM, DIM), "value": (DIM, DIM), "out": (DIM, CLASSES)}
     w = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in shapes.items()} | {"bias": np.zeros(CLASSES, np.float32)}
-    slow = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
+    model = Attention(_classes(tokens, size) if classes is None else classes, w)
     if len(tokens) <= WINDOW + 1:
-        return Attention(classes, w)
+        return model
+    adam = Adam(model)
     for step in range(1, STEPS + 1):
         at = rng.integers(0, len(tokens) - WINDOW - 1, BATCH)[:, None] + np.arange(WINDOW)
-        before, target = tokens[at], classes[tokens[at + 1]]
-        x, q, k, v, scores, total, state = _forward(w, before)
-        share = scores / total
-        logits = state @ w["out"] + w["bias"]
-        logits -= logits.max(2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(2, keepdims=True)
-        np.put_along_axis(p, target[..., None], np.take_along_axis(p, target[..., None], 2) - 1, 2)
-        p /= target.size
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        d_state = p @ w["out"].T
-        d_share = np.matmul(d_state, v.transpose(0, 2, 1))
-        d_scores = share * (d_share - (d_share * share).sum(2, keepdims=True))
-        d_v = np.matmul(share.transpose(0, 2, 1), d_state)
-        d_q, d_k = np.matmul(d_scores, k) * np.float32(DIM ** -0.5), np.matmul(d_scores.transpose(0, 2, 1), q)
-        d_x = d_state + d_q @ w["query"].T + d_k @ w["key"].T + d_v @ w["value"].T
-        grads = {
-            "out": flat(state).T @ flat(p), "bias": flat(p).sum(0), "query": flat(x).T @ flat(d_q),
-            "key": flat(x).T @ flat(d_k), "value": flat(x).T @ flat(d_v), "place": d_x.sum(0)}
-        embed = np.zeros_like(w["embed"])
-        np.add.at(embed, before.reshape(-1), flat(d_x))
-        grads["embed"] = embed
-        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
-        for name, g in grads.items():
-            m, s = slow[name]
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            w[name] -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-    return Attention(classes, w)
+        adam.step(tokens[at], tokens[at + 1], RATE * min(1.0, 2 * (1 - step / (STEPS + 1))))
+    return Attention(model.classes, adam.w)
+
+
+def _with_begin(t: dict[str, np.ndarray]) -> np.ndarray:
+    return np.insert(t["flat"][t["at"]], t["bounds"][:-1], BEGIN).astype(np.int32)
+
+
+def train_round(rows: DataFrame, tokenizer: bytes, model: Attention, rate: float) -> tuple[Attention, int]:
+    """(model, number of windows) after one pass over every subword of rows (text), in windows side by side.
+
+    Each task goes on from the same parameters; they are averaged by the windows seen, a subword's own by how often the task
+    saw it. Sums of parts of the parameters move, so the driver gets one set whatever the number of tasks.
+    """
+    n_parts = 16
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, adam, rng = Subwords(tokenizer), Adam(shipped.value), np.random.default_rng(13)
+        seen, windows = np.zeros(subwords.size), 0
+        for batch in batches:
+            for part in pieces(batch, most_bytes=PIECE_BYTES):
+                tokens = _with_begin(token_rows(part.column("text"), subwords))
+                if len(tokens) <= WINDOW:
+                    tokens = np.append(tokens, np.full(WINDOW + 1 - len(tokens), END, np.int32))
+                starts = np.arange(0, len(tokens) - 1, WINDOW)
+                starts[-1] = len(tokens) - 1 - WINDOW  # the last window ends with the row
+                rng.shuffle(starts)
+                for a in range(0, len(starts), ROUND_BATCH):
+                    at = starts[a:a + ROUND_BATCH, None] + np.arange(WINDOW)
+                    adam.step(tokens[at], tokens[at + 1], rate)
+                    seen += np.bincount(tokens[at].reshape(-1), minlength=len(seen))
+                windows += len(starts)
+        if windows:
+            other = np.concatenate([adam.w[k].reshape(-1) for k in OTHERS]) * float(windows)
+            for k, own in enumerate(np.array_split(np.arange(len(seen)), n_parts)):
+                values = [np.append(adam.w["embed"][own] * seen[own, None], seen[own, None], 1).reshape(-1), *([other, [windows]] if k == 0 else [])]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([np.concatenate(values).tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(sums)
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    made = rows.select("text").mapInArrow(learn, "part int, sums binary").repartition("part").mapInArrow(add, "part int, sums binary")
+    found = {r["part"]: np.frombuffer(bytes(r["sums"])) for r in made.collect()}
+    if not found:
+        return model, 0
+    w = {k: v.copy() for k, v in model.weights.items()}
+    n_other = sum(w[k].size for k in OTHERS)
+    windows = int(found[0][-1])
+    for k, own in enumerate(np.array_split(np.arange(len(w["embed"])), n_parts)):
+        sums = found[k][: len(own) * (DIM + 1)].reshape(len(own), DIM + 1)
+        was = sums[:, DIM] > 0  # subwords not seen in this round stay
+        w["embed"][own[was]] = sums[was, :DIM] / sums[was, DIM:]
+    place = 0
+    mean = found[0][-1 - n_other:-1] / windows
+    for k in OTHERS:
+        w[k] = mean[place:place + w[k].size].reshape(w[k].shape).astype(np.float32)
+        place += w[k].size
+    return Attention(model.classes, w), windows
+
+
+def train(rows: DataFrame, tokenizer: bytes, model: Attention) -> tuple[Attention, int]:
+    """(model, number of windows) after one pass over all rows (doc_id, text), dealt to ROUNDS rounds by a hash of their ids."""
+    windows = 0
+    for k in range(ROUNDS):
+        own = rows.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == k)
+        model, n = train_round(own, tokenizer, model, RATE / 2 * (1 - k / ROUNDS))
+        windows += n
+    return model, windows
 
 
 def class_scores(model: Attention, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -322,23 +452,21 @@ def _pairs(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return token, before, place
 
 
-def fit_sample(rows: DataFrame, tokenizer: bytes, sample_rows: int = SAMPLE_ROWS) -> Attention:
-    """Attention model from about `sample_rows` of rows (doc_id, text), trained in one task."""
+def fit_sample(rows: DataFrame, tokenizer: bytes, classes: np.ndarray, sample_rows: int = SAMPLE_ROWS) -> Attention:
+    """Attention model to start from: about `sample_rows` of rows (doc_id, text), trained in one task."""
     share = min(1.0, sample_rows / max(1, rows.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, parts = Subwords(tokenizer), [np.zeros(0, np.int32)]
         for batch in batches:
-            t = token_rows(batch.column("text"), subwords)
-            tokens = t["flat"][t["at"]]
-            parts.append(np.insert(tokens, t["bounds"][:-1], BEGIN).astype(np.int32))
-        model = fit_attention(np.concatenate(parts), subwords.size)
+            parts.append(_with_begin(token_rows(batch.column("text"), subwords)))
+        model = fit_attention(np.concatenate(parts), subwords.size, classes)
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.to_bytes()], pa.binary())})
 
     sample = rows.filter(unit_hash("attention", "doc_id") < share).select("text")
     row = sample.repartition(1).mapInArrow(run, "model binary").first()
     if row is None:  # nothing to learn from
-        return fit_attention(np.zeros(0, np.int32), Subwords(tokenizer).size)
+        return fit_attention(np.zeros(0, np.int32), len(classes), classes)
     return Attention.from_bytes(bytes(row[0]))
 
 
@@ -415,8 +543,9 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
         tokenizer = file.read()
     training = training.select("doc_id", text_of().alias("text"))
     counts = stored(corpus_counts(training, tokenizer), "attention-counts")
-    model = fit_sample(training, tokenizer)
     counted = counts.filter("run is not null").select("run", "n")
+    classes = corpus_classes(counted, Subwords(tokenizer).size)
+    model, _ = train(training, tokenizer, fit_sample(training, tokenizer, classes))
     runs, groups = run_model(counted, model)
     words = counts.filter("word is not null").select("word", "n")
     n_docs = training.count()
