@@ -34,6 +34,16 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert together >= 0.9 * sum(sum(c.values()) for c in where.values() if sum(c.values()) == 4)
 
 
+def test_shards_keep_groups_whole_when_all_rows_are_linked(spark):
+    rows = [(i, f"text {i // 20}") for i in range(4800)]
+    found = shard.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=8).collect()
+    check_shards(found, 8)
+    where = {}
+    for r in found:
+        where.setdefault(r.doc_id // 20, set()).add(r.shard)
+    assert np.mean([len(x) == 1 for x in where.values()]) >= 0.95
+
+
 def test_shards_edges(spark):
     found = shard.with_shards(documents(spark), n_shards=3)
     assert found.columns[:5] == documents(spark).columns
