@@ -226,6 +226,15 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(empty(spark), "k").collect() == []
 
 
+@pytest.mark.parametrize("text, value", [
+    ("card 4111111111111111 123", "4111111111111111"), ("4111 1111 1111 1111 12/25", "4111 1111 1111 1111"),
+    ("room 12 4111111111111111", "4111111111111111"), ("DE89370400440532013000 BIC COBADEFF", "DE89370400440532013000"),
+    ("GB82WEST12345698765432 I", "GB82WEST12345698765432"), ("on 12/25/2024 at", "12/25/2024")])
+def test_values_beside_others_are_replaced(text, value):
+    new, counts = pseudonyms.Replacer(b"k")(text)
+    assert value not in new and sum(counts.values()) == 1 and len(new) == len(text)
+
+
 PARTS = chat.PART
 
 

@@ -6,7 +6,9 @@ inside), and written back; check digits are computed anew. The permutation depen
 values stay equal in all documents and different ones stay different.
 
 Kinds: mail addresses (letters and digits of all but the last label), payment cards (Luhn), IBANs (mod 97), social
-security numbers, telephone numbers, IPv4 addresses, calendar dates from 1900 to 2099, access keys.
+security numbers, telephone numbers, IPv4 addresses, calendar dates from 1900 to 2099 (year, day or month first), access keys. Where a card's or IBAN's
+pattern runs into its neighbours, every length from each start is tried until a check passes (for
+parts of a card's match, the lengths of the issuer that the first digits name).
 
 Cases: null texts stay null; values that fail their check, empty texts and texts without values stay as they are; overlapping
 finds go to the first kind in the list; repeated rows and other columns are kept, columns named like the
@@ -30,6 +32,14 @@ from vigilark.llm.common import pieces
 ROUNDS = 8
 HINT = r"@|[0-9]{2}|AKIA"  # every value holds one of these
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+LATE_DAYS = [d for d in (FIRST_DAY + timedelta(i) for i in range(DAYS)) if d.day > 12]
+LATE_PLACE = {d: i for i, d in enumerate(LATE_DAYS)}
+# fixed values: characters of an IBAN by country
+IBAN_LENGTHS = {k: n for n, names in (
+    (15, "NO"), (16, "BE"), (18, "DK FI FO GL NL FK SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU XK MN"), (21, "CH HR LI LV"),
+    (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ TL OM SO"), (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"),
+    (26, "IS TR"), (27, "BI DJ FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HU LB NI PL SV"), (29, "BR EG PS QA UA"),
+    (30, "JO KW MU YE"), (31, "MT SC"), (32, "LC"), (33, "RU")) for k in names.split()}
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -145,6 +155,19 @@ def _date(order: str) -> Callable[[str, bytes], str | None]:
     return run
 
 
+def _month_first(text: str, key: bytes) -> str | None:
+    """Month-first dates whose day is above 12, permuted among themselves, so that none becomes another date's day-first text."""
+    month, day, year = (int(x) for x in re.split(r"\D", text))
+    if day <= 12 or not 1 <= month <= 12:
+        return None
+    try:
+        at = LATE_PLACE[date(year, month, day)]
+    except (ValueError, KeyError):
+        return None
+    new = LATE_DAYS[feistel(at, len(LATE_DAYS), key, "month-first")]
+    return text[2].join((f"{new.month:02d}", f"{new.day:02d}", f"{new.year:04d}"))
+
+
 def _mail(text: str, key: bytes) -> str:
     name, _, last = text.rpartition(".")
     return f"{_shaped(name, key, 'mail')}.{last}"
@@ -161,6 +184,7 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban),
     "date_ymd": (r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9/-])", _date("ymd")),
     "date_dmy": (r"(?<![0-9./-])[0-9]{2}([-/.])[0-9]{2}\1[0-9]{4}(?![0-9/-])", _date("dmy")),
+    "date_mdy": (r"(?<![0-9./-])[0-9]{2}([-/.])[0-9]{2}\1[0-9]{4}(?![0-9/-])", _month_first),
     "address": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _address),
     "card": (r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _card),
     "social": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _social),
@@ -168,6 +192,37 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
 }
 
 
+LONGEST = {"card": 19, "iban": 34}  # kinds whose patterns may run on into what follows
+
+
+# fixed values: first digits of card issuers and the lengths of their numbers
+ISSUERS = (
+    (r"4", (13, 16, 19)), (r"5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720", (16,)), (r"3[47]", (15,)), (r"3[068]", (14, 16, 19)),
+    (r"35|6[0245]", (16, 17, 18, 19)), (r"5[0678]|6[1367-9]", range(13, 20)))
+
+
+def _choices(kind: str, text: str, start: int, end: int, fresh: bool) -> list[int]:
+    """Ends of the values to try from `start`: the match's, or for kinds of free length every one that a value may have.
+
+    Any number of a card's length may stand alone; parts of a longer or an earlier failed match (not `fresh`) need an
+    issuer's length, as a tenth of all numbers passes the check.
+    """
+    if kind not in LONGEST:
+        return [end]
+    least, inner = (13, str.isdigit) if kind == "card" else (15, str.isalnum)
+    ends, n = {}, 0
+    for at in range(start, end):
+        n += inner(text[at])
+        if inner(text[at]) and least <= n <= LONGEST[kind] and not (at + 1 < len(text) and text[at + 1].isascii() and inner(text[at + 1])):
+            ends[n] = at + 1
+    if kind == "card":
+        digits = re.sub(r"\D", "", text[start:end])
+        allowed = {n for first, lengths in ISSUERS if re.match(first, digits) for n in lengths}
+        ends = {n: x for n, x in ends.items() if n in allowed or (fresh and x == end)}
+    country = IBAN_LENGTHS.get(text[start:start + 2]) if kind == "iban" else None
+    return sorted(ends.values(), key=lambda x: (x != ends.get(country), -x))
+
+
 GATES = {"mail": "@", "access_key": "AKIA"}  # what a text must hold, else digits
 
 
@@ -196,13 +251,19 @@ class Replacer:
                 if i % 2:
                     out.append(part)
                     continue
-                at, rest = 0, ""
-                for found in pattern.finditer(part):
-                    new = self.pseudonym(kind, found.group())
-                    if new is not None:
-                        out += [rest + part[at:found.start()], new]
-                        at, rest = found.end(), ""
-                        counts[kind] = counts.get(kind, 0) + 1
+                at, failed, found = 0, 0, pattern.search(part)
+                while found:
+                    start, resume = found.start(), found.start() + 1
+                    for end in _choices(kind, part, start, found.end(), start >= failed):
+                        new = self.pseudonym(kind, part[start:end])
+                        if new is not None:
+                            out += [part[at:start], new]
+                            at = resume = end
+                            counts[kind] = counts.get(kind, 0) + 1
+                            break
+                    else:
+                        failed = max(failed, found.end())
+                    found = pattern.search(part, resume)
                 out.append(part[at:])
             parts = out
         return "".join(parts), counts
