@@ -38,6 +38,14 @@ def encode_categoricals(sessions: DataFrame, encoder: StringIndexerModel) -> Dat
     ])
 
 
+def save_encoder(encoder: StringIndexerModel, path: str) -> None:
+    encoder.write().overwrite().save(path)
+
+
+def load_encoder(path: str) -> StringIndexerModel:
+    return StringIndexerModel.load(path)
+
+
 def tactic_dataset(sessions: DataFrame, label: str = "label") -> DataFrame:
     """Attack rows whose label has a tactic ('normal' has none)."""
     return label_to_tactic(sessions, label).filter(F.col("tactic") != UNKNOWN_TACTIC)

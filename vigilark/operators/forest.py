@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilark import dims
+from vigilark.operators.trees import joined, leaves
 from vigilark.schema import SESSION_FEATURES
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, path double"
@@ -140,14 +141,8 @@ def _scorers(nodes: DataFrame, sample: int) -> list[tuple[int, Callable[[Column]
 
 def _path_sum(table: pd.DataFrame, sample: int) -> Callable[[Column], Column]:
     """Pandas function: sum over the trees of a vector's path length."""
-    offsets = table.groupby("tree").size().cumsum().shift(fill_value=0)
-    base = table["tree"].map(offsets).to_numpy()
-    feature = table["feature"].to_numpy(np.int32)
-    split = table["split"].to_numpy()
-    left = (table["left"].to_numpy() + base).astype(np.int64)
-    path = table["path"].to_numpy()
-    inner = left != np.arange(len(left))
-    roots = offsets.to_numpy()
+    grown = [tuple(tree[c].to_numpy() for c in ("feature", "split", "left", "path")) for _, tree in table.groupby("tree", sort=True)]
+    roots, feature, split, left, path = joined(grown)
     depth = max(1, math.ceil(math.log2(max(2, sample))))
 
     @F.pandas_udf("double")
@@ -155,17 +150,9 @@ def _path_sum(table: pd.DataFrame, sample: int) -> Callable[[Column], Column]:
         if not len(vectors):
             return pd.Series([], dtype=float)
         x = np.stack(vectors.to_numpy()).astype(float)
-        flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
         found = np.zeros(len(x))
-        for root in roots:
-            at, going = np.full(len(x), root, dtype=np.int64), np.arange(len(x))
-            for _ in range(depth):  # rows that have reached a leaf stop
-                here = at[going]
-                at[going] = here = left[here] + (flat[row[going] + feature[here]] > split[here])
-                going = going[inner[here]]
-                if not len(going):
-                    break
-            found += path[at]
+        for rows, at in leaves(x, roots, feature, split, left, depth):
+            found[rows] = path[at].sum(1)
         return pd.Series(found)
 
     return total

@@ -1,130 +1,73 @@
-"""Supervised risk score and tactic models on Spark ML trees."""
+"""Supervised risk score and tactic models: boosted trees kept as tables of nodes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
+from vigilark.operators.boost import Boosted, fit_boosted, importance
+from vigilark.operators.forest import as_vector
 from vigilark.operators.metrics import class_weight
 from vigilark.schema import SESSION_FEATURES, require_session_features
 
-MAX_BINS = 128
-
-
-def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=SESSION_FEATURES, outputCol="features")
-
-
-def _trees(rounds: int, depth: int, rate: float, seed: int, **columns: str) -> GBTClassifier:
-    return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, maxBins=MAX_BINS, **columns)
+RISK_CLASSES = ["attack"]
 
 
 def fit_risk(
-    train: DataFrame, rounds: int = dims.TREE_ROUNDS, depth: int = dims.TREE_DEPTH,
-    rate: float = dims.LEARNING_RATE, seed: int = dims.SEED,
-) -> PipelineModel:
+    train: DataFrame, rounds: int = dims.TREE_ROUNDS, depth: int = dims.TREE_DEPTH, rate: float = dims.LEARNING_RATE,
+) -> Boosted:
     """Boosted trees for P(attack) on the encoded features and y, positives weighted neg/pos."""
     weight = class_weight(train).first()["positive_weight"]
     if not weight:
         raise ValueError("training needs normal rows as well as attacks")
-    weighted = train.withColumn("_weight", F.when(F.col("y") == 1, F.lit(weight)).otherwise(1.0))
-    trees = _trees(rounds, depth, rate, seed, labelCol="y", weightCol="_weight", featuresCol="features")
-    return Pipeline(stages=[_assembler(), trees]).fit(weighted)
-
+    weighted = train.withColumn("weight", F.when(F.col("y") == 1, F.lit(weight)).otherwise(1.0))
+    return fit_boosted(weighted, RISK_CLASSES, SESSION_FEATURES, rounds, depth, rate)
 
-_MODEL_OUTPUTS = ("features", "rawPrediction", "probability", "prediction")
 
-
-def risk_score(model: PipelineModel, sessions: DataFrame, key: str = "session_id") -> DataFrame:
+def risk_score(model: Boosted, sessions: DataFrame, key: str = "session_id") -> DataFrame:
     """Add risk_score, P(attack), after checking the feature columns."""
     require_session_features(sessions.drop(*_carried(sessions, key)), "risk_score")
-    scored = model.transform(sessions)
-    return scored.withColumn("risk_score", vector_to_array("probability")[1]).drop(*_MODEL_OUTPUTS)
+    return sessions.withColumn("risk_score", model.probabilities(as_vector(model.features))[0])
 
 
 def _carried(sessions: DataFrame, key: str) -> list[str]:
     return [c for c in (key, "label", "y", "true_label") if c in sessions.columns]
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """One row per feature."""
-    spark = SparkSession.active()
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(SESSION_FEATURES, values)), "feature string, importance double")
+def feature_importance(model: Boosted) -> DataFrame:
+    """One row per feature: its share of the mean gains of all features' splits."""
+    return importance(model)
 
 
 def importance_topk(importance: DataFrame, top: int = 15) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
-class TacticModel:
-    """One boosted-tree model per tactic; their probabilities are normalised to sum to 1."""
-
-    def __init__(self, classes: Sequence[str], pipeline: PipelineModel):
-        self.classes = list(classes)
-        self.pipeline = pipeline
-
-    def probabilities(self, sessions: DataFrame) -> DataFrame:
-        """Add `tactic_probabilities`, in the order of `classes`."""
-        scored = self.pipeline.transform(sessions)
-        raw = F.array(*[vector_to_array(f"probability_{i}")[1] for i in range(len(self.classes))])
-        total = F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x)
-        extra = [f"{name}_{i}" for i in range(len(self.classes)) for name in ("rawPrediction", "probability", "prediction")]
-        return (
-            scored.withColumn("_raw", raw)
-            .withColumn("_total", total)
-            .withColumn("tactic_probabilities", F.transform("_raw", lambda p: p / F.col("_total")))
-            .drop("_raw", "_total", "features", *extra)
-        )
-
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/trees")
-        rows = SparkSession.active().createDataFrame(list(enumerate(self.classes)), "position int, tactic string")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/classes")
-
-    @classmethod
-    def load(cls, path: str) -> TacticModel:
-        rows = SparkSession.active().read.parquet(f"{path}/classes").orderBy("position").collect()
-        return cls([r["tactic"] for r in rows], PipelineModel.load(f"{path}/trees"))
-
-
 def fit_tactic(
-    train: DataFrame, rounds: int = dims.TREE_ROUNDS, depth: int = dims.TREE_DEPTH,
-    rate: float = dims.LEARNING_RATE, seed: int = dims.SEED,
-) -> TacticModel:
-    """Fit on encoded features and `tactic`; classes are the tactics of the data, sorted."""
+    train: DataFrame, rounds: int = dims.TREE_ROUNDS, depth: int = dims.TREE_DEPTH, rate: float = dims.LEARNING_RATE,
+) -> Boosted:
+    """Fit on encoded features and `tactic`: one ensemble under a softmax; classes are the tactics of the data, sorted."""
     present = {r["tactic"] for r in train.select("tactic").distinct().collect()}  # at most the 4 tactics
     classes = sorted(present & set(dims.TACTICS))
-    assembler = _assembler()
-    vectors = assembler.transform(train).select("features", "tactic").persist()
-    try:
-        stages = [assembler]
-        for i, tactic in enumerate(classes):
-            trees = _trees(
-                rounds, depth, rate, seed, labelCol="_is_class", featuresCol="features",
-                predictionCol=f"prediction_{i}",
-            ).setRawPredictionCol(f"rawPrediction_{i}").setProbabilityCol(f"probability_{i}")
-            stages.append(trees.fit(vectors.withColumn("_is_class", (F.col("tactic") == tactic).cast("int"))))
-    finally:
-        vectors.unpersist()
-    return TacticModel(classes, PipelineModel(stages=stages))
-
-
-def predict_tactic(model: TacticModel, sessions: DataFrame) -> DataFrame:
-    """Add predicted_tactic (most probable class) and tactic_confidence (its probability)."""
-    best = F.array_max("tactic_probabilities")
+    if len(classes) < 2:
+        raise ValueError("a tactic model needs rows of two tactics at least")
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("tactic")) - 1
+    rows = train.filter(F.col("tactic").isin(classes)).withColumns({"y": place, "weight": F.lit(1.0)})
+    return fit_boosted(rows, classes, SESSION_FEATURES, rounds, depth, rate)
+
+
+def predict_tactic(model: Boosted, sessions: DataFrame, where: Column | None = None) -> DataFrame:
+    """Add predicted_tactic (most probable class, the first of equals) and tactic_confidence (its probability).
+
+    Rows that do not satisfy `where` are not scored and get nulls.
+    """
+    vector = as_vector(model.features)
     names = F.array(*[F.lit(c) for c in model.classes])
     return (
-        model.probabilities(sessions)
-        .withColumn("tactic_confidence", best)
-        .withColumn("predicted_tactic", F.element_at(
-            names, F.array_position("tactic_probabilities", F.col("tactic_confidence")).cast("int")))
-        .drop("tactic_probabilities")
+        sessions.withColumn("_chances", model.probabilities(vector if where is None else F.when(where, vector)))
+        .withColumn("tactic_confidence", F.array_max("_chances"))
+        .withColumn("predicted_tactic", F.when(F.col("tactic_confidence").isNotNull(), F.element_at(
+            names, F.array_position("_chances", F.col("tactic_confidence")).cast("int"))))
+        .drop("_chances")
     )

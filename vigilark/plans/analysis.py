@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
 from vigilark.functions.columns import risk_band
 from vigilark.functions.text import default_recommendation, recommendation_text
+from vigilark.operators.boost import Boosted
 from vigilark.operators.forest import Forest, as_vector
 from vigilark.operators.joins import playbook_enrich, tactic_enrich
 from vigilark.operators.metrics import ensemble_decision
-from vigilark.operators.risk import TacticModel, fit_tactic, predict_tactic, risk_score
+from vigilark.operators.risk import predict_tactic, risk_score
 from vigilark.operators.smote import smote_oversample
 from vigilark.schema import SESSION_FEATURES
 from vigilark.session import stored
@@ -34,7 +34,7 @@ def band_and_decide(scored: DataFrame, threshold: float = dims.OPERATIONAL_THRES
 
 
 def classify(
-    model: PipelineModel, forest: Forest | None, sessions: DataFrame, threshold: float = dims.OPERATIONAL_THRESHOLD,
+    model: Boosted, forest: Forest | None, sessions: DataFrame, threshold: float = dims.OPERATIONAL_THRESHOLD,
     key: str = "session_id",
 ) -> DataFrame:
     """Key and is_attack at a chosen threshold."""
@@ -42,7 +42,7 @@ def classify(
     return band_and_decide(scored, threshold).select(key, "is_attack")
 
 
-def assess(model: PipelineModel, forest: Forest | None, sessions: DataFrame, key: str = "session_id") -> DataFrame:
+def assess(model: Boosted, forest: Forest | None, sessions: DataFrame, key: str = "session_id") -> DataFrame:
     """Score, band, decision and anomaly-only flag of every session."""
     scored = anomaly_flag(forest, risk_score(model, sessions, key))
     return band_and_decide(scored)
@@ -68,35 +68,26 @@ def explain(decided: DataFrame) -> DataFrame:
 
 
 def analyze(
-    model: PipelineModel, forest: Forest | None, tactics: TacticModel, sessions: DataFrame,
+    model: Boosted, forest: Forest | None, tactics: Boosted, sessions: DataFrame,
     key: str = "session_id", true_label: str | None = None,
 ) -> DataFrame:
-    """Full analysis, one row per session.
+    """Full analysis, one row per session, in one pass.
 
-    The assessed rows are stored once; the tactic trees see suspicious rows only, the others get null tactics.
+    The tactic trees score suspicious rows only; the others get null tactics.
     """
-    assessed = stored(assess(model, forest, sessions, key), "assessed")
-    suspicious = F.col("is_attack") == 1
-    named = predict_tactic(tactics, assessed.filter(suspicious))
-    quiet = assessed.filter(~suspicious)
-    added = [field for field in named.schema if field.name not in assessed.columns]
-    quiet = quiet.withColumns({field.name: F.lit(None).cast(field.dataType) for field in added})
+    assessed = assess(model, forest, sessions, key)
+    named = predict_tactic(tactics, assessed, F.col("is_attack") == 1)
     kept = [key] + ([F.col(true_label).alias("true_label")] if true_label else [])
-    every = named.unionByName(quiet.select(*named.columns))
-    return explain(every).select(*kept, *ASSESSMENT_COLUMNS, *TACTIC_COLUMNS)
+    return explain(named).select(*kept, *ASSESSMENT_COLUMNS, *TACTIC_COLUMNS)
 
 
-def fit_oversampled_tactic(
-    known: DataFrame, targets: dict[str, int] | None = None, rounds: int = dims.TREE_ROUNDS, depth: int = dims.TREE_DEPTH,
-    key: str = "session_id",
-) -> tuple[TacticModel, DataFrame]:
-    """Tactic model fitted on oversampled rows, and those rows: key, tactic, features, synthetic.
+def oversampled(known: DataFrame, targets: dict[str, int] | None = None, key: str = "session_id") -> DataFrame:
+    """key, tactic, features and synthetic of `known` (encoded features and `tactic`) with synthetic rows added.
 
-    `known` holds encoded features and `tactic`. Classes without a target keep their rows.
+    Classes without a target keep their rows.
     """
     vectors = known.select(F.col("tactic").alias("label"), F.col(key).cast("long").alias("id"), as_vector(SESSION_FEATURES).alias("features"))
     grown = stored(smote_oversample(vectors, targets), "oversampled")
-    rows = grown.select(
+    return grown.select(
         F.col("id").alias(key), F.col("label").alias("tactic"), "synthetic",
         *[F.col("features")[i].alias(name) for i, name in enumerate(SESSION_FEATURES)])
-    return fit_tactic(rows, rounds, depth), rows

@@ -13,7 +13,8 @@ from vigilark.dims import RateRule
 from vigilark.functions.columns import is_filled, level_to_band, risk_band
 from vigilark.functions.text import default_recommendation, recommendation_text
 from vigilark.operators import detect, encode, features, forest, joins, metrics, normalize, ranking, risk, smote, triage
-from vigilark.plans import analysis, evaluation, tables
+from vigilark.operators.boost import load_boosted
+from vigilark.plans import analysis, evaluation, models, tables
 from vigilark.schema import (
     CATEGORICAL_FEATURES, SESSION_FEATURES, WINDOW_FEATURES, require_session_features, schema_drift,
 )
@@ -697,9 +698,6 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- learning
 
-TRIAL_ROUNDS, TRIAL_DEPTH = 5, 4  # short fits; the functions default to the full values
-
-
 @query("encode_categoricals")
 def _(spark, d):
     return encoded(spark, d).select("session_id", *CATEGORICAL_FEATURES)
@@ -736,38 +734,39 @@ def _fit_part(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return train.drop("is_test"), test.drop("is_test")
 
 
-def _risk(train: DataFrame):
-    return risk.fit_risk(train.select(*SESSION_FEATURES, "y"), TRIAL_ROUNDS, TRIAL_DEPTH, 0.3)
+def _given_risk(spark: SparkSession):
+    return models.given_model(spark, risk.RISK_CLASSES)
 
 
-def _anomaly(train: DataFrame):
-    return forest.fit_anomaly(train.filter("y = 0").drop("y", "label"), "session_id")
+def _given_tactics(spark: SparkSession):
+    return models.given_model(spark, sorted(dims.TACTICS))
 
 
-def _tactics(train: DataFrame):
-    return risk.fit_tactic(encode.tactic_dataset(train), TRIAL_ROUNDS, TRIAL_DEPTH, 0.3)
+def _log_loss(y: str, p: str) -> F.Column:
+    chance = F.greatest(F.when(F.col(y) == 1, F.col(p)).otherwise(1 - F.col(p)), F.lit(1e-12))
+    return -F.log(chance)
 
 
 @query("fit_risk")
 def _(spark, d):
     train, test = _fit_part(spark, d)
-    scored = risk.risk_score(_risk(train), test)
+    model = models.fitted(train).risk
+    scored = risk.risk_score(model, test)
+    rounds = model.nodes.agg(F.count_distinct("round").alias("rounds"))
     return scored.groupBy("y").agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("risk_score").between(0, 1), 1)).alias("scores_in_range"))
+        F.count("*").alias("n"), F.count(F.when(F.col("risk_score").between(0, 1), 1)).alias("scores_in_range"),
+        (F.avg(_log_loss("y", "risk_score")) < math.log(2)).alias("better_than_a_coin"),
+    ).crossJoin(F.broadcast(rounds))  # one row of counts
 
 
 @query("risk_score")
 def _(spark, d):
-    train, test = _fit_part(spark, d)
-    scored = risk.risk_score(_risk(train), test)
-    return ranking.roc_auc(scored, "y", "risk_score").select(
-        "positives", "negatives", (F.col("auc") > 0.5).alias("ranks_attacks_higher"))
+    return rounded(risk.risk_score(_given_risk(spark), _fit_part(spark, d)[1]).select("session_id", "risk_score"), "risk_score")
 
 
 @query("fit_anomaly")
 def _(spark, d):
-    train, _unused = _fit_part(spark, d)
-    grown = _anomaly(train)
+    grown = models.fitted(_fit_part(spark, d)[0]).forest
     return grown.nodes.agg(
         F.count_distinct("tree").alias("trees"),
         F.count(F.when(F.col("node") == 0, 1)).alias("roots"),
@@ -783,11 +782,15 @@ SMALL_FOREST = {
 SMALL_SAMPLE, SMALL_CUTOFF = 256, 0.55
 
 
-@query("anomaly_flag")
-def _(spark, d):
+def _small_forest(spark: SparkSession) -> forest.Forest:
     place = {name: i for i, name in enumerate(SESSION_FEATURES)}
     nodes = [(t, n, place.get(f, 0), split, left, path) for t, rows in SMALL_FOREST.items() for n, f, split, left, path in rows]
-    small = forest.Forest(spark.createDataFrame(nodes, forest.NODE_SCHEMA), SMALL_CUTOFF, SMALL_SAMPLE, list(SESSION_FEATURES))
+    return forest.Forest(spark.createDataFrame(nodes, forest.NODE_SCHEMA), SMALL_CUTOFF, SMALL_SAMPLE, list(SESSION_FEATURES))
+
+
+@query("anomaly_flag")
+def _(spark, d):
+    small = _small_forest(spark)
     rows = encoded(spark, d).drop("iso_flag")
     scored = rows.withColumn("anomaly_score", small.scores(forest.as_vector(SESSION_FEATURES)))
     flagged = analysis.anomaly_flag(small, scored)
@@ -799,8 +802,8 @@ def _(spark, d):
     train, test = _fit_part(spark, d)
     known = stored(encode.tactic_dataset(train), "tactic-train")
     sizes = {r["tactic"]: r["count"] for r in known.groupBy("tactic").count().collect()}  # four tactics
-    targets = {tactic: n + n // 2 + 7 for tactic, n in sizes.items() if n > dims.SMOTE_NEIGHBOURS}
-    model, grown = analysis.fit_oversampled_tactic(known, targets, TRIAL_ROUNDS, TRIAL_DEPTH)
+    targets = {t: n for t, n in dims.SMOTE_TARGETS.items() if dims.SMOTE_NEIGHBOURS < sizes.get(t, 0) < n}
+    model, grown = models.oversampled_tactics(known, targets)
     named = risk.predict_tactic(model, encode.tactic_dataset(test)).groupBy("tactic").agg(
         F.count("*").alias("tested"), F.count("predicted_tactic").alias("named"))
     made = grown.groupBy("tactic").agg(F.count("*").alias("n"), F.count_if("synthetic").alias("synthetic"))
@@ -810,68 +813,71 @@ def _(spark, d):
 @query("fit_tactic")
 def _(spark, d):
     train, test = _fit_part(spark, d)
-    scored = _tactics(train).probabilities(test)
-    total = F.aggregate("tactic_probabilities", F.lit(0.0), lambda a, x: a + x)
+    model = models.fitted(train).tactics
+    chances = model.probabilities(forest.as_vector(SESSION_FEATURES))
+    scored = test.withColumn("chances", chances)
+    total = F.aggregate("chances", F.lit(0.0), lambda a, x: a + x)
     return scored.groupBy("y").agg(
         F.count("*").alias("n"), F.count(F.when(F.abs(total - 1) < 1e-9, 1)).alias("sums_to_one"))
 
 
 @query("predict_tactic")
 def _(spark, d):
-    train, test = _fit_part(spark, d)
-    attacks = encode.tactic_dataset(test)
-    named = risk.predict_tactic(_tactics(train), attacks)
-    return named.groupBy("tactic").agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("predicted_tactic").isin(*dims.TACTICS), 1)).alias("named"),
-        F.min(F.col("tactic_confidence") >= 0.25).alias("confidence_is_max"))
+    attacks = encode.tactic_dataset(_fit_part(spark, d)[1])
+    named = risk.predict_tactic(_given_tactics(spark), attacks)
+    return rounded(named.select("session_id", "tactic", "predicted_tactic", "tactic_confidence"), "tactic_confidence")
 
 
 @query("feature_importance")
 def _(spark, d):
-    train, _unused = _fit_part(spark, d)
-    importance = risk.feature_importance(_risk(train))
-    return importance.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
+    """Of the given risk model, for the features as the data hold them."""
+    filled = encoded(spark, d).agg(*[F.count(c).alias(c) for c in SESSION_FEATURES]).unpivot([], SESSION_FEATURES, "feature", "filled")
+    return rounded(risk.feature_importance(_given_risk(spark)).join(filled, "feature"), "importance")
 
 
 @query("importance_topk")
 def _(spark, d):
-    train, _unused = _fit_part(spark, d)
-    top = risk.importance_topk(risk.feature_importance(_risk(train)))
-    return top.agg(F.count("*").alias("features"), (F.min("importance") >= 0).alias("non_negative"))
+    known = schema_drift(encoded(spark, d), carried=SESSION_EXTRAS).select(F.col("column_name").alias("feature"), "drift")
+    top = risk.importance_topk(risk.feature_importance(_given_risk(spark)))
+    return rounded(top.join(known, "feature"), "importance")
 
 
 @query("model_store")
 def _(spark, d):
+    """Rows on which each kind of model gives the same answer before and after it is stored."""
+    raw = tables.session_features(spark, d)
     train, test = _fit_part(spark, d)
-    path = shared_dir(spark, "models")
-    model, grown = _risk(train), _anomaly(train)
-    model.write().overwrite().save(f"{path}/risk")
-    grown.save(f"{path}/forest")
-    stored = analysis.assess(type(model).load(f"{path}/risk"), forest.load_forest(f"{path}/forest"), test)
-    alone = analysis.assess(type(model).load(f"{path}/risk"), forest.load_forest(f"{path}/none"), test)
-    fresh = analysis.assess(model, grown, test)
-    same = (
-        stored.select("session_id", "risk_band", "is_attack")
-        .join(fresh.select("session_id", "risk_band", "is_attack"), ["session_id", "risk_band", "is_attack"])
-        .agg(F.count("*")).scalar()
-    )
-    return alone.agg(
-        F.count("*").alias("n"), F.sum("flagged_by_anomaly_detector").alias("flags_without_forest"),
-    ).withColumn("same_after_reload", same)
+    path, vector = shared_dir(spark, "models"), forest.as_vector(SESSION_FEATURES)
+    fit = models.fitted(train)
+    for name, model in {"risk": fit.risk, "tactics": fit.tactics, "forest": fit.forest}.items():
+        model.save(f"{path}/{name}")
+    encoder = models.fitted_encoder(parts(raw)[0])
+    encode.save_encoder(encoder, f"{path}/encoder")
+    again = forest.load_forest(f"{path}/forest")
+    pairs = {
+        "risk": (fit.risk.margins(vector), load_boosted(f"{path}/risk").margins(vector)),
+        "tactics": (fit.tactics.margins(vector), load_boosted(f"{path}/tactics").margins(vector)),
+        "forest": (fit.forest.scores(vector), again.scores(vector)),
+    }
+    found = test.select(*[(a == b).alias(name) for name, (a, b) in pairs.items()]).agg(
+        F.count("*").alias("n"), *[F.count_if(name).alias(name) for name in pairs])
+    kinds = found.unpivot(["n"], list(pairs), "kind", "same")
+    codes = [encode.encode_categoricals(raw, e).filter("is_test").select("session_id", *CATEGORICAL_FEATURES) for e in (encoder, encode.load_encoder(f"{path}/encoder"))]
+    same = codes[0].agg(F.count("*").alias("n")).crossJoin(codes[0].join(codes[1], codes[0].columns).agg(F.count("*").alias("same")))
+    without = analysis.anomaly_flag(forest.load_forest(f"{path}/none"), test).agg(F.count("*").alias("n"), F.count_if(F.col("iso_flag") == 0).alias("same"))
+    return kinds.unionByName(same.withColumn("kind", F.lit("encoder"))).unionByName(without.withColumn("kind", F.lit("no forest")))
 
 
 @query("assess")
 def _(spark, d):
-    train, test = _fit_part(spark, d)
-    assessed = analysis.assess(_risk(train), _anomaly(train), test)
-    return assessed.groupBy("y").agg(
-        F.count("*").alias("n"), F.count("risk_band").alias("banded"), F.count("is_attack").alias("decided"))
+    assessed = analysis.assess(_given_risk(spark), _small_forest(spark), _fit_part(spark, d)[1])
+    return rounded(assessed.select("session_id", *analysis.ASSESSMENT_COLUMNS), "risk_score")
 
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
-    """Analysis of the test part with short fits, stored as a table."""
-    train, test = _fit_part(spark, d)
-    rows = analysis.analyze(_risk(train), _anomaly(train), _tactics(train), test, true_label="label")
+    """Analysis of the test part by the given models, stored as a table."""
+    rows = analysis.analyze(
+        _given_risk(spark), _small_forest(spark), _given_tactics(spark), _fit_part(spark, d)[1], true_label="label")
     path = shared_dir(spark, "analysis")
     sinks.write_assessment(rows, path)
     return spark.read.parquet(path)
@@ -879,18 +885,39 @@ def analysed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("analyze")
 def _(spark, d):
-    return analysed(spark, d).agg(
-        F.count("*").alias("n"), F.count("recommendation").alias("advised"), F.count("true_label").alias("labelled"),
-        F.count(F.when((F.col("is_attack") == 0) & F.col("predicted_tactic").isNotNull(), 1)).alias("quiet_with_tactic"),
-        F.count(F.when((F.col("is_attack") == 1) & F.col("predicted_tactic").isNull(), 1)).alias("attack_without_tactic"))
+    return rounded(analysed(spark, d), "risk_score", "tactic_confidence")
 
 
 @query("evaluate_analysis")
 def _(spark, d):
     found = evaluation.evaluate_analysis(analysed(spark, d))
-    bands = found["bands"].agg(F.sum("alerts").alias("n"))
-    support = found["detection"].filter("class = 'accuracy'").select(F.col("support").alias("n"))
-    return bands.select(F.lit("banded").alias("part"), "n").unionByName(support.select(F.lit("reported").alias("part"), "n"))
+    report = ["class", "precision", "recall", "f1", "support"]
+    none = {c: F.lit(None).cast("double") for c in report[1:4]}
+    detection, tactics = (rounded(found[k].select(F.lit(k).alias("part"), *report), *report[1:4]) for k in ("detection", "tactics"))
+    bands = found["bands"].select(F.lit("bands").alias("part"), F.col("risk_band").alias("class"), F.col("alerts").alias("support"))
+    missed = found["missed"].select(F.lit("missed").alias("part"), F.col("true_label").alias("class"), F.col("missed").alias("support"))
+    return detection.unionByName(tactics).unionByName(bands.unionByName(missed).withColumns(none))
+
+
+@query("fitted_detectors")
+def _(spark, d):
+    """The fitted score, the fitted forest and both together on the test part: rows, and whether figures agree with each other."""
+    train, test = _fit_part(spark, d)
+    fit = models.fitted(train)
+    scored = stored(analysis.anomaly_flag(fit.forest, risk.risk_score(fit.risk, test)).select(
+        "y", "label", F.col("risk_score").alias("score"), "iso_flag"), "fitted-detectors")
+    alone = {"score": F.col("score") >= dims.OPERATIONAL_THRESHOLD, "anomaly": F.col("iso_flag") == 1}
+    alone["either"] = alone["score"] | alone["anomaly"]
+    hits = scored.agg(
+        F.count_if(F.col("y") == 1).alias("attacks"), F.count_if(F.col("y") == 0).alias("normals"),
+        *[F.count_if((F.col("y") == 1) & hit).alias(f"caught_{k}") for k, hit in alone.items()],
+        *[F.count_if((F.col("y") == 0) & hit).alias(f"false_{k}") for k, hit in alone.items()])
+    return hits.select(
+        "attacks", "normals", (F.col("caught_score") > 0.9 * F.col("attacks")).alias("score_catches_most"),
+        (F.col("false_score") < 0.1 * F.col("normals")).alias("score_spares_most"),
+        (F.col("false_anomaly") < 0.15 * F.col("normals")).alias("forest_spares_most"),
+        ((F.col("caught_either") >= F.greatest("caught_score", "caught_anomaly")) & (F.col("false_either") >= F.greatest("false_score", "false_anomaly"))
+         ).alias("either_is_the_union"))
 
 
 @query("hypothesis_report")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from vigilark import dims
 from vigilark.operators.forest import mean_path
-from vigilark.plans import catalog, tables
+from vigilark.plans import catalog, models, tables
 from vigilark.schema import CATEGORICAL_FEATURES, SESSION, SESSION_FEATURES
 
 ALERTS = tables.ALERTS_SQL.format(events="events")
@@ -419,9 +419,11 @@ SELECT DISTINCT src_ip AS source, timestamp AS succeeded_at FROM auth WHERE auth
     o["encode_categoricals"] = e + "SELECT session_id, " + ", ".join(CATEGORICAL_FEATURES) + " FROM encoded"
     o["preprocess"] = e + "SELECT session_id, is_test, " + ", ".join(SESSION_FEATURES) + """, label,
  CASE WHEN label = 'normal' THEN 0 ELSE 1 END AS y FROM encoded"""
-    o["tactic_oversampled"] = st + """, c AS (SELECT tactic, count(*) FILTER (NOT is_test) AS k, count(*) FILTER (is_test) AS t FROM named
+    wanted = "CASE tactic " + " ".join(f"WHEN {lit(t)} THEN {n}" for t, n in dims.SMOTE_TARGETS.items()) + " ELSE 0 END"
+    o["tactic_oversampled"] = st + f""", c AS (SELECT tactic, count(*) FILTER (NOT is_test) AS k, count(*) FILTER (is_test) AS t FROM named
  WHERE tactic <> 'Unknown' GROUP BY 1)
-SELECT tactic, CASE WHEN k > 4 THEN k + k // 2 + 7 ELSE k END AS n, CASE WHEN k > 4 THEN k // 2 + 7 ELSE 0 END AS synthetic,
+SELECT tactic, CASE WHEN k > {dims.SMOTE_NEIGHBOURS} THEN greatest(k, {wanted}) ELSE k END AS n,
+ CASE WHEN k > {dims.SMOTE_NEIGHBOURS} THEN greatest(0, {wanted} - k) ELSE 0 END AS synthetic,
  nullif(t, 0) AS tested, nullif(t, 0) AS named FROM c WHERE k > 0"""
     o["tactic_dataset"] = st + "SELECT session_id, tactic FROM named WHERE tactic <> 'Unknown'"
     o["smote_oversample"] = """SELECT CAST(label AS VARCHAR) AS label, CASE WHEN label IN (1, 3) THEN count(*) * 2 + 7 ELSE count(*) END AS n,
@@ -435,7 +437,9 @@ SELECT tactic, CASE WHEN k > 4 THEN k + k // 2 + 7 ELSE k END AS n, CASE WHEN k
 
     # fitted models differ between engines; what must hold for every row does not
     test = s + "SELECT y, count(*) AS n, count(*) AS {} FROM sessions WHERE is_test GROUP BY y"
-    o["fit_risk"] = test.format("scores_in_range")
+    o["fit_risk"] = s + f"""SELECT y, count(*) AS n, count(*) AS scores_in_range, TRUE AS better_than_a_coin, CAST({dims.TREE_ROUNDS} AS BIGINT) AS rounds
+FROM sessions WHERE is_test GROUP BY y"""
+    o["fit_anomaly"] = f"SELECT CAST({dims.FOREST_TREES} AS BIGINT) AS trees, CAST({dims.FOREST_TREES} AS BIGINT) AS roots, TRUE AS has_leaves"
     def path(tree: list[tuple], node: int = 0) -> str:
         _, feature, split, left, length = tree[node]
         return str(length) if feature is None else f"CASE WHEN {feature} > {split} THEN {path(tree, left + 1)} ELSE {path(tree, left)} END"
@@ -445,14 +449,49 @@ SELECT tactic, CASE WHEN k > 4 THEN k + k // 2 + 7 ELSE k END AS n, CASE WHEN k
     o["anomaly_flag"] = e + f"""SELECT session_id, round({score}, 6) AS anomaly_score,
  CAST({score} > {catalog.SMALL_CUTOFF} AS INT) AS iso_flag FROM encoded"""
     o["fit_tactic"] = test.format("sums_to_one")
-    o["assess"] = s + "SELECT y, count(*) AS n, count(*) AS banded, count(*) AS decided FROM sessions WHERE is_test GROUP BY y"
-    o["risk_score"] = s + """SELECT count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives, TRUE AS ranks_attacks_higher
-FROM sessions WHERE is_test"""
-    o["predict_tactic"] = st + """SELECT tactic, count(*) AS n, count(*) AS named, TRUE AS confidence_is_max FROM named
-WHERE is_test AND tactic <> 'Unknown' GROUP BY tactic"""
-    o["model_store"] = s + "SELECT count(*) AS n, CAST(0 AS BIGINT) AS flags_without_forest, count(*) AS same_after_reload FROM sessions WHERE is_test"
-    o["analyze"] = s + """SELECT count(*) AS n, count(*) AS advised, count(*) AS labelled, CAST(0 AS BIGINT) AS quiet_with_tactic,
- CAST(0 AS BIGINT) AS attack_without_tactic FROM sessions WHERE is_test"""
-    o["evaluate_analysis"] = s + """SELECT 'banded' AS part, count(*) AS n FROM sessions WHERE is_test
-UNION ALL SELECT 'reported', count(*) FROM sessions WHERE is_test"""
+    o["fitted_detectors"] = s + """SELECT count(*) FILTER (y = 1) AS attacks, count(*) FILTER (y = 0) AS normals, TRUE AS score_catches_most,
+ TRUE AS score_spares_most, TRUE AS forest_spares_most, TRUE AS either_is_the_union FROM sessions WHERE is_test"""
+    o["model_store"] = s + """SELECT kind, count(*) AS n, count(*) AS same FROM sessions,
+ (VALUES ('risk'), ('tactics'), ('forest'), ('encoder'), ('no forest')) k(kind) WHERE is_test GROUP BY kind"""
+
+    # the given models, walked by SQL
+    def margin(output: int) -> str:
+        trees = [[(n, SESSION_FEATURES[f] if left != n else None, split, left, value) for n, f, split, left, value, _, _ in models.given_tree(output, r)]
+                 for r in range(models.GIVEN_ROUNDS)]
+        return " + ".join(f"({path(t)})" for t in trees)
+
+    names = sorted(dims.TACTICS)
+    chance = [f"exp(m{k}) / (" + " + ".join(f"exp(m{i})" for i in range(len(names))) + ")" for k in range(len(names))]
+    scored = f"""scored AS (SELECT session_id, is_test, label, y, {", ".join(f"{margin(k)} AS m{k}" for k in range(len(names)))},
+  1 / (1 + exp(-({margin(0)}))) AS score, CAST({score} > {catalog.SMALL_CUTOFF} AS INT) AS iso_flag FROM encoded WHERE is_test)"""
+    best = f"""best AS (SELECT *, greatest(p0, p1, p2, p3) AS p FROM (SELECT *, {", ".join(f"{c} AS p{k}" for k, c in enumerate(chance))} FROM scored) x),
+guessed AS (SELECT *, p AS guess_confidence, CASE p {" ".join(f"WHEN p{k} THEN {lit(n)}" for k, n in enumerate(names))} END AS guess FROM best)"""
+    given = ctes(S, FEATURED, *ENCODED_PARTS, ENCODED, scored, best)
+    o["risk_score"] = given + "SELECT session_id, round(score, 6) AS risk_score FROM scored"
+    o["predict_tactic"] = given + f"""SELECT session_id, m.tactic, guess AS predicted_tactic, round(p, 6) AS tactic_confidence
+FROM guessed JOIN {LABELS} ON guessed.label = m.label"""
+    judged = given.rstrip() + ",\n" + DECIDED
+    o["assess"] = judged + "SELECT session_id, round(risk_score, 6) AS risk_score, risk_band, is_attack, flagged_by_anomaly_detector FROM decided"
+    o["analyze"] = judged + f""",
+{EXPLAINED} SELECT session_id, true_label, round(risk_score, 6) AS risk_score, risk_band, is_attack, flagged_by_anomaly_detector, predicted_tactic,
+ round(tactic_confidence, 6) AS tactic_confidence, e.mitre_id, CASE WHEN is_attack = 1 THEN coalesce(t.context, 'Contexte non disponible.') END AS context,
+ recommendation FROM explained e LEFT JOIN {TACTICS} ON e.predicted_tactic = t.tactic"""
+    rows = "SELECT '{}' AS part, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM report"
+    named = "named AS (SELECT CASE WHEN y = 1 THEN 'attack' ELSE 'normal' END AS t0, CASE WHEN is_attack = 1 THEN 'attack' ELSE 'normal' END AS p0 FROM decided)"
+    one = judged + ",\n" + named + report_sql("named", "t0", "p0") + rows.format("detection")
+    two = judged + ",\n" + TP + report_sql("tp", "true_tactic", "predicted_tactic") + rows.format("tactics")
+    rest = judged + f"""SELECT 'bands' AS part, b AS class, CAST(NULL AS DOUBLE) AS precision, CAST(NULL AS DOUBLE) AS recall, CAST(NULL AS DOUBLE) AS f1,
+ count(risk_band) AS support FROM (VALUES {", ".join(f"({lit(b)})" for b in (*dims.BANDS, dims.UNKNOWN_RISK_BAND))}) v(b) LEFT JOIN decided ON risk_band = b GROUP BY b
+UNION ALL SELECT 'missed', label, NULL, NULL, NULL, count(*) FROM decided WHERE y = 1 AND is_attack = 0 GROUP BY label"""
+    o["evaluate_analysis"] = f"SELECT * FROM ({one}) UNION ALL SELECT * FROM ({two}) UNION ALL SELECT * FROM ({rest})"
+    gains: dict[str, list[float]] = {}
+    for r in range(models.GIVEN_ROUNDS):
+        for n, f, _, left, _, gain, _ in models.given_tree(0, r):
+            if left != n:
+                gains.setdefault(SESSION_FEATURES[f], []).append(gain)
+    listed = ", ".join(f"('{f}', {g})" for f in gains for g in gains[f])
+    shares = f"""g AS (SELECT f, avg(g) AS g FROM (VALUES {listed}) v(f, g) GROUP BY f),
+share AS (SELECT feature, coalesce(g / (SELECT sum(g) FROM g), 0) AS importance FROM (VALUES {", ".join(f"('{f}')" for f in SESSION_FEATURES)}) n(feature) LEFT JOIN g ON f = feature)"""
+    o["feature_importance"] = ctes(S, shares) + "SELECT feature, round(importance, 6) AS importance, (SELECT count(*) FROM sessions) AS filled FROM share"
+    o["importance_topk"] = ctes(shares) + "SELECT feature, round(importance, 6) AS importance, 'same' AS drift FROM share ORDER BY share.importance DESC, feature LIMIT 15"
     return o
