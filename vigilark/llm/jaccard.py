@@ -10,6 +10,8 @@ documents link when 100 times their intersection is at least 75 times their unio
 * Tiles: holders of a key that lie in different components so far are compared with each other, in size bands and
   blocks of bounded size. A set's bitmap has one bit per hash class, on for an odd number of shingles; bits that differ
   bound the overlap from above (a band is one bitmap width; a width can be folded to the next smaller one).
+  Each row hands on its closest pair, after each round eight times as many, until no tile has pairs left; rows that
+  a round has joined are not compared again, so a group of near copies costs about as many pairs as it has rows.
 * What passes is verified by intersecting the sorted hash arrays.
 
 Equal sets are folded before any of this, so copies cost one row each; pairs inside a component are not expanded.
@@ -34,6 +36,8 @@ from vigilark.llm.decontaminate import if_small
 WIDTH = 5
 SAMPLE_ROWS, FREQUENT_SHARE, FREQUENT_MOST = 5_000, 0.001, 65_536
 TILE = 512
+PIECE = 2 << 20  # bytes of text that a task takes apart at once
+TILE_BYTES = 8 << 20  # bitmaps of a block
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -73,7 +77,7 @@ def _signed(value: np.ndarray) -> np.ndarray:
 def _signatures(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most_bytes=PIECE):
                 n, first, second, bits, keys = [], [], [], [], []
                 for own in shingle_sets(part.column("text")):
                     at = np.searchsorted(frequent, own)
@@ -98,7 +102,7 @@ def _signatures(frequent: np.ndarray):
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, most_bytes=PIECE):
             found = list(shingle_sets(part.column("text")))
             if found:
                 yield pa.RecordBatch.from_pydict({"h": pa.array(_signed(np.concatenate(found)))})
@@ -111,7 +115,7 @@ def _first_print(own: np.ndarray) -> int:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of rows whose fingerprint is the wanted one: of several rows of an id, those that stand for it."""
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, most_bytes=PIECE):
             found = list(shingle_sets(part.column("text")))
             wanted = [i for i, (own, f1) in enumerate(zip(found, part.column("f1").to_pylist())) if _first_print(own) == f1]
             part, found = part.take(pa.array(wanted, pa.int64())), [found[i] for i in wanted]
@@ -133,36 +137,60 @@ def frequent_shingles(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.nda
     return np.sort(np.array([r[0] for r in top.select("h").collect()], np.int64).view(np.uint64))
 
 
-def _close_in_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that lie in different components and whose sizes and bitmaps allow a link."""
-    for rows, starts in sorted_groups(batches, ["key", "i", "j"]):
-        names = ("rep", "n", "label", "block", "i", "j")
-        rep, n, label, block, i, j = (rows.column(c).to_numpy() for c in names)
-        bits = rows.column("bits").to_pylist()
-        for start, stop in zip(starts[:-1], starts[1:]):
-            if stop - start < 2:
-                continue
-            at = np.arange(start, stop)
-            left, right = at[block[at] == i[start]], at[block[at] == j[start]]
-            width = np.array([len(bits[k]) for k in at])
-            for w in np.unique(width):
-                for other in (w, 2 * w):
-                    a, b = left[width[left - start] == w], right[width[right - start] == other]
-                    turns = [(a, b)]
-                    if i[start] != j[start] and other != w:
-                        turns.append((right[width[right - start] == w], left[width[left - start] == other]))
-                    for p, q in turns:
-                        if len(p) and len(q):
-                            yield from _allowed(p, q, w, other, bits, n, label, rep, w == other and i[start] == j[start])
-
-
-def _allowed(p, q, w, other, bits, n, label, rep, same) -> Iterator[pa.RecordBatch]:
+def _close_in_tile(most: int):
+    """Pairs of a tile that lie in different components and whose sizes and bitmaps allow a link.
+
+    A row hands on the `most` pairs with the fewest differing bits; `more` tells whether its tile left pairs out.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in sorted_groups(batches, ["key", "i", "j"]):
+            names = ("rep", "n", "label", "block", "i", "j")
+            rep, n, label, block, i, j = (rows.column(c).to_numpy() for c in names)
+            for start, stop in zip(starts[:-1], starts[1:]):
+                if stop - start < 2 or (label[start:stop] == label[start]).all():
+                    continue
+                bits = dict(zip(range(start, stop), rows.column("bits").slice(start, stop - start).to_pylist()))
+                at = np.arange(start, stop)
+                left, right = at[block[at] == i[start]], at[block[at] == j[start]]
+                width = np.array([len(bits[k]) for k in at])
+                found = []
+                for w in np.unique(width):
+                    for other in (w, 2 * w):
+                        a, b = left[width[left - start] == w], right[width[right - start] == other]
+                        turns = [(a, b)]
+                        if i[start] != j[start] and other != w:
+                            turns.append((right[width[right - start] == w], left[width[left - start] == other]))
+                        for p, q in turns:
+                            if len(p) and len(q):
+                                found += _allowed(p, q, w, other, bits, n, label, w == other and i[start] == j[start])
+                if found:
+                    a, b, differ = (np.concatenate(x) for x in zip(*found))
+                    first = _first_of_each(a, differ, most) | _first_of_each(b, differ, most)
+                    yield pa.RecordBatch.from_pydict({
+                        "a": pa.array(rep[a[first]]), "b": pa.array(rep[b[first]]), "more": pa.array(np.full(first.sum(), not first.all()))})
+
+    return run
+
+
+def _first_of_each(row: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """Whether an entry is among the `most` least values of its row."""
+    order = np.lexsort((value, row))
+    own = row[order]
+    start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    rank = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+    out = np.zeros(len(row), bool)
+    out[order] = rank < most
+    return out
+
+
+def _allowed(p, q, w, other, bits, n, label, same) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of p, row of q, share of bits that differ) of pairs that may link."""
     y = np.frombuffer(b"".join(bits[k] for k in q), np.uint8).reshape(len(q), -1)
     if other != w:
         y = y[:, :w] ^ y[:, w:]
     y = np.ascontiguousarray(y).view(np.uint64)
     x = np.frombuffer(b"".join(bits[k] for k in p), np.uint64).reshape(len(p), -1)
-    step = max(1, (1 << 22) // max(1, y.size))
+    step = max(1, (1 << 20) // max(1, y.size))
     for at in range(0, len(p), step):
         own = p[at:at + step]
         differ = np.bitwise_count(x[at:at + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
@@ -172,7 +200,7 @@ def _allowed(p, q, w, other, bits, n, label, rep, same) -> Iterator[pa.RecordBat
             good &= own[:, None] < q
         a, b = np.nonzero(good)
         if len(a):
-            yield pa.RecordBatch.from_pydict({"a": pa.array(rep[own[a]]), "b": pa.array(rep[q[b]])})
+            yield own[a], q[b], differ[a, b] / (small + large)[a, b]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,22 +276,34 @@ def near_documents(docs: DataFrame) -> DataFrame:
     links = stored(verified(docs, best, stored(star.distinct(), "jaccard-star")), "jaccard-links")
     label = components(spark, links, "jaccard-first").select(F.col("id").alias("rep"), F.col("component").alias("label"))
 
-    # tiles: holders of a key in different components
-    named = stored(holders.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "jaccard-named")
-    mixed_keys = named.groupBy("key").agg(F.count("*").alias("in_key"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    n_blocks = F.ceil(F.col("in_key") / TILE)
-    tiles = (
-        named.join(mixed_keys.select("key", "in_key"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .select("key", "i", "j", "block", "rep", "n", "label", "bits")
-    )
-    by = ["key", "i", "j"]
-    close = tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_close_in_tile, "a long, b long")
-    close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    more = stored(verified(docs, best, stored(close, "jaccard-close")), "jaccard-more")
-
-    joined = components(spark, links.unionByName(more), "jaccard-components").withColumnRenamed("id", "rep")
+    # tiles: holders of a key in different components, few pairs a row first, more while links or pairs are left
+    tested, most = None, 1
+    while True:
+        named = stored(holders.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "jaccard-named")
+        mixed_keys = named.groupBy("key").agg(
+            F.count("*").alias("in_key"), F.sum(F.length("bits")).alias("bytes"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        n_blocks = F.ceil(F.greatest(F.col("in_key") / TILE, F.col("bytes") / TILE_BYTES))
+        tiles = (
+            named.join(mixed_keys.select("key", "in_key", "bytes"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+            .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+            .select("key", "i", "j", "block", "rep", "n", "label", "bits")
+        )
+        by = ["key", "i", "j"]
+        close = tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_close_in_tile(most), "a long, b long, more boolean")
+        close = stored(
+            close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more").filter("a <> b")
+            .groupBy("a", "b").agg(F.bool_or("more").alias("more")), "jaccard-close")
+        fresh = close if tested is None else close.join(tested, ["a", "b"], "left_anti")
+        more = stored(verified(docs, best, stored(fresh.select("a", "b"), "jaccard-fresh")), "jaccard-more")
+        links = links.unionByName(more)
+        if not close.filter("more").head(1):
+            break
+        tested = close.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
+        label = components(spark, links, "jaccard-label").select(F.col("id").alias("rep"), F.col("component").alias("label"))
+        most *= 8
+
+    joined = components(spark, links, "jaccard-components").withColumnRenamed("id", "rep")
     found = (
         best.join(reps.drop("bits"), ["n", "f1", "f2"]).join(joined, "rep", "left")
         .select(F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("component_id"))
