@@ -184,8 +184,11 @@ def test_language_spans_and_edges(spark):
     assert sum(s.n_words for s in row.lang_spans) == len(words(f"{one} {two}")) and 0 < row.score < 1
     found = {r.doc_id: r for r in language.identify(documents(spark), model).collect()}
     assert all(found[k].lang_pred == "und" and found[k].score == 0 for k in (3, 4, 5, 10)) and found[11].lang_pred == "fr"
-    foreign = spark.createDataFrame([(1, "Привет мир"), (2, "你好 世界")], "doc_id long, text string")
-    assert [r.lang_pred for r in language.identify(foreign, model).collect()] == ["und", "und"]
+    foreign = ["Привет мир", "你好 世界", "ｆｕｌｌ ｗｉｄｔｈ", "ｶﾀｶﾅ", "𝕞𝕒𝕥𝕙", "Привет 123 !!"]
+    rows = language.identify(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model).collect()
+    assert all(r.lang_pred in model.languages and 0 < r.score <= language.FOREIGN for r in rows)
+    mixed = language.identify(spark.createDataFrame([(1, f"{one} Привет")], "doc_id long, text string"), model).first()
+    assert mixed.lang_pred == "en" and mixed.score > 0.9
     assert language.identify(empty(spark), model).collect() == []
     nothing = language.fit_languages(empty(spark))
     assert {r.lang_pred for r in language.identify(documents(spark), nothing).collect()} == {"und"}
@@ -193,6 +196,35 @@ def test_language_spans_and_edges(spark):
     assert kept.columns == documents(spark).columns and not {3, 4, 5, 10} & {r.doc_id for r in kept.collect()}
 
 
+def test_rare_languages_are_learned_in_large_tables(spark):
+    rows = [(i, f"the house number {i} is near the river", "en") for i in range(900)] + [(900 + i, "das Haus am Fluss", "de") for i in range(3)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(labelled.withColumns({"_share": F.lit(1), "n": F.lit(2)}), language_rows=20)
+    assert model.languages == ["de", "en"]
+
+
+def test_columns_of_the_caller_stay(spark):
+    """Extra columns with names that the operators use themselves."""
+    names = ("key", "score", "runs", "rare", "n_tokens_", "lang_pred", "_row", "_copy", "unit", "shard", "n_copies", "_kept")
+    docs = documents(spark).withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in names})
+
+    def carried(found, columns=names):
+        for r in found.collect():
+            assert all(r[c] == f"{c} {'null' if r['doc_id'] is None else r['doc_id']}" for c in columns)
+
+    model = language.fit_languages(docs)
+    carried(language.keep_identified(docs, model, 0.0))
+    assert language.keep_identified(docs, model).columns == docs.columns
+    placed = shard.with_shards(docs, n_shards=3)
+    carried(placed, [c for c in names if c != "shard"])
+    assert placed.columns == [*[c for c in docs.columns if c != "shard"], "law", "shard", "slot", "grown_shard"]
+    check_shards(placed.collect(), 3)
+    assert mixing.mix(docs).columns == docs.columns
+    carried(mixing.mix(docs))
+    scored = attention.score_documents(docs, docs.filter("doc_id < 9"), TOKENIZER)
+    carried(scored, [c for c in names if c != "score"])
+
+
 def test_viterbi_equals_dynamic_program():
     rng = np.random.default_rng(7)
     scores, offsets = rng.normal(0, 3, (60, 4)).astype(np.float32), np.array([0, 0, 7, 8, 60])

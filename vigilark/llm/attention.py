@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vigilark.llm.common import pieces, ranges, stored, text_of, unit_hash, words_of
 
@@ -538,7 +539,10 @@ def joined_chances(wanted: DataFrame, runs: DataFrame, groups: DataFrame, model:
 
 
 def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, common_words: int = COMMON_WORDS) -> DataFrame:
-    """docs' doc_id and other columns but text, with n_tokens, n_known, train_tokens, base_score and score."""
+    """docs' doc_id and other columns but text, with n_tokens, n_known, train_tokens, base_score and score.
+
+    Columns of docs named like these results are replaced.
+    """
     with open(tokenizer_path, "rb") as file:
         tokenizer = file.read()
     training = training.select("doc_id", text_of().alias("text"))
@@ -556,7 +560,8 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
     listed = pa.chunked_array(common.column("word").chunks, pa.string()).combine_chunks().cast(pa.large_string())
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast((listed, common.column("n").to_numpy(), model, runs))
-    others = [f for f in docs.schema if f.name != "text"]
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    others = [c for c in docs.columns if c not in ("text", *results)]
     scale = float(n_train + n_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -587,14 +592,16 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
                 log += class_scores(attention, tokens, t["bounds"])
                 score = np.add.reduceat(log, t["bounds"][:-1]) / np.log(10.0) if n else np.zeros(0)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(f.name) for f in others], pa.array(np.diff(t["offsets"]) + 1), pa.array(n_known), pa.array(base),
+                    [part.column("_kept"), pa.array(np.diff(t["offsets"]) + 1), pa.array(n_known), pa.array(base),
                      pa.array(score), pa.ListArray.from_arrays(pa.array(rare_of), rare_words),
                      pa.ListArray.from_arrays(pa.array(unsure_of), pa.array(unsure))],
-                    names=[*[f.name for f in others], "n_tokens", "n_known", "base_score", "score", "rare", "runs"])
+                    names=["_kept", "n_tokens", "n_known", "base_score", "score", "rare", "runs"])
 
-    made = docs.select(*[f.name for f in others], text_of().alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    scored = stored(made.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double, rare array<string>, runs array<long>")
+    made = docs.select(F.struct(*others).alias("_kept"), text_of().alias("text"))
+    schema = StructType([made.schema["_kept"]])
+    for field in spark.createDataFrame([], "n_tokens long, n_known long, base_score double, score double, rare array<string>, runs array<long>").schema:
+        schema = schema.add(field)
+    scored = stored(made.mapInArrow(run, schema)
                     .withColumn("_row", F.monotonically_increasing_id()), "attention-scores")
     rare = scored.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("times"))
     n = F.coalesce("n", F.lit(0))
@@ -610,6 +617,6 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
         added = unsure.join(chances, "run").groupBy("_row").agg(F.sum(F.col("times") * F.log10("chance")).alias("joined"))
         found, score = found.join(added, "_row", "left"), score + F.coalesce("joined", F.lit(0.0))
     return found.select(
-        *[f.name for f in others], "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        "_kept.*", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         score.alias("score"))

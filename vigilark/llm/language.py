@@ -4,12 +4,14 @@ Script ranges narrow the languages a word can have; byte n-gram models learned f
 Viterbi over a document's words, with a penalty for each switch of language, labels the spans. The prediction is the
 language with most letters, its score the share of the document's letters that it has.
 
-The model is learned from at most about `SAMPLE_ROWS` labelled rows, drawn by a hash of their ids over the whole table;
-counts are combined in tasks before they are shuffled, and the model has `BUCKETS` numbers per language.
-
-Cases: null, empty and letterless texts are `und` with score 0, and so are texts whose scripts no learned language
-uses; rows without a label teach nothing; ties go to the first language by name; repeated rows and other columns are
-kept as they are, but columns named like the results are replaced; with nothing learned all is `und`.
+The model is learned from at most about `LANGUAGE_ROWS` labelled rows of each language, drawn by a hash of their ids
+over the whole table, so a language that is rare in a large table is learned from all its rows; counts are combined in
+tasks before they are shuffled, and the model has `BUCKETS` numbers per language.
+
+Cases: null, empty and letterless texts are `und` with score 0. A text whose scripts no learned language uses gets the
+language that its n-grams fit best, with a score of FOREIGN at most; beside words of a learned script such words do not
+count. Rows without a label teach nothing; ties go to the first language by name; repeated rows and other columns are
+kept as they are, but `identify` replaces columns named like its results; with nothing learned all is `und`.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vigilark.llm.common import bytes_of, pieces, ranges, unit_hash, words_of
+from vigilark.llm.common import bytes_of, pieces, ranges, stored, unit_hash, words_of
+from vigilark.llm.decontaminate import if_small
 
 BUCKETS = 1 << 15
 GRAMS = (2, 3)  # bytes
 SWITCH_PENALTY = 12.0
-SAMPLE_ROWS = 20_000
+LANGUAGE_ROWS = 5_000  # training rows of a language, at most about
+FOREIGN = 0.1  # weight of the letters of texts in scripts that no learned language uses
 PIECE_BYTES = 8 << 20  # text that a task works on at once
 RARE_SCRIPT = 0.001  # a language uses a script when this share of its words is written in it
 # fixed values: first code points of script ranges and the script that starts there ("" for none)
@@ -102,8 +106,8 @@ def _buckets(names: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return found, starts
 
 
-def fit_languages(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Model from text and lang of about `sample_rows` of the rows given (all, if there are no more)."""
+def fit_languages(labelled: DataFrame, language_rows: int = LANGUAGE_ROWS) -> LanguageModel:
+    """Model from text and lang of about `language_rows` of the rows of each language (all, if there are no more)."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -131,9 +135,11 @@ def fit_languages(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Langua
                 "lang": pa.array([lang] * len(seen), pa.string()), "bucket": pa.array(seen, pa.int64()),
                 "n": pa.array(total[seen].astype(np.int64))})
 
-    rows = labelled.filter("text is not null and lang is not null")
-    share = min(1.0, sample_rows / max(1, rows.select("doc_id").count()))
-    rows = rows.filter(unit_hash("languages", "doc_id") < share).select("text", "lang")
+    rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    shares = if_small(stored(
+        rows.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(language_rows)) / F.count("*")).alias("_share")), "language-shares"))
+    drawn = (F.col("lang") == F.col("_lang")) & (unit_hash("languages", "doc_id") < F.col("_share"))
+    rows = rows.join(shares, drawn).select("text", "lang")
     parts = rows.mapInArrow(counts, "lang string, bucket long, n long")
     total = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
     languages = sorted(total["lang"].unique())
@@ -147,7 +153,7 @@ def fit_languages(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Langua
 
 
 def word_scores(model: LanguageModel, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(score of each word in each language, letters of each word, whether any language can have it)."""
+    """(score of each word in each language, letters of each word, whether any language uses its script)."""
     script, letters = _scripts_of(names)
     scores = np.zeros((len(names), len(model.languages)), np.float32)
     step = max(1, 400_000 // max(4, len(model.languages)))
@@ -158,8 +164,7 @@ def word_scores(model: LanguageModel, names: pa.Array) -> tuple[np.ndarray, np.n
     allowed = model.uses_script[script] & (script > 0)[:, None]
     known = allowed.any(1)
     scores -= scores.max(1, keepdims=True)
-    scores = np.where(allowed, scores, -60.0)
-    scores[~known] = 0.0
+    scores = np.where(allowed | ~known[:, None], scores, -60.0)
     return scores.astype(np.float32), letters, known
 
 
@@ -199,12 +204,16 @@ def _label(model: LanguageModel, texts: pa.Array, penalty: float, spans: bool) -
     rows = np.repeat(np.arange(n), np.diff(offsets))
     if n_langs and len(names):
         scores, letters, known = word_scores(model, names)
-        labels = viterbi(scores[ids], offsets, penalty)
-        weight = np.where(known[ids], letters[ids], 0)
+        used = np.bincount(rows, weights=known[ids], minlength=n) > 0
+        foreign = ~known[ids] & ~used[rows] & (letters[ids] > 0)
+        own = scores[ids]
+        own[~known[ids] & ~foreign] = 0.0
+        labels = viterbi(own, offsets, penalty)
+        weight = np.where(known[ids] | foreign, letters[ids], 0)
         by_lang = np.bincount(rows * n_langs + labels, weights=weight, minlength=n * n_langs).reshape(n, n_langs)
         total = np.bincount(rows, weights=letters[ids], minlength=n)
         main = by_lang.argmax(1)
-        share = by_lang[np.arange(n), main] / np.maximum(total, 1)
+        share = by_lang[np.arange(n), main] / np.maximum(total, 1) * np.where(used, 1.0, FOREIGN)
     else:
         labels, share, main = np.zeros(len(ids), np.int16), np.zeros(n), np.zeros(n, np.int64)
     predicted = np.where(share > 0, np.array([*model.languages, "und"], object)[np.where(share > 0, main, n_langs)], "und")
@@ -249,5 +258,7 @@ def in_fold(folds: int) -> "F.Column":
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
     """docs whose main language holds at least `least` of their letters; same columns. Rejects `und`."""
-    flagged = identify(docs.withColumns({"lang_pred": F.lit(None), "score": F.lit(None)}), model)
-    return flagged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score", "lang_spans")}
+    flagged = identify(docs.withColumnsRenamed(aside), model)
+    kept = flagged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

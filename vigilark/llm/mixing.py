@@ -128,14 +128,16 @@ def copies(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as often as the mix takes it; same columns."""
-    each = Window.partitionBy("doc_id", "key", "source")
-    left = docs.withColumn("key", fingerprint(text_of())).withColumn("_copy", F.row_number().over(each.orderBy(F.lit(1))))
+    own = Window.partitionBy("_doc", "_text_key", "_of").orderBy(F.lit(1))
+    left = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), fingerprint(text_of()).alias("_text_key"), F.col("source").alias("_of")
+    ).withColumn("_copy", F.row_number().over(own))
     right = copies(docs, **options).select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source"), "n_copies",
-        F.row_number().over(each.orderBy("n_copies")).alias("_n"))
+        F.row_number().over(Window.partitionBy("doc_id", "key", "source").orderBy("n_copies")).alias("_n"))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-        & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_copy") == F.col("_n"))
+        F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+        & F.col("_of").eqNullSafe(F.col("_source")) & (F.col("_copy") == F.col("_n"))
     )
     taken = left.join(right.filter("n_copies > 0"), same)
-    return taken.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("_each")).select("_row.*")

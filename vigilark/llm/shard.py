@@ -111,13 +111,17 @@ def balanced_shards(
 
 
 def with_shards(docs: DataFrame, **options) -> DataFrame:
-    """docs and their shard and slot. Rows of one id and text are numbered on both sides, so each gets its own."""
+    """docs with law, shard, slot and grown_shard, which replace columns of these names.
+
+    Rows of one id and text are numbered on both sides, so each gets its own place.
+    """
+    new = ["law", "shard", "slot", "grown_shard"]
     placed = balanced_shards(docs, **options)
-    each = Window.partitionBy("doc_id", "key")
-    left = docs.withColumn("key", fingerprint(text_of())).withColumn("_copy", F.row_number().over(each.orderBy(F.lit(1))))
+    each = Window.partitionBy("_doc", "_text_key").orderBy(F.lit(1))
+    left = docs.select(
+        F.struct(*[c for c in docs.columns if c not in new]).alias("_row"), F.col("doc_id").alias("_doc"), fingerprint(text_of()).alias("_text_key"))
     right = placed.select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "law", "shard", "slot", "grown_shard",
-        F.row_number().over(each.orderBy("shard", "slot")).alias("_n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("_copy") == F.col("_n"))
-    new = [c for c in ("law", "shard", "slot", "grown_shard") if c not in docs.columns]
-    return left.join(right.select("_id", "_key", "_n", *new), same).select(*docs.columns, *new)
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), *new,
+        F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("shard", "slot")).alias("_n"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & (F.col("_copy") == F.col("_n"))
+    return left.withColumn("_copy", F.row_number().over(each)).join(right, same).select("_row.*", *new)
