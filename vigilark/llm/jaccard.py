@@ -10,8 +10,8 @@ documents link when 100 times their intersection is at least 75 times their unio
 * Tiles: holders of a key that lie in different components so far are compared with each other, in size bands and
   blocks of bounded size. A set's bitmap has one bit per hash class, on for an odd number of shingles; bits that differ
   bound the overlap from above (a band is one bitmap width; a width can be folded to the next smaller one).
-  Each row hands on its closest pair, after each round eight times as many, until no tile has pairs left; rows that
-  a round has joined are not compared again, so a group of near copies costs about as many pairs as it has rows.
+  A tile hands on the rows that may have a partner, never its pairs; their sets are brought to it, the closest pairs
+  are verified first, pairs that are joined already not at all, and a spanning forest of the links comes out.
 * What passes is verified by intersecting the sorted hash arrays.
 
 Equal sets are folded before any of this, so copies cost one row each; pairs inside a component are not expanded.
@@ -37,7 +37,7 @@ WIDTH = 5
 SAMPLE_ROWS, FREQUENT_SHARE, FREQUENT_MOST = 5_000, 0.001, 65_536
 TILE = 512
 PIECE = 2 << 20  # bytes of text that a task takes apart at once
-TILE_BYTES = 8 << 20  # bitmaps of a block
+TILE_BYTES = 256 << 10  # bitmaps of a block; its sets are at most 64 times as large
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -137,50 +137,74 @@ def frequent_shingles(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.nda
     return np.sort(np.array([r[0] for r in top.select("h").collect()], np.int64).view(np.uint64))
 
 
-def _close_in_tile(most: int):
-    """Pairs of a tile that lie in different components and whose sizes and bitmaps allow a link.
-
-    A row hands on the `most` pairs with the fewest differing bits; `more` tells whether its tile left pairs out.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in sorted_groups(batches, ["key", "i", "j"]):
-            names = ("rep", "n", "label", "block", "i", "j")
-            rep, n, label, block, i, j = (rows.column(c).to_numpy() for c in names)
-            for start, stop in zip(starts[:-1], starts[1:]):
-                if stop - start < 2 or (label[start:stop] == label[start]).all():
-                    continue
-                bits = dict(zip(range(start, stop), rows.column("bits").slice(start, stop - start).to_pylist()))
-                at = np.arange(start, stop)
-                left, right = at[block[at] == i[start]], at[block[at] == j[start]]
-                width = np.array([len(bits[k]) for k in at])
-                found = []
-                for w in np.unique(width):
-                    for other in (w, 2 * w):
-                        a, b = left[width[left - start] == w], right[width[right - start] == other]
-                        turns = [(a, b)]
-                        if i[start] != j[start] and other != w:
-                            turns.append((right[width[right - start] == w], left[width[left - start] == other]))
-                        for p, q in turns:
-                            if len(p) and len(q):
-                                found += _allowed(p, q, w, other, bits, n, label, w == other and i[start] == j[start])
-                if found:
-                    a, b, differ = (np.concatenate(x) for x in zip(*found))
-                    first = _first_of_each(a, differ, most) | _first_of_each(b, differ, most)
-                    yield pa.RecordBatch.from_pydict({
-                        "a": pa.array(rep[a[first]]), "b": pa.array(rep[b[first]]), "more": pa.array(np.full(first.sum(), not first.all()))})
-
-    return run
-
-
-def _first_of_each(row: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
-    """Whether an entry is among the `most` least values of its row."""
-    order = np.lexsort((value, row))
-    own = row[order]
-    start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    rank = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
-    out = np.zeros(len(row), bool)
-    out[order] = rank < most
-    return out
+def _tile_pairs(rep, n, label, block, i, j, bits) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(row, row, share of bits that differ) of a tile's pairs that lie in different components and may link."""
+    if len(rep) < 2 or (label == label[0]).all():
+        return None
+    at = np.arange(len(rep))
+    left, right = at[block == i], at[block == j]
+    width = np.array([len(x) for x in bits])
+    found = []
+    for w in np.unique(width):
+        for other in (w, 2 * w):
+            turns = [(left[width[left] == w], right[width[right] == other])]
+            if i != j and other != w:
+                turns.append((right[width[right] == w], left[width[left] == other]))
+            for p, q in turns:
+                if len(p) and len(q):
+                    found += _allowed(p, q, w, other, bits, n, label, w == other and i == j)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else None
+
+
+_TILE = "key long, i long, j long, block long, rep long, n long, label long"
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a tile that have a partner whose size and bitmap allow a link."""
+    for rows, starts in sorted_groups(batches, ["key", "i", "j"]):
+        names = ("rep", "n", "label", "block", "i", "j")
+        columns = [rows.column(c).to_numpy() for c in names]
+        for start, stop in zip(starts[:-1], starts[1:]):
+            rep, n, label, block, i, j = (c[start:stop] for c in columns)
+            pairs = _tile_pairs(rep, n, label, block, i[0], j[0], rows.column("bits").slice(start, stop - start).to_pylist())
+            if pairs:
+                yield from rows.select([f.split()[0] for f in _TILE.split(", ")]).take(
+                    pa.array(start + np.unique(np.append(pairs[0], pairs[1])))).to_batches()
+
+
+def _joined_in_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a tile, verified by their sets: the closest first, none between rows that are joined already."""
+    for rows, starts in sorted_groups(batches, ["key", "i", "j"]):
+        names = ("rep", "n", "label", "block", "i", "j")
+        columns = [rows.column(c).to_numpy() for c in names]
+        lists = rows.column("set").combine_chunks()
+        flat, places = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        for start, stop in zip(starts[:-1], starts[1:]):
+            rep, n, label, block, i, j = (c[start:stop] for c in columns)
+            sets = [flat[places[k]:places[k + 1]] for k in range(start, stop)]
+            pairs = _tile_pairs(rep, n, label, block, i[0], j[0], [bitmap(own) for own in sets])
+            if not pairs:
+                continue
+            group = {x: x for x in label.tolist()}
+
+            def root(x: int) -> int:
+                while group[x] != x:
+                    group[x] = x = group[group[x]]
+                return x
+
+            of, out = label.tolist(), []
+            for a, b in zip(*(x[np.argsort(pairs[2], kind="stable")].tolist() for x in pairs[:2])):
+                x, y = root(of[a]), root(of[b])
+                if x != y and _links(sets[a], sets[b]):
+                    group[x] = y
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(rep[[a for a, _ in out]]), "b": pa.array(rep[[b for _, b in out]])})
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
 def _allowed(p, q, w, other, bits, n, label, same) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -211,8 +235,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for k in range(batch.num_rows):
             a, b = x[at[k]:at[k + 1]].view(np.uint64), y[to[k]:to[k + 1]].view(np.uint64)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * shared >= 75 * (len(a) + len(b) - shared))
+            keep.append(_links(a, b))
         kept = batch.filter(pa.array(keep, pa.bool_()))
         if kept.num_rows:
             yield kept.select(["a", "b"])
@@ -230,12 +253,16 @@ def _bitmaps_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def sets_of(docs: DataFrame, best: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set (sorted hashes) of the documents with these ids, a stored table; `best` has the fingerprint of each id."""
+    ids = stored(ids.distinct().join(best.select("doc_id", "f1"), "doc_id"), "jaccard-ids")
+    texts = docs.select("doc_id", "text").join(if_small(ids), "doc_id")
+    return stored(texts.mapInArrow(_sets, "id long, set array<long>"), "jaccard-sets")
+
+
 def verified(docs: DataFrame, best: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of document ids that link; `pairs` is a stored table, `best` has the fingerprint of each id."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = stored(ids.join(best.select("doc_id", "f1"), "doc_id"), "jaccard-ids")
-    texts = docs.select("doc_id", "text").join(if_small(ids), "doc_id")
-    sets = stored(texts.mapInArrow(_sets, "id long, set array<long>"), "jaccard-sets")
+    sets = sets_of(docs, best, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
     both = (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
@@ -276,34 +303,24 @@ def near_documents(docs: DataFrame) -> DataFrame:
     links = stored(verified(docs, best, stored(star.distinct(), "jaccard-star")), "jaccard-links")
     label = components(spark, links, "jaccard-first").select(F.col("id").alias("rep"), F.col("component").alias("label"))
 
-    # tiles: holders of a key in different components, few pairs a row first, more while links or pairs are left
-    tested, most = None, 1
-    while True:
-        named = stored(holders.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "jaccard-named")
-        mixed_keys = named.groupBy("key").agg(
-            F.count("*").alias("in_key"), F.sum(F.length("bits")).alias("bytes"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        n_blocks = F.ceil(F.greatest(F.col("in_key") / TILE, F.col("bytes") / TILE_BYTES))
-        tiles = (
-            named.join(mixed_keys.select("key", "in_key", "bytes"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-            .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-            .select("key", "i", "j", "block", "rep", "n", "label", "bits")
-        )
-        by = ["key", "i", "j"]
-        close = tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_close_in_tile(most), "a long, b long, more boolean")
-        close = stored(
-            close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more").filter("a <> b")
-            .groupBy("a", "b").agg(F.bool_or("more").alias("more")), "jaccard-close")
-        fresh = close if tested is None else close.join(tested, ["a", "b"], "left_anti")
-        more = stored(verified(docs, best, stored(fresh.select("a", "b"), "jaccard-fresh")), "jaccard-more")
-        links = links.unionByName(more)
-        if not close.filter("more").head(1):
-            break
-        tested = close.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
-        label = components(spark, links, "jaccard-label").select(F.col("id").alias("rep"), F.col("component").alias("label"))
-        most *= 8
-
-    joined = components(spark, links, "jaccard-components").withColumnRenamed("id", "rep")
+    # tiles: holders of a key in different components; the sets of those with hope follow them into their tiles
+    named = stored(holders.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "jaccard-named")
+    mixed_keys = named.groupBy("key").agg(
+        F.count("*").alias("in_key"), F.sum(F.length("bits")).alias("bytes"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    n_blocks = F.ceil(F.greatest(F.col("in_key") / TILE, F.col("bytes") / TILE_BYTES))
+    tiles = (
+        named.join(mixed_keys.select("key", "in_key", "bytes"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        .select("key", "i", "j", "block", "rep", "n", "label", "bits")
+    )
+    by = ["key", "i", "j"]
+    hopeful = stored(tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_hopeful, _TILE), "jaccard-hopeful")
+    sets = sets_of(docs, best, hopeful.select(F.col("rep").alias("doc_id"))).withColumnRenamed("id", "rep")
+    more = stored(
+        hopeful.join(sets, "rep").repartition(*by).sortWithinPartitions(*by).mapInArrow(_joined_in_tile, "a long, b long"), "jaccard-more")
+
+    joined = components(spark, links.unionByName(more), "jaccard-components").withColumnRenamed("id", "rep")
     found = (
         best.join(reps.drop("bits"), ["n", "f1", "f2"]).join(joined, "rep", "left")
         .select(F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("component_id"))
