@@ -10,8 +10,9 @@ documents link when 100 times their intersection is at least 75 times their unio
 * Tiles: holders of a key that lie in different components so far are compared with each other, in size bands and
   blocks of bounded size. A set's bitmap has one bit per hash class, on for an odd number of shingles; bits that differ
   bound the overlap from above (a band is one bitmap width; a width can be folded to the next smaller one).
-  A tile hands on the rows that may have a partner, never its pairs; their sets are brought to it, the closest pairs
-  are verified first, pairs that are joined already not at all, and a spanning forest of the links comes out.
+  A tile hands on the rows that may have a partner, never its pairs. Bitmaps SPREAD times as wide are brought to it
+  and thin them out, then the sets of the rest: the closest pairs are verified first, pairs that are joined already not
+  at all, and a spanning forest of the links comes out.
 * What passes is verified by intersecting the sorted hash arrays.
 
 Equal sets are folded before any of this, so copies cost one row each; pairs inside a component are not expanded.
@@ -37,6 +38,7 @@ WIDTH = 5
 SAMPLE_ROWS, FREQUENT_SHARE, FREQUENT_MOST = 5_000, 0.001, 65_536
 TILE = 512
 PIECE = 2 << 20  # bytes of text that a task takes apart at once
+SPREAD = 8
 TILE_BYTES = 256 << 10  # bitmaps of a block; its sets are at most 64 times as large
 
 
@@ -63,9 +65,9 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity of the number of hashes in each class; about as many classes as hashes."""
-    width = 1 << max(6, int(len(hashes) - 1).bit_length())
+def bitmap(hashes: np.ndarray, spread: int = 1) -> bytes:
+    """Parity of the number of hashes in each class; about `spread` times as many classes as hashes."""
+    width = spread << max(6, int(len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -112,6 +114,15 @@ def _first_print(own: np.ndarray) -> int:
     return int(np.sum(mixed(own + np.uint64(1)), dtype=np.uint64).view(np.int64))
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wide bitmaps of rows whose fingerprint is the wanted one."""
+    for sets in _sets(batches):
+        lists = sets.column("set")
+        flat, places = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        yield pa.RecordBatch.from_pydict({
+            "id": sets.column("id"), "bits": pa.array([bitmap(flat[a:b], SPREAD) for a, b in zip(places[:-1], places[1:])], pa.binary())})
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of rows whose fingerprint is the wanted one: of several rows of an id, those that stand for it."""
     for batch in batches:
@@ -182,7 +193,7 @@ def _joined_in_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for start, stop in zip(starts[:-1], starts[1:]):
             rep, n, label, block, i, j = (c[start:stop] for c in columns)
             sets = [flat[places[k]:places[k + 1]] for k in range(start, stop)]
-            pairs = _tile_pairs(rep, n, label, block, i[0], j[0], [bitmap(own) for own in sets])
+            pairs = _tile_pairs(rep, n, label, block, i[0], j[0], [bitmap(own, SPREAD) for own in sets])
             if not pairs:
                 continue
             group = {x: x for x in label.tolist()}
@@ -253,10 +264,15 @@ def _bitmaps_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def sets_of(docs: DataFrame, best: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set (sorted hashes) of the documents with these ids, a stored table; `best` has the fingerprint of each id."""
+def sets_of(docs: DataFrame, best: DataFrame, ids: DataFrame, wide: bool = False) -> DataFrame:
+    """id, set (sorted hashes) of the documents with these ids, or id, bits (wide bitmaps); a stored table.
+
+    `best` has the fingerprint of each id.
+    """
     ids = stored(ids.distinct().join(best.select("doc_id", "f1"), "doc_id"), "jaccard-ids")
     texts = docs.select("doc_id", "text").join(if_small(ids), "doc_id")
+    if wide:
+        return stored(texts.mapInArrow(_wide, "id long, bits binary"), "jaccard-wide")
     return stored(texts.mapInArrow(_sets, "id long, set array<long>"), "jaccard-sets")
 
 
@@ -303,7 +319,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     links = stored(verified(docs, best, stored(star.distinct(), "jaccard-star")), "jaccard-links")
     label = components(spark, links, "jaccard-first").select(F.col("id").alias("rep"), F.col("component").alias("label"))
 
-    # tiles: holders of a key in different components; the sets of those with hope follow them into their tiles
+    # tiles: holders of a key in different components; wide bitmaps, then sets, follow those with hope into their tiles
     named = stored(holders.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "jaccard-named")
     mixed_keys = named.groupBy("key").agg(
         F.count("*").alias("in_key"), F.sum(F.length("bits")).alias("bytes"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
@@ -316,6 +332,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     )
     by = ["key", "i", "j"]
     hopeful = stored(tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_hopeful, _TILE), "jaccard-hopeful")
+    wide = sets_of(docs, best, hopeful.select(F.col("rep").alias("doc_id")), True).withColumnRenamed("id", "rep")
+    hopeful = stored(
+        hopeful.join(wide, "rep").repartition(*by).sortWithinPartitions(*by).mapInArrow(_hopeful, _TILE), "jaccard-hopeful")
     sets = sets_of(docs, best, hopeful.select(F.col("rep").alias("doc_id"))).withColumnRenamed("id", "rep")
     more = stored(
         hopeful.join(sets, "rep").repartition(*by).sortWithinPartitions(*by).mapInArrow(_joined_in_tile, "a long, b long"), "jaccard-more")
