@@ -35,6 +35,7 @@ FAST, SLOW, FLOOD = RateRule(9000001, 6, 3600, None, "attempted-recon", "fast sc
 TRIAL_RULES = (FAST, SLOW, FLOOD)
 TRIAL_BRUTE_FORCE = RateRule(100010, 3, 14400, None, "brute-force", "failed logins")
 PAGE_CURSOR = alert_source.Cursor("2024-01-15 00:00:00", "")
+CYCLE_PAGE = 5_000  # alerts of a call
 SEARCH_TEXT = "Port SCAN"
 SHIFT, STRETCH = 0.05, 1.2  # moves some scores below 0 and above 1.01
 
@@ -100,8 +101,8 @@ def _(spark, d):
 def _(spark, d):
     base = shared_dir(spark, "cycle")
     rows = tables.alerts(spark, d).select("timestamp", "alert_id", "agent_name", "rule_id")
-    for _batch in range(4):  # four calls of a scheduled job, each going on where the last one stopped
-        alert_source.collect_page(rows, f"{base}/alerts", f"{base}/cursors")
+    while alert_source.collect_page(rows, f"{base}/alerts", f"{base}/cursors", CYCLE_PAGE):
+        pass  # each call goes on where the last one stopped, until nothing is newer
     return spark.read.parquet(f"{base}/alerts").drop("page")
 
 

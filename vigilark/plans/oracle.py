@@ -186,7 +186,7 @@ FROM alerts ORDER BY timestamp DESC, alert_id LIMIT 100"""
     o["incremental_collect"] = a + """SELECT timestamp, alert_id, agent_name, rule_id, rule_level FROM alerts
 WHERE timestamp > TIMESTAMP '2024-01-15 00:00:00' OR (timestamp = TIMESTAMP '2024-01-15 00:00:00' AND alert_id > '')
 ORDER BY timestamp, alert_id LIMIT 500"""
-    o["collection_cycle"] = a + "SELECT timestamp, alert_id, agent_name, rule_id FROM alerts ORDER BY timestamp, alert_id LIMIT 2000"
+    o["collection_cycle"] = a + "SELECT timestamp, alert_id, agent_name, rule_id FROM alerts WHERE timestamp IS NOT NULL"
     n = ctes(A, NORMALIZED)
     o["scan_alert_log"] = o["normalize_alert"] = n + "SELECT * FROM normalized"
     o["append_alert_log"] = n + "SELECT source_type, count(*) AS alerts FROM normalized GROUP BY 1"
