@@ -753,11 +753,11 @@ def _(spark, d):
     train, test = _fit_part(spark, d)
     model = models.fitted(train).risk
     scored = risk.risk_score(model, test)
-    rounds = model.nodes.agg(F.count_distinct("round").alias("rounds"))
+    rounds = model.nodes.agg(F.count_distinct("round")).first()[0]
     return scored.groupBy("y").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("risk_score").between(0, 1), 1)).alias("scores_in_range"),
         (F.avg(_log_loss("y", "risk_score")) < math.log(2)).alias("better_than_a_coin"),
-    ).crossJoin(F.broadcast(rounds))  # one row of counts
+    ).withColumn("rounds", F.lit(rounds).cast("long"))
 
 
 @query("risk_score")
@@ -864,7 +864,7 @@ def _(spark, d):
         F.count("*").alias("n"), *[F.count_if(name).alias(name) for name in pairs])
     kinds = found.unpivot(["n"], list(pairs), "kind", "same")
     codes = [encode.encode_categoricals(raw, e).filter("is_test").select("session_id", *CATEGORICAL_FEATURES) for e in (encoder, encode.load_encoder(f"{path}/encoder"))]
-    same = codes[0].agg(F.count("*").alias("n")).crossJoin(codes[0].join(codes[1], codes[0].columns).agg(F.count("*").alias("same")))
+    same = codes[0].join(codes[1].withColumn("hit", F.lit(1)), codes[0].columns, "left").agg(F.count("*").alias("n"), F.count("hit").alias("same"))
     without = analysis.anomaly_flag(forest.load_forest(f"{path}/none"), test).agg(F.count("*").alias("n"), F.count_if(F.col("iso_flag") == 0).alias("same"))
     return kinds.unionByName(same.withColumn("kind", F.lit("encoder"))).unionByName(without.withColumn("kind", F.lit("no forest")))
 
