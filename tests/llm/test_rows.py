@@ -44,6 +44,40 @@ def test_shards_keep_groups_whole_when_all_rows_are_linked(spark):
     assert np.mean([len(x) == 1 for x in where.values()]) >= 0.95
 
 
+def test_shards_keep_small_groups_whole(spark):
+    rows = [(i, f"text {i // 3}") for i in range(90)]  # 24 shards of 3 or 4 rows hold 24 groups of 3 at most
+    placed = shard.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = placed.collect()
+    check_shards(found, 24)
+    where = {}
+    for r in found:
+        where.setdefault(r.doc_id // 3, []).append(r.shard)
+    assert sum(len(set(x)) == 1 for x in where.values()) >= 22
+    cut = sum(x[i] != x[k] for x in where.values() for i in range(3) for k in range(i))
+    assert shard.cut_links(placed).first() == (90, cut)
+
+
+def test_propagation_keeps_quotas_and_gathers_units(spark):
+    rng = np.random.default_rng(4)
+    cells = Counter((int(u), int(s)) for u, s in zip(np.repeat(np.arange(300), 8), rng.integers(0, 6, 2400)))
+    start = spark.createDataFrame([(u, s, n) for (u, s), n in cells.items()], "unit long, shard int, n long")
+    rooms = [410] * 6
+    before = [sum(n for (_, s), n in cells.items() if s == k) for k in range(6)]
+    found = shard.propagate(start, rooms).collect()
+    load = [sum(r.n for r in found if r.shard == k) for k in range(6)]
+    assert all(n <= max(room, was) for n, room, was in zip(load, rooms, before))
+    assert Counter({u: sum(r.n for r in found if r.unit == u) for u in range(300)}) == Counter({u: 8 for u in range(300)})
+    assert sum(n == 1 for n in Counter(r.unit for r in found).values()) >= 200
+
+
+def test_grants_credit_departures():
+    swap = [(3, 0, 0, 1, 8), (3, 0, 1, 0, 8)]
+    assert shard.grants(swap, [10, 10], [10, 10]) == {1: (3, 0, 0), 0: (3, 0, 1)}
+    assert shard.grants(swap[:1], [10, 10], [10, 10]) == {}
+    # the lesser gain goes back, and with it the departure that the other move counted on
+    assert shard.grants([(5, 0, 0, 1, 4), (1, 0, 2, 1, 4)], [4, 6, 4], [10, 10, 10]) == {1: (5, 0, 0)}
+
+
 def test_shards_edges(spark):
     found = shard.with_shards(documents(spark), n_shards=3)
     assert found.columns[:5] == documents(spark).columns

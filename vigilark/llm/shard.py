@@ -1,11 +1,13 @@
-"""Balanced sharding of linked documents.
+"""Balanced sharding of linked documents by label propagation under quotas.
 
-Linked documents (equal keys) form units that start whole in a shard given by a hash of the unit. Shards beyond their quota
-send whole units to shards with room, round by round, until no move is possible; the rest fill what is free, so
-that shard sizes differ by one row at most.
+Documents with equal keys are linked. Every row starts with a shard given by a hash of the row. In a round, a join tells the
+rows of each (unit, shard) which shard holds most of their neighbours; those elsewhere ask to move there. A shard grants
+requests by gain, up to its quota, and what leaves it in the same round is credited. Rows with the same neighbours and the
+same shard decide alike, so the state of a round is one row with a count per (unit, shard). Once hardly any request is
+granted, the rest of each unit joins its neighbours and shards beyond their quota send whole units away; what cannot be
+placed whole fills what is free, so that shard sizes differ by one row at most. `cut_links` counts what lies apart.
 
-The state of a round is one row per unit with a count; a group beyond a share of a shard's capacity is cut into units that
-may lie in different shards.
+A unit is a group of equal texts; only a group of more rows than a shard holds is cut into several units.
 
 Cases: null and empty texts count as equal texts of no bytes; repeated rows are rows of their own; null ids are
 ids like others; an empty table gives an empty result; other columns do not matter.
@@ -19,36 +21,104 @@ from pyspark.sql import functions as F
 from vigilark.llm.common import fingerprint, ranked, stored, text_of
 
 
+PIECE_ROWS = 100_000  # rows of a unit that are numbered in one task
+BUCKETS = 16  # requests of one gain are granted by buckets
+
+
 def link_units(rows: DataFrame, largest: int) -> DataFrame:
-    """rows with `unit` (links of up to about `largest` rows) for keys that occur more than once, else null."""
+    """rows with `unit` (links of up to about `largest` rows) and `piece` for keys that occur more than once, else null."""
     often = rows.groupBy("key").agg(F.count("*").alias("n_key")).filter("n_key > 1")
-    parts = F.ceil(F.col("n_key") / F.lit(largest))
-    unit = F.xxhash64("key", F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text_crc32"), parts))
-    return rows.join(often, "key", "left").withColumn("unit", F.when(F.col("n_key").isNotNull(), unit)).drop("n_key")
+    parted = lambda name, most: F.pmod(F.xxhash64(F.lit(name), "doc_id", "text_crc32"), F.ceil(F.col("n_key") / F.lit(most)))
+    linked = F.col("n_key").isNotNull()
+    return (
+        rows.join(often, "key", "left").withColumn("unit", F.when(linked, F.xxhash64("key", parted("part", largest))))
+        .withColumn("piece", F.when(linked, parted("piece", PIECE_ROWS))).drop("n_key")
+    )
+
+
+def grants(flows: list[tuple[int, int, int, int, int]], load: list[int], rooms: list[int]) -> dict[int, tuple[int, int, int]]:
+    """Least granted (gain, bucket, source) of each target that takes anything, from flows (gain, bucket, source, target, n).
+
+    All requests are granted at first; a shard that would end above its room (or above what it has, if that is more) takes its
+    least ones back, until none does.
+    """
+    after = list(load)
+    asked: dict[int, list] = {}
+    for gain, bucket, source, target, n in sorted(flows, reverse=True):
+        asked.setdefault(target, []).append((gain, bucket, source, n))
+        after[target], after[source] = after[target] + n, after[source] - n
+    refused = True
+    while refused:
+        refused = False
+        for target, rows in asked.items():
+            while rows and after[target] > max(rooms[target], load[target]):
+                *_, source, n = rows.pop()
+                after[target], after[source] = after[target] - n, after[source] + n
+                refused = True
+    return {target: rows[-1][:3] for target, rows in asked.items() if rows}
+
+
+def propagate(cells: DataFrame, rooms: list[int]) -> DataFrame:
+    """cells (unit, shard, n), one row per unit and shard, after rounds of moves towards the shard of most neighbours.
+
+    Each grant joins two cells of a unit, so the rounds end; they stop when less than a hundredth of the requests is
+    granted. At most shards x shards x gains x buckets sizes reach the driver.
+    """
+    turn = 0
+    while True:
+        best = cells.groupBy("unit").agg(
+            F.max(F.struct("n", F.xxhash64(F.lit(f"tie{turn}"), "unit", "shard").alias("tie"), "shard")).alias("best"), F.count("*").alias("parts"))
+        asking = cells.join(best.filter("parts > 1"), "unit", "left").select(
+            "unit", "shard", "n", F.coalesce("best.shard", "shard").alias("target"),
+            F.floor(F.log2(F.coalesce("best.n", "n"))).cast("int").alias("gain"),
+            F.pmod(F.xxhash64(F.lit(f"turn{turn}"), "unit"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        asking = stored(asking, "shard-asking")
+        load, flows = [0] * len(rooms), []
+        for r in asking.groupBy("gain", "bucket", "shard", "target").agg(F.sum("n").alias("n")).collect():
+            load[r["shard"]] += r["n"]
+            if r["shard"] != r["target"]:
+                flows.append(tuple(r))
+        least = grants(flows, load, rooms)
+        granted = sum(f[4] for f in flows if f[3] in least and f[:3] >= least[f[3]])
+        if granted * 100 <= sum(f[4] for f in flows):
+            return cells
+        listed = cells.sparkSession.createDataFrame([(k, v) for k, v in least.items()], "to int, least struct<gain:int,bucket:int,shard:int>")
+        goes = F.col("least").isNotNull() & (F.struct("gain", "bucket", "shard") >= F.col("least"))
+        moved = asking.join(F.broadcast(listed), F.col("target") == F.col("to"), "left")  # a row per shard at most
+        cells = stored(
+            moved.select("unit", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"), "n")
+            .groupBy("unit", "shard").agg(F.sum("n").alias("n")), "shard-cells")
+        turn += 1
+
+
+def gathered(cells: DataFrame) -> DataFrame:
+    """One row per unit, in the shard of most of its rows."""
+    return cells.groupBy("unit").agg(F.max(F.struct("n", F.xxhash64("unit", "shard").alias("tie"), "shard")).alias("best"), F.sum("n").alias("n")).select(
+        "unit", F.col("best.shard").alias("shard"), "n")
 
 
-def settle(cells: DataFrame, n_shards: int, capacity: int) -> DataFrame:
-    """cells (unit, shard, n), one row per unit, moved whole out of shards beyond `capacity` until no move is granted.
+def settle(cells: DataFrame, rooms: list[int]) -> DataFrame:
+    """cells (unit, shard, n), one row per unit, moved whole out of shards beyond their room until no move is granted.
 
     A round deals each shard's units to buckets, anew each time; whole buckets leave for shards that have room for them. Each
-    move lowers the rows beyond capacity, so the rounds end. At most shards x buckets sizes reach the driver.
+    move lowers the rows beyond the rooms, so the rounds end. At most shards x buckets sizes reach the driver.
     """
     turn, n_buckets = 0, 1024
     while True:
         dealt = cells.withColumn("bucket", F.pmod(F.xxhash64(F.lit(f"turn{turn}"), "unit"), F.lit(n_buckets)).cast("int"))
         sizes = sorted((r["n"], r["shard"], r["bucket"]) for r in dealt.groupBy("shard", "bucket").agg(F.sum("n").alias("n")).collect())
-        load = [0] * n_shards
+        load = [0] * len(rooms)
         for n, shard, _ in sizes:
             load[shard] += n
         moves = {}
         # large buckets while they are no larger than what is too much, then the smallest that end it
         for whole, buckets in ((False, sizes[::-1]), (True, sizes)):
             for n, shard, bucket in buckets:
-                over = load[shard] - capacity
+                over = load[shard] - rooms[shard]
                 if over <= 0 or (shard, bucket) in moves or not (whole or n <= over):
                     continue
-                target = min(range(n_shards), key=load.__getitem__)
-                if load[target] + n <= capacity:
+                target = max(range(len(rooms)), key=lambda s: rooms[s] - load[s])
+                if load[target] + n <= rooms[target]:
                     moves[shard, bucket] = target
                     load[shard], load[target] = load[shard] - n, load[target] + n
         if not moves:
@@ -61,25 +131,23 @@ def settle(cells: DataFrame, n_shards: int, capacity: int) -> DataFrame:
 
 
 def balanced_shards(
-    docs: DataFrame, n_shards: int = 24, largest_unit: int = 100_000, rows_per_bucket: int = 20_000,
+    docs: DataFrame, n_shards: int = 24, rows_per_bucket: int = 20_000,
 ) -> DataFrame:
-    """doc_id, size, text_crc32, key, law, shard, slot, grown_shard for every row; law `rows`.
-
-    Units hold at most a quarter of a shard's rows (and `largest_unit`), so that no unit outgrows its shard.
-    """
+    """doc_id, size, text_crc32, key, law, shard, slot, grown_shard for every row; law `rows`."""
     base = stored(docs.select(
         "doc_id", (F.octet_length(text_of()) + 8).cast("long").alias("size"),
         F.crc32(text_of().cast("binary")).alias("text_crc32"), fingerprint(text_of()).alias("key")), "shard-rows")
     n = base.count()
     least = n // n_shards
     n_buckets = max(16, -(-n // rows_per_bucket))
-    rows = stored(link_units(base, max(1, min(largest_unit, least // 4))), "shard-units")
+    rooms = [least + (s < n % n_shards) for s in range(n_shards)]
+    rows = stored(link_units(base, max(1, max(rooms))), "shard-units")
     linked = rows.filter("unit is not null")
-    first = F.pmod(F.xxhash64(F.lit("start"), "unit"), F.lit(n_shards)).cast("int")
-    cells = stored(linked.groupBy("unit").agg(F.count("*").alias("n")).select("unit", first.alias("shard"), "n"), "shard-cells")
-    cells = settle(cells, n_shards, least)
+    first = F.pmod(F.xxhash64(F.lit("start"), "doc_id", "unit"), F.lit(n_shards)).cast("int")
+    cells = stored(linked.groupBy("unit", first.alias("shard")).agg(F.count("*").alias("n")), "shard-cells")
+    cells = settle(stored(gathered(propagate(cells, rooms)), "shard-cells"), rooms)
     placed = stored(linked.join(cells.select("unit", "shard"), "unit"), "shard-placed")
-    by_unit = F.xxhash64("unit")
+    by_unit = F.xxhash64("unit", "piece")
     held = stored(ranked(placed, ["shard"], by_unit, n_buckets, ["unit", "doc_id", "key"], "slot"), "shard-held")
 
     # a shard keeps what fits; all else fills the gaps in order
@@ -110,6 +178,16 @@ def balanced_shards(
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def cut_links(placed: DataFrame) -> DataFrame:
+    """One row: links (pairs of rows with equal keys) and cut (those whose ends lie in different shards)."""
+    pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    whole = placed.groupBy("key", "shard").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum(pairs("n")).alias("together"))
+    return whole.agg(
+        F.coalesce(F.sum(pairs("n")), F.lit(0)).cast("long").alias("links"),
+        F.coalesce(F.sum(pairs("n") - F.col("together")), F.lit(0)).cast("long").alias("cut"))
+
+
 def with_shards(docs: DataFrame, **options) -> DataFrame:
     """docs with law, shard, slot and grown_shard, which replace columns of these names.
 
