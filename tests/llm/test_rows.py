@@ -11,6 +11,7 @@ from edge import ROWS, documents, empty, words
 from pyspark.sql import functions as F
 
 from vigilark.llm import attention, chat, language, mixing, pseudonyms, queries, shard
+from vigilark.llm.common import text_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -197,6 +198,34 @@ def test_training_passes_over_every_row(spark):
     assert len(classes) == subwords.size
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(attention, "LANE_WORDS", 4000)  # several lanes a round
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text")
+    scores = []
+    for n in (1, 7):
+        own = docs.repartition(n)
+        rows = attention.score_documents(own, own.filter(language.in_fold(7) != 2), TOKENIZER).collect()
+        scores.append([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
+    assert np.allclose(scores[0], scores[1], rtol=1e-6)
+
+
+def test_training_helps_on_held_out_texts(spark):
+    with open(TOKENIZER, "rb") as file:
+        tokenizer = file.read()
+    subwords = attention.Subwords(tokenizer)
+    docs = queries.table(spark, SF, "documents").select("doc_id", text_of().alias("text"))
+    learnt, held = docs.filter(language.in_fold(7) != 2), docs.filter(language.in_fold(7) == 2)
+    counted = attention.corpus_counts(learnt, tokenizer).filter("run is not null").select("run", "n")
+    start = attention.fit_attention(np.zeros(0, np.int32), subwords.size, attention.corpus_classes(counted, subwords.size))
+    trained, _ = attention.train(learnt, tokenizer, attention.fit_sample(learnt, tokenizer, start.classes))
+    t = attention.token_rows(held.toArrow().column("text").combine_chunks(), subwords)
+    tokens = t["flat"][t["at"]]
+    share = np.bincount(start.classes[np.concatenate([attention._with_begin(attention.token_rows(b.column("text"), subwords)) for b in learnt.toArrow().to_batches()])], minlength=attention.CLASSES) + 1
+    counts_alone = np.log(share / share.sum())[start.classes[tokens]].mean()
+    before, after = (attention.class_scores(m, tokens, t["bounds"]).mean() for m in (start, trained))
+    assert after > before + 0.5 and after > counts_alone + 0.1
+
+
 def test_scoring_edges(spark):
     docs = empty(spark).select("doc_id", "text")
     assert attention.score_documents(docs, docs, TOKENIZER).collect() == []

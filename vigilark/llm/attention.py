@@ -4,8 +4,9 @@ The chance of a subword is the chance of its class, given by attention over the
 of the subword in its class after the one or two subwords before it, from counts over the whole training corpus. The
 classes are k-means over each subword's neighbours, from the counted bigrams of all training rows. The attention model
 (one head, residual, trained by Adam in numpy) starts from at most about `SAMPLE_ROWS` training rows in one task and then
-passes over every training row once, in `ROUNDS` rounds of tasks whose parameters are averaged. Texts are scored in context windows that overlap; each token is scored once, in the
-window that has it behind the overlap.
+passes over every training row once, in `ROUNDS` rounds of lanes whose parameters are averaged. A row's round, lane and place
+in it are hashes of its id and text, so the model does not depend on how the table is partitioned. Texts are scored in context
+windows that overlap; each token is scored once, in the window that has it behind the overlap.
 
 The subword tokenizer is a public sentencepiece model whose path is a parameter; it is shipped with the job. A word is
 encoded by itself; each text ends with one end token.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vigilark.llm.common import pieces, ranges, stored, text_of, unit_hash, words_of
+from vigilark.llm.common import group_starts, pieces, ranges, stored, text_of, unit_hash, words_of
 
 SAMPLE_ROWS = 2_000
 COMMON_WORDS = 1 << 18
@@ -41,6 +42,7 @@ NONE = (1 << 20) - 1  # in place of a second subword before
 WINDOW, STRIDE, DIM, CLASSES = 32, 24, 8, 32
 STEPS, BATCH, RATE, DISCOUNT = 500, 192, 0.02, 0.7
 ROUNDS, ROUND_BATCH = 4, 512  # rounds of the pass over all rows; windows of a step in them
+LANE_WORDS, LANE_TASKS = 1 << 18, 10_000  # words of a lane of a round, about; tasks of a round at most
 OTHERS = ("place", "query", "key", "value", "out", "bias")  # parameters that all subwords share
 BEGIN, END = 1, 2
 PIECE_BYTES = 5 << 20  # text that a task works on at once
@@ -63,21 +65,25 @@ class Subwords:
         return flat, np.append(0, np.cumsum(lengths))
 
 
-def token_rows(texts: pa.Array, subwords: Subwords) -> dict[str, np.ndarray]:
-    """Subwords of each text with their end, as places into the words' subwords (`flat`; its last entry is the end)."""
+def word_rows(texts: pa.Array, subwords: Subwords) -> dict[str, np.ndarray]:
+    """Words of each text and the subwords of distinct words (`flat`; its last entry is the end).
+
+    `word`: the distinct word of each word, an end after each text; `ends_at`: the first of them of each text, and the end.
+    """
     ids, names, offsets = words_of(texts)
     flat, first = subwords.of(names) if len(names) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-    n = len(texts)
-    # one end word after each text
     word = np.insert(ids, offsets[1:], len(names))
-    words_before = offsets + np.arange(n + 1)
     flat, first = np.append(flat, np.int32(END)), np.append(first, first[-1] + 1)
-    lengths = np.diff(first)[word]
-    at = ranges(first[word], lengths)
-    bounds = np.append(0, np.cumsum(lengths))[words_before]
-    starts = np.zeros(len(at), bool)
-    starts[np.append(0, np.cumsum(lengths))[:-1]] = True
-    return {"ids": ids, "names": names, "offsets": offsets, "flat": flat, "first": first, "at": at, "bounds": bounds, "starts": starts}
+    return {"ids": ids, "names": names, "offsets": offsets, "flat": flat, "first": first, "word": word,
+            "ends_at": offsets + np.arange(len(texts) + 1)}
+
+
+def token_rows(texts: pa.Array, subwords: Subwords) -> dict[str, np.ndarray]:
+    """`word_rows` and the subwords of each text, as places (`at`) into `flat`; `bounds` are the texts', `starts` the words'."""
+    t = word_rows(texts, subwords)
+    lengths = np.diff(t["first"])[t["word"]]
+    places = np.append(0, np.cumsum(lengths))
+    return t | {"at": ranges(t["first"][t["word"]], lengths), "bounds": places[t["ends_at"]], "starts": places[:-1]}
 
 
 @dataclass
@@ -247,36 +253,80 @@ def _with_begin(t: dict[str, np.ndarray]) -> np.ndarray:
     return np.insert(t["flat"][t["at"]], t["bounds"][:-1], BEGIN).astype(np.int32)
 
 
-def train_round(rows: DataFrame, tokenizer: bytes, model: Attention, rate: float) -> tuple[Attention, int]:
-    """(model, number of windows) after one pass over every subword of rows (text), in windows side by side.
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) of each partition in an order that depends on nothing but the rows."""
+    return rows.withColumn("_turn", F.xxhash64(F.lit("turn"), "doc_id", "text"))
+
 
-    Each task goes on from the same parameters; they are averaged by the windows seen, a subword's own by how often the task
-    saw it. Sums of parts of the parameters move, so the driver gets one set whatever the number of tasks.
+class Lane:
+    """Adam steps over a row of subwords that comes in parts, in blocks of windows side by side."""
+
+    def __init__(self, model: Attention):
+        self.adam = Adam(model)
+        self.seen, self.windows, self.waiting = np.zeros(len(model.classes)), 0, np.zeros(0, np.int32)
+
+    def _step(self, starts: np.ndarray, rate: float) -> None:
+        at = starts[:, None] + np.arange(WINDOW)
+        before = self.waiting[at]
+        self.adam.step(before, self.waiting[at + 1], rate)
+        self.seen += np.bincount(before.reshape(-1), minlength=len(self.seen))
+        self.windows += len(starts)
+
+    def add(self, tokens: np.ndarray, rate: float) -> None:
+        self.waiting = np.concatenate([self.waiting, tokens])
+        while len(self.waiting) > ROUND_BATCH * WINDOW:
+            self._step(np.arange(ROUND_BATCH) * WINDOW, rate)
+            self.waiting = self.waiting[ROUND_BATCH * WINDOW:]  # its first subword was a target only
+
+    def finish(self, rate: float) -> None:
+        if len(self.waiting) < 2:
+            return
+        if len(self.waiting) <= WINDOW:
+            self.waiting = np.append(self.waiting, np.full(WINDOW + 1 - len(self.waiting), END, np.int32))
+        starts = np.arange(0, len(self.waiting) - 1, WINDOW)
+        starts[-1] = len(self.waiting) - 1 - WINDOW  # the last window ends with the row
+        self._step(starts, rate)
+
+
+def train_round(rows: DataFrame, tokenizer: bytes, model: Attention, rate: float, lanes: int) -> tuple[Attention, int]:
+    """(model, number of windows) after one pass over every subword of rows (doc_id, text), in windows side by side.
+
+    Rows are dealt to lanes by a hash; each lane goes on from the same parameters, in an order of its rows' own. The lanes' parameters are averaged by the
+    windows seen, a subword's own by how often the lane saw it. Sums of parts of the parameters move, so the driver gets one
+    set whatever the number of lanes.
     """
     n_parts = 16
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, adam, rng = Subwords(tokenizer), Adam(shipped.value), np.random.default_rng(13)
-        seen, windows = np.zeros(subwords.size), 0
+        subwords, lane, now, windows = Subwords(tokenizer), None, None, 0
+        embed, others = np.zeros((subwords.size, DIM + 1)), 0.0
+
+        def close() -> None:
+            nonlocal others, windows
+            lane.finish(rate)
+            embed[:, :DIM] += lane.adam.w["embed"] * lane.seen[:, None]
+            embed[:, DIM] += lane.seen
+            others = others + np.concatenate([lane.adam.w[k].reshape(-1) for k in OTHERS]) * float(lane.windows)
+            windows += lane.windows
+
         for batch in batches:
-            for part in pieces(batch, most_bytes=PIECE_BYTES):
-                tokens = _with_begin(token_rows(part.column("text"), subwords))
-                if len(tokens) <= WINDOW:
-                    tokens = np.append(tokens, np.full(WINDOW + 1 - len(tokens), END, np.int32))
-                starts = np.arange(0, len(tokens) - 1, WINDOW)
-                starts[-1] = len(tokens) - 1 - WINDOW  # the last window ends with the row
-                rng.shuffle(starts)
-                for a in range(0, len(starts), ROUND_BATCH):
-                    at = starts[a:a + ROUND_BATCH, None] + np.arange(WINDOW)
-                    adam.step(tokens[at], tokens[at + 1], rate)
-                    seen += np.bincount(tokens[at].reshape(-1), minlength=len(seen))
-                windows += len(starts)
+            if not batch.num_rows:
+                continue
+            starts = group_starts(batch, ["_lane"])
+            for a, b in zip(starts[:-1], starts[1:]):
+                if batch.column("_lane")[a].as_py() != now:
+                    if lane is not None:
+                        close()
+                    lane, now = Lane(shipped.value), batch.column("_lane")[a].as_py()
+                for part in pieces(batch.slice(a, b - a), most_bytes=PIECE_BYTES):
+                    lane.add(_with_begin(token_rows(part.column("text"), subwords)), rate)
+        if lane is not None:
+            close()
         if windows:
-            other = np.concatenate([adam.w[k].reshape(-1) for k in OTHERS]) * float(windows)
-            for k, own in enumerate(np.array_split(np.arange(len(seen)), n_parts)):
-                values = [np.append(adam.w["embed"][own] * seen[own, None], seen[own, None], 1).reshape(-1), *([other, [windows]] if k == 0 else [])]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([np.concatenate(values).tobytes()], pa.binary())})
+            for k, own in enumerate(np.array_split(embed, n_parts)):
+                values = np.concatenate([own.reshape(-1), others, [windows]]) if k == 0 else own.reshape(-1)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([values.tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -286,7 +336,11 @@ def train_round(rows: DataFrame, tokenizer: bytes, model: Attention, rate: float
         for k, sums in total.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
 
-    made = rows.select("text").mapInArrow(learn, "part int, sums binary").repartition("part").mapInArrow(add, "part int, sums binary")
+    dealt = (
+        _in_order(rows.select("doc_id", "text")).withColumn("_lane", F.pmod(F.xxhash64(F.lit("lane"), "doc_id", "text"), F.lit(lanes)))
+        .select("_lane", "_turn", "text").repartition(min(lanes, LANE_TASKS), "_lane").sortWithinPartitions("_lane", "_turn")
+    )
+    made = dealt.mapInArrow(learn, "part int, sums binary").repartition("part").mapInArrow(add, "part int, sums binary")
     found = {r["part"]: np.frombuffer(bytes(r["sums"])) for r in made.collect()}
     if not found:
         return model, 0
@@ -305,12 +359,13 @@ def train_round(rows: DataFrame, tokenizer: bytes, model: Attention, rate: float
     return Attention(model.classes, w), windows
 
 
-def train(rows: DataFrame, tokenizer: bytes, model: Attention) -> tuple[Attention, int]:
-    """(model, number of windows) after one pass over all rows (doc_id, text), dealt to ROUNDS rounds by a hash of their ids."""
-    windows = 0
+def train(rows: DataFrame, tokenizer: bytes, model: Attention, n_words: int = 0) -> tuple[Attention, int]:
+    """(model, number of windows) after one pass over all rows (doc_id, text) of `n_words` words, dealt to ROUNDS rounds by a
+    hash of id and text, a third of all rows with one id included."""
+    windows, lanes = 0, max(1, -(-n_words // (ROUNDS * LANE_WORDS)))
     for k in range(ROUNDS):
-        own = rows.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == k)
-        model, n = train_round(own, tokenizer, model, RATE / 2 * (1 - k / ROUNDS))
+        own = rows.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(ROUNDS)) == k)
+        model, n = train_round(own, tokenizer, model, RATE / 2 * (1 - k / ROUNDS), lanes)
         windows += n
     return model, windows
 
@@ -422,35 +477,37 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: f
 def corpus_counts(rows: DataFrame, tokenizer: bytes) -> DataFrame:
     """(word, run, n): words, subword bigrams, and trigrams inside words, of all rows (text), counted; see `run_key`."""
 
+    def counted(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.nulls(len(found), pa.string()), "run": pa.array(found), "n": pa.array(n)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(tokenizer)
         for batch in batches:
             for part in pieces(batch, most_bytes=PIECE_BYTES):
-                t = token_rows(part.column("text"), subwords)
+                t = word_rows(part.column("text"), subwords)
                 count = np.bincount(t["ids"], minlength=len(t["names"]))
                 yield pa.RecordBatch.from_pydict({
                     "word": t["names"].cast(pa.string()), "run": pa.nulls(len(count), pa.int64()), "n": pa.array(count)})
-                token, before, _ = _pairs(t)
+                token, before = _pairs(t)
+                found, n = np.unique(run_key(NONE, before, token), return_counts=True)
+                yield counted(found, n)
+                # inside words: once per distinct word
                 flat, times, place = t["flat"], np.repeat(np.append(count, 0), np.diff(t["first"])), _place(t)
                 two, three = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
-                keys = np.concatenate([
-                    run_key(NONE, before, token), run_key(NONE, flat[two - 1], flat[two]),
-                    run_key(flat[three - 2], flat[three - 1], flat[three])])
+                keys = np.concatenate([run_key(NONE, flat[two - 1], flat[two]), run_key(flat[three - 2], flat[three - 1], flat[three])])
                 found, index = np.unique(keys, return_inverse=True)
-                n = np.bincount(index, weights=np.concatenate([np.ones(len(token)), times[two], times[three]]))
-                yield pa.RecordBatch.from_pydict({
-                    "word": pa.nulls(len(found), pa.string()), "run": pa.array(found), "n": pa.array(n.astype(np.int64))})
+                yield counted(found, np.bincount(index, weights=np.concatenate([times[two], times[three]]), minlength=len(found)).astype(np.int64))
 
     return rows.select("text").mapInArrow(run, "word string, run long, n long").groupBy("word", "run").agg(F.sum("n").alias("n"))
 
 
-def _pairs(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first subword of each word, subword before it, place in the row) over all words and ends."""
-    place = np.flatnonzero(t["starts"])
-    token = t["flat"][t["at"][place]].astype(np.int64)
-    before = t["flat"][t["at"][np.maximum(place - 1, 0)]].astype(np.int64)
-    before[np.isin(place, t["bounds"][:-1], assume_unique=True)] = BEGIN
-    return token, before, place
+def _pairs(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first subword of each word, subword before it) over all words and ends."""
+    first, word = t["first"], t["word"]
+    token, last = t["flat"][first[word]], t["flat"][first[word + 1] - 1]
+    before = np.append(np.int32(BEGIN), last[:-1])
+    before[t["ends_at"][:-1]] = BEGIN
+    return token, before
 
 
 def fit_sample(rows: DataFrame, tokenizer: bytes, classes: np.ndarray, sample_rows: int = SAMPLE_ROWS) -> Attention:
@@ -464,8 +521,8 @@ def fit_sample(rows: DataFrame, tokenizer: bytes, classes: np.ndarray, sample_ro
         model = fit_attention(np.concatenate(parts), subwords.size, classes)
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.to_bytes()], pa.binary())})
 
-    sample = rows.filter(unit_hash("attention", "doc_id") < share).select("text")
-    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    sample = _in_order(rows.filter(unit_hash("attention", "doc_id", "text") < share)).select("_turn", "text")
+    row = sample.repartition(1).sortWithinPartitions("_turn").mapInArrow(run, "model binary").first()
     if row is None:  # nothing to learn from
         return fit_attention(np.zeros(0, np.int32), len(classes), classes)
     return Attention.from_bytes(bytes(row[0]))
@@ -549,9 +606,10 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
     counts = stored(corpus_counts(training, tokenizer), "attention-counts")
     counted = counts.filter("run is not null").select("run", "n")
     classes = corpus_classes(counted, Subwords(tokenizer).size)
-    model, _ = train(training, tokenizer, fit_sample(training, tokenizer, classes))
-    runs, groups = run_model(counted, model)
     words = counts.filter("word is not null").select("word", "n")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model, _ = train(training, tokenizer, fit_sample(training, tokenizer, classes), total)
+    runs, groups = run_model(counted, model)
     n_docs = training.count()
     common, levels = most_frequent(words, common_words)
     n_train = n_docs + sum(r[2] for r in levels)
@@ -582,7 +640,7 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
                 rare_of = np.append(0, np.cumsum(np.bincount(row[rare], minlength=n))).astype(np.int32)
                 tokens = t["flat"][t["at"]]
                 log, run, sure = (x[t["at"]] for x in runs.in_words(t, attention.classes))  # each distinct word is looked up once
-                token, before, start = _pairs(t)
+                (token, before), start = _pairs(t), t["starts"]
                 log[start] = np.log(runs.after_one(before, token, attention.classes))
                 run[start] = run_key(NONE, before, token)
                 sure[start] = runs.settled(run[start], attention.classes[token])
