@@ -94,3 +94,42 @@ def test_stream_rate_equals_batch(spark, events, tmp_path):
     columns = ["sid", "source", "period", "raised_at", "classtype", "message"]
     want = detect.rate_threshold(every, [rule]).select(*columns).collect()
     assert want and sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect())) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("kind", ["rate", "failures", "scan"])
+def test_closed_stream_equals_batch(spark, events, tmp_path, kind):
+    """Several batches in time order, with one source holding most rows and the end of the input behind the watermark."""
+    from vigilark.streaming import detect as live
+
+    rule = RateRule(1, 4, 10, None, "c", "m")
+    scan, login = F.col("scan"), F.col("auth_outcome").isNotNull()
+    batch, stream, close = {
+        "rate": (lambda e: detect.rate_threshold(e, [rule]), lambda e, w: live.stream_rate(e, rule, watermark=w),
+                 lambda e, r: live.close_rate(e, r, rule)),
+        "failures": (lambda e: detect.success_after_failures(e, 3, 10), lambda e, w: live.stream_success_after_failures(e, 3, 10, watermark=w),
+                     lambda e, r: live.close_success_after_failures(e, r, 3, 10)),
+        "scan": (lambda e: detect.scan_then_login(e, scan, login, 0.01), lambda e, w: live.stream_scan_then_login(e, scan, login, 0.01, watermark=w),
+                 lambda e, r: live.close_scan_then_login(e, r, scan, login, 0.01)),
+    }[kind]
+    every = events.drop("us")
+    for k in range(3):
+        part = every.filter(F.floor(F.unix_seconds("timestamp") / 150) == k).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running = stream(source, "20 seconds").writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    running.awaitTermination()
+    reported = spark.read.parquet(str(tmp_path / "out"))
+    want = batch(every).select(*reported.columns).collect()
+    closed = close(every, reported).collect()
+    assert 0 < reported.count() < len(want)
+    assert sorted(map(str, closed)) == sorted(map(str, want))
+
+
+def test_closing_adds_nothing_twice(spark, events):
+    from vigilark.streaming import detect as live
+
+    rule = RateRule(1, 4, 10, None, "c", "m")
+    whole = detect.rate_threshold(events, [rule]).drop("peak_count")
+    for reported in (whole, whole.limit(0)):
+        assert sorted(map(str, live.close_rate(events, reported, rule).collect())) == sorted(map(str, whole.collect()))

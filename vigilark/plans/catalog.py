@@ -22,7 +22,10 @@ from vigilark.session import shared_dir, stored
 from vigilark.sources import alerts as alert_source
 from vigilark.sources import reports, sessions as session_source, sinks
 from vigilark.streaming.collect import start_collection
-from vigilark.streaming.detect import stream_rate, stream_success_after_failures
+from vigilark.streaming.detect import (
+    close_rate, close_scan_then_login, close_success_after_failures, stream_rate, stream_scan_then_login,
+    stream_success_after_failures,
+)
 from vigilark.streaming.features import close_features, late_rows, live_band_counts, start_band_counts, start_features, stream_features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -687,14 +690,22 @@ def _run_stream(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
 
 @query("stream_rate_threshold")
 def _(spark, d):
-    raised = stream_rate(tables.alert_stream(spark, d), FAST)
-    return naive(_run_stream(spark, raised, "stream-rate"), "raised_at")
+    reported = _run_stream(spark, stream_rate(tables.alert_stream(spark, d), FAST), "stream-rate")
+    return naive(close_rate(tables.alert_instants(spark, d), reported, FAST), "raised_at")
 
 
 @query("stream_success_after_failures")
 def _(spark, d):
     raised = stream_success_after_failures(tables.alert_stream(spark, d), failures=3, seconds=14400)
-    return naive(_run_stream(spark, raised, "stream-logins"), "succeeded_at")
+    reported = _run_stream(spark, raised, "stream-logins")
+    return naive(close_success_after_failures(tables.alert_instants(spark, d), reported, failures=3, seconds=14400), "succeeded_at")
+
+
+@query("stream_scan_then_login")
+def _(spark, d):
+    rule = {"is_scan": triage.mentions_scan(), "is_login": F.col("auth_outcome").isNotNull(), "hours": 6}
+    reported = _run_stream(spark, stream_scan_then_login(tables.alert_stream(spark, d), **rule), "stream-scans")
+    return naive(close_scan_then_login(tables.alert_instants(spark, d), reported, **rule), "login_at", "scan_at")
 
 
 # ---------------------------------------------------------------- learning

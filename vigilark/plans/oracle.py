@@ -399,7 +399,7 @@ LEFT JOIN shown s ON date_trunc('minute', s.timestamp) = g.minute GROUP BY 1"""
 SELECT src_ip AS source, timestamp AS succeeded_at, count(*) AS succeeded, max(failures) AS failures_before, 100011 AS rule_id, 14 AS rule_level
 FROM auth WHERE auth_outcome = 'success' AND failures >= 3 GROUP BY 1, 2"""
 
-    # streams emit what the last watermark has closed; a closing step adds the windows still open
+    # streams emit what the last watermark has closed; a closing step adds the rest
     o["stream_collect"] = n + "SELECT source_type, count(*) AS alerts, count(DISTINCT timestamp) AS instants FROM normalized GROUP BY 1"
     windows = ctes(A, f"w AS ({window_sql(bucket(5), '5')})")
     o["stream_features"] = windows + "SELECT * FROM w"
@@ -408,13 +408,12 @@ FROM auth WHERE auth_outcome = 'success' AND failures >= 3 GROUP BY 1, 2"""
     o["live_band_counts"] = ab + "SELECT risk_band, count(*) AS alerts FROM banded GROUP BY 1"
     tries = "tries AS (SELECT * FROM alerts WHERE src_ip <> '')"
     near = "tries AS (SELECT * FROM alerts WHERE src_ip <> '' AND dest_ip LIKE '192.168.1.%')"
-    final = ("raised_at, (SELECT date_trunc('second', max(timestamp) - INTERVAL '10 minutes') FROM tries) AS closed")
     o["stream_rate_threshold"] = ctes(A, near, f"raised AS ({rate_rows(catalog.FAST, 'tries')})") + f"""SELECT CAST(sid AS BIGINT) AS sid, source, period,
- raised_at, classtype, message FROM (SELECT sid, source, period, classtype, message, min(timestamp) AS {final} FROM raised GROUP BY 1, 2, 3, 4, 5) x WHERE raised_at < closed"""
+ raised_at, classtype, message FROM (SELECT sid, source, period, classtype, message, min(timestamp) AS raised_at FROM raised GROUP BY 1, 2, 3, 4, 5) x"""
     o["stream_success_after_failures"] = a + f""", {tries}, auth AS (SELECT src_ip, timestamp, auth_outcome, count(*) FILTER (auth_outcome = 'failure') OVER
  (PARTITION BY src_ip ORDER BY timestamp RANGE BETWEEN INTERVAL '14400 seconds' PRECEDING AND CURRENT ROW) AS failures FROM tries WHERE auth_outcome IS NOT NULL)
-SELECT DISTINCT src_ip AS source, timestamp AS succeeded_at FROM auth WHERE auth_outcome = 'success' AND failures >= 3
- AND timestamp < (SELECT date_trunc('second', max(timestamp) - INTERVAL '10 minutes') FROM tries)"""
+SELECT DISTINCT src_ip AS source, timestamp AS succeeded_at FROM auth WHERE auth_outcome = 'success' AND failures >= 3"""
+    o["stream_scan_then_login"] = o["scan_then_login"]
 
     o["encode_categoricals"] = e + "SELECT session_id, " + ", ".join(CATEGORICAL_FEATURES) + " FROM encoded"
     o["preprocess"] = e + "SELECT session_id, is_test, " + ", ".join(SESSION_FEATURES) + """, label,

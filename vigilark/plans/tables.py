@@ -118,6 +118,11 @@ def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
+def alert_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `alert_stream` as a table."""
+    return alerts(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SESSIONS_SQL, orders=read(spark, sf_dir, "orders"))
 
