@@ -51,27 +51,25 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
     s = np.concatenate([text.astype(np.int64), np.zeros(3, np.int64)])
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # a closing triple parts ones from twos
     sample = np.concatenate([ones, twos])
-    pair = _named(s[sample], s[sample + 1])
-    names = _named(pair, s[sample + 2]) + 1
-    if names.max() < len(sample) and depth > 3:
+    triples = _keys(s[sample], s[sample + 1], s[sample + 2])
+    order = np.argsort(triples)
+    fresh = np.ones(len(sample), np.int64)
+    fresh[1:] = triples[order[1:]] != triples[order[:-1]]
+    if depth > 3 and fresh.sum() < len(sample):
+        names = np.empty(len(sample), np.int64)
+        names[order] = np.cumsum(fresh)
         order = suffix_array(names, -(-depth // 3))
-        rank_of = np.empty(len(sample), np.int64)
-        rank_of[order] = np.arange(1, len(sample) + 1)
-    else:
-        order = np.argsort(names, kind="stable")
-        rank_of = np.empty(len(sample), np.int64)
-        rank_of[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 3, np.int64)
-    rank[sample] = rank_of
+    rank[sample[order]] = np.arange(1, len(sample) + 1)
     order = sample[order]
     order = order[order < n]
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.argsort(_packed(s[zeros], rank[zeros + 1]), kind="stable")]
+    zeros = zeros[np.argsort(_packed(s[zeros], rank[zeros + 1]))]
     # where each of the others falls among the sample: against ones by one number, against twos by two
     in_one, in_two = order[order % 3 == 1], order[order % 3 == 2]
     before = np.searchsorted(_packed(s[in_one], rank[in_one + 1]), _packed(s[zeros], rank[zeros + 1]))
     two = np.concatenate([in_two, zeros])
-    key = _packed(_named(s[two], s[two + 1]), rank[two + 2])
+    key = _keys(s[two], s[two + 1], rank[two + 2])
     before = before + np.searchsorted(key[: len(in_two)], key[len(in_two):])
     place = np.arange(len(zeros)) + before
     out = np.empty(n, np.int64)
@@ -82,6 +80,14 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
     return out
 
 
+def _keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One number per triple, in the order of the triples; a pair is named by sorting only if three numbers do not fit."""
+    widths = [int(x.max(initial=0)).bit_length() for x in (a, b, c)]
+    if sum(widths) <= 63:
+        return (a << np.int64(widths[1] + widths[2])) | (b << np.int64(widths[2])) | c
+    return _packed(_named(a, b), c)
+
+
 def _packed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (high << np.int64(32)) | low
 
@@ -181,12 +187,17 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, star
         return np.zeros(len(data), bool)
     same = np.zeros(len(order), bool)
     same[1:] = True
-    for k in range(LENGTH):  # adjacent prefixes
+    words = np.ndarray(len(data) - 7, np.uint64, data.tobytes(), strides=(1,)).copy()  # eight bytes from each place
+    begin = order - run[order]
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):  # adjacent prefixes
         live = np.flatnonzero(same)
         if not len(live):
             break
-        same[live] = spaced[order[live] + k] == spaced[order[live - 1] + k]
-    group = np.cumsum(~same) - 1
+        same[live] = words[begin[live] + k] == words[begin[live - 1] + k]
+    several = same | np.append(same[1:], False)
+    group, order = np.cumsum(~same)[several], order[several]
+    if not len(order):
+        return np.zeros(len(data), bool)
     by = np.lexsort((starts[run[order]] + inside[order], ids[run[order]], group))
     first = np.ones(len(order), bool)
     first[1:] = group[by][1:] != group[by][:-1]
