@@ -86,12 +86,35 @@ def test_collection_keeps_a_good_copy_behind_a_bad_one(spark, tmp_path):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{i}.txt").write_text(text + "\n")
     stream = stream_documents(spark, str(tmp_path / "in"))
-    for running in start_collection(stream, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "state")):
-        running.awaitTermination()
+    start_collection(stream, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r["alert_id"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["", "x"]
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
 
 
+def test_a_collected_batch_can_be_run_again(spark, tmp_path):
+    """The last batch's commit is lost after its writes: it is run again and its rows are there once."""
+    import json
+
+    from vigilark.sources.alerts import stream_documents
+    from vigilark.streaming.collect import start_collection
+
+    (tmp_path / "in").mkdir()
+
+    def run(name, *docs):
+        (tmp_path / "in" / f"{name}.txt").write_text("".join(json.dumps(d) + "\n" for d in docs))
+        stream = stream_documents(spark, str(tmp_path / "in"))
+        start_collection(stream, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "state")).awaitTermination()
+        good, bad = (spark.read.schema("alert_id string, document_id string, batch int").parquet(str(tmp_path / t)) for t in ("good", "bad"))
+        return sorted(r["alert_id"] for r in good.collect()), sorted(r["document_id"] for r in bad.collect())
+
+    broken = {"_id": "b", "_source": {"rule": 3}}
+    assert run("a", {"_source": {"id": "1"}}, broken, {"_source": {"id": "1"}}) == (["1"], ["b"])
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (tmp_path / "state" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert run("c", {"_source": {"id": "2"}}, {"_source": {"id": "1"}}, broken) == (["1", "2"], ["b"])
+
+
 def test_window_features_edge_cases(spark):
     df = alerts(
         spark,

@@ -133,3 +133,35 @@ def test_closing_adds_nothing_twice(spark, events):
     whole = detect.rate_threshold(events, [rule]).drop("peak_count")
     for reported in (whole, whole.limit(0)):
         assert sorted(map(str, live.close_rate(events, reported, rule).collect())) == sorted(map(str, whole.collect()))
+
+
+@pytest.mark.parametrize("slice_spans", [1, 3])
+@pytest.mark.parametrize("kind", ["rate", "failures"])
+def test_streams_split_a_hot_source_into_slices(spark, rows, tmp_path, kind, slice_spans):
+    """One source with nearly all rows, in batches that cut slices and spans; nothing is left open by the last row."""
+    from vigilark.streaming import detect as live
+
+    rule = RateRule(1, 4, 10, None, "c", "m")
+    hot = spark.createDataFrame([("hot", *r[1:]) for r in rows] + [("end", 10**10, "8.8.8.8", 1, "failure", False)], SCHEMA)
+    every = hot.withColumn("timestamp", F.timestamp_micros("us")).drop("us")
+    for k in range(5):
+        later = F.floor(F.unix_seconds("timestamp") / 97)
+        every.filter(later == k if k < 4 else later >= 4).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    if kind == "rate":
+        found, want = live.stream_rate(source, rule, watermark="3 seconds", slice_spans=slice_spans), detect.rate_threshold(every, [rule])
+    else:
+        found = live.stream_success_after_failures(source, 3, 10, watermark="3 seconds", slice_spans=slice_spans)
+        want = detect.success_after_failures(every, 3, 10)
+    found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(
+        availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() > 10
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_slices_hand_attempts_on(spark):
+    from vigilark.streaming.detect import _in_slices
+
+    rows = spark.createDataFrame([(0, 1), (29, 1), (30, 1), (39, 0), (40, 2)], "us bigint, attempts bigint")
+    assert sorted((r["us"], r["slice"]) for r in _in_slices(rows, 40, 10).collect()) == [(0, 0), (29, 0), (30, 0), (30, 1), (39, 0), (40, 1)]

@@ -643,8 +643,7 @@ def _(spark, d):
     lines.write.text(f"{base}/in")
     lines.write.mode("append").text(f"{base}/in")  # everything is delivered twice
     stream = alert_source.stream_documents(spark, f"{base}/in")
-    for running in start_collection(stream, f"{base}/alerts", f"{base}/bad", f"{base}/checkpoint"):
-        running.awaitTermination()
+    start_collection(stream, f"{base}/alerts", f"{base}/bad", f"{base}/checkpoint").awaitTermination()
     collected = spark.read.parquet(f"{base}/alerts")
     return collected.groupBy("source_type").agg(F.count("*").alias("alerts"), F.count_distinct("timestamp").alias("instants"))
 

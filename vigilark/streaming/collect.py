@@ -19,6 +19,7 @@ def _once(documents: DataFrame, dedup_horizon: str) -> DataFrame:
 
     keyed = documents.withColumns({
         "document_key": F.coalesce(
+            F.when(failure_reason().isNotNull(), named("refused", F.sha2("value", 256))),
             named("source", F.try_variant_get("doc", "$._source.id", "string")),
             named("index", F.try_variant_get("doc", "$._id", "string")),
             named("text", F.sha2("value", 256)),
@@ -46,19 +47,21 @@ def refused_documents(documents: DataFrame, dedup_horizon: str = "1 hour") -> Da
 
 def start_collection(
     documents: DataFrame, alerts_path: str, quarantine_path: str, checkpoint: str, dedup_horizon: str = "1 hour"
-) -> list[StreamingQuery]:
-    """Process what has arrived: good alerts to one Parquet table, bad documents to another.
+) -> StreamingQuery:
+    """Process what has arrived: good alerts to one Parquet table, bad documents to another, from one pass over the input.
 
-    Restarting with the same checkpoint goes on after the last finished batch.
+    Good documents are told apart as in `collected_alerts`, bad ones by their text. Each batch has a folder of its own in
+    both tables (`batch`), which it replaces: a batch that is run again after a failure changes nothing. Restarting with
+    the same checkpoint goes on after the last finished batch.
     """
-    good = collected_alerts(documents, dedup_horizon)
-    bad = refused_documents(documents, dedup_horizon)
+    sorted_out = parse_documents(documents).withColumn("reason", failure_reason())
+    once = _once(sorted_out, dedup_horizon)
 
-    def run(df: DataFrame, path: str, name: str) -> StreamingQuery:
-        return (
-            df.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", f"{checkpoint}/{name}")
-            .trigger(availableNow=True).start(path)
-        )
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # both writes read the same parsed rows
+        good = normalize_good(batch.filter("reason is null")).withColumn("alert_id", alert_id())
+        good.write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
+        quarantine(batch.filter("reason is not null")).write.mode("overwrite").parquet(f"{quarantine_path}/batch={number}")
+        batch.unpersist()
 
-    return [run(good, alerts_path, "alerts"), run(bad, quarantine_path, "quarantine")]
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,8 +2,11 @@
 
 Rows of equal (source, time) are combined first in an append-mode aggregation.
 Its output is final, so each batch can be walked in time order and the result
-equals the batch operators. The state of a source is its last few attempt times,
-the rule's count, whatever the traffic, or the time of its last scan.
+equals the batch operators. Trailing counts are kept per source and time slice, a
+few spans of the rule long: attempts of a slice's last span are handed on to the next
+slice as well, so slices depend on nothing else and a busy source spreads over tasks
+when a batch covers several. The state of a slice is its last few attempt times, the
+rule's count, whatever the traffic; that of a scan rule is a source's last scan.
 
 A stream reports what its last watermark has closed. The `close_` functions add the
 rest of an input that has ended: the batch operator reads only what lies within a rule's
@@ -26,42 +29,44 @@ from vigilark.functions.columns import MICROS, count_where, in_cidr, is_filled,
 from vigilark.operators import detect
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SLICE_SPANS = 4  # a quarter of the attempts is handed on
 
 
 class TrailingCount(StatefulProcessor):
-    """Reports times at which a source's trailing count is reached.
+    """Reports times at which a source's trailing count is reached, for one slice of time.
 
     With `per_period` an attempt itself raises, at most once per period;
-    otherwise the rows with `successes` raise, each time.
+    otherwise the rows with `successes` raise, each time. Rows handed on from the slice before only count.
     """
 
-    def __init__(self, count: int, seconds: int, per_period: bool):
-        self.count, self.span, self.per_period = count, seconds * MICROS, per_period
+    def __init__(self, count: int, seconds: int, per_period: bool, slice_us: int):
+        self.count, self.span, self.per_period, self.slice_us = count, seconds * MICROS, per_period, slice_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.recent = handle.getValueState("recent", "times array<bigint>, period bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("us")[["us", "attempts", "successes"]]
-        stored = self.recent.get() if self.recent.exists() else ([], -1)
-        times, period = list(stored[0]), stored[1]
-        raised = []
-        for us, attempts, successes in batch.itertuples(index=False):
-            times = (times + [int(us)] * min(int(attempts), self.count))[-self.count:]
-            reached = len(times) == self.count and times[0] >= us - self.span
-            now = int(us) // self.span
-            if reached and (attempts > 0 and now != period if self.per_period else successes > 0):
-                raised.append((int(us), now))
-                period = now
-        self.recent.update((times, period))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((int(batch["us"].iloc[-1]) + self.span) // 1000 + 1)
-        if raised:
-            yield pd.DataFrame({
-                "source": key[0], "us": [r[0] for r in raised], "period": [r[1] for r in raised],
-            })
+        batch = pd.concat(list(rows)).sort_values("us")
+        us, attempts = batch["us"].to_numpy(np.int64), batch["attempts"].to_numpy(np.int64)
+        known = self.recent.exists()
+        before, period = self.recent.get() if known else ([], -1)
+        counted = np.minimum(attempts, self.count)
+        times = np.concatenate([np.array(before, np.int64), np.repeat(us, counted)])
+        oldest = len(before) + np.cumsum(counted) - self.count  # place of the count-th last attempt at each row
+        reached = (oldest >= 0) & (us // self.slice_us == key[1])
+        reached[reached] = times[oldest[reached]] >= us[reached] - self.span
+        periods = us // self.span
+        if self.per_period:
+            at = np.flatnonzero(reached & (attempts > 0) & (periods != period))
+            at = at[np.unique(periods[at], return_index=True)[1]]
+        else:
+            at = np.flatnonzero(reached & (batch["successes"].to_numpy() > 0))
+        self.recent.update((times[-self.count:].tolist(), int(periods[at[-1]]) if len(at) else period))
+        if not known:
+            self.handle.registerTimer(((int(key[1]) + 1) * self.slice_us + MICROS) // 1000 + 1)  # a row leaves its second first
+        if len(at):
+            yield pd.DataFrame({"source": key[0], "us": us[at], "period": periods[at]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.recent.clear()
@@ -119,9 +124,21 @@ def _combined(events: DataFrame, src: str, watermark: str) -> DataFrame:
     )
 
 
-def _raised(events: DataFrame, count: int, seconds: int, per_period: bool, src: str, watermark: str) -> DataFrame:
-    return _combined(events, src, watermark).groupBy("source").transformWithStateInPandas(
-        statefulProcessor=TrailingCount(count, seconds, per_period),
+def _in_slices(combined: DataFrame, slice_us: int, span_us: int) -> DataFrame:
+    """Rows with the number of their slice, and once more with the next one if its first span reaches back to them."""
+    own = F.floor(F.col("us") / F.lit(slice_us))
+    reaches = (F.col("attempts") > 0) & (F.col("us") >= (own + 1) * F.lit(slice_us) - F.lit(span_us))
+    return combined.select("*", F.explode(F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))).alias("slice"))
+
+
+def _raised(
+    events: DataFrame, count: int, seconds: int, per_period: bool, src: str, watermark: str, slice_spans: int,
+) -> DataFrame:
+    # whole spans from the epoch on: a period never lies in two slices
+    slice_us = slice_spans * seconds * MICROS
+    rows = _in_slices(_combined(events, src, watermark), slice_us, seconds * MICROS)
+    return rows.groupBy("source", "slice").transformWithStateInPandas(
+        statefulProcessor=TrailingCount(count, seconds, per_period, slice_us),
         outputStructType="source string, us bigint, period bigint",
         outputMode="Append", timeMode="EventTime",
     ).withColumn("raised_at", F.timestamp_micros("us"))
@@ -145,7 +162,7 @@ def _with_rest(reported: DataFrame, found: DataFrame, at: str, keys: list[str])
 
 def stream_rate(
     events: DataFrame, rule: RateRule, src: str = "src_ip", watermark: str = "10 minutes",
-    home_network: str | None = dims.HOME_NETWORK,
+    home_network: str | None = dims.HOME_NETWORK, slice_spans: int = SLICE_SPANS,
 ) -> DataFrame:
     """rate_threshold for one rule over a stream of attempts; a row leaves when the count is first reached.
 
@@ -155,7 +172,7 @@ def stream_rate(
     if home_network:
         attempts = attempts.filter(in_cidr(F.col("dest_ip"), home_network))
     flagged = attempts.withColumns({"is_attempt": F.lit(True), "is_success": F.lit(False)})
-    return _raised(flagged, rule.count, rule.seconds, True, src, watermark).select(
+    return _raised(flagged, rule.count, rule.seconds, True, src, watermark, slice_spans).select(
         F.lit(rule.sid).cast("long").alias("sid"), "source", "period", "raised_at",
         F.lit(rule.classtype).alias("classtype"), F.lit(rule.message).alias("message"),
     )
@@ -163,13 +180,13 @@ def stream_rate(
 
 def stream_success_after_failures(
     events: DataFrame, failures: int = dims.BRUTE_FORCE_RULE.count, seconds: int = dims.BRUTE_FORCE_RULE.seconds,
-    src: str = "src_ip", watermark: str = "10 minutes",
+    src: str = "src_ip", watermark: str = "10 minutes", slice_spans: int = SLICE_SPANS,
 ) -> DataFrame:
     """Successful logins after at least `failures` failures, over a stream."""
     flagged = events.withColumns({
         "is_attempt": F.col("auth_outcome") == "failure", "is_success": F.col("auth_outcome") == "success",
     })
-    return _raised(flagged, failures, seconds, False, src, watermark).select(
+    return _raised(flagged, failures, seconds, False, src, watermark, slice_spans).select(
         "source", F.col("raised_at").alias("succeeded_at")
     )
 
