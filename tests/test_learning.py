@@ -24,6 +24,24 @@ def test_auc_and_quantiles_with_ties(spark):
     assert ranking.roc_auc(df.filter("y = 1")).first()["auc"] is None
 
 
+@pytest.mark.parametrize("outer", [1, 4, 512])
+@pytest.mark.parametrize("kind", ["double", "int", "decimal(12,4)"])
+def test_running_totals_over_two_levels_of_ranges(spark, monkeypatch, outer, kind):
+    monkeypatch.setattr(ranking, "OUTER_RANGES", outer)
+    rng = np.random.default_rng(3)
+    values = np.unique(np.round(np.exp(rng.normal(size=900) * 3) * 10))
+    rows = [(float(v), int(n), int(m)) for v, n, m in zip(values, rng.integers(0, 9, len(values)), rng.integers(0, 2, len(values)))]
+    df = spark.createDataFrame(rows, "v double, n bigint, m bigint").withColumn("v", F.col("v").cast(kind)).repartition(5)
+    assert ranking._placed(df, "v", 30).select("_outer", "_inner").distinct().count() > 20
+    got = {float(r["v"]): (r["n_before"], r["m_before"]) for r in ranking.running_totals(df, "v", ["n", "m"], 20).collect()}
+    n = m = 0
+    for v, own_n, own_m in rows:
+        assert got.pop(v) == (n, m)
+        n, m = n + own_n, m + own_m
+    assert not got
+    assert ranking.running_totals(df.limit(0), "v", ["n"], 20).count() == 0
+
+
 def test_risk_bands(spark):
     values = [-0.1, 0.0, 0.19, 0.2, 0.5, 0.8, 1.0, 1.01, float("nan"), None]
     df = spark.createDataFrame([(v,) for v in values], "v double").select(risk_band(F.col("v")))

@@ -4,6 +4,10 @@ Rows are first reduced to one row per distinct value. Those values are cut into
 ranges of about equal size; running totals come from a window inside each range
 plus the totals of the ranges before it. No task sees more than one range, and a
 value repeated by a third of the rows is a single row by then.
+
+Ranges have two levels, each cut at the quantiles of KLL sketches: one sketch for the
+outer cuts, then one per outer range. Totals are carried range by range on each level.
+The driver sees the outer cuts only, whose number is fixed.
 """
 
 from __future__ import annotations
@@ -15,17 +19,31 @@ from pyspark.sql import functions as F
 from vigilark.session import stored
 
 ROWS_PER_RANGE = 100_000
+OUTER_RANGES = 512
 
 
-def _range_bounds(values: DataFrame, column: str, ranges: int) -> list[float]:
-    """At most `ranges` cut points. They only balance the work: any bounds give the same totals.
+def _cuts(column: str, ranges: int) -> Column:
+    """Aggregate: `ranges - 1` cut points at about equal ranks. They only balance the work: any cuts give the same totals."""
+    sketch = F.kll_sketch_agg_double(F.col(column), F.lit(min(65535, max(200, 8 * ranges))))
+    probs = F.lit([i / ranges for i in range(1, ranges)]).cast("array<double>")
+    cuts = F.array_sort(F.array_distinct(F.kll_sketch_get_quantile_double(sketch, probs)))
+    return F.when(F.count(column) > 0, cuts)  # a sketch of nothing has no quantiles
 
-    Fetched once as constants, because a retried task must never see other bounds.
-    """
-    probs = [i / ranges for i in range(1, ranges)]
-    row = values.agg(F.percentile_approx(column, probs, 10 * ranges).alias("q")).first()
-    inner = sorted(set(row["q"] or [0.0]))
-    return [float("-inf"), *inner, float("inf")]
+
+def _placed(values: DataFrame, column: str, ranges: int) -> DataFrame:
+    """values with `_outer` and `_inner`, the numbers of their range. Cuts are stored: a retried task sees the same ones."""
+    values = values.withColumn("_value", F.col(column).cast("double"))
+    outer = min(OUTER_RANGES, ranges)
+    cuts = values.agg(_cuts("_value", outer).alias("c")).first()["c"] if outer > 1 else None
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
+    placed = values.withColumn("_outer", F.lit(0.0)) if outer == 1 else Bucketizer(
+        splits=splits, inputCol="_value", outputCol="_outer").transform(values)
+    if ranges <= outer:
+        return placed.withColumn("_inner", F.lit(0))
+    # at most OUTER_RANGES rows; their cuts grow with the table, so they are joined, not sent by hand
+    inner = stored(placed.groupBy("_outer").agg(_cuts("_value", -(-ranges // outer)).alias("_cuts")), "inner-cuts")
+    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_value")))
+    return placed.join(inner, "_outer").withColumn("_inner", passed).drop("_cuts")
 
 
 def running_totals(
@@ -38,27 +56,20 @@ def running_totals(
     The number of ranges follows its row count, so a task's window stays as it is when the table grows.
     """
     values = stored(values, "distinct-values")
-    splits = _range_bounds(values, column, max(8, -(-values.count() // rows_per_range)))
-    cut = Bucketizer(splits=splits, inputCol="_value", outputCol="_range")
-    placed = cut.transform(values.withColumn("_value", F.col(column).cast("double"))).drop("_value")
-
-    # one row per range, so the ordered window over them is small by construction
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = placed.groupBy("_range").agg(*[F.sum(c).alias(c) for c in counts])
-    offsets = per_range.select(
-        "_range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}_offset") for c in counts]
-    )
-    inside = Window.partitionBy("_range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.select(
-            "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_inside") for c in counts]
-        )
-        .join(F.broadcast(offsets), "_range")
-        .select(
-            *values.columns,
-            *[(F.col(f"_{c}_offset") + F.col(f"_{c}_inside")).alias(f"{c}_before") for c in counts],
-        )
-    )
+    placed = _placed(values, column, max(8, -(-values.count() // rows_per_range)))
+
+    def carried(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({f"_{c}_{name}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in counts})
+
+    ranges = placed.groupBy("_outer", "_inner").agg(*[F.sum(c).alias(c) for c in counts])
+    offsets = carried(ranges, ["_outer"], "_inner", "range")
+    # one row per outer range, so the single window over them is bounded by OUTER_RANGES
+    outer = carried(ranges.groupBy("_outer").agg(*[F.sum(c).alias(c) for c in counts]), [], "_outer", "outer")
+    offsets = offsets.join(outer.drop(*counts), "_outer").drop(*counts)
+    return carried(placed, ["_outer", "_inner"], column, "inside").join(offsets, ["_outer", "_inner"]).select(
+        *values.columns,
+        *[(F.col(f"_{c}_outer") + F.col(f"_{c}_range") + F.col(f"_{c}_inside")).alias(f"{c}_before") for c in counts])
 
 
 def roc_auc(df: DataFrame, target: str = "y", score: str = "score") -> DataFrame:
