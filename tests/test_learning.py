@@ -121,6 +121,42 @@ def test_smote_exact_neighbours_and_segments(spark):
             smote.smote_oversample(df, bad)
 
 
+@pytest.mark.parametrize("kind", ["mixed scales", "clusters"])
+def test_curves_find_most_neighbours(spark, monkeypatch, kind):
+    """Recall against exact neighbours; a third of the second class is one vector."""
+    monkeypatch.setattr(smote, "FITTED_ROWS", 500)
+    rng = np.random.default_rng(8)
+    n, d, k = 4000, 12, 5
+    if kind == "clusters":
+        features = rng.normal(size=(25, d))[rng.integers(0, 25, n)] * 4 + rng.normal(size=(n, d)) * 0.3
+    else:
+        features = rng.normal(size=(n, 4)) @ rng.normal(size=(4, d)) * (10.0 ** rng.uniform(0, 2, d)) + rng.normal(size=(n, d)) * 0.1
+    labels = np.where(np.arange(n) < 2500, "a", "b")
+    features[2500:3000] = features[2500]
+    rows = [(str(c), i, f.tolist()) for i, (c, f) in enumerate(zip(labels, features))]
+    df = spark.createDataFrame(rows, "label string, id bigint, features array<double>")
+    got = {r["id"]: [x["distance"] for x in r["neighbours"]] for r in smote.near_in_class(
+        df, {"a": 2500, "b": 1500}, k, block_rows=100).collect()}
+    assert len(got) == n and all(len(v) == k and v == sorted(v) for v in got.values())
+    hits = 0
+    for own in range(0, n, 7):
+        mates = np.flatnonzero((labels == labels[own]) & (np.arange(n) != own))
+        limit = np.sort(((features[mates] - features[own]) ** 2).sum(1))[k - 1] + 1e-9
+        hits += sum(x <= limit for x in got[own])
+    recall = hits / (k * len(range(0, n, 7)))
+    assert recall >= 0.9, recall
+
+
+def test_large_classes_are_oversampled_by_curves(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [("a" if i < 300 else "b", i, rng.normal(size=3).tolist()) for i in range(340)]
+    df = spark.createDataFrame(rows, "label string, id bigint, features array<double>")
+    monkeypatch.setattr(smote, "EXACT_ROWS", 100)
+    made = smote.smote_oversample(df, {"a": 450, "b": 60}, 4)
+    assert {r["label"]: r["count"] for r in made.groupBy("label").count().collect()} == {"a": 450, "b": 60}
+    assert sorted(map(str, made.collect())) == sorted(map(str, smote.smote_oversample(df.repartition(5), {"a": 450, "b": 60}, 4).collect()))
+
+
 def test_reports(spark, tmp_path):
     path = str(tmp_path / "reports")
     assert reports.latest_report(spark, path, reports.VALIDATION_REPORT).count() == 0
