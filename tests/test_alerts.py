@@ -221,6 +221,44 @@ def test_triage_log_last_write_wins(spark, tmp_path):
         triage_log.set_status(spark, path, ["7"], "Fermé")
 
 
+def test_triage_compaction(spark, tmp_path):
+    """Snapshots and deltas give the same status as the whole log, lost compactions and late writes included."""
+    import shutil
+
+    path, rows = str(tmp_path / "t"), []
+
+    def add(*events):
+        rows.extend(events)
+        triage_log.append_delta(spark.createDataFrame([(a, s, at(m), e) for a, s, m, e in events], triage_log.TRIAGE_EVENT), path)
+
+    def states(ids=None):
+        found = triage.current_status(triage_log.read_statuses(spark, path, ids)).collect()
+        return {r["alert_id"]: r["status"] for r in found}
+
+    def want(ids=None):
+        last = {}
+        for a, s, m, e in sorted(rows, key=lambda r: (r[2], r[3])):
+            if ids is None or a in ids:
+                last[a] = s
+        return last
+
+    assert states() == {} and states(["1"]) == {}
+    add(*[(str(i), "Nouveau", i % 7, i) for i in range(40)])
+    assert states() == want()
+    assert triage_log.compact(spark, path) == 0
+    assert states() == want()
+    add(("3", "Confirmé", 9, 50), ("4", "Clos", 0, 0), ("4", "Clos", 0, 51))  # an older write loses, whenever it comes
+    assert states() == want()
+    assert triage_log.compact(spark, path) == 1
+    add(("3", "Clos", 20, 52))
+    assert triage_log.compact(spark, path) == 2
+    shutil.rmtree(f"{path}/covered/snapshot=2")  # the compaction was lost before its last step
+    assert states() == want() and states(["3", "4", "x"]) == want(["3", "4", "x"])
+    assert triage_log.compact(spark, path) == 2 and states() == want()
+    plan = triage_log.read_statuses(spark, path, ["3"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+
+
 def test_alert_table_by_day(spark, tmp_path):
     good, _ = normalize.normalize_batch(lines(spark, {"_source": {"@timestamp": "2024-03-01T10:00:00Z", "id": "1"}}))
     source.write_alert_table(good, str(tmp_path / "t"))

@@ -20,7 +20,7 @@ from vigilark.schema import (
 )
 from vigilark.session import shared_dir, stored
 from vigilark.sources import alerts as alert_source
-from vigilark.sources import reports, sessions as session_source, sinks
+from vigilark.sources import reports, sessions as session_source, sinks, triage_log
 from vigilark.streaming.collect import start_collection
 from vigilark.streaming.detect import (
     close_rate, close_scan_then_login, close_success_after_failures, stream_rate, stream_scan_then_login,
@@ -208,6 +208,18 @@ def _(spark, d):
     return triage.current_status(tables.triage_events(spark, d))
 
 
+@query("triage_compaction")
+def _(spark, d):
+    path = shared_dir(spark, "triage")
+    events = tables.triage_events(spark, d)
+    # three deliveries, compacted after each but the last, which is still a delta
+    for part in range(3):
+        triage_log.append_delta(events.filter(F.pmod("event_id", F.lit(3)) == part), path)
+        if part < 2:
+            triage_log.compact(spark, path)
+    return triage.current_status(triage_log.read_statuses(spark, path))
+
+
 # ------------------------------------------------------ projections, filters
 
 @query("normalize_alert")

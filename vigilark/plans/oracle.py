@@ -209,7 +209,7 @@ SELECT class AS tactic, (SELECT round(f1, 4) FROM report WHERE class = 'accuracy
  round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1_score, support
 FROM report WHERE class IN ({', '.join(lit(t) for t in dims.TACTICS)})"""
     status = f"status AS (SELECT alert_id, status, updated_at FROM ({TRIAGE}) t QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY updated_at DESC, event_id DESC) = 1)"
-    o["triage_log"] = ctes(status) + "SELECT * FROM status"
+    o["triage_log"] = o["triage_compaction"] = ctes(status) + "SELECT * FROM status"
 
     o["detect_source_type"] = n + "SELECT source_type, count(*) AS alerts FROM normalized GROUP BY 1"
     o["normalize_batch"] = a + """SELECT CASE WHEN r = 'invalid_json' THEN 'inconnu' ELSE alert_id END AS document_id, r AS reason FROM (
