@@ -165,3 +165,39 @@ def test_slices_hand_attempts_on(spark):
 
     rows = spark.createDataFrame([(0, 1), (29, 1), (30, 1), (39, 0), (40, 2)], "us bigint, attempts bigint")
     assert sorted((r["us"], r["slice"]) for r in _in_slices(rows, 40, 10).collect()) == [(0, 0), (29, 0), (30, 0), (30, 1), (39, 0), (40, 1)]
+
+
+def test_rows_dropped_as_late_are_reported(spark, events, tmp_path):
+    """Each keyed stream is fed its first half last; a stream in order reports none."""
+    import time
+
+    from vigilark.streaming import detect as live
+    from vigilark.streaming.late import DroppedRows
+
+    rule, middle = RateRule(1, 4, 10, None, "c", "m"), 225 * 10**6
+    halves = {"early": events.filter(F.col("us") < middle).drop("us"), "later": events.filter(F.col("us") >= middle).drop("us")}
+    # a batch refuses what lies behind the watermark that the batch before it started with, so a third one is late
+    for order, parts in (("late", ("later", "later", "early")), ("fine", ("early", "later"))):
+        for half in parts:
+            halves[half].coalesce(1).write.mode("append").parquet(str(tmp_path / order))
+    streams = {
+        "rate": lambda e: live.stream_rate(e, rule, watermark="20 seconds"),
+        "failures": lambda e: live.stream_success_after_failures(e, 3, 10, watermark="20 seconds"),
+        "scan": lambda e: live.stream_scan_then_login(e, F.col("scan"), F.col("auth_outcome").isNotNull(), 0.01, watermark="20 seconds"),
+    }
+    dropped = DroppedRows()
+    spark.streams.addListener(dropped)
+    try:
+        for kind, order in [("rate", "late"), ("failures", "late"), ("scan", "late"), ("scan", "fine")]:
+            source = spark.readStream.schema(halves["early"].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / order))
+            streams[kind](source).writeStream.queryName(f"{kind}_{order}").format("noop").option(
+                "checkpointLocation", str(tmp_path / f"{kind}-{order}")).trigger(availableNow=True).start().awaitTermination()
+        until = time.time() + 20
+        while time.time() < until and len(dropped.totals()) < 4:
+            time.sleep(0.2)
+        time.sleep(1)
+    finally:
+        spark.streams.removeListener(dropped)
+    totals = dropped.totals()
+    assert totals.pop("scan_fine") == 0
+    assert set(totals) == {"rate_late", "failures_late", "scan_late"} and min(totals.values()) > 0

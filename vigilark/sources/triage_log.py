@@ -18,7 +18,7 @@ from vigilark.dims import TRIAGE_STATUSES
 from vigilark.sources.sinks import TEXT_TIMES
 
 TRIAGE_EVENT = "alert_id string, status string, updated_at timestamp, event_id bigint"
-BUCKETS = 256
+BUCKETS = 64
 
 
 def read_triage_log(spark: SparkSession, path: str) -> DataFrame:
