@@ -211,6 +211,28 @@ def test_paging_keeps_ties(spark):
     assert seen == ["0", "1", "2", "3", "4", "5"]
 
 
+def test_a_backlog_is_taken_in_pages_by_one_call(spark, tmp_path):
+    df = alerts(spark, *[(at(i % 9), "a", "pam", "r", 1, "s", "d", 1, None, None) for i in range(43)], (None, "a", "pam", "r", 1, "s", "d", 1, None, None))
+    df = df.select("timestamp", "alert_id")
+    calls = 0
+    while source.collect_page(df, str(tmp_path / "single"), str(tmp_path / "c1"), 5):
+        calls += 1
+    single = spark.read.parquet(str(tmp_path / "single"))
+    many = (str(tmp_path / "many"), str(tmp_path / "c2"), 5)
+    assert source.collect_backlog(df, *many) == source.load_cursor(spark, str(tmp_path / "c1"))
+    assert source.collect_backlog(df, *many) is None and calls == 9
+    found = spark.read.parquet(many[0])
+    assert sorted(found.select("timestamp", "alert_id").collect()) == sorted(single.select("timestamp", "alert_id").collect())
+    pages = [{r.alert_id for r in found.filter(F.col("page") == n).collect()} for n in range(9)]
+    want = [r.alert_id for r in df.filter("timestamp is not null").orderBy("timestamp", "alert_id").collect()]
+    assert pages == [set(want[n:n + 5]) for n in range(0, 43, 5)]
+    assert spark.read.json(many[1]).count() == 9  # a cursor for each page
+    late = alerts(spark, (at(30), "a", "pam", "r", 1, "s", "d", 1, None, None)).select("timestamp", F.lit("late").alias("alert_id"))
+    assert source.collect_backlog(df.unionByName(late), *many).alert_id == "late"
+    assert spark.read.parquet(many[0]).count() == 44
+    assert source.collect_backlog(df.limit(0), str(tmp_path / "none"), str(tmp_path / "c3"), 5) is None
+
+
 def test_triage_log_last_write_wins(spark, tmp_path):
     path = str(tmp_path / "log")
     triage_log.set_status(spark, path, ["7", "8"], "Nouveau")

@@ -6,10 +6,11 @@ import hashlib
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilark.schema import ALERT
+from vigilark.session import stored
 from vigilark.sources.sinks import TEXT_TIMES
 
 PAGE_SIZE = 500
@@ -98,6 +99,10 @@ def save_cursor(spark: SparkSession, cursor: Cursor, path: str) -> None:
         "append").json(path)
 
 
+def _folder_name(cursor: Cursor | None) -> str:
+    return "start" if cursor is None else hashlib.sha256("|".join(cursor).encode()).hexdigest()[:16]
+
+
 def collect_page(alerts: DataFrame, table: str, cursors: str, size: int = PAGE_SIZE) -> Cursor | None:
     """One batch of collection: the page after the saved cursor into a folder of `table`, then its cursor.
 
@@ -106,8 +111,7 @@ def collect_page(alerts: DataFrame, table: str, cursors: str, size: int = PAGE_S
     """
     spark = alerts.sparkSession
     before = load_cursor(spark, cursors)
-    name = "start" if before is None else hashlib.sha256("|".join(before).encode()).hexdigest()[:16]
-    folder = f"{table}/page={name}"
+    folder = f"{table}/page={_folder_name(before)}"
     page = incremental_page(alerts, before, size)
     page.write.mode("overwrite").parquet(folder)
     after = next_cursor(spark.read.parquet(folder), before)
@@ -115,3 +119,39 @@ def collect_page(alerts: DataFrame, table: str, cursors: str, size: int = PAGE_S
         return None
     save_cursor(spark, after, cursors)
     return after
+
+
+def paged(alerts: DataFrame, cursor: Cursor | None = None, size: int = PAGE_SIZE) -> DataFrame:
+    """The alerts after the cursor with `page`: the number, from 0, of the call of `collect_page` that would take them.
+
+    Alerts are sorted in ranges. A row's place is its place in its range plus the rows of the ranges before it, so the
+    work grows with the alerts and not with the pages; equal alerts never come between two pages' cursors unseen.
+    """
+    due = alerts.filter(F.col("timestamp").isNotNull())
+    if cursor is not None:
+        due = due.filter(F.col("timestamp") >= F.lit(cursor.timestamp)).filter(_after(cursor))
+    ranges = due.repartitionByRange("timestamp", "alert_id").sortWithinPartitions("timestamp", "alert_id")
+    placed = stored(ranges.withColumns({
+        "_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "paged-alerts")
+    # one row per range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    number = F.floor((F.col("_before") + F.col("_place")) / F.lit(size))
+    return placed.join(F.broadcast(offsets), "_range").select(*alerts.columns, number.alias("page"))
+
+
+def collect_backlog(alerts: DataFrame, table: str, cursors: str, size: int = PAGE_SIZE) -> Cursor | None:
+    """All pages after the saved cursor at once, into one folder of `table`, then the cursor of every page.
+
+    The folder is named by the cursor before the first page and replaced as a whole, so a run that fails before its
+    cursors are saved is repeated without loss or copies. None when there is no newer alert.
+    """
+    spark = alerts.sparkSession
+    before = load_cursor(spark, cursors)
+    folder = f"{table}/backlog={_folder_name(before)}"
+    paged(alerts, before, size).write.mode("overwrite").parquet(folder)
+    last = F.max(F.struct(F.col("timestamp").cast("string").alias("timestamp"), "alert_id")).alias("m")
+    ends = spark.read.parquet(folder).groupBy("page").agg(last).select("m.*")
+    ends.write.mode("append").json(cursors)
+    after = load_cursor(spark, cursors)
+    return None if after == before else after
