@@ -166,3 +166,20 @@ def test_registry_finds_a_model_again(spark, tmp_path):
     wanted(df.filter("y = 1").unionAll(df), rounds=2, depth=2, rate=0.1)
     assert len(fits) == 3 and registry.listed().count() == 3
     assert ModelRegistry(spark, str(tmp_path / "models")).path_of("risk", data_key(df), {"rounds": 2, "depth": 2, "rate": 0.1})
+
+
+def test_only_the_models_asked_for_are_fitted(spark, tmp_path):
+    raw = tables.session_features(spark, "/root/testdata/sf0.001")
+    rows = encode.encode_categoricals(raw, encode.fit_encoder(raw)).drop("score", "iso_flag", "difficulty_level", "is_test")
+    registry = ModelRegistry(spark, str(tmp_path / "models"))
+    fit = models.fitted(rows, registry=registry, kinds=["forest"])
+    assert fit.forest is not None and fit.risk is None and fit.tactics is None
+    assert [r.kind for r in registry.listed().collect()] == ["forest"]
+
+
+def test_margins_are_renewed_once_a_round_on_blocks_that_are_held(spark, monkeypatch):
+    x, y, weight = rows_of()
+    added, kept = [], boost._Table.add
+    monkeypatch.setattr(boost._Table, "add", lambda table, trees: (added.append((len(trees), table.rows.is_cached)), kept(table, trees)))
+    boost.fit_boosted(frame(spark, x, y, weight), ["c"], FEATURES, 3, 2, 0.3, in_task=0)
+    assert added == [(1, True)] * 3

@@ -1,13 +1,13 @@
 """Gradient-boosted trees from gradient histograms that Spark sums (Friedman 2001; second-order gains as in boosted-tree systems).
 
-Features become at most MAX_BINS bins, one byte each, in a stored table. Nodes of many rows are split level by level,
-one job over that table each: tasks add up gradients and their slopes by (output, node, feature, bin), the sums of all
-tasks are added per feature in the order of the tasks, and the best split of every node goes to the driver. Nodes of at
-most IN_TASK rows are shuffled to a task each, which grows all that is below them by the same rule (both kinds of job
-are those of Panda et al. 2009). So what passes through the driver or one task is bounded by depth, features, bins and
-IN_TASK, whatever the table holds. Several outputs (classes) share the passes: the softmax gradients of all classes
-come from one set of margins. Margins are written to the table every STORE_EVERY rounds; between, tasks add the trees
-that are younger than the table.
+Features become at most MAX_BINS bins, one byte each, in blocks of rows that the executors hold in memory or on disk. A
+round grows level by level, one short job over the blocks each: tasks add up gradients and their slopes by (output, node,
+feature, bin), the sums of all tasks are added per feature in the order of the tasks, and the best cut of every node and
+feature goes to the driver. Once no open node has more than IN_TASK rows, each is shuffled to a task, which grows all that
+is below by the same rule (both kinds of job are those of Panda et al. 2009). So what passes through the driver or one
+task is bounded by depth, features, bins and IN_TASK, whatever the table holds. Several outputs (classes) share the
+passes: the softmax gradients of all classes come from one set of margins. A round's trees are added to the margins once,
+by the first job of the next round; the blocks are stored every STORE_EVERY rounds, which cuts their lineage.
 
 The fitted model is a table of nodes. Nothing is drawn at random, and rows that share a bin vector are not told apart.
 Missing values lie in the lowest bin and go left. A node is split when the gain is positive and both children keep a
@@ -16,6 +16,7 @@ summed slope of at least MIN_SLOPE, so once a class is told apart with certainty
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ MAX_BINS = 128
 SMOOTHING, MIN_SLOPE, LEAST_GAIN = 1.0, 1.0, 1e-6
 STORE_EVERY = 20
 FEW_ROWS, MANY_ROWS = 10_000, 500_000  # rows a task has at least, and at most
-SLICE = 8192
 IN_TASK = 100_000  # rows of a node that one task takes: some 60 bytes each
 
 
@@ -161,37 +161,31 @@ def binned_rows(vectors: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _binning(features: list[str], cuts: list[np.ndarray], outputs: int):
+def _binning(features: list[str], cuts: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features])
-            yield _batch(binned_rows(x, cuts), batch.column("y"), batch.column("weight"), np.zeros((len(x), outputs)))
+            by_feature = np.ascontiguousarray(binned_rows(x, cuts).T)
+            y, weight = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int32), batch.column("weight").to_numpy(zero_copy_only=False).astype(float)
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bins": [by_feature.tobytes()], "y": [y.tobytes()], "weight": [weight.tobytes()]})
 
     return run
 
 
-BINNED = "bins binary, y int, weight double, margin binary"
-
-
-def _batch(bins: np.ndarray, y: pa.Array, weight: pa.Array, margin: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bins": _fixed(bins), "y": y, "weight": weight, "margin": _fixed(margin)})
+BLOCKS = "rows long, bins binary, y binary, weight binary"
 
 
-def _fixed(x: np.ndarray) -> pa.Array:
-    """The bytes of each row."""
-    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * x.itemsize)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+def _block(outputs: int):
+    """A row of the block table as (bins by feature and row, y, weight, margin by row and output)."""
+    def made(row) -> tuple:
+        n = row["rows"]
+        return (
+            np.frombuffer(bytes(row["bins"]), np.uint8).reshape(-1, n), np.frombuffer(bytes(row["y"]), np.int32),
+            np.frombuffer(bytes(row["weight"])), np.zeros((n, outputs)))
 
-
-def _arrays(batches: Iterator[pa.RecordBatch], outputs: int):
-    """(bins, y, weight, margin, batch) of a few thousand rows at a time."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(at, SLICE)
-            n = batch.num_rows
-            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, -1)
-            margin = np.frombuffer(b"".join(batch.column("margin").to_pylist())).reshape(n, outputs)
-            yield bins, batch.column("y").to_numpy(), batch.column("weight").to_numpy(), margin, batch
+    return made
 
 
 # ---- growing -------------------------------------------------------------------------------------
@@ -216,49 +210,51 @@ def gradients(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np
     return weight[:, None] * (p - (y[:, None] == np.arange(margin.shape[1]))), weight[:, None] * 2 * p * (1 - p)
 
 
-def _added(bins: np.ndarray, margin: np.ndarray, young: tuple, depth: int) -> np.ndarray:
-    """Margins with the trees that are younger than the table; trees come in turns of the outputs."""
-    roots, feature, split, left, value = young
-    if not len(roots):
-        return margin
-    out = margin.copy()
-    for rows, at in leaves(bins, roots, feature, split, left, depth):
-        out[rows] += value[at].reshape(len(at), -1, margin.shape[1]).sum(1)
-    return out
+def _at(bins: np.ndarray, tree: tuple[np.ndarray, ...], depth: int) -> np.ndarray:
+    """The node of a tree (feature, split, left, value) that each row of a block has come to after `depth` steps."""
+    feature, split, left, _ = tree
+    at, row = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
+    for _ in range(depth if len(feature) > 1 else 0):
+        at = left[at] + (bins[feature[at], row] > split[at])
+    return at
 
 
-def _histograms(outputs: int, sizes: np.ndarray, young: tuple, growing: tuple, slots: np.ndarray, depth: int, level: int):
-    """One row per feature: sums of (gradient, slope, 1) by open node and bin over a task's rows.
+def _grown_by(trees: list[tuple], depth: int):
+    """Adds a round's trees, one per output, to a block's margins."""
+    def run(block: tuple) -> tuple:
+        bins, y, weight, margin = block
+        return bins, y, weight, margin + np.column_stack([tree[3][_at(bins, tree, depth)] for tree in trees])
 
-    `slots` gives the place of each node of the growing trees among the open ones, -1 for others.
-    """
-    offsets = np.append(0, np.cumsum(sizes))
-    total, n_open = int(offsets[-1]), int(slots.max()) + 1
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, n_open * total))
-        roots, feature, split, left, _ = growing
-        for bins, y, weight, margin, _ in _arrays(batches, outputs):
-            both = gradients(_added(bins, margin, young, depth), y, weight)
-            places = offsets[:-1] + bins
-            for rows, at in leaves(bins, roots, feature, split, left, level):
-                slot = slots[at]
-                for k in np.flatnonzero((slot >= 0).any(0)):
-                    mine = np.flatnonzero(slot[:, k] >= 0)
-                    cell = (slot[mine, k, None] * total + places[rows][mine]).ravel()
-                    for part, values in zip(sums, both):
-                        part += np.bincount(cell, np.repeat(values[rows][mine, k], len(sizes)), n_open * total)
-                    sums[2] += np.bincount(cell, minlength=n_open * total)
-        part = sums.reshape(3, n_open, total)
-        blobs = [np.ascontiguousarray(part[:, :, a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_pydict({
-            "feature": pa.array(np.arange(len(sizes), dtype=np.int32)),
-            "part": pa.array(np.full(len(sizes), TaskContext.get().partitionId(), np.int32)), "sums": pa.array(blobs, pa.binary())})
 
-    return run
+def _sums(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, sizes: np.ndarray, n_open: int) -> Iterator[np.ndarray]:
+    """For each feature sums of (g, h, 1) by open node and bin, flat."""
+    for values, size in zip(bins, sizes):
+        cell = slot * size + values
+        yield np.stack([np.bincount(cell, g, n_open * size), np.bincount(cell, h, n_open * size), np.bincount(cell, minlength=n_open * size)])
 
 
-SPLITS = "slot int, feature int, bin int, gain double, left_g double, left_h double, left_n double, g double, h double, n double"
+def _histograms(trees: list[tuple], slots: list[np.ndarray], sizes: np.ndarray, n_open: int, level: int):
+    """(feature, (task, sums of (gradient, slope, 1) by open node and bin)) over a task's rows.
+
+    `slots` gives the place of each node of the growing trees among the open ones, -1 for others.
+    """
+    def run(task: int, blocks: Iterator[tuple]) -> Iterator[tuple]:
+        total = [np.zeros((3, n_open * size)) for size in sizes]
+        for bins, y, weight, margin in blocks:
+            g, h = gradients(margin, y, weight)
+            for k, (tree, places) in enumerate(zip(trees, slots)):
+                if (places < 0).all():
+                    continue
+                slot = places[_at(bins, tree, level)]
+                mine = np.flatnonzero(slot >= 0)
+                some = slice(None) if len(mine) == len(slot) else mine
+                for part, more in zip(total, _sums(bins[:, some], slot[some], g[some, k], h[some, k], sizes, n_open)):
+                    part += more
+        return ((feature, (task, part.tobytes())) for feature, part in enumerate(total))
+
+    return run
 
 
 def best_cuts(sums: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -276,78 +272,84 @@ def best_cuts(sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return best, gain[rows, best], *left[:, rows, best], g, h, n
 
 
-def _split_rows(sums: np.ndarray, feature: int) -> pa.RecordBatch:
-    cut, gain, *rest = best_cuts(sums)
-    names = [f.split()[0] for f in SPLITS.split(", ")][4:]
-    return pa.RecordBatch.from_pydict({
-        "slot": pa.array(np.arange(len(cut), dtype=np.int32)), "feature": pa.array(np.full(len(cut), feature, np.int32)),
-        "bin": pa.array(cut.astype(np.int32)), "gain": pa.array(gain), **{c: pa.array(v) for c, v in zip(names, rest)}})
-
-
 def _summed(n_open: int):
-    """Adds the tasks' sums of each feature, which come sorted by feature and task, one after another."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, total = None, None
-        for batch in batches:
-            for feature, blob in zip(batch.column("feature").to_pylist(), batch.column("sums").to_pylist()):
-                sums = np.frombuffer(blob).reshape(3, n_open, -1)
-                if feature == current:
-                    total = total + sums
-                    continue
-                if total is not None:
-                    yield _split_rows(total, current)
-                current, total = feature, sums
-        if total is not None:
-            yield _split_rows(total, current)
+    """Best cut of each open node for each feature of a task; the sums of the tasks are added in their order."""
+    def run(parts: Iterator[tuple]) -> Iterator[tuple]:
+        by_feature: dict[int, list] = {}
+        for feature, part in parts:
+            by_feature.setdefault(feature, []).append(part)
+        for feature, found in by_feature.items():
+            total = 0.0
+            for _, blob in sorted(found):
+                total = total + np.frombuffer(blob)
+            for slot, (cut, gain, *rest) in enumerate(zip(*best_cuts(total.reshape(3, n_open, -1)))):
+                yield slot, feature, int(cut), float(gain), *map(float, rest)
 
     return run
 
 
 class _Table:
-    """The binned rows and the trees that are younger than their margins."""
+    """The blocks of binned rows with their margins, kept in memory and disk of the executors.
 
-    def __init__(self, rows: DataFrame, path: str, outputs: int, sizes: np.ndarray, depth: int):
-        self.rows, self.path, self.outputs, self.sizes, self.depth, self.young = rows, path, outputs, sizes, depth, []
+    A round adds its trees to the margins; the blocks are stored every STORE_EVERY rounds, so that what a lost executor
+    held is made again from the last store.
+    """
+
+    def __init__(self, blocks: RDD, outputs: int, sizes: np.ndarray, depth: int):
+        self.outputs, self.sizes, self.depth, self.since, self.old = outputs, sizes, depth, 0, None
+        self.rows, self.path = _written(blocks)
 
     def level(self, trees: list[_Tree], open_: list[_Open], level: int) -> list[tuple]:
         """Best split of each open node: (gain, feature, bin, left g, h, n, all g, h, n)."""
-        spark = self.rows.sparkSession
-        growing = joined([t.arrays() for t in trees])
-        slots = np.full(len(growing[1]), -1)
+        growing = [t.arrays() for t in trees]
+        slots = [np.full(len(t[0]), -1) for t in growing]
         for slot, at in enumerate(open_):
-            slots[growing[0][at.output] + at.node] = slot
-        young = joined([t.arrays() for t in self.young])
-        sums = self.rows.mapInArrow(
-            _histograms(self.outputs, self.sizes, young, growing, slots, self.depth, level), "feature int, part int, sums binary")
-        found = sums.repartition(min(len(self.sizes), spark.sparkContext.defaultParallelism), "feature").sortWithinPartitions("feature", "part").mapInArrow(_summed(len(open_)), SPLITS).toArrow()
+            slots[at.output][at.node] = slot
+        sums = self.rows.mapPartitionsWithIndex(_histograms(growing, slots, self.sizes, len(open_), level))
+        tasks = min(len(self.sizes), self.rows.context.defaultParallelism)
+        found = sums.partitionBy(tasks, lambda feature: feature).mapPartitions(_summed(len(open_))).collect()
         best: list[tuple] = [(-np.inf, 0)] * len(open_)
-        for slot, feature, cut, gain, *rest in sorted(zip(*[c.to_pylist() for c in found.columns])):  # nodes x features rows
+        for slot, feature, cut, gain, *rest in sorted(found):  # nodes x features rows
             if gain > best[slot][0] or len(best[slot]) == 2:
                 best[slot] = (gain, feature, cut, *rest)
         return best
 
     def subtrees(self, trees: list[_Tree], small: list[_Open]) -> dict[tuple[int, int], list[list]]:
         """Trees below nodes whose rows fit one task, each grown whole in one."""
-        growing = joined([t.arrays() for t in trees])
-        group = np.full(len(growing[1]), -1)
+        growing = [t.arrays() for t in trees]
+        groups = [np.full(len(t[0]), -1) for t in growing]
         for number, at in enumerate(small):
-            group[growing[0][at.output] + at.node] = number
-        young = joined([t.arrays() for t in self.young])
-        routed = self.rows.mapInArrow(
-            _routed(self.outputs, young, growing, group, self.depth), "node int, part int, place int, bins binary, g double, h double")
-        depths = np.array([self.depth - at.level for at in small])
-        grown = routed.repartition(len(small), "node").sortWithinPartitions("node", "part", "place").mapInArrow(
-            _grown(self.sizes, depths), "node int, rows binary").toArrow()
-        return {
-            (small[node].output, small[node].node): np.frombuffer(blob).reshape(-1, 6).tolist()
-            for node, blob in zip(grown.column("node").to_pylist(), grown.column("rows").to_pylist())}
-
-    def renew(self) -> None:
-        """Writes the rows again with the young trees' margins."""
-        old = self.path
-        self.rows, self.path = _written(self.rows.mapInArrow(_with_margins(self.outputs, self.young, self.depth), BINNED))
-        self.young = []
-        discarded(self.rows.sparkSession, old)
+            groups[at.output][at.node] = number
+        # nodes are dealt to the task with the fewest rows so far, the largest first
+        tasks = max(min(len(small), self.rows.context.defaultParallelism), math.ceil(sum(at.rows for at in small) / IN_TASK))
+        load, task_of = [(0.0, task) for task in range(tasks)], {}
+        for number in sorted(range(len(small)), key=lambda i: -small[i].rows):
+            rows, task = heapq.heappop(load)
+            task_of[number] = task
+            heapq.heappush(load, (rows + small[number].rows, task))
+        routed = self.rows.mapPartitionsWithIndex(_routed(growing, groups, self.depth))
+        depths = [self.depth - at.level for at in small]
+        grown = routed.partitionBy(tasks, lambda node: task_of[node]).mapPartitions(_grown(self.sizes, depths)).collect()
+        return {(small[node].output, small[node].node): nodes for node, nodes in grown}
+
+    def add(self, trees: list[_Tree]) -> None:
+        """Adds a finished round to the margins; they are computed by the next job over the table."""
+        if self.old is not None:
+            self.old.unpersist()
+        self.old = self.rows
+        self.rows = self.rows.map(_grown_by([t.arrays() for t in trees], self.depth)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.since += 1
+        if self.since == STORE_EVERY:
+            stale, path, self.since = self.rows, self.path, 0
+            self.rows, self.path = _written(self.rows)
+            stale.unpersist()
+            discarded(SparkSession.active(), path)
+
+    def close(self) -> None:
+        for rows in (self.old, self.rows):
+            if rows is not None:
+                rows.unpersist()
+        discarded(SparkSession.active(), self.path)
 
 
 @dataclass(frozen=True)
@@ -358,42 +360,31 @@ class _Open:
     rows: float
 
 
-def _routed(outputs: int, young: tuple, growing: tuple, group: np.ndarray, depth: int):
-    """The rows of each small node with their gradients, one row per output in which the row lies in such a node."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots, feature, split, left, _ = growing
-        part, place = TaskContext.get().partitionId(), 0
-        for bins, y, weight, margin, _ in _arrays(batches, outputs):
-            g, h = gradients(_added(bins, margin, young, depth), y, weight)
-            for rows, at in leaves(bins, roots, feature, split, left, depth):
-                for k in range(outputs):
-                    node = group[at[:, k]]
-                    mine = np.flatnonzero(node >= 0)
-                    if len(mine):
-                        own = rows.start + mine
-                        yield pa.RecordBatch.from_pydict({
-                            "node": pa.array(node[mine].astype(np.int32)), "part": pa.array(np.full(len(mine), part, np.int32)),
-                            "place": pa.array((place + own).astype(np.int32)), "bins": _fixed(bins[own]), "g": pa.array(g[own, k]), "h": pa.array(h[own, k])})
-            place += len(bins)
+def _routed(trees: list[tuple], groups: list[np.ndarray], depth: int):
+    """(small node, (task, block, bins, g, h)): the node's rows in a block with their gradients."""
+    def run(task: int, blocks: Iterator[tuple]) -> Iterator[tuple]:
+        for number, (bins, y, weight, margin) in enumerate(blocks):
+            g, h = gradients(margin, y, weight)
+            for k, (tree, places) in enumerate(zip(trees, groups)):
+                node = places[_at(bins, tree, depth)]
+                for small in np.unique(node[node >= 0]).tolist():
+                    own = np.flatnonzero(node == small)
+                    yield small, (task, number, bins[:, own], g[own, k], h[own, k])
 
     return run
 
 
 def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, sizes: np.ndarray, depth: int) -> list[list[float]]:
-    """[feature, bin, left, worth -g/(h + 1), gain, cover] of the nodes of a tree over these rows."""
-    offsets = np.append(0, np.cumsum(sizes))
-    total, places = int(offsets[-1]), offsets[:-1] + bins
+    """[feature, bin, left, worth -g/(h + 1), gain, cover] of the nodes of a tree over these rows; bins by feature and row."""
     nodes = [[0, np.inf, 0, -g.sum() / (h.sum() + SMOOTHING), 0.0, h.sum()]]
-    at, open_ = np.zeros(len(bins), np.int64), [0]
+    at, open_ = np.zeros(len(g), np.int64), [0]
     for _ in range(depth):
         slot_of = np.full(len(nodes), -1)
         slot_of[open_] = np.arange(len(open_))
         slot = slot_of[at]
         mine = np.flatnonzero(slot >= 0)
-        cell = (slot[mine, None] * total + places[mine]).ravel()
-        sums = np.stack([
-            np.bincount(cell, None if v is None else np.repeat(v[mine], len(sizes)), len(open_) * total) for v in (g, h, None)]).reshape(3, len(open_), total)
-        cuts = [best_cuts(sums[:, :, a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+        some = slice(None) if len(mine) == len(slot) else mine
+        cuts = [best_cuts(part.reshape(3, len(open_), -1)) for part in _sums(bins[:, some], slot[some], g[some], h[some], sizes, len(open_))]
         gains = np.stack([c[1] for c in cuts])
         best, after = gains.argmax(0), []
         for number, node in enumerate(open_):
@@ -407,48 +398,34 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, sizes: np.ndarray, dept
                 nodes.append([0, np.inf, left + child, -a / (b + SMOOTHING), 0.0, b])
                 after.append(left + child)
             own = np.flatnonzero(at == node)
-            at[own] = left + (bins[own, feature] > cut)
+            at[own] = left + (bins[feature, own] > cut)
         open_ = after
         if not open_:
             break
     return nodes
 
 
-def _grown(sizes: np.ndarray, depths: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            node = rows.column("node")[0].as_py()
-            bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(len(rows), -1)
-            nodes = grow(bins, rows.column("g").to_numpy(), rows.column("h").to_numpy(), sizes, int(depths[node]))
-            return pa.RecordBatch.from_pydict({"node": pa.array([node], pa.int32()), "rows": pa.array([np.array(nodes, float).tobytes()], pa.binary())})
-
-        for batch in batches:
-            node = batch.column("node").to_numpy()
-            ends = np.append(np.flatnonzero(np.diff(node)) + 1, len(node))
-            start = 0
-            for stop in ends[ends > 0]:
-                if held and held[0].column("node")[0].as_py() != node[start]:
-                    yield done()
-                    held = []
-                held.append(batch.slice(start, stop - start))
-                start = stop
-        if held:
-            yield done()
+def _grown(sizes: np.ndarray, depths: list[int]):
+    """(small node, its tree) for the nodes dealt to a task."""
+    def run(parts: Iterator[tuple]) -> Iterator[tuple]:
+        held: dict[int, list] = {}
+        for node, part in parts:
+            held.setdefault(node, []).append(part)
+        for node in sorted(held):
+            found = sorted(held.pop(node), key=lambda part: part[:2])
+            bins, g, h = (np.concatenate([part[i] for part in found], axis=-1) for i in (2, 3, 4))
+            yield node, [[float(v) for v in row] for row in grow(bins, g, h, sizes, depths[node])]
 
     return run
 
 
 def _round(table: _Table, rows: int, rate: float, in_task: int) -> list[_Tree]:
-    """One tree per output: nodes of many rows level by level from summed histograms, the rest whole in tasks."""
+    """One tree per output: level by level from summed histograms, and whole in tasks once all open nodes fit one."""
     trees = [_Tree() for _ in range(table.outputs)]
     open_, small = [_Open(k, 0, 0, rows) for k in range(table.outputs)], []
     for level in range(table.depth):
-        small += [at for at in open_ if at.rows <= in_task]
-        open_ = [at for at in open_ if at.rows > in_task]
-        if not open_:
+        if all(at.rows <= in_task for at in open_):  # while one node is larger, a pass over the table sums all of them
+            small = open_
             break
         after = []
         for at, (gain, feature, cut, left_g, left_h, left_n, g, h, n) in zip(open_, table.level(trees, open_, level)):
@@ -472,20 +449,11 @@ def _round(table: _Table, rows: int, rate: float, in_task: int) -> list[_Tree]:
     return trees
 
 
-def _with_margins(outputs: int, young: list[_Tree], depth: int):
-    arrays = joined([t.arrays() for t in young])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bins, _, _, margin, batch in _arrays(batches, outputs):
-            yield _batch(bins, batch.column("y"), batch.column("weight"), _added(bins, margin, arrays, depth))
-
-    return run
-
-
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    path = shared_dir(df.sparkSession, "boosting")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(BINNED).parquet(path), path
+def _written(blocks: RDD) -> tuple[RDD, str]:
+    """The blocks as stored and read back, held in memory from the first job on."""
+    path = shared_dir(SparkSession.active(), "boosting")
+    blocks.saveAsPickleFile(path, 1)
+    return blocks.context.pickleFile(path, 1).persist(StorageLevel.MEMORY_AND_DISK), path
 
 
 def fit_boosted(
@@ -494,27 +462,29 @@ def fit_boosted(
 ) -> Boosted:
     """Fit on the feature columns, `y` (0 or 1 with one class, else the class's place) and `weight`.
 
-    The training rows are read four times, the binned table once for each level with open nodes of more than `in_task`
-    rows, and once more if smaller ones are left.
+    The training rows are read twice and their spread copy three times, the blocks of binned rows once for each level
+    until all open nodes have at most `in_task` rows, and once more if such are left.
     """
     spark, features, outputs = rows.sparkSession, list(features), len(classes)
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.col("y").cast("int").alias("y"), F.col("weight").cast("double").alias("weight"))
-    cuts = cut_points(rows, features, bins)
-    sizes = np.array([len(c) + 1 for c in cuts])
     count = rows.count()
     if not count:
         raise ValueError("boosting needs training rows")
     tasks = max(1, min(count // FEW_ROWS, spark.sparkContext.defaultParallelism), math.ceil(count / MANY_ROWS))
-    spread = rows.repartition(tasks, F.xxhash64(*features, "y"))
-    table = _Table(*_written(spread.mapInArrow(_binning(features, cuts, outputs), BINNED)), outputs, sizes, depth)
+    spread_path = shared_dir(spark, "training")
+    rows.repartition(tasks, F.xxhash64(*features, "y")).write.parquet(spread_path)  # the passes below need all cores
+    spread = spark.read.schema(rows.schema).parquet(spread_path)
+    cuts = cut_points(spread, features, bins)
+    sizes = np.array([len(c) + 1 for c in cuts])
+    binned = spread.mapInArrow(_binning(features, cuts), BLOCKS)
+    table = _Table(binned.rdd.map(_block(outputs)), outputs, sizes, depth)
+    discarded(spark, spread_path)
     grown: list[_Tree] = []
     for _ in range(rounds):
-        if len(table.young) >= STORE_EVERY * outputs:
-            table.renew()
         trees = _round(table, count, rate, in_task)
         grown += trees
-        table.young += trees
-    discarded(spark, table.path)
+        table.add(trees)
+    table.close()
     nodes = [
         (at % outputs, at // outputs, node, feature, float(cuts[feature][int(cut)]) if left != node else None, left, value, gain, cover)
         for at, tree in enumerate(grown) for node, (feature, cut, left, value, gain, cover) in enumerate(tree.rows)]

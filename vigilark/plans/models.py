@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -19,15 +20,22 @@ TREES = {"rounds": dims.TREE_ROUNDS, "depth": dims.TREE_DEPTH, "rate": dims.LEAR
 FOREST = {"trees": dims.FOREST_TREES, "sample": dims.FOREST_SAMPLE, "contamination": dims.CONTAMINATION}
 
 
+KINDS = ("risk", "forest", "tactics")
+
+
 @dataclass
 class Models:
-    risk: Boosted
-    forest: Forest
-    tactics: Boosted
+    """The models that were asked for."""
+
+    risk: Boosted | None = None
+    forest: Forest | None = None
+    tactics: Boosted | None = None
 
 
-def fitted(train: DataFrame, key: str = "session_id", registry: ModelRegistry | None = None, trees: dict = TREES) -> Models:
-    """Models of `train`: the key, encoded features, label and y, as a stored table.
+def fitted(
+    train: DataFrame, key: str = "session_id", registry: ModelRegistry | None = None, trees: dict = TREES, kinds: Sequence[str] = KINDS,
+) -> Models:
+    """Models of `train`: the key, encoded features, label and y, as a stored table; those of `kinds` only.
 
     Models that the registry lacks are fitted side by side, as their jobs are many and short.
     """
@@ -40,8 +48,8 @@ def fitted(train: DataFrame, key: str = "session_id", registry: ModelRegistry |
         "forest": (FOREST, lambda: forest.fit_anomaly(normal, key, **FOREST), Forest.save, forest.load_forest),
         "tactics": (trees, lambda: risk.fit_tactic(attacks, **trees), Boosted.save, load_boosted),
     }
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        made = {kind: pool.submit(registry.fitted, kind, data, *job) for kind, job in jobs.items()}
+    with ThreadPoolExecutor(len(kinds)) as pool:
+        made = {kind: pool.submit(registry.fitted, kind, data, *jobs[kind]) for kind in kinds}
         return Models(**{kind: model.result() for kind, model in made.items()})
 
 
