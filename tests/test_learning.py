@@ -157,6 +157,12 @@ def test_large_classes_are_oversampled_by_curves(spark, monkeypatch):
     assert sorted(map(str, made.collect())) == sorted(map(str, smote.smote_oversample(df.repartition(5), {"a": 450, "b": 60}, 4).collect()))
 
 
+def test_nothing_to_oversample_keeps_the_rows(spark):
+    rows = spark.createDataFrame([("a", i, [float(i), 1.0]) for i in range(6)], "label string, id long, features array<double>")
+    grown = smote.smote_oversample(rows, {}).collect()
+    assert sorted((r.id, r.features, r.synthetic) for r in grown) == [(i, [float(i), 1.0], False) for i in range(6)]
+
+
 def test_reports(spark, tmp_path):
     path = str(tmp_path / "reports")
     assert reports.latest_report(spark, path, reports.VALIDATION_REPORT).count() == 0

@@ -186,9 +186,13 @@ def smote_oversample(
         if have <= neighbours:
             raise ValueError(f"class {label} has {have} rows, needs more than {neighbours}")
 
-    points = df.filter(F.col("label").isin(*targets)).select(
-        "label", "id", F.transform("features", lambda x: x.cast("double")).alias("features")
+    originals = df.select(
+        "label", "id", F.transform("features", lambda x: x.cast("double")).alias("features"),
+        F.lit(False).alias("synthetic"),
     )
+    if not targets:  # every class is large enough
+        return originals
+    points = originals.filter(F.col("label").isin(*targets)).drop("synthetic")
     missing = _choose("label", {c: targets[c] - sizes[c] for c in targets})
     size = _choose("label", {c: sizes[c] for c in targets})
     # the class fits its target, so ranking it in one task is bounded by the target
@@ -209,8 +213,4 @@ def smote_oversample(
         F.zip_with("features", "_near", lambda x, n: x + F.col("_step") * (n - x)).alias("features"),
         F.lit(True).alias("synthetic"),
     )
-    originals = df.select(
-        "label", "id", F.transform("features", lambda x: x.cast("double")).alias("features"),
-        F.lit(False).alias("synthetic"),
-    )
     return originals.unionByName(made)
