@@ -470,7 +470,8 @@ guessed AS (SELECT *, p AS guess_confidence, CASE p {" ".join(f"WHEN p{k} THEN {
     o["predict_tactic"] = given + f"""SELECT session_id, m.tactic, guess AS predicted_tactic, round(p, 6) AS tactic_confidence
 FROM guessed JOIN {LABELS} ON guessed.label = m.label"""
     judged = given.rstrip() + ",\n" + DECIDED
-    o["assess"] = judged + "SELECT session_id, round(risk_score, 6) AS risk_score, risk_band, is_attack, flagged_by_anomaly_detector FROM decided"
+    o["assess"] = judged + """SELECT session_id, round(risk_score, 6) AS risk_score, risk_band, is_attack, flagged_by_anomaly_detector,
+ TRUE AS fitted_scored, TRUE AS fitted_banded, TRUE AS fitted_decided FROM decided"""
     o["analyze"] = judged + f""",
 {EXPLAINED} SELECT session_id, true_label, round(risk_score, 6) AS risk_score, risk_band, is_attack, flagged_by_anomaly_detector, predicted_tactic,
  round(tactic_confidence, 6) AS tactic_confidence, e.mitre_id, CASE WHEN is_attack = 1 THEN coalesce(t.context, 'Contexte non disponible.') END AS context,
