@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.columns import in_cidr, level_to_band, percent_text
 from vigilark.operators import features, normalize, triage
+from vigilark.plans import tables
 from vigilark.sources import alerts as source
 from vigilark.sources import triage_log
+from vigilark.streaming import collect
 
 FIELDS = ("timestamp timestamp, agent_name string, source_type string, rule_id string, rule_level int, src_ip string, "
           "dest_ip string, dest_port int, flow_src_ip string, flow_dest_ip string, rule_description string, alert_id string")
@@ -233,6 +235,20 @@ def test_a_backlog_is_taken_in_pages_by_one_call(spark, tmp_path):
     assert source.collect_backlog(df.limit(0), str(tmp_path / "none"), str(tmp_path / "c3"), 5) is None
 
 
+def test_lines_of_a_single_file_are_made_by_all_cores(spark):
+    rows = tables.raw_alert_lines(spark, "/root/testdata/sf0.001")
+    assert tables.read(spark, "/root/testdata/sf0.001", "events").rdd.getNumPartitions() == 1
+    assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    plain = tables.raw_lines(tables.alerts(spark, "/root/testdata/sf0.001"))
+    assert sorted(r[0] or "" for r in rows.collect()) == sorted(r[0] or "" for r in plain.collect())
+
+
+def test_only_refused_documents_carry_their_line_through_deduplication(spark):
+    docs = normalize.parse_documents(lines(spark, {"_id": "1", "_source": {"id": "a"}}, "{", {"_id": "2"}))
+    keyed = collect._keyed(docs.withColumn("reason", normalize.failure_reason()), F.col("reason")).collect()
+    assert sorted((r["reason"] or "", r["value"] is None) for r in keyed) == [("", True), ("invalid_json", False), ("no_source", False)]
+
+
 def test_triage_log_last_write_wins(spark, tmp_path):
     path = str(tmp_path / "log")
     triage_log.set_status(spark, path, ["7", "8"], "Nouveau")

@@ -134,7 +134,12 @@ def alert_id(raw: Column | str = "raw") -> Column:
 
 def normalize_good(documents: DataFrame) -> DataFrame:
     """Normalised rows of the documents that can be normalised."""
-    return documents.filter(failure_reason().isNull()).select(*_alert_fields())
+    return normalized(documents.filter(failure_reason().isNull()))
+
+
+def normalized(good: DataFrame) -> DataFrame:
+    """Normalised rows of documents that are known to have no failure reason."""
+    return good.select(*_alert_fields())
 
 
 def quarantine(documents: DataFrame, line_column: str = "value") -> DataFrame:

@@ -139,8 +139,14 @@ def triage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TRIAGE_SQL, events=read(spark, sf_dir, "events"))
 
 
+def spread(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows over all cores: a file of few row groups would keep the dear work after it on as many tasks."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, key)
+
+
 def raw_alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_lines(alerts(spark, sf_dir))
+    return raw_lines(spark.sql(ALERTS_SQL, events=spread(spark, read(spark, sf_dir, "events"), "event_id")))
 
 
 def raw_lines(rows: DataFrame) -> DataFrame:

@@ -6,26 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigilark.operators.normalize import alert_id, failure_reason, normalize_good, parse_documents, quarantine
+from vigilark.operators.normalize import alert_id, failure_reason, normalize_good, normalized, parse_documents, quarantine
 
 
-def _once(documents: DataFrame, dedup_horizon: str) -> DataFrame:
-    """Documents, each key once within the horizon. It runs on arrival time, so nothing is refused for being late.
+def _keyed(documents: DataFrame, reason: Column) -> DataFrame:
+    """Documents with their key, their arrival, and the line of refused ones only.
 
     Keys carry their kind: an id of the source never meets an id of the index or the hash of a text.
     """
     def named(kind: str, value: Column) -> Column:
         return F.concat(F.lit(f"{kind}:"), F.nullif(value, F.lit("")))
 
-    keyed = documents.withColumns({
+    return documents.withColumns({
         "document_key": F.coalesce(
-            F.when(failure_reason().isNotNull(), named("refused", F.sha2("value", 256))),
+            F.when(reason.isNotNull(), named("refused", F.sha2("value", 256))),
             named("source", F.try_variant_get("doc", "$._source.id", "string")),
             named("index", F.try_variant_get("doc", "$._id", "string")),
             named("text", F.sha2("value", 256)),
         ),
         "received_at": F.current_timestamp(),
+        "value": F.when(reason.isNotNull(), F.col("value")),  # a good document goes on as its parse alone
     })
+
+
+def _once(documents: DataFrame, dedup_horizon: str, reason: Column | None = None) -> DataFrame:
+    """Documents, each key once within the horizon. It runs on arrival time, so nothing is refused for being late."""
+    keyed = _keyed(documents, failure_reason() if reason is None else reason)
     return keyed.withWatermark("received_at", dedup_horizon).dropDuplicatesWithinWatermark(["document_key"])
 
 
@@ -55,11 +61,11 @@ def start_collection(
     the same checkpoint goes on after the last finished batch.
     """
     sorted_out = parse_documents(documents).withColumn("reason", failure_reason())
-    once = _once(sorted_out, dedup_horizon)
+    once = _once(sorted_out, dedup_horizon, F.col("reason"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()  # both writes read the same parsed rows
-        good = normalize_good(batch.filter("reason is null")).withColumn("alert_id", alert_id())
+        good = normalized(batch.filter("reason is null")).withColumn("alert_id", alert_id())
         good.write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
         quarantine(batch.filter("reason is not null")).write.mode("overwrite").parquet(f"{quarantine_path}/batch={number}")
         batch.unpersist()
