@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import ROWS, documents, empty, words
 from pyspark.sql import functions as F
@@ -171,6 +172,57 @@ def test_windows_score_each_token_once():
     assert np.allclose(together, np.concatenate(alone), atol=1e-5) and (together < 0).all()
 
 
+def test_repeated_words_are_coded_once(monkeypatch):
+    with open(TOKENIZER, "rb") as file:
+        kept = attention.Subwords(file.read())
+    plain = kept.processor
+    coded = []
+    monkeypatch.setattr(kept, "_coded", lambda names, f=kept._coded: coded.append(len(names)) or f(names))
+    monkeypatch.setattr(attention, "KEPT_WORDS", 3)
+    names = pa.array(["a", "\u3000", "überall", "seldom", "words", "zebra"], pa.large_string())
+    for count in ([2, 2, 1, 5, 9, 9], [1] * 6):
+        flat, first = kept.of(names, np.array(count))
+        want = [x or [0] for x in plain.encode(names.to_pylist())]
+        assert [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+    assert coded == [6, 3] and kept.kept.to_pylist() == ["a", "\u3000", "seldom"]
+
+
+def test_places_of_numbers():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000):
+        keys = rng.permutation(np.unique(rng.integers(-(1 << 62), 1 << 62, n)))
+        keys[: len(keys) // 2] = np.arange(len(keys) // 2) << 40  # numbers that differ in few bits
+        wanted = np.concatenate([keys, rng.integers(0, 1 << 62, 1000), [-1, 0, 1 << 40]])
+        place = {int(k): i for i, k in enumerate(keys)}
+        assert attention.Places(keys).of(wanted).tolist() == [place.get(int(k), len(keys)) for k in wanted]
+
+
+def test_gradients_do_not_depend_on_blocks(monkeypatch):
+    """Against differences of the loss, in blocks of any number of windows."""
+    rng = np.random.default_rng(6)
+    model = attention.fit_attention(np.zeros(0, np.int32), 60, rng.integers(0, attention.CLASSES, 60))
+    before, after = rng.integers(3, 60, (2, 10, attention.WINDOW)).astype(np.int32)
+    found = []
+    for block in (3, 64):
+        monkeypatch.setattr(attention, "BLOCK_WINDOWS", block)
+        grads, d_x = attention._gradients(model, model.weights, before, after)
+        found.append(np.concatenate([*[grads[k].reshape(-1) for k in attention.OTHERS], d_x.reshape(-1)]))
+    assert np.allclose(found[0], found[1], atol=1e-6)
+
+    def loss(w):
+        logits = attention._forward(w, before)[-1] @ w["out"] + w["bias"]
+        own = np.take_along_axis(logits, model.classes[after][..., None], 2)[..., 0]
+        return (np.log(np.exp(logits).sum(2)) - own).mean()
+
+    wide = {k: v.astype(float) for k, v in model.weights.items()}
+    for name in attention.OTHERS:
+        for place in rng.integers(0, wide[name].size, 4):
+            up, down = ({**wide, name: wide[name].copy()} for _ in range(2))
+            up[name].reshape(-1)[place] += 1e-2
+            down[name].reshape(-1)[place] -= 1e-2
+            assert abs((loss(up) - loss(down)) / 2e-2 - grads[name].reshape(-1)[place]) < 1e-3
+
+
 def test_scores_do_not_depend_on_what_tasks_look_up(spark, monkeypatch):
     docs = queries.table(spark, SF, "documents").select("doc_id", "text")
     scores = []

@@ -22,6 +22,7 @@ rows are scored each; an empty table gives an empty result; other columns do not
 
 from __future__ import annotations
 
+import functools
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,36 +43,61 @@ NONE = (1 << 20) - 1  # in place of a second subword before
 WINDOW, STRIDE, DIM, CLASSES = 32, 24, 8, 32
 STEPS, BATCH, RATE, DISCOUNT = 500, 192, 0.02, 0.7
 ROUNDS, ROUND_BATCH = 4, 512  # rounds of the pass over all rows; windows of a step in them
+BLOCK_WINDOWS = 64  # windows computed at once, so that a block's arrays stay in a core's cache; sums do not depend on it
 LANE_WORDS, LANE_TASKS = 1 << 18, 10_000  # words of a lane of a round, about; tasks of a round at most
+CAUSAL = np.tri(WINDOW, dtype=np.float32)  # what a place of a window attends to
 OTHERS = ("place", "query", "key", "value", "out", "bias")  # parameters that all subwords share
 BEGIN, END = 1, 2
+KEPT_WORDS = 1 << 18  # distinct words whose subwords a Python worker keeps
 PIECE_BYTES = 5 << 20  # text that a task works on at once
 
 
 class Subwords:
-    """Subword ids of distinct words, from the bytes of a sentencepiece model."""
+    """Subword ids of distinct words, from the bytes of a sentencepiece model; KEPT_WORDS repeated words are coded once or twice."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = self.processor.get_piece_size()
-
-    def of(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in a row, first id of each word and the end). A word has at least one id."""
+        self.kept, self.flat, self.first = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def of(self, names: pa.Array, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, first id of each word and the end). A word has at least one id; `count`: how often each occurs."""
+        at = pc.fill_null(pc.index_in(names, self.kept), len(self.kept)).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at == len(self.kept))
+        fresh = names.take(pa.array(new))
+        flat, first = self._coded(fresh)
+        at[new] += np.arange(len(new))
+        repeated = np.flatnonzero(count[new] > 1)[:KEPT_WORDS - len(self.kept)]
+        lengths, all_flat, all_first = np.diff(first), np.append(self.flat, flat), np.append(self.first, self.first[-1] + first[1:])
+        if len(repeated):
+            self.kept = pa.concat_arrays([self.kept, fresh.take(pa.array(repeated))])
+            self.flat = np.append(self.flat, flat[ranges(first[repeated], lengths[repeated])])
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(lengths[repeated]))
+        lengths = np.diff(all_first)[at]
+        return all_flat[ranges(all_first[at], lengths)], np.append(0, np.cumsum(lengths))
+
+    def _coded(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = self.processor.encode(names.to_pylist(), num_threads=1)
         lengths = np.fromiter((len(x) or 1 for x in coded), np.int64, len(coded))
         flat = np.fromiter((i for x in coded for i in (x or (0,))), np.int32, int(lengths.sum()))
         return flat, np.append(0, np.cumsum(lengths))
 
 
+@functools.lru_cache(1)
+def subwords_of(model: bytes) -> Subwords:
+    """One for all tasks of a Python worker."""
+    return Subwords(model)
+
+
 def word_rows(texts: pa.Array, subwords: Subwords) -> dict[str, np.ndarray]:
     """Words of each text and the subwords of distinct words (`flat`; its last entry is the end).
 
     `word`: the distinct word of each word, an end after each text; `ends_at`: the first of them of each text, and the end.
     """
     ids, names, offsets = words_of(texts)
-    flat, first = subwords.of(names) if len(names) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+    flat, first = subwords.of(names, np.bincount(ids)) if len(names) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
     word = np.insert(ids, offsets[1:], len(names))
     flat, first = np.append(flat, np.int32(END)), np.append(first, first[-1] + 1)
     return {"ids": ids, "names": names, "offsets": offsets, "flat": flat, "first": first, "word": word,
@@ -173,43 +199,68 @@ def corpus_classes(runs: DataFrame, size: int) -> np.ndarray:
     return _clustered(near, count)
 
 
-def _forward(w: dict[str, np.ndarray], before: np.ndarray) -> tuple:
-    """States after attention for windows of subwords (batch, window)."""
+def _room(rooms: dict[str, np.ndarray], name: str, *shape: int) -> np.ndarray:
+    """A work array, the one of the last call if that had the same shape: new memory costs as much as the sums in it."""
+    if name not in rooms or rooms[name].shape != shape:
+        rooms[name] = np.empty(shape, np.float32)
+    return rooms[name]
+
+
+def _forward(w: dict[str, np.ndarray], before: np.ndarray, first: int = 0, rooms: dict[str, np.ndarray] | None = None) -> tuple:
+    """States after attention for windows of subwords (batch, window), from place `first` of each window on."""
     n, width = before.shape
+    rooms = {} if rooms is None else rooms
     x = w["embed"][before] + w["place"][:width]
-    flat = x.reshape(-1, DIM)
-    q, k, v = ((flat @ m).reshape(n, width, DIM) for m in (w["query"] * np.float32(DIM ** -0.5), w["key"], w["value"]))
-    scores = np.matmul(q, k.transpose(0, 2, 1))
+    heads = np.concatenate([w["query"] * np.float32(DIM ** -0.5), w["key"], w["value"]], axis=1)
+    qkv = (x.reshape(-1, DIM) @ heads).reshape(n, width, 3 * DIM)
+    q, k, v = qkv[:, first:, :DIM], qkv[..., DIM:2 * DIM], qkv[..., 2 * DIM:]
+    scores = np.matmul(q, k.transpose(0, 2, 1), out=_room(rooms, "scores", n, width - first, width))
     np.clip(scores, -30, 30, out=scores)
     np.exp(scores, out=scores)
-    scores *= np.tri(width, dtype=np.float32)
-    total = np.matmul(scores, np.ones((width, 1), np.float32))
+    scores *= CAUSAL[first:width, :width]
+    total = (scores.reshape(-1, width) @ np.ones(width, np.float32)).reshape(n, width - first, 1)
     mixed_in = np.matmul(scores, v)
     mixed_in /= total
-    return x, q, k, v, scores, total, x + mixed_in
+    return x, q, k, v, heads, scores, total, mixed_in, x[:, first:] + mixed_in
 
 
 def _gradients(model: Attention, w: dict[str, np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """(gradients of all but `embed`, gradients of the state that enters at each subword of `before`)."""
-    target = model.classes[after]
-    x, q, k, v, scores, total, state = _forward(w, before)
-    share = scores / total
-    logits = state @ w["out"] + w["bias"]
-    logits -= logits.max(2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(2, keepdims=True)
-    np.put_along_axis(p, target[..., None], np.take_along_axis(p, target[..., None], 2) - 1, 2)
-    p /= target.size
+    """(gradients of all but `embed`, gradients of the state that enters at each subword of `before`), mean over `before`."""
+    grads, d_x, rooms = dict.fromkeys(OTHERS, np.float32(0)), np.empty((*before.shape, DIM), np.float32), {}
+    for a in range(0, len(before), BLOCK_WINDOWS):
+        now = slice(a, a + BLOCK_WINDOWS)
+        own, d_x[now] = _block_gradients(w, before[now], model.classes[after[now]].reshape(-1), np.float32(before.size), rooms)
+        for name, g in own.items():
+            grads[name] = grads[name] + g
+    return grads, d_x.reshape(-1, DIM)
+
+
+def _block_gradients(
+    w: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, size: np.float32, rooms: dict[str, np.ndarray]
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    x, q, k, v, heads, share, total, mixed_in, state = _forward(w, before, 0, rooms)
+    share /= total
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    d_state = p @ w["out"].T
-    d_share = np.matmul(d_state, v.transpose(0, 2, 1))
-    d_scores = share * (d_share - (d_share * share).sum(2, keepdims=True))
-    d_v = np.matmul(share.transpose(0, 2, 1), d_state)
-    d_q, d_k = np.matmul(d_scores, k) * np.float32(DIM ** -0.5), np.matmul(d_scores.transpose(0, 2, 1), q)
-    d_x = d_state + d_q @ w["query"].T + d_k @ w["key"].T + d_v @ w["value"].T
+    p = np.matmul(flat(state), w["out"], out=_room(rooms, "p", before.size, CLASSES))
+    p += w["bias"]
+    np.clip(p, -60, 60, out=p)
+    np.exp(p, out=p)
+    p /= (p @ np.ones(CLASSES, np.float32))[:, None]
+    p[np.arange(len(p)), target] -= 1
+    p /= size
+    d_state = (p @ w["out"].T).reshape(x.shape)
+    d_scores = np.matmul(d_state, v.transpose(0, 2, 1), out=_room(rooms, "d_scores", *share.shape))
+    d_scores -= np.matmul(d_state * mixed_in, np.ones((DIM, 1), np.float32))  # the shares' mean of what enters them
+    d_scores *= share
+    d_heads = _room(rooms, "d_heads", *x.shape[:2], 3 * DIM)
+    d_heads[..., :DIM] = np.matmul(d_scores, k)
+    d_heads[..., DIM:2 * DIM] = np.matmul(d_scores.transpose(0, 2, 1), q)
+    d_heads[..., 2 * DIM:] = np.matmul(share.transpose(0, 2, 1), d_state)
+    d_x = d_state + (flat(d_heads) @ heads.T).reshape(x.shape)
+    query, key, value = np.split(flat(x).T @ flat(d_heads), 3, axis=1)
     return {
-        "out": flat(state).T @ flat(p), "bias": flat(p).sum(0), "query": flat(x).T @ flat(d_q),
-        "key": flat(x).T @ flat(d_k), "value": flat(x).T @ flat(d_v), "place": d_x.sum(0)}, flat(d_x)
+        "out": flat(state).T @ p, "bias": np.ones(len(p), np.float32) @ p, "query": query * np.float32(DIM ** -0.5), "key": key, "value": value,
+        "place": d_x.sum(0)}, d_x
 
 
 class Adam:
@@ -222,9 +273,11 @@ class Adam:
     def step(self, before: np.ndarray, after: np.ndarray, rate: float) -> None:
         self.turn += 1
         grads, d_x = _gradients(self.model, self.w, before, after)
-        token, place = np.unique(before.reshape(-1), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        first = np.append(0, np.cumsum(np.bincount(place)))[:-1]
+        token = before.reshape(-1)
+        order = np.argsort(token.astype(np.uint16) if len(self.w["embed"]) <= 1 << 16 else token, kind="stable")  # few bytes: radix sort
+        token = token[order]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        token = token[first]
         grads["embed"] = np.add.reduceat(d_x[order], first, axis=0)
         for name, g in grads.items():
             at = token if name == "embed" else slice(None)
@@ -299,7 +352,7 @@ def train_round(rows: DataFrame, tokenizer: bytes, model: Attention, rate: float
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, lane, now, windows = Subwords(tokenizer), None, None, 0
+        subwords, lane, now, windows = subwords_of(tokenizer), None, None, 0
         embed, others = np.zeros((subwords.size, DIM + 1)), 0.0
 
         def close() -> None:
@@ -385,17 +438,17 @@ def class_scores(model: Attention, tokens: np.ndarray, bounds: np.ndarray) -> np
     out = np.zeros(len(tokens) + WINDOW, np.float32)
     target = np.append(model.classes[tokens], np.zeros(WINDOW, np.int64))
     shifted = np.append(shifted, np.zeros(WINDOW, np.int32))
-    w = model.weights
+    w, rooms = model.weights, {}
     for from_place, chosen in ((overlap, number > 0), (0, number == 0)):
         windows = begin[chosen]
-        for a in range(0, len(windows), 256):
-            at = windows[a:a + 256, None] + np.arange(WINDOW)
-            state = _forward(w, shifted[at])[-1][:, from_place:].reshape(-1, DIM)
+        for a in range(0, len(windows), BLOCK_WINDOWS):
+            at = windows[a:a + BLOCK_WINDOWS, None] + np.arange(WINDOW)
+            state = _forward(w, shifted[at], from_place, rooms)[-1].reshape(-1, DIM)
             at = at[:, from_place:].reshape(-1)
-            logits = state @ w["out"]
+            logits = np.matmul(state, w["out"], out=_room(rooms, "logits", len(at), CLASSES))
             logits += w["bias"]
             np.clip(logits, -60, 60, out=logits)
-            own = np.take_along_axis(logits, target[at][:, None], 1)[:, 0]
+            own = logits[np.arange(len(at)), target[at]]
             np.exp(logits, out=logits)
             # what a text's last window writes behind its end lies in first windows of later texts, which come later
             out[at] = own - np.log(logits @ np.ones(CLASSES, np.float32))
@@ -407,6 +460,39 @@ def run_key(second: np.ndarray | int, before: np.ndarray, token: np.ndarray) ->
     return (np.asarray(second, np.int64) << 40) | (before.astype(np.int64) << 20) | token.astype(np.int64)
 
 
+class Places:
+    """Places of distinct numbers, by a table of twice as many slots where a taken slot sends to the next."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, (2 * len(keys)).bit_length())
+        self.keys, self.shift, self.slots = keys, np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            again = self.slots[slot] != left
+            left, slot = left[again], (slot[again] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted number among the keys; their count where it is none of them."""
+        slot = self._slot(wanted)
+        out = self.slots[slot]
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int32)
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != wanted))
+        while len(left):
+            slot = (slot[left] if len(slot) != len(left) else slot) + 1 & (len(self.slots) - 1)
+            found = self.slots[slot]
+            out[left] = found
+            again = (found >= 0) & (self.keys[found] != wanted[left])
+            left, slot = left[again], slot[again]
+        out[out < 0] = len(self.keys)
+        return out
+
+
 @dataclass
 class Counts:
     """Chances of subwords in their class (`single`) and of kept runs; mass left for shorter contexts by (context, class).
@@ -423,20 +509,21 @@ class Counts:
     whole: np.ndarray
     complete: bool
 
-    def settled(self, runs: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Whether what is kept gives the whole table's count of the run and of its context and class."""
-        if self.complete:
-            return np.ones(len(runs), bool)
-        whole = _lookup(self.rest_keys, self.whole, (runs >> 20) * CLASSES + classes, False)
-        return whole | _lookup(self.runs, np.ones(len(self.runs), bool), runs, False)
+    def __post_init__(self):
+        self.run_places, self.rest_places = Places(self.runs), Places(self.rest_keys)
+        # the last entries stand for what is not kept
+        self.chance_at, self.rest_at = np.append(self.chances, 0.0), np.append(self.rest, 1.0)
+        self.whole_at = np.append(self.whole, False)
 
-    def chance(self, runs: np.ndarray, classes: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Discounted share of the run in its context and class, and the left mass times the shorter context's chance."""
-        left = _lookup(self.rest_keys, self.rest, (runs >> 20) * CLASSES + classes, 1.0)
-        return _lookup(self.runs, self.chances, runs, 0.0) + left * shorter
+    def chance(self, runs: np.ndarray, classes: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(discounted share of the run in its context and class, and the left mass times the shorter context's chance;
+        whether what is kept gives the whole table's count of the run and of its context and class)."""
+        own, group = self.run_places.of(runs), self.rest_places.of((runs >> 20) * CLASSES + classes)
+        sure = np.ones(len(runs), bool) if self.complete else self.whole_at[group] | (own < len(self.runs))
+        return self.chance_at[own] + self.rest_at[group] * shorter, sure
 
-    def after_one(self, before: np.ndarray, token: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return self.chance(run_key(NONE, before, token), classes[token], self.single[token])
+    def after_one(self, run: np.ndarray, token: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.chance(run, classes[token], self.single[token])
 
     def in_words(self, t: dict[str, np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log chance, run, settled) of each subword of distinct words but the first, given one or two before it in the word."""
@@ -444,13 +531,12 @@ class Counts:
         run, sure = np.zeros(len(flat), np.int64), np.ones(len(flat), bool)
         place = _place(t)
         k = np.flatnonzero(place > 0)
-        out[k] = self.after_one(flat[k - 1], flat[k], classes)
         run[k] = run_key(NONE, flat[k - 1], flat[k])
-        sure[k] = self.settled(run[k], classes[flat[k]])
+        out[k], sure[k] = self.after_one(run[k], flat[k], classes)
         k = np.flatnonzero(place > 1)
         run[k] = run_key(flat[k - 2], flat[k - 1], flat[k])
-        out[k] = self.chance(run[k], classes[flat[k]], out[k])
-        sure[k] &= self.settled(run[k], classes[flat[k]])
+        out[k], known = self.chance(run[k], classes[flat[k]], out[k])
+        sure[k] &= known
         out[place > 0] = np.log(out[place > 0])
         return out, run, sure
 
@@ -481,7 +567,7 @@ def corpus_counts(rows: DataFrame, tokenizer: bytes) -> DataFrame:
         return pa.RecordBatch.from_pydict({"word": pa.nulls(len(found), pa.string()), "run": pa.array(found), "n": pa.array(n)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(tokenizer)
+        subwords = subwords_of(tokenizer)
         for batch in batches:
             for part in pieces(batch, most_bytes=PIECE_BYTES):
                 t = word_rows(part.column("text"), subwords)
@@ -515,7 +601,7 @@ def fit_sample(rows: DataFrame, tokenizer: bytes, classes: np.ndarray, sample_ro
     share = min(1.0, sample_rows / max(1, rows.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, parts = Subwords(tokenizer), [np.zeros(0, np.int32)]
+        subwords, parts = subwords_of(tokenizer), [np.zeros(0, np.int32)]
         for batch in batches:
             parts.append(_with_begin(token_rows(batch.column("text"), subwords)))
         model = fit_attention(np.concatenate(parts), subwords.size, classes)
@@ -623,7 +709,7 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
     scale = float(n_train + n_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(tokenizer)
+        subwords = subwords_of(tokenizer)
         listed, n_common, attention, runs = shipped.value
         logs = np.append(np.log10((n_common + 1) / scale), 0.0)
         for batch in batches:
@@ -641,9 +727,9 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
                 tokens = t["flat"][t["at"]]
                 log, run, sure = (x[t["at"]] for x in runs.in_words(t, attention.classes))  # each distinct word is looked up once
                 (token, before), start = _pairs(t), t["starts"]
-                log[start] = np.log(runs.after_one(before, token, attention.classes))
                 run[start] = run_key(NONE, before, token)
-                sure[start] = runs.settled(run[start], attention.classes[token])
+                chance, sure[start] = runs.after_one(run[start], token, attention.classes)
+                log[start] = np.log(chance)
                 log[~sure] = 0
                 unsure = run[~sure]
                 unsure_of = np.append(0, np.cumsum(~sure))[t["bounds"]].astype(np.int32)
