@@ -1,6 +1,9 @@
 """Metrics, models and reports."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +124,24 @@ def test_smote_exact_neighbours_and_segments(spark):
             smote.smote_oversample(df, bad)
 
 
+def test_blocks_are_measured_in_bounded_memory(monkeypatch):
+    """Blocks of rows of one place may be many times a usual block; distances and copies are held a few rows at a time."""
+    rng = np.random.default_rng(7)
+    features = rng.normal(size=(4000, 4))
+    features[500:700] = features[500]  # copies
+    left = pd.DataFrame({"label": "a", "id": np.arange(2000), "features": list(features[:2000])})
+    right = pd.DataFrame({"other_id": np.arange(4000)[::-1], "other_features": list(features[::-1])})
+    tracemalloc.start()
+    found = smote._best_of_blocks(left, right, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6, peak
+    monkeypatch.setattr(smote, "DISTANCES", 1 << 30)
+    whole = smote._best_of_blocks(left, right, 5)
+    assert found.drop(columns="near").equals(whole.drop(columns="near")) and len(found) == 10_000
+    assert (np.stack(found["near"]) == np.stack(whole["near"])).all()
+
+
 @pytest.mark.parametrize("kind", ["mixed scales", "clusters"])
 def test_curves_find_most_neighbours(spark, monkeypatch, kind):
     """Recall against exact neighbours; a third of the second class is one vector."""

@@ -23,6 +23,7 @@ BLOCK_ROWS = 2048
 EXACT_ROWS = 16_384  # a class of more rows is searched approximately
 TABLES, PROJECTIONS, DIGITS = 8, 6, 6  # curves; directions of a curve; binary digits of a place along a direction
 CURVE_ROWS = 1024  # rows of a block along a curve
+DISTANCES = 1 << 20  # distances that a task holds at once, about
 FITTED_ROWS = 4096  # about so many rows of a class tell where its directions are cut
 
 
@@ -37,16 +38,34 @@ FOUND = "label string, id bigint, distance double, near_id bigint, near array<do
 
 
 def _best_of_blocks(left: pd.DataFrame, right: pd.DataFrame, neighbours: int) -> pd.DataFrame:
-    """The nearest rows of `right` for each row of `left`, itself left out; equal distances by id."""
+    """The nearest rows of `right` for each row of `left`, itself left out; equal distances by id.
+
+    Rows of `left` are measured a few at a time, so that memory does not grow with the product of the blocks.
+    """
     if not len(left) or not len(right):
         return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("label", "id", "distance", "near_id", "near")})
     right = right.sort_values("other_id", ignore_index=True)
-    a = np.stack(left["features"].to_numpy()).astype(float)
     b = np.stack(right["other_features"].to_numpy()).astype(float)
     b_ids = right["other_id"].to_numpy()
-    distance = np.maximum((a ** 2).sum(1)[:, None] + (b ** 2).sum(1) - 2 * a @ b.T, 0.0)
-    distance[left["id"].to_numpy()[:, None] == b_ids] = np.inf
     few = min(len(b), 2 * neighbours + 2)  # the product loses digits: a wider choice is measured again
+    step = max(1, min(DISTANCES // len(b), DISTANCES // (few * max(1, b.shape[1]))))
+    found = []
+    for start in range(0, len(left), step):
+        now = left.iloc[start:start + step]
+        row, distance, chosen = _best_of_rows(np.stack(now["features"].to_numpy()).astype(float), now["id"].to_numpy(), b, b_ids, few, neighbours)
+        found.append((row + start, distance, chosen))
+    row, distance, chosen = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({
+        "label": left["label"].to_numpy()[row], "id": left["id"].to_numpy()[row], "distance": distance,
+        "near_id": b_ids[chosen], "near": pd.Series(list(b[chosen]), dtype=object)})
+
+
+def _best_of_rows(
+    a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, few: int, neighbours: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, distance, row of b) of the nearest rows; b is in the order of its ids."""
+    distance = np.maximum((a ** 2).sum(1)[:, None] + (b ** 2).sum(1) - 2 * a @ b.T, 0.0)
+    distance[a_ids[:, None] == b_ids] = np.inf
     near = np.sort(np.argpartition(distance, few - 1, axis=1)[:, :few], axis=1)
     exact = ((b[near] - a[:, None]) ** 2).sum(2)
     exact[np.isinf(np.take_along_axis(distance, near, 1))] = np.inf
@@ -57,14 +76,11 @@ def _best_of_blocks(left: pd.DataFrame, right: pd.DataFrame, neighbours: int) ->
     tied = (distance <= kth[:, None] * (1 + 1e-9) + 1e-9).sum(1) > few
     for at in np.flatnonzero(tied & np.isfinite(kth)):
         full = ((b - a[at]) ** 2).sum(1)
-        full[b_ids == left["id"].iat[at]] = np.inf
+        full[b_ids == a_ids[at]] = np.inf
         near[at] = np.argsort(full, kind="stable")[: near.shape[1]]
         exact[at] = full[near[at]]
     row, place = np.nonzero(np.isfinite(exact))
-    chosen = near[row, place]
-    return pd.DataFrame({
-        "label": left["label"].to_numpy()[row], "id": left["id"].to_numpy()[row], "distance": exact[row, place],
-        "near_id": b_ids[chosen], "near": pd.Series(list(b[chosen]), dtype=object)})
+    return row, exact[row, place], near[row, place]
 
 
 def nearest_in_class(
