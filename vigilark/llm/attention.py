@@ -43,7 +43,7 @@ NONE = (1 << 20) - 1  # in place of a second subword before
 WINDOW, STRIDE, DIM, CLASSES = 32, 24, 8, 32
 STEPS, BATCH, RATE, DISCOUNT = 500, 192, 0.02, 0.7
 ROUNDS, ROUND_BATCH = 4, 512  # rounds of the pass over all rows; windows of a step in them
-BLOCK_WINDOWS = 64  # windows computed at once, so that a block's arrays stay in a core's cache; sums do not depend on it
+BLOCK_WINDOWS = 64  # windows computed at once, so that a block's arrays stay in a core's cache; but for rounding, sums do not depend on it
 LANE_WORDS, LANE_TASKS = 1 << 18, 10_000  # words of a lane of a round, about; tasks of a round at most
 CAUSAL = np.tri(WINDOW, dtype=np.float32)  # what a place of a window attends to
 OTHERS = ("place", "query", "key", "value", "out", "bias")  # parameters that all subwords share
