@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -223,6 +224,27 @@ def test_gradients_do_not_depend_on_blocks(monkeypatch):
             assert abs((loss(up) - loss(down)) / 2e-2 - grads[name].reshape(-1)[place]) < 1e-3
 
 
+def test_steps_need_little_new_memory():
+    """New memory costs as much as the sums in it, and sums along long rows are the quick ones."""
+    rng = np.random.default_rng(6)
+    adam = attention.Adam(attention.fit_attention(np.zeros(0, np.int32), 60, rng.integers(0, attention.CLASSES, 60)))
+    before, after = rng.integers(3, 60, (2, attention.ROUND_BATCH, attention.WINDOW)).astype(np.int32)
+    adam.step(before, after, 0.01)
+    tracemalloc.start()
+    adam.step(before, after, 0.01)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 3 * before.size * 4 * attention.DIM
+
+
+def test_times_of_values_in_rows():
+    row, value = np.array([0, 0, 0, 2, 2, 3]), np.array([7, 1 << 60, 7, 7, -5, 1 << 60])
+    for n, own in ((5, slice(0, 6)), (2, slice(0, 0))):
+        first, at, times = attention._times(row[own], value[own], n)
+        got = {(r, int(value[own][at[i]])): times[i].as_py() for r in range(n) for i in range(first[r], first[r + 1])}
+        assert got == Counter(zip(row[own].tolist(), value[own].tolist())) and len(first) == n + 1
+
+
 def test_scores_do_not_depend_on_what_tasks_look_up(spark, monkeypatch):
     docs = queries.table(spark, SF, "documents").select("doc_id", "text")
     scores = []

@@ -45,7 +45,7 @@ STEPS, BATCH, RATE, DISCOUNT = 500, 192, 0.02, 0.7
 ROUNDS, ROUND_BATCH = 4, 512  # rounds of the pass over all rows; windows of a step in them
 BLOCK_WINDOWS = 64  # windows computed at once, so that a block's arrays stay in a core's cache; but for rounding, sums do not depend on it
 LANE_WORDS, LANE_TASKS = 1 << 18, 10_000  # words of a lane of a round, about; tasks of a round at most
-CAUSAL = np.tri(WINDOW, dtype=np.float32)  # what a place of a window attends to
+CAUSAL = np.triu(np.ones((WINDOW, WINDOW), np.float32))  # which places (columns) attend to a place of a window
 OTHERS = ("place", "query", "key", "value", "out", "bias")  # parameters that all subwords share
 BEGIN, END = 1, 2
 KEPT_WORDS = 1 << 18  # distinct words whose subwords a Python worker keeps
@@ -206,82 +206,118 @@ def _room(rooms: dict[str, np.ndarray], name: str, *shape: int) -> np.ndarray:
     return rooms[name]
 
 
+def _limited(x: np.ndarray, most: float) -> None:
+    if not (x.max() <= most and x.min() >= -most):
+        np.clip(x, -most, most, out=x)
+
+
+def _windows(rows: np.ndarray, n: int) -> np.ndarray:
+    """(window, row, place) of an array (row, places of n windows); no copy."""
+    return rows.reshape(len(rows), n, -1).transpose(1, 0, 2)
+
+
 def _forward(w: dict[str, np.ndarray], before: np.ndarray, first: int = 0, rooms: dict[str, np.ndarray] | None = None) -> tuple:
-    """States after attention for windows of subwords (batch, window), from place `first` of each window on."""
+    """States after attention for windows of subwords (batch, window), from place `first` of each window on.
+
+    Arrays hold a row per feature and the places of all windows side by side, as numpy's loops and products are fast along
+    long rows; a row of ones behind values and states adds up shares and adds the bias. Shares are (window, attended, place),
+    not yet divided by their sums. The last array returned is a view of the states, (batch, place, feature).
+    """
     n, width = before.shape
+    size, scored = n * width, n * (width - first)
     rooms = {} if rooms is None else rooms
-    x = w["embed"][before] + w["place"][:width]
+    entered = w["embed"].take(before.reshape(-1), axis=0, mode="clip")  # no id is outside; mode: the quick way through numpy
+    entered.reshape(n, -1)[...] += w["place"][:width].reshape(-1)
+    x = _room(rooms, "x", DIM, size)
+    x[...] = entered.T
     heads = np.concatenate([w["query"] * np.float32(DIM ** -0.5), w["key"], w["value"]], axis=1)
-    qkv = (x.reshape(-1, DIM) @ heads).reshape(n, width, 3 * DIM)
-    q, k, v = qkv[:, first:, :DIM], qkv[..., DIM:2 * DIM], qkv[..., 2 * DIM:]
-    scores = np.matmul(q, k.transpose(0, 2, 1), out=_room(rooms, "scores", n, width - first, width))
-    np.clip(scores, -30, 30, out=scores)
-    np.exp(scores, out=scores)
-    scores *= CAUSAL[first:width, :width]
-    total = (scores.reshape(-1, width) @ np.ones(width, np.float32)).reshape(n, width - first, 1)
-    mixed_in = np.matmul(scores, v)
-    mixed_in /= total
-    return x, q, k, v, heads, scores, total, mixed_in, x[:, first:] + mixed_in
-
-
-def _gradients(model: Attention, w: dict[str, np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    qkv = _room(rooms, "qkv", 3 * DIM + 1, size)
+    np.matmul(heads.T.copy(), x, out=qkv[:-1])
+    qkv[-1] = 1
+    q, k, v = _windows(qkv[:DIM], n)[..., first:], _windows(qkv[DIM:2 * DIM], n), _windows(qkv[2 * DIM:], n)
+    shares = np.matmul(k.transpose(0, 2, 1), q, out=_room(rooms, "shares", n, width, width - first))
+    _limited(shares, 30)
+    np.exp(shares, out=shares)
+    shares *= CAUSAL[:width, first:width].copy()
+    mixed_in = _room(rooms, "mixed_in", DIM + 1, scored)
+    np.matmul(v, shares, out=_windows(mixed_in, n))
+    part = 1 / mixed_in[-1]
+    mixed_in = mixed_in[:-1]
+    mixed_in *= part
+    state = _room(rooms, "state", DIM + 1, scored)
+    np.add(x.reshape(DIM, n, width)[..., first:], mixed_in.reshape(DIM, n, -1), out=state[:-1].reshape(DIM, n, -1))
+    state[-1] = 1
+    return entered, q, k, v, heads, shares, part, mixed_in, state, _windows(state[:-1], n).transpose(0, 2, 1)
+
+
+def _logits(w: dict[str, np.ndarray], state: np.ndarray, rooms: dict[str, np.ndarray]) -> np.ndarray:
+    """A row per class for states with a row of ones behind them."""
+    logits = np.matmul(np.append(w["out"].T, w["bias"][:, None], axis=1), state, out=_room(rooms, "logits", CLASSES, state.shape[1]))
+    _limited(logits, 60)
+    return logits
+
+
+def _gradients(
+    model: Attention, w: dict[str, np.ndarray], before: np.ndarray, after: np.ndarray, rooms: dict[str, np.ndarray] | None = None
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """(gradients of all but `embed`, gradients of the state that enters at each subword of `before`), mean over `before`."""
-    grads, d_x, rooms = dict.fromkeys(OTHERS, np.float32(0)), np.empty((*before.shape, DIM), np.float32), {}
+    rooms = {} if rooms is None else rooms
+    grads, d_x = dict.fromkeys(OTHERS, np.float32(0)), np.empty((*before.shape, DIM), np.float32)
     for a in range(0, len(before), BLOCK_WINDOWS):
         now = slice(a, a + BLOCK_WINDOWS)
-        own, d_x[now] = _block_gradients(w, before[now], model.classes[after[now]].reshape(-1), np.float32(before.size), rooms)
+        own = _block_gradients(w, before[now], model.classes.take(after[now].reshape(-1)), np.float32(before.size), rooms, d_x[now])
         for name, g in own.items():
             grads[name] = grads[name] + g
     return grads, d_x.reshape(-1, DIM)
 
 
 def _block_gradients(
-    w: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, size: np.float32, rooms: dict[str, np.ndarray]
-) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    x, q, k, v, heads, share, total, mixed_in, state = _forward(w, before, 0, rooms)
-    share /= total
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    p = np.matmul(flat(state), w["out"], out=_room(rooms, "p", before.size, CLASSES))
-    p += w["bias"]
-    np.clip(p, -60, 60, out=p)
+    w: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, size: np.float32, rooms: dict[str, np.ndarray], d_x: np.ndarray
+) -> dict[str, np.ndarray]:
+    """Gradients of all but `embed`; those of what enters are written to d_x."""
+    entered, q, k, v, heads, shares, part, mixed_in, state, _ = _forward(w, before, 0, rooms)
+    n = len(before)
+    p = _logits(w, state, rooms)
     np.exp(p, out=p)
-    p /= (p @ np.ones(CLASSES, np.float32))[:, None]
-    p[np.arange(len(p)), target] -= 1
-    p /= size
-    d_state = (p @ w["out"].T).reshape(x.shape)
-    d_scores = np.matmul(d_state, v.transpose(0, 2, 1), out=_room(rooms, "d_scores", *share.shape))
-    d_scores -= np.matmul(d_state * mixed_in, np.ones((DIM, 1), np.float32))  # the shares' mean of what enters them
-    d_scores *= share
-    d_heads = _room(rooms, "d_heads", *x.shape[:2], 3 * DIM)
-    d_heads[..., :DIM] = np.matmul(d_scores, k)
-    d_heads[..., DIM:2 * DIM] = np.matmul(d_scores.transpose(0, 2, 1), q)
-    d_heads[..., 2 * DIM:] = np.matmul(share.transpose(0, 2, 1), d_state)
-    d_x = d_state + (flat(d_heads) @ heads.T).reshape(x.shape)
-    query, key, value = np.split(flat(x).T @ flat(d_heads), 3, axis=1)
+    p *= 1 / (p.sum(0) * size)
+    p.reshape(-1)[target * before.size + np.arange(before.size)] -= 1 / size
+    d_state = w["out"] @ p
+    d_mixed = _room(rooms, "d_mixed", DIM + 1, before.size)
+    np.multiply(d_state, part, out=d_mixed[:-1])
+    np.negative((d_mixed[:-1] * mixed_in).sum(0), out=d_mixed[-1])  # the shares' mean of what enters them
+    d_scores = np.matmul(v.transpose(0, 2, 1), _windows(d_mixed, n), out=_room(rooms, "d_scores", *shares.shape))
+    d_scores *= shares
+    d_heads = _room(rooms, "d_heads", 3 * DIM, before.size)
+    np.matmul(k, d_scores, out=_windows(d_heads[:DIM], n))
+    np.matmul(q, d_scores.transpose(0, 2, 1), out=_windows(d_heads[DIM:2 * DIM], n))
+    np.matmul(_windows(d_mixed[:-1], n), shares.transpose(0, 2, 1), out=_windows(d_heads[2 * DIM:], n))
+    out = state @ p.T
+    query, key, value = ((d_heads @ entered).T[:, k:k + DIM] for k in range(0, 3 * DIM, DIM))
+    d_state += heads @ d_heads
+    d_x.reshape(-1, DIM)[...] = d_state.T
     return {
-        "out": flat(state).T @ p, "bias": np.ones(len(p), np.float32) @ p, "query": query * np.float32(DIM ** -0.5), "key": key, "value": value,
-        "place": d_x.sum(0)}, d_x
+        "out": out[:-1], "bias": out[-1], "query": query * np.float32(DIM ** -0.5), "key": key, "value": value, "place": d_x.sum(0)}
 
 
 class Adam:
     """Steps on a model's parameters; rows of `embed` that a batch does not hold rest."""
 
     def __init__(self, model: Attention):
-        self.model, self.w, self.turn = model, {k: v.copy() for k, v in model.weights.items()}, 0
+        self.model, self.w, self.turn, self.rooms = model, {k: v.copy() for k, v in model.weights.items()}, 0, {}
         self.slow = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
 
     def step(self, before: np.ndarray, after: np.ndarray, rate: float) -> None:
         self.turn += 1
-        grads, d_x = _gradients(self.model, self.w, before, after)
+        grads, d_x = _gradients(self.model, self.w, before, after, self.rooms)
         token = before.reshape(-1)
         order = np.argsort(token.astype(np.uint16) if len(self.w["embed"]) <= 1 << 16 else token, kind="stable")  # few bytes: radix sort
-        token = token[order]
+        token = token.take(order)
         first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         token = token[first]
-        grads["embed"] = np.add.reduceat(d_x[order], first, axis=0)
+        grads["embed"] = np.add.reduceat(d_x.take(order, axis=0, mode="clip"), first, axis=0)
         for name, g in grads.items():
             at = token if name == "embed" else slice(None)
-            m, s = (x[at] for x in self.slow[name])
+            m, s = (x.take(at, axis=0, mode="clip") if name == "embed" else x for x in self.slow[name])
             m, s = m + np.float32(0.1) * (g - m), s + np.float32(0.01) * (g * g - s)
             self.slow[name][0][at], self.slow[name][1][at] = m, s
             self.w[name][at] -= (rate * (m / (1 - 0.9 ** self.turn)) / (np.sqrt(s / (1 - 0.99 ** self.turn)) + 1e-8)).astype(np.float32)
@@ -436,22 +472,19 @@ def class_scores(model: Attention, tokens: np.ndarray, bounds: np.ndarray) -> np
     shifted[1:] = tokens[:-1]
     shifted[bounds[:-1][lengths > 0]] = BEGIN
     out = np.zeros(len(tokens) + WINDOW, np.float32)
-    target = np.append(model.classes[tokens], np.zeros(WINDOW, np.int64))
+    target = np.append(model.classes.take(tokens), np.zeros(WINDOW, np.int64))
     shifted = np.append(shifted, np.zeros(WINDOW, np.int32))
     w, rooms = model.weights, {}
     for from_place, chosen in ((overlap, number > 0), (0, number == 0)):
         windows = begin[chosen]
         for a in range(0, len(windows), BLOCK_WINDOWS):
             at = windows[a:a + BLOCK_WINDOWS, None] + np.arange(WINDOW)
-            state = _forward(w, shifted[at], from_place, rooms)[-1].reshape(-1, DIM)
+            logits = _logits(w, _forward(w, shifted.take(at), from_place, rooms)[-2], rooms)
             at = at[:, from_place:].reshape(-1)
-            logits = np.matmul(state, w["out"], out=_room(rooms, "logits", len(at), CLASSES))
-            logits += w["bias"]
-            np.clip(logits, -60, 60, out=logits)
-            own = logits[np.arange(len(at)), target[at]]
+            own = logits.take(target.take(at) * len(at) + np.arange(len(at)))
             np.exp(logits, out=logits)
             # what a text's last window writes behind its end lies in first windows of later texts, which come later
-            out[at] = own - np.log(logits @ np.ones(CLASSES, np.float32))
+            out[at] = own - np.log(logits.sum(0))
     return out[: len(tokens)]
 
 
@@ -681,6 +714,14 @@ def joined_chances(wanted: DataFrame, runs: DataFrame, groups: DataFrame, model:
     return rows.select("run", chance.alias("chance"))
 
 
+def _times(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(first of each of n rows and the end, an index of each distinct value of a row, how often the row holds it)."""
+    _, index, code = np.unique(value, return_index=True, return_inverse=True)
+    found, times = np.unique(row * max(1, len(index)) + code, return_counts=True)
+    row, code = np.divmod(found, max(1, len(index)))
+    return np.append(0, np.cumsum(np.bincount(row, minlength=n))).astype(np.int32), index[code], pa.array(times)
+
+
 def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, common_words: int = COMMON_WORDS) -> DataFrame:
     """docs' doc_id and other columns but text, with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -722,8 +763,8 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
                 base = np.bincount(row, weights=logs[at][t["ids"]], minlength=n) + np.log10((n_docs + 1) / scale)
                 n_known = np.bincount(row, weights=known[t["ids"]], minlength=n).astype(np.int64) + (1 if n_docs else 0)
                 rare = np.flatnonzero(~known[t["ids"]])
-                rare_words = t["names"].take(pa.array(t["ids"][rare])).cast(pa.string())
-                rare_of = np.append(0, np.cumsum(np.bincount(row[rare], minlength=n))).astype(np.int32)
+                rare_of, at, times = _times(row[rare], t["ids"][rare], n)
+                rare_words = pa.StructArray.from_arrays([t["names"].take(pa.array(t["ids"][rare[at]])).cast(pa.string()), times], ["word", "times"])
                 tokens = t["flat"][t["at"]]
                 log, run, sure = (x[t["at"]] for x in runs.in_words(t, attention.classes))  # each distinct word is looked up once
                 (token, before), start = _pairs(t), t["starts"]
@@ -731,23 +772,25 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
                 chance, sure[start] = runs.after_one(run[start], token, attention.classes)
                 log[start] = np.log(chance)
                 log[~sure] = 0
-                unsure = run[~sure]
-                unsure_of = np.append(0, np.cumsum(~sure))[t["bounds"]].astype(np.int32)
+                unsure = np.flatnonzero(~sure)
+                unsure_of, at, times = _times(np.searchsorted(t["bounds"], unsure, side="right") - 1, run[unsure], n)
+                unsure_runs = pa.StructArray.from_arrays([pa.array(run[unsure[at]]), times], ["run", "times"])
                 log += class_scores(attention, tokens, t["bounds"])
                 score = np.add.reduceat(log, t["bounds"][:-1]) / np.log(10.0) if n else np.zeros(0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_kept"), pa.array(np.diff(t["offsets"]) + 1), pa.array(n_known), pa.array(base),
                      pa.array(score), pa.ListArray.from_arrays(pa.array(rare_of), rare_words),
-                     pa.ListArray.from_arrays(pa.array(unsure_of), pa.array(unsure))],
+                     pa.ListArray.from_arrays(pa.array(unsure_of), unsure_runs)],
                     names=["_kept", "n_tokens", "n_known", "base_score", "score", "rare", "runs"])
 
     made = docs.select(F.struct(*others).alias("_kept"), text_of().alias("text"))
     schema = StructType([made.schema["_kept"]])
-    for field in spark.createDataFrame([], "n_tokens long, n_known long, base_score double, score double, rare array<string>, runs array<long>").schema:
+    for field in spark.createDataFrame([], "n_tokens long, n_known long, base_score double, score double, "
+                                       "rare array<struct<word: string, times: long>>, runs array<struct<run: long, times: long>>").schema:
         schema = schema.add(field)
     scored = stored(made.mapInArrow(run, schema)
                     .withColumn("_row", F.monotonically_increasing_id()), "attention-scores")
-    rare = scored.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("times"))
+    rare = scored.select("_row", F.inline("rare"))
     n = F.coalesce("n", F.lit(0))
     extra = (
         rare.join(words, "word", "left").groupBy("_row")
@@ -756,7 +799,7 @@ def score_documents(docs: DataFrame, training: DataFrame, tokenizer_path: str, c
     score = F.col("score")
     found = scored.drop("rare", "runs").join(extra, "_row", "left")
     if not runs.complete:
-        unsure = scored.select("_row", F.explode("runs").alias("run")).groupBy("_row", "run").agg(F.count("*").alias("times"))
+        unsure = scored.select("_row", F.inline("runs"))
         chances = joined_chances(unsure.select("run").distinct(), counted, groups, model, runs.single)
         added = unsure.join(chances, "run").groupBy("_row").agg(F.sum(F.col("times") * F.log10("chance")).alias("joined"))
         found, score = found.join(added, "_row", "left"), score + F.coalesce("joined", F.lit(0.0))
