@@ -1,6 +1,9 @@
 """Boosted trees: both ways of growing, a plain learner, SQL over stored nodes, and the registry."""
 
+import glob
 import math
+import shutil
+import tempfile
 
 import duckdb
 import numpy as np
@@ -183,3 +186,46 @@ def test_margins_are_renewed_once_a_round_on_blocks_that_are_held(spark, monkeyp
     monkeypatch.setattr(boost._Table, "add", lambda table, trees: (added.append((len(trees), table.rows.is_cached)), kept(table, trees)))
     boost.fit_boosted(frame(spark, x, y, weight), ["c"], FEATURES, 3, 2, 0.3, in_task=0)
     assert added == [(1, True)] * 3
+
+
+def test_a_small_table_is_fitted_by_one_task(spark, monkeypatch):
+    x, y, weight = rows_of()
+    want = boost.fit_boosted(frame(spark, x, y, weight), ["c"], FEATURES, 3, 2, 0.3, in_task=0).nodes.orderBy("round", "node").collect()
+    monkeypatch.setattr(boost._Table, "__init__", lambda *_: pytest.fail("a pass per level"))
+    got = boost.fit_boosted(frame(spark, x, y, weight), ["c"], FEATURES, 3, 2, 0.3).nodes.orderBy("round", "node").collect()
+    assert [(r.node, r.feature, r.split, r.left) for r in got] == [(r.node, r.feature, r.split, r.left) for r in want]
+    assert max(abs(a.value - b.value) for a, b in zip(got, want)) < 1e-12
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 26])
+def test_blocks_that_are_lost_are_made_again(spark, monkeypatch, direct):
+    monkeypatch.setattr(boost, "FEW_ROWS", 100)
+    monkeypatch.setattr(boost, "STORE_EVERY", 2)
+    monkeypatch.setattr(boost, "DIRECT", direct)
+    x, y, weight = rows_of(classes=3)
+    fit = lambda: boost.fit_boosted(frame(spark, x, y, weight), list("xyz"), FEATURES, 6, 3, 0.3, in_task=0).nodes.orderBy("output", "round", "node").collect()
+    want, held, sums, calls = fit(), [], boost._Table._sums, []
+
+    def losing(table, step, nodes):
+        calls.append(step.level)
+        places = table.rows.collect()
+        held.append(max(len(str(place)) for place in places))
+        if len(calls) in (2, 11):  # in the first round, and after several
+            shutil.rmtree(places[-1][2])
+        return sums(table, step, nodes)
+
+    monkeypatch.setattr(boost._Table, "_sums", losing)
+    got = fit()
+    assert max(held) < 500 and not [p for p in glob.glob(f"{tempfile.gettempdir()}/vigilark-boost-*")]
+    assert [(r.node, r.feature, r.split, r.left) for r in got] == [(r.node, r.feature, r.split, r.left) for r in want]
+    assert max(abs(a.value - b.value) for a, b in zip(got, want)) < 1e-9
+
+
+def test_cuts_are_exact_quantiles_of_counted_values(spark, monkeypatch):
+    values = [float(i % 200) for i in range(4000)] + [None] * 7 + [float("nan")] * 5
+    df = spark.createDataFrame([(v, float(i)) for i, v in enumerate(values)], "a double, b double").repartition(3)
+    cuts, wide = boost.cut_points(df, ["a", "b"], 16)
+    assert cuts.tolist() == [float(math.ceil(4000 * i / 16 / 20) - 1) for i in range(1, 16)]
+    monkeypatch.setattr(boost, "COUNTED", 10)
+    rough = boost.cut_points(df, ["a", "b"], 16)
+    assert len(rough[0]) == len(wide) == 15 and np.abs(rough[1] - wide).max() <= 4012 / 16 / 50 + 1

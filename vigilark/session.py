@@ -22,6 +22,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
     )
 
 
+def compiled(spark: SparkSession) -> None:
+    """From now on wide projections are generated in methods that the JVM compiles; it interprets those of more than 8,000 bytes."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """New folder for one run's tables, under the checkpoint folder the cluster names.
 

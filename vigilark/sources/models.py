@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX_SCHEMA = "kind string, model_key string, data_key string, parameters string, path string, stored_at timestamp"
-FORMAT = 2  # raised when a learner changes, so that older models are not taken for its own
+FORMAT = 3  # raised when a learner changes, so that older models are not taken for its own
 
 
 def data_key(rows: DataFrame) -> str:
