@@ -93,6 +93,22 @@ def test_collection_keeps_a_good_copy_behind_a_bad_one(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
 
 
+def test_collection_keeps_its_keys_off_the_heap(spark, tmp_path):
+    from vigilark.streaming.collect import start_collection
+
+    usual = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", usual)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text('{"_id": "1", "_source": {"id": "x"}}\n' * 3 + '{"_id": "2", "_source": {"id": "y"}}\n')
+    stream = source.stream_documents(spark, str(tmp_path / "in"))
+    query = start_collection(stream, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert sorted(r["alert_id"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["x", "y"]
+    state = query.recentProgress[0]["stateOperators"][0]
+    assert state["numRowsTotal"] == 2 and any(name.startswith("rocksdb") for name in state["customMetrics"])
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
+
+
 def test_a_collected_batch_can_be_run_again(spark, tmp_path):
     """The last batch's commit is lost after its writes: it is run again and its rows are there once."""
     import json

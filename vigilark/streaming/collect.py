@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilark.operators.normalize import alert_id, failure_reason, normalize_good, normalized, parse_documents, quarantine
+from vigilark.streaming.detect import STATE_PROVIDER
+
+STATE_MB = 128  # of an executor, for the state of all its tasks
 
 
 def _keyed(documents: DataFrame, reason: Column) -> DataFrame:
@@ -51,6 +54,18 @@ def refused_documents(documents: DataFrame, dedup_horizon: str = "1 hour") -> Da
     return quarantine(bad.withWatermark("received_at", dedup_horizon).dropDuplicatesWithinWatermark(["value"]))
 
 
+def bounded_state(spark: SparkSession) -> None:
+    """From now on streams keep their state in RocksDB on the executors' disks, with one bound on its memory in an executor.
+
+    A map on the heap, Spark's default, holds every key of the horizon, twice while a batch runs.
+    """
+    rocksdb = "spark.sql.streaming.stateStore.rocksdb"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    spark.conf.set(f"{rocksdb}.boundedMemoryUsage", "true")
+    spark.conf.set(f"{rocksdb}.maxMemoryUsageMB", str(STATE_MB))
+    spark.conf.set(f"{rocksdb}.changelogCheckpointing.enabled", "true")
+
+
 def start_collection(
     documents: DataFrame, alerts_path: str, quarantine_path: str, checkpoint: str, dedup_horizon: str = "1 hour"
 ) -> StreamingQuery:
@@ -58,8 +73,9 @@ def start_collection(
 
     Good documents are told apart as in `collected_alerts`, bad ones by their text. Each batch has a folder of its own in
     both tables (`batch`), which it replaces: a batch that is run again after a failure changes nothing. Restarting with
-    the same checkpoint goes on after the last finished batch.
+    the same checkpoint goes on after the last finished batch. Keys lie in RocksDB, not on the heap.
     """
+    bounded_state(documents.sparkSession)
     sorted_out = parse_documents(documents).withColumn("reason", failure_reason())
     once = _once(sorted_out, dedup_horizon, F.col("reason"))
 
